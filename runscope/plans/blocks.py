@@ -165,10 +165,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
-def _matcher(k: int, ward: bool, index: LeafBoxes | None):
+def _matcher(k: int, ward: bool, index: LeafBoxes | None, same: bool = True):
     """Task body: joined block pairs in, best partners per row out.
 
     Given the leaf boxes, each output row also lists the other leaves its bound cannot exclude.
+    With *same* both sides are one table and a row is no partner of itself.
     """
 
     def scores_of(q, q_extra, d, d_weight):
@@ -217,7 +218,8 @@ def _matcher(k: int, ward: bool, index: LeafBoxes | None):
                 d_ids = np.asarray(row.d_ids, dtype=np.int64)
                 d = np.asarray(row.d_vecs, dtype=float).reshape(len(d_ids), -1)
                 new = scores_of(q, extras, d, np.asarray(row.d_extras, dtype=float))
-                new[q_ids[:, None] == d_ids[None, :]] = np.inf
+                if same:
+                    new[q_ids[:, None] == d_ids[None, :]] = np.inf
                 merged = np.hstack([scores, new])
                 merged_ids = np.hstack([ids, np.broadcast_to(d_ids, new.shape)])
                 state = (key, q_ids, q, extras, *_best(merged, merged_ids, k))
@@ -256,18 +258,46 @@ def nearest(
     decimals, go to the smaller ID.
     """
     packed, index = build_index(points, area, leaf_rows, block_rows)
+    return _search(packed, packed, index, k, area, ward, True, block_rows)
+
+
+def nearest_between(
+    queries: DataFrame,
+    points: DataFrame,
+    k: int,
+    area: StageArea,
+    leaf_rows: int = LEAF_ROWS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The *k* nearest rows of *points* for each row of *queries*, both (id, vec, weight)."""
+    packed, index = build_index(points, area, leaf_rows, block_rows)
+    lows, highs, leaf_ids = index.lows, index.highs, index.leaf_ids
+
+    @F.pandas_udf("int")
+    def closest_leaf(vec: pd.Series) -> pd.Series:
+        q = np.stack(vec.to_numpy()).astype(float)
+        gap = np.maximum(lows[None] - q[:, None, :], 0.0) + np.maximum(q[:, None, :] - highs[None], 0.0)
+        return pd.Series(leaf_ids[(gap * gap).sum(axis=2).argmin(axis=1)].astype("int32"))
+
+    placed = area.put(queries.withColumn("leaf", closest_leaf("vec")), "queries")
+    pieces = {r["leaf"]: -(-r["count"] // block_rows) for r in placed.groupBy("leaf").count().collect()}
+    return _search(_pack(placed, pieces, "weight"), packed, index, k, area, False, False, block_rows)
+
+
+def _search(
+    queries: DataFrame, packed: DataFrame, index: LeafBoxes, k: int, area: StageArea, ward: bool, same: bool, rows: int
+) -> DataFrame:
     pair_rows = "id long, partners array<long>, scores array<double>"
     with_bound = pair_rows + ", vec array<double>, weight double, bound double, visits array<int>"
     if len(index.leaf_ids) <= 1:
-        only = _join_blocks(packed, packed).mapInPandas(_matcher(k, ward, None), pair_rows)
-        return _top(only, k)
+        return _top(_join_blocks(queries, packed).mapInPandas(_matcher(k, ward, None, same), pair_rows), k)
 
     blocks = area.put(packed, "blocks")
-    first = area.put(_join_blocks(blocks, blocks).mapInPandas(_matcher(k, ward, index), with_bound), "first")
+    own = blocks if queries is packed else queries
+    first = area.put(_join_blocks(own, blocks).mapInPandas(_matcher(k, ward, index, same), with_bound), "first")
     visits = first.select("id", "vec", "weight", F.explode("visits").alias("leaf"))
-    counts = visits.groupBy("leaf").count().collect()
-    pieces = {r["leaf"]: -(-r["count"] // block_rows) for r in counts}
-    second = _join_blocks(_pack(visits, pieces, "weight"), blocks).mapInPandas(_matcher(k, ward, None), pair_rows)
+    pieces = {r["leaf"]: -(-r["count"] // rows) for r in visits.groupBy("leaf").count().collect()}
+    second = _join_blocks(_pack(visits, pieces, "weight"), blocks).mapInPandas(_matcher(k, ward, None, same), pair_rows)
     return _top(first.select("id", "partners", "scores").unionByName(second), k)
 
 
