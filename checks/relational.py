@@ -455,9 +455,9 @@ def u1(spark, sf):
     return project.append_rows(left, right)
 
 
-@check("u2_new_ids", "SELECT c_custkey AS shot_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@check("u2_new_ids", "SELECT c_custkey AS shot_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def u2(spark, sf):
-    known = table(spark, sf, "orders").select(F.col("o_custkey").alias("shot_id"))
+    known = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("shot_id"))
     return project.unseen(table(spark, sf, "customer").select(F.col("c_custkey").alias("shot_id")), known)
 
 
