@@ -20,13 +20,13 @@ from runscope.plans.ordering import number_rows
 from runscope.plans.stage import StageArea
 
 N_NEIGHBORS = 15  # the point itself included
-EPOCHS = 20
+EPOCHS = 15
 NEGATIVES = 5
 SEED = 42
 # Curve of the low-dimensional similarity for min_dist 0.1 and spread 1.
 CURVE_A = 1.577
 CURVE_B = 0.8951
-START_SPAN = 10.0
+START_SPAN = 10.0  # the first layout lies within this distance of the centre on both axes
 CLIP = 4.0
 
 
@@ -103,9 +103,9 @@ def neighbour_layout(
 
     axes = principal_axes(nodes, 2)
     start = nodes.select("node", dot(F.col("vec"), axes[0]).alias("x"), dot(F.col("vec"), axes[1]).alias("y"))
-    span = start.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 1.0
-    factor = F.lit(START_SPAN / span)
-    layout = area.put(start.select("node", (F.col("x") * factor).alias("x"), (F.col("y") * factor).alias("y")), "layout")
+    spread = start.agg(F.stddev_pop("x").alias("x"), F.stddev_pop("y").alias("y")).first()
+    placed = [_start_position(c, spread[c]).alias(c) for c in ("x", "y")]
+    layout = area.put(start.select("node", *placed), "layout")
     for epoch in range(epochs):
         following = area.put(_epoch(layout, edges, total, epoch, epochs), "layout")
         area.drop(layout)
@@ -114,6 +114,12 @@ def neighbour_layout(
     return nodes.join(placed, "node").drop("node")
 
 
+def _start_position(axis: str, deviation: float | None) -> Column:
+    """Three deviations fill the span; points further out are held at its edge."""
+    scaled = F.col(axis) / F.lit((deviation or 1.0) * 3 / START_SPAN)
+    return F.least(F.greatest(scaled, F.lit(-START_SPAN)), F.lit(START_SPAN))
+
+
 def _epoch(layout: DataFrame, edges: DataFrame, total: int, epoch: int, epochs: int) -> DataFrame:
     """One round. Random partners are computed from the node number, so they join by key as edges do."""
     random_node = F.pmod(F.xxhash64("node", F.lit(epoch + SEED), "draw"), F.lit(total))
@@ -134,7 +140,7 @@ def _epoch(layout: DataFrame, edges: DataFrame, total: int, epoch: int, epochs:
         step = F.least(F.greatest(slope * delta, F.lit(-CLIP)), F.lit(CLIP)) * F.col("w")
         drawn = F.sum(F.when(F.col("pull"), step)) / F.sum(F.when(F.col("pull"), F.col("w")))
         driven = F.sum(F.when(~F.col("pull"), step)) / F.lit(NEGATIVES)
-        return 2 * F.coalesce(drawn, F.lit(0.0)) + F.coalesce(driven, F.lit(0.0))
+        return F.coalesce(drawn, F.lit(0.0)) + F.coalesce(driven, F.lit(0.0))
 
     rate = 1.0 - epoch / epochs
     forces = moved.groupBy("i").agg(force(dx).alias("fx"), force(dy).alias("fy")).withColumnRenamed("i", "node")

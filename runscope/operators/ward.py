@@ -21,7 +21,7 @@ from runscope.plans.blocks import BLOCK_ROWS, LEAF_ROWS, nearest
 from runscope.plans.ordering import number_rows
 from runscope.plans.stage import StageArea
 
-FINISH_ROWS = 2000  # clusters that a single task merges to the end
+FINISH_ROWS = 4096  # clusters that a single task merges to the end
 MAX_ROUNDS = 500
 _MERGE = "a long, b long, height double, step long"
 

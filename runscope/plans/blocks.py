@@ -17,14 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runscope.plans.stage import StageArea
 
 BLOCK_ROWS = 1024
-LEAF_ROWS = 4096
+LEAF_ROWS = 1024
 MAX_LEAVES = 4096
 SAMPLE_ROWS = 50_000
 TIE_DIGITS = 9  # distances that agree to this many decimals are ties, broken by the smaller ID
@@ -67,7 +67,7 @@ def fit_tree(sample: np.ndarray, depth: int) -> SplitTree:
 
 
 def distinct_points(points: DataFrame, copies: int) -> DataFrame:
-    """(id, vec, rows, members): one row per distinct vector, led by its smallest ID.
+    """(id, vec, members): one row per distinct vector, led by its smallest ID.
 
     ``members`` holds its *copies* smallest IDs. The rank filter is applied before the exchange, so
     a vector shared by very many rows sends only that many per task.
@@ -75,8 +75,7 @@ def distinct_points(points: DataFrame, copies: int) -> DataFrame:
     smallest = Window.partitionBy("vec").orderBy("shot_id")
     kept = points.withColumn("_rank", F.row_number().over(smallest)).where(F.col("_rank") <= copies)
     members = kept.groupBy("vec").agg(F.sort_array(F.collect_list("shot_id")).alias("members"))
-    counts = points.groupBy("vec").agg(F.count("*").alias("rows"))
-    return members.join(counts, "vec").select(F.element_at("members", 1).alias("id"), "vec", "rows", "members")
+    return members.select(F.element_at("members", 1).alias("id"), "vec", "members")
 
 
 @dataclass(frozen=True)
@@ -92,7 +91,8 @@ class LeafBoxes:
 def build_index(
     points: DataFrame, area: StageArea, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS
 ) -> tuple[DataFrame, LeafBoxes]:
-    """Packed blocks and leaf boxes. *points* has (id, vec, weight); it should be a staged table because it is read three times."""
+    """Packed blocks and leaf boxes. *points* has (id, vec, weight); it should be a staged table
+    because it is read three times."""
     size = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     rows, dims = size["n"], size["d"] or 0
     depth = 0
@@ -114,33 +114,33 @@ def build_index(
 
     box = [F.min(F.col("vec")[i]).alias(f"lo{i}") for i in range(dims)]
     box += [F.max(F.col("vec")[i]).alias(f"hi{i}") for i in range(dims)]
-    stats = points.groupBy("leaf").agg(F.count("*").alias("n"), F.min("weight").alias("w"), *box).orderBy("leaf").collect()
-    lows = np.array([[r[f"lo{i}"] for i in range(dims)] for r in stats], dtype=float)
-    highs = np.array([[r[f"hi{i}"] for i in range(dims)] for r in stats], dtype=float)
-    pieces = {r["leaf"]: -(-r["n"] // block_rows) for r in stats}
+    stats = points.groupBy("leaf").agg(F.count("*").alias("n"), F.min("weight").alias("w"), *box).collect()
+    stats.sort(key=lambda r: r["leaf"])
     boxes = LeafBoxes(
         np.array([r["leaf"] for r in stats], dtype=np.int64),
-        lows,
-        highs,
+        np.array([[r[f"lo{i}"] for i in range(dims)] for r in stats], dtype=float),
+        np.array([[r[f"hi{i}"] for i in range(dims)] for r in stats], dtype=float),
         np.array([r["w"] for r in stats], dtype=float),
     )
-    return _pack(points, pieces, "weight"), boxes
+    return _pack(points, {r["leaf"]: -(-r["n"] // block_rows) for r in stats}), boxes
 
 
-def _pack(points: DataFrame, pieces: dict[int, int], extra: str) -> DataFrame:
-    """Blocks of about BLOCK_ROWS rows as parallel arrays; the hash spreads a leaf over its pieces."""
+def _pack(points: DataFrame, pieces: dict[int, int]) -> DataFrame:
+    """Blocks of a bounded number of rows as parallel arrays; a hash spreads a leaf over its pieces."""
     if max(pieces.values(), default=1) > 1:
         table = F.create_map(*[F.lit(x) for pair in sorted(pieces.items()) for x in pair])
-        piece: Column = F.pmod(F.xxhash64("id"), table[F.col("leaf")])
+        piece = F.pmod(F.xxhash64("id"), table[F.col("leaf")].cast("long"))
     else:
         piece = F.lit(0).cast("long")
-    packed = points.groupBy("leaf", piece.alias("piece")).agg(F.collect_list(F.struct("id", "vec", extra)).alias("rows"))
+    packed = points.groupBy("leaf", piece.alias("piece")).agg(
+        F.collect_list(F.struct("id", "vec", "weight")).alias("rows")
+    )
     return packed.select(
         "leaf",
-        "piece",
+        F.concat_ws("/", "leaf", "piece").alias("block"),
         F.col("rows.id").alias("ids"),
         F.flatten(F.col("rows.vec")).alias("vecs"),
-        F.col(f"rows.{extra}").alias("extras"),
+        F.col("rows.weight").alias("weights"),
     )
 
 
@@ -153,76 +153,94 @@ def _pair_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _box_squares(points: np.ndarray, boxes: LeafBoxes) -> np.ndarray:
+    """Squared distances of points to leaf boxes, one dimension at a time to keep the arrays small."""
+    total = np.zeros((len(points), len(boxes.leaf_ids)))
+    for i in range(points.shape[1]):
+        x = points[:, i, None]
+        gap = np.maximum(np.maximum(boxes.lows[None, :, i] - x, x - boxes.highs[None, :, i]), 0.0)
+        total += gap * gap
+    return total
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest scores of every row, ties by ID; padded with infinity."""
+    """The k smallest scores of every row, ties by ID."""
     if scores.shape[1] > 4 * k:
         cut = np.partition(scores, k - 1, axis=1)[:, k - 1]
         width = int((scores <= cut[:, None]).sum(axis=1).max())
-        if width < scores.shape[1]:
+        if width < scores.shape[1] // 2:
             near = np.argpartition(scores, width - 1, axis=1)[:, :width]
             scores, ids = np.take_along_axis(scores, near, axis=1), np.take_along_axis(ids, near, axis=1)
     order = np.lexsort((ids, scores), axis=1)[:, :k]
     return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
-def _matcher(k: int, ward: bool, index: LeafBoxes | None, same: bool = True):
-    """Task body: joined block pairs in, best partners per row out.
+# A result row has leaf -1 and the partners found; any other row asks for a visit of its leaf.
+_FOUND = (
+    "leaf int, block string, ids array<long>, vecs array<double>, weights array<double>, "
+    "partners array<array<long>>, scores array<array<double>>"
+)
+_RESULT = -1
+
 
-    Given the leaf boxes, each output row also lists the other leaves its bound cannot exclude.
-    With *same* both sides are one table and a row is no partner of itself.
+def _matcher(k: int, ward: bool, boxes: LeafBoxes | None, same: bool):
+    """Task body: joined block pairs in, the best partners of each query row out.
+
+    Given the leaf boxes, it also asks for visits of the other leaves that the bounds cannot
+    exclude, packed per leaf. With *same* both sides are one table and a row is no partner of itself.
     """
 
-    def scores_of(q, q_extra, d, d_weight):
+    def scores_of(q, q_weight, d, d_weight):
         squares = _pair_squares(q, d)
         if ward:
-            return squares * (q_extra[:, None] * d_weight[None, :] / (q_extra[:, None] + d_weight[None, :]))
+            return squares * (q_weight[:, None] * d_weight[None, :] / (q_weight[:, None] + d_weight[None, :]))
         return np.round(np.sqrt(squares), TIE_DIGITS)
 
-    def visits_of(q, weight, bound, own):
-        gap = np.maximum(index.lows[None] - q[:, None, :], 0.0) + np.maximum(q[:, None, :] - index.highs[None], 0.0)
-        squares = (gap * gap).sum(axis=2)
+    def visits(leaf, block, ids, q, weight, scores):
+        bound = scores[:, -1] if scores.shape[1] == k else np.full(len(ids), np.inf)
+        lower = _box_squares(q, boxes)
         if ward:
-            lower = squares * (weight[:, None] * index.weights[None] / (weight[:, None] + index.weights[None]))
+            lower *= weight[:, None] * boxes.weights[None] / (weight[:, None] + boxes.weights[None])
         else:
-            lower = np.sqrt(squares)
+            lower = np.sqrt(lower)
         # A hair of slack keeps rounding from excluding a leaf that holds a tie.
-        near = (lower <= bound[:, None] * (1 + 1e-9) + 10.0**-TIE_DIGITS) & (index.leaf_ids[None] != own)
-        return [index.leaf_ids[row].tolist() for row in near]
+        near = (lower <= bound[:, None] * (1 + 1e-9) + 10.0**-TIE_DIGITS) & (boxes.leaf_ids[None] != leaf)
+        for column in np.flatnonzero(near.any(axis=0)):
+            rows = near[:, column]
+            yield int(boxes.leaf_ids[column]), block, ids[rows], q[rows].ravel(), weight[rows], None, None
 
     def flush(state):
-        key, q_ids, q, extras, scores, ids = state
-        found = np.isfinite(scores)
-        out = {
-            "id": q_ids,
-            "partners": [i[f].tolist() for i, f in zip(ids, found)],
-            "scores": [s[f].tolist() for s, f in zip(scores, found)],
-        }
-        if index is not None:
-            bound = scores[:, -1] if scores.shape[1] == k else np.full(len(q_ids), np.inf)
-            out |= {"vec": list(q), "weight": extras, "bound": bound, "visits": visits_of(q, extras, bound, key[0])}
-        return pd.DataFrame(out)
+        (leaf, block), ids, q, weight, scores, partners = state
+        known = np.isfinite(scores)
+        found = [p[f] for p, f in zip(partners, known)], [s[f] for s, f in zip(scores, known)]
+        rows = [(_RESULT, block, ids, None, None, *found)]
+        if boxes is not None:
+            rows.extend(visits(leaf, block, ids, q, weight, scores))
+        names = ["leaf", "block", "ids", "vecs", "weights", "partners", "scores"]
+        return pd.DataFrame(rows, columns=names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                key = (row.leaf, row.q_piece)
+                key = (row.leaf, row.q_block)
                 if state is None or state[0] != key:
                     if state is not None:
                         yield flush(state)
-                    q_ids = np.asarray(row.q_ids, dtype=np.int64)
-                    q = np.asarray(row.q_vecs, dtype=float).reshape(len(q_ids), -1)
-                    empty = np.zeros((len(q_ids), 0))
-                    state = (key, q_ids, q, np.asarray(row.q_extras, dtype=float), empty, empty.astype(np.int64))
-                _, q_ids, q, extras, scores, ids = state
+                    ids = np.asarray(row.q_ids, dtype=np.int64)
+                    q = np.asarray(row.q_vecs, dtype=float).reshape(len(ids), -1)
+                    none = np.zeros((len(ids), 0))
+                    state = (key, ids, q, np.asarray(row.q_weights, dtype=float), none, none.astype(np.int64))
+                _, ids, q, weight, scores, partners = state
                 d_ids = np.asarray(row.d_ids, dtype=np.int64)
                 d = np.asarray(row.d_vecs, dtype=float).reshape(len(d_ids), -1)
-                new = scores_of(q, extras, d, np.asarray(row.d_extras, dtype=float))
+                new = scores_of(q, weight, d, np.asarray(row.d_weights, dtype=float))
                 if same:
-                    new[q_ids[:, None] == d_ids[None, :]] = np.inf
-                merged = np.hstack([scores, new])
-                merged_ids = np.hstack([ids, np.broadcast_to(d_ids, new.shape)])
-                state = (key, q_ids, q, extras, *_best(merged, merged_ids, k))
+                    new[ids[:, None] == d_ids[None, :]] = np.inf
+                new, new_ids = _best(new, np.broadcast_to(d_ids, new.shape), k)
+                if scores.shape[1]:
+                    new, new_ids = _best(np.hstack([scores, new]), np.hstack([partners, new_ids]), k)
+                state = (key, ids, q, weight, new, new_ids)
         if state is not None:
             yield flush(state)
 
@@ -230,16 +248,9 @@ def _matcher(k: int, ward: bool, index: LeafBoxes | None, same: bool = True):
 
 
 def _join_blocks(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    left = queries.select(
-        "leaf",
-        F.col("piece").alias("q_piece"),
-        F.col("ids").alias("q_ids"),
-        F.col("vecs").alias("q_vecs"),
-        F.col("extras").alias("q_extras"),
-    )
-    right = blocks.select(
-        "leaf", F.col("ids").alias("d_ids"), F.col("vecs").alias("d_vecs"), F.col("extras").alias("d_extras")
-    )
+    """Pairs of blocks of one leaf; a query block meets the blocks of its leaf one after the other."""
+    left = queries.select("leaf", *[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vecs", "weights")])
+    right = blocks.select("leaf", *[F.col(c).alias(f"d_{c}") for c in ("ids", "vecs", "weights")])
     return left.join(right, "leaf")
 
 
@@ -254,11 +265,11 @@ def nearest(
     """The *k* nearest other rows of each row of (id, vec, weight), as (id, partner, score).
 
     The score is the Euclidean distance or, with *ward*, the rise in within-cluster squares (times
-    two) when two clusters of the given weights merge. Exact; ties, to TIE_DIGITS
-    decimals, go to the smaller ID.
+    two) when two clusters of the given weights merge. Exact; ties, to TIE_DIGITS decimals of a
+    distance, go to the smaller ID.
     """
-    packed, index = build_index(points, area, leaf_rows, block_rows)
-    return _search(packed, packed, index, k, area, ward, True, block_rows)
+    blocks, boxes = build_index(points, area, leaf_rows, block_rows)
+    return _search(blocks, blocks, boxes, k, area, ward, True)
 
 
 def nearest_between(
@@ -270,40 +281,35 @@ def nearest_between(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The *k* nearest rows of *points* for each row of *queries*, both (id, vec, weight)."""
-    packed, index = build_index(points, area, leaf_rows, block_rows)
-    lows, highs, leaf_ids = index.lows, index.highs, index.leaf_ids
+    blocks, boxes = build_index(points, area, leaf_rows, block_rows)
 
     @F.pandas_udf("int")
     def closest_leaf(vec: pd.Series) -> pd.Series:
-        q = np.stack(vec.to_numpy()).astype(float)
-        gap = np.maximum(lows[None] - q[:, None, :], 0.0) + np.maximum(q[:, None, :] - highs[None], 0.0)
-        return pd.Series(leaf_ids[(gap * gap).sum(axis=2).argmin(axis=1)].astype("int32"))
+        rows = np.stack(vec.to_numpy()).astype(float)
+        parts = [boxes.leaf_ids[_box_squares(rows[i : i + 1024], boxes).argmin(axis=1)] for i in range(0, len(rows), 1024)]
+        return pd.Series(np.concatenate(parts).astype("int32"))
 
     placed = area.put(queries.withColumn("leaf", closest_leaf("vec")), "queries")
     pieces = {r["leaf"]: -(-r["count"] // block_rows) for r in placed.groupBy("leaf").count().collect()}
-    return _search(_pack(placed, pieces, "weight"), packed, index, k, area, False, False, block_rows)
+    return _search(_pack(placed, pieces), blocks, boxes, k, area, False, False)
 
 
 def _search(
-    queries: DataFrame, packed: DataFrame, index: LeafBoxes, k: int, area: StageArea, ward: bool, same: bool, rows: int
+    queries: DataFrame, blocks: DataFrame, boxes: LeafBoxes, k: int, area: StageArea, ward: bool, same: bool
 ) -> DataFrame:
-    pair_rows = "id long, partners array<long>, scores array<double>"
-    with_bound = pair_rows + ", vec array<double>, weight double, bound double, visits array<int>"
-    if len(index.leaf_ids) <= 1:
-        return _top(_join_blocks(queries, packed).mapInPandas(_matcher(k, ward, None, same), pair_rows), k)
-
-    blocks = area.put(packed, "blocks")
-    own = blocks if queries is packed else queries
-    first = area.put(_join_blocks(own, blocks).mapInPandas(_matcher(k, ward, index, same), with_bound), "first")
-    visits = first.select("id", "vec", "weight", F.explode("visits").alias("leaf"))
-    pieces = {r["leaf"]: -(-r["count"] // rows) for r in visits.groupBy("leaf").count().collect()}
-    second = _join_blocks(_pack(visits, pieces, "weight"), blocks).mapInPandas(_matcher(k, ward, None, same), pair_rows)
-    return _top(first.select("id", "partners", "scores").unionByName(second), k)
+    if len(boxes.leaf_ids) <= 1:
+        return _top(_join_blocks(queries, blocks).mapInPandas(_matcher(k, ward, None, same), _FOUND), k)
+    first = area.put(_join_blocks(queries, blocks).mapInPandas(_matcher(k, ward, boxes, same), _FOUND), "first")
+    visits = first.where(F.col("leaf") != _RESULT)
+    second = _join_blocks(visits, blocks).mapInPandas(_matcher(k, ward, None, same), _FOUND)
+    return _top(first.where(F.col("leaf") == _RESULT).unionByName(second), k)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """Merge the partial results of a row; a partner seen twice counts once."""
-    pairs = found.select("id", F.inline(F.arrays_zip(F.col("partners").alias("partner"), F.col("scores").alias("score"))))
-    unique = pairs.groupBy("id", "partner").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("id").orderBy("score", "partner")
-    return unique.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+    """Merge the partial results of a row, at most k per visited leaf; a partner seen twice counts once."""
+    pairs = F.zip_with("scores", "partners", lambda s, p: F.arrays_zip(s.alias("score"), p.alias("partner")))
+    rows = found.select("ids", pairs.alias("pairs"))
+    lists = rows.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("pairs").alias("pairs"))))
+    merged = lists.groupBy("id").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
+    best = F.slice(F.array_sort(F.array_distinct("pairs")), 1, k)
+    return merged.select("id", F.inline(best)).select("id", "partner", "score")
