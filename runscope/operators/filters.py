@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -58,7 +59,7 @@ def _predicate(df: DataFrame, column: str, operator: str, raw: Any) -> Column:
             re.compile(str(raw))
         except re.error as error:
             raise ValueError(f"invalid pattern: {error}") from error
-        return F.coalesce(source.cast("string").rlike("(?i)" + str(raw)), F.lit(False))
+        return source.cast("string").rlike("(?i)" + str(raw))
 
     value = _as_value(raw)
     numeric = isinstance(data_type, (T.NumericType, T.BooleanType))
@@ -69,18 +70,44 @@ def _predicate(df: DataFrame, column: str, operator: str, raw: Any) -> Column:
         if operator == "!=":
             return F.lit(True)
         raise ValueError("cannot order text against a number" if operator in _ORDERINGS else "unknown operator")
-    if isinstance(value, float) and value != value:
-        if operator in (*_ORDERINGS, "=="):
+    if isinstance(value, float) and math.isnan(value):
+        if operator == "!=":
+            return F.lit(True)
+        if operator in OPERATORS:
             return F.lit(False)
-    typed = not_nan(source) if isinstance(data_type, (T.FloatType, T.DoubleType)) else source
+        raise ValueError("unknown operator")
     if isinstance(data_type, T.BooleanType):
-        typed = source.cast("double")
+        source = source.cast("double")
+    if isinstance(data_type, T.IntegralType) and abs(value) < 2**53:
+        return _whole_number_test(source, operator, value)
+    # No null handling around the comparison: it would keep the predicate from the scan, and a
+    # row whose condition is null is dropped anyway.
     if operator in _ORDERINGS:
-        return F.coalesce(_ORDERINGS[operator](typed, F.lit(value)), F.lit(False))
+        test = _ORDERINGS[operator](source, F.lit(value))
+        floating = isinstance(data_type, (T.FloatType, T.DoubleType))
+        # NaN sorts above every number, so only these two would let it pass.
+        return test & ~F.isnan(source) if floating and operator in (">", ">=") else test
+    return _equality(source, operator, value)
+
+
+def _equality(source: Column, operator: str, value: float | int | str) -> Column:
     if operator == "==":
-        return F.coalesce(typed == F.lit(value), F.lit(False))
+        return source == F.lit(value)
     if operator == "!=":
-        return F.coalesce(typed != F.lit(value), F.lit(True))
+        return (source != F.lit(value)) | source.isNull()
+    raise ValueError("unknown operator")
+
+
+def _whole_number_test(source: Column, operator: str, value: float) -> Column:
+    """The same test with a whole bound, so that the column is compared without a cast."""
+    if operator in (">=", "<"):
+        return _ORDERINGS[operator](source, F.lit(math.ceil(value)))
+    if operator in (">", "<="):
+        return _ORDERINGS[operator](source, F.lit(math.floor(value)))
+    if value == math.floor(value):
+        return _equality(source, operator, int(value))
+    if operator in ("==", "!="):
+        return F.lit(operator == "!=")
     raise ValueError("unknown operator")
 
 
@@ -218,7 +245,8 @@ def time_window(df: DataFrame, min_time: float = 0.0, max_time: float = 1.0) ->
 
 def select_traces(traces: DataFrame, signals: Sequence[str]) -> DataFrame:
     """Samples of the wanted signals that carry a value."""
-    return traces.where(F.col("signal").isin(list(signals)) & not_nan(F.col("value")).isNotNull())
+    value = F.col("value")
+    return traces.where(F.col("signal").isin(list(signals)) & value.isNotNull() & ~F.isnan(value))
 
 
 def sort_runs(df: DataFrame, keys: Sequence[tuple[str, bool]]) -> DataFrame:

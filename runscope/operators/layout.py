@@ -97,9 +97,10 @@ def neighbour_layout(
     edges = fuzzy_edges(pairs)
     edges = edges.join(keys.select(F.col("id").alias("low"), F.col("node").alias("i")), "low")
     edges = edges.join(keys.select(F.col("id").alias("high"), F.col("node").alias("j")), "high").select("i", "j", "w")
-    directed = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    strength = edges.agg(F.max("w")).first()[0] or 1.0
-    edges = area.put(directed.where(F.col("w") > F.lit(strength / 500)).withColumn("pull", F.lit(True)), "edges")
+    directed = area.put(edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")), "edges")
+    strength = directed.agg(F.max("w")).first()[0] or 1.0
+    # Edges too weak to matter in any round are left aside, as the method does.
+    edges = directed.where(F.col("w") > F.lit(strength / 500)).withColumn("pull", F.lit(True))
 
     axes = principal_axes(nodes, 2)
     start = nodes.select("node", dot(F.col("vec"), axes[0]).alias("x"), dot(F.col("vec"), axes[1]).alias("y"))

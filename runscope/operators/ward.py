@@ -44,9 +44,10 @@ def agglomerate(
     state = points.select("id", "vec", F.col("weight").cast("double").alias("weight"))
     merges: list[DataFrame] = []
     for step in range(MAX_ROUNDS):
-        if state.count() <= finish_rows:
+        rows = state.count()
+        if rows <= finish_rows:
             break
-        best = nearest(state, 1, area, ward=True, leaf_rows=leaf_rows, block_rows=block_rows)
+        best = nearest(state, 1, area, ward=True, leaf_rows=leaf_rows, block_rows=block_rows, rows=rows)
         back = best.select(F.col("id").alias("partner"), F.col("partner").alias("id"))
         mutual = best.where(F.col("id") < F.col("partner")).join(back, ["id", "partner"])
         pairs = area.put(

@@ -89,12 +89,17 @@ class LeafBoxes:
 
 
 def build_index(
-    points: DataFrame, area: StageArea, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS
+    points: DataFrame,
+    area: StageArea,
+    leaf_rows: int = LEAF_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    rows: int | None = None,
 ) -> tuple[DataFrame, LeafBoxes]:
     """Packed blocks and leaf boxes. *points* has (id, vec, weight); it should be a staged table
     because it is read three times."""
-    size = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-    rows, dims = size["n"], size["d"] or 0
+    first = points.select(F.size("vec").alias("d")).first()
+    dims = first["d"] if first else 0
+    rows = points.count() if rows is None else rows
     depth = 0
     while (rows >> depth) > leaf_rows and (1 << depth) < MAX_LEAVES:
         depth += 1
@@ -261,6 +266,7 @@ def nearest(
     ward: bool = False,
     leaf_rows: int = LEAF_ROWS,
     block_rows: int = BLOCK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """The *k* nearest other rows of each row of (id, vec, weight), as (id, partner, score).
 
@@ -268,7 +274,7 @@ def nearest(
     two) when two clusters of the given weights merge. Exact; ties, to TIE_DIGITS decimals of a
     distance, go to the smaller ID.
     """
-    blocks, boxes = build_index(points, area, leaf_rows, block_rows)
+    blocks, boxes = build_index(points, area, leaf_rows, block_rows, rows)
     return _search(blocks, blocks, boxes, k, area, ward, True)
 
 
