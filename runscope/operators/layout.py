@@ -21,7 +21,7 @@ from runscope.plans.stage import StageArea
 
 N_NEIGHBORS = 15  # the point itself included
 EPOCHS = 15
-NEGATIVES = 5
+NEGATIVES = 15  # random partners per point and round; fewer make the rounds noisy
 SEED = 42
 # Curve of the low-dimensional similarity for min_dist 0.1 and spread 1.
 CURVE_A = 1.577
@@ -123,13 +123,14 @@ def _start_position(axis: str, deviation: float | None) -> Column:
 
 def _epoch(layout: DataFrame, edges: DataFrame, total: int, epoch: int, epochs: int) -> DataFrame:
     """One round. Random partners are computed from the node number, so they join by key as edges do."""
-    random_node = F.pmod(F.xxhash64("node", F.lit(epoch + SEED), "draw"), F.lit(total))
-    pushes = layout.select("node", F.explode(F.sequence(F.lit(1), F.lit(NEGATIVES))).alias("draw")).select(
-        F.col("node").alias("i"), random_node.alias("j"), F.lit(1.0).alias("w"), F.lit(False).alias("pull")
-    )
+    random_node = F.pmod(F.xxhash64("i", F.lit(epoch + SEED), "draw"), F.lit(total))
     own = layout.select(F.col("node").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
     other = layout.select(F.col("node").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
-    moved = edges.unionByName(pushes.where(F.col("i") != F.col("j"))).join(other, "j").join(own, "i")
+    pushes = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(NEGATIVES)))).select(
+        "i", "xi", "yi", random_node.alias("j"), F.lit(1.0).alias("w"), F.lit(False).alias("pull")
+    )
+    pulls = edges.join(own, "i").select("i", "xi", "yi", "j", "w", "pull")
+    moved = pulls.unionByName(pushes).join(other, "j")
     dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
     squared = dx * dx + dy * dy
     powered = F.pow(squared, F.lit(CURVE_B))
@@ -143,10 +144,8 @@ def _epoch(layout: DataFrame, edges: DataFrame, total: int, epoch: int, epochs:
         driven = F.sum(F.when(~F.col("pull"), step)) / F.lit(NEGATIVES)
         return F.coalesce(drawn, F.lit(0.0)) + F.coalesce(driven, F.lit(0.0))
 
-    rate = 1.0 - epoch / epochs
-    forces = moved.groupBy("i").agg(force(dx).alias("fx"), force(dy).alias("fy")).withColumnRenamed("i", "node")
-    return layout.join(forces, "node", "left").select(
-        "node",
-        (F.col("x") + F.lit(rate) * F.coalesce("fx", F.lit(0.0))).alias("x"),
-        (F.col("y") + F.lit(rate) * F.coalesce("fy", F.lit(0.0))).alias("y"),
+    rate = F.lit(1.0 - epoch / epochs)
+    # Every point has push rows, so none is lost, and its own position comes with each row.
+    return moved.groupBy(F.col("i").alias("node")).agg(
+        (F.min("xi") + rate * force(dx)).alias("x"), (F.min("yi") + rate * force(dy)).alias("y")
     )
