@@ -22,7 +22,7 @@ from runscope.plans.stage import StageArea
 
 BIN_DIMS = 3  # grid axes used to find nearby cells; the others are checked afterwards
 SALT_ROWS = 200_000  # rows of one cell that a task compares at a time
-DIRECT_PAIRS = 256  # box pairs with at most this many point pairs are compared point by point
+DIRECT_PAIRS = 1024  # box pairs with at most this many point pairs are compared point by point
 MAX_LEVELS = 60
 
 
@@ -62,7 +62,7 @@ def dbscan(space: FeatureSpace, eps: float, min_samples: int, area: StageArea) -
         ),
         "core",
     )
-    links = _linked_cells(core, near, eps, side, area)
+    links = _linked_cells(core, near, eps, side, dims, area)
     core_cells = core.groupBy("cid").agg(F.min("id").alias("first"))
     found = connected_components(links, area).withColumnRenamed("node", "cid")
     group = F.coalesce("component", "cid")
@@ -141,14 +141,16 @@ def _thin_neighbours(located: DataFrame, near: DataFrame, eps: float, min_sample
     return within.groupBy("id", "cid", thin.alias("thin_id")).agg(F.sum("n").alias("n"))
 
 
-def _linked_cells(core: DataFrame, near: DataFrame, eps: float, side: float, area: StageArea) -> DataFrame:
+def _linked_cells(
+    core: DataFrame, near: DataFrame, eps: float, side: float, dims: int, area: StageArea
+) -> DataFrame:
     """(a, b) for cells with core points at most eps apart."""
     pairs = near.where(F.col("a") < F.col("b")).select("a", "b")
     queue, links = None, []
     for level in range(MAX_LEVELS):
         width = side / (1 << level)
         boxes = core.withColumn("box", F.transform("vec", lambda x: F.floor(x / F.lit(width))))
-        summary = area.put(_box_summary(boxes), "boxes")
+        summary = area.put(_box_summary(boxes, dims), "boxes")
         if queue is None:
             queue = pairs.join(summary.select(F.col("cid").alias("a"), F.col("box").alias("box_a")), "a").join(
                 summary.select(F.col("cid").alias("b"), F.col("box").alias("box_b")), "b"
@@ -190,14 +192,14 @@ def _linked_cells(core: DataFrame, near: DataFrame, eps: float, side: float, are
     return reduce(DataFrame.unionByName, links)
 
 
-def _box_summary(boxes: DataFrame) -> DataFrame:
+def _box_summary(boxes: DataFrame, size: int) -> DataFrame:
     """Row count, bounding box and one point of each box, all from partial aggregates."""
-    size = len(boxes.select("vec").first()["vec"]) if not boxes.isEmpty() else 0
     return boxes.groupBy("cid", "box").agg(
         F.count("*").alias("rows"),
-        F.array(*[F.min(F.col("vec")[i]) for i in range(size)]).cast("array<double>").alias("lows"),
-        F.array(*[F.max(F.col("vec")[i]) for i in range(size)]).cast("array<double>").alias("highs"),
-        F.min_by("vec", "id").alias("sample"),
+        F.array(*[F.min(F.col("vec")[i]) for i in range(size)]).alias("lows"),
+        F.array(*[F.max(F.col("vec")[i]) for i in range(size)]).alias("highs"),
+        # One number at a time keeps this a hash aggregate; IDs are unique, so it is one point.
+        F.array(*[F.min_by(F.col("vec")[i], "id") for i in range(size)]).alias("sample"),
     )
 
 

@@ -19,6 +19,10 @@ def _samples(traces: DataFrame) -> DataFrame:
     return traces.select(ID, "signal", F.col("time").cast("double").alias("time"), not_nan(F.col("value")).alias("value"))
 
 
+def _sample(time: str, value: str) -> Column:
+    return F.struct(F.col(time).alias("time"), F.col(value).alias("value"))
+
+
 def _between(left: Column, right: Column, time: Column) -> Column:
     """Value on the straight line between two (time, value) samples; a sample at *time* itself wins.
 
@@ -37,7 +41,8 @@ def resample(traces: DataFrame, rate_hz: float, min_time: float = 0.0, max_time:
 
     Samples are first reduced to the first and the last one between two grid times, which happens
     before the exchange: however long a trace is, at most one row per grid time leaves a task. A
-    window over these rows then knows both neighbours of every grid time.
+    window over these rows then knows both neighbours of every grid time. Sample times of a signal
+    are taken to be unique.
     """
     n = round((max_time - min_time) * rate_hz)
     if n < 1:
@@ -58,12 +63,18 @@ def resample(traces: DataFrame, rate_hz: float, min_time: float = 0.0, max_time:
         step = F.when(time < F.lit(min_time), -1).otherwise(step)
     else:
         step = F.when(time < F.lit(min_time), -1).otherwise(0)
-    sample = F.struct("time", "value")
+    # Plain numbers as buffers keep this a hash aggregate; structs would sort all samples first.
     pieces = (
         _samples(traces)
         .where(time.isNotNull())
         .groupBy(*KEYS, step.alias("piece"))
-        .agg(F.min(sample).alias("first"), F.max(sample).alias("last"))
+        .agg(
+            F.min("time").alias("t0"),
+            F.min_by("value", "time").alias("v0"),
+            F.max("time").alias("t1"),
+            F.max_by("value", "time").alias("v1"),
+        )
+        .select(*KEYS, "piece", _sample("t0", "v0").alias("first"), _sample("t1", "v1").alias("last"))
     )
     order = Window.partitionBy(*KEYS).orderBy("piece")
     linked = pieces.select(
@@ -106,13 +117,13 @@ def align_to_first(traces: DataFrame, signals: Sequence[str], hot_floor: int | N
     ranked = F.create_map(*[F.lit(x) for i, s in enumerate(dict.fromkeys(signals)) for x in (s, i)])
     samples = _samples(traces).where(F.col("signal").isin(list(signals)) & F.col("time").isNotNull())
     leads = samples.groupBy(ID).agg(
-        F.min(F.struct(ranked[F.col("signal")].alias("rank"), "signal"))["signal"].alias("lead"),
-        F.collect_set("signal").alias("present"),
+        F.min(ranked[F.col("signal")]).alias("lead"), F.collect_set("signal").alias("present")
     )
-    axis = samples.join(leads, ID).where(F.col("signal") == F.col("lead"))
+    axis = samples.join(leads, ID).where(ranked[F.col("signal")] == F.col("lead"))
     axis = axis.groupBy(ID, "time").agg(F.first("present").alias("present"))
     wanted = axis.select(ID, F.explode("present").alias("signal"), "time", F.lit(True).alias("on_axis"))
-    measured = samples.groupBy(*KEYS, "time").agg(F.max(F.struct("time", "value")).alias("sample"))
+    measured = samples.groupBy(*KEYS, "time").agg(F.max("value").alias("value"))
+    measured = measured.select(*KEYS, "time", F.struct("time", "value").alias("sample"))
     # One row per time: the sample, the request, or both.
     rows = measured.join(wanted, [*KEYS, "time"], "full_outer")
 

@@ -25,8 +25,8 @@ from runscope.plans.stage import StageArea
 
 BLOCK_ROWS = 1024
 LEAF_ROWS = 1024
-MAX_LEAVES = 4096
-SAMPLE_ROWS = 50_000
+MAX_LEAVES = 16_384
+SAMPLE_ROWS = 100_000
 TIE_DIGITS = 9  # distances that agree to this many decimals are ties, broken by the smaller ID
 
 
@@ -133,8 +133,10 @@ def build_index(
 def _pack(points: DataFrame, pieces: dict[int, int]) -> DataFrame:
     """Blocks of a bounded number of rows as parallel arrays; a hash spreads a leaf over its pieces."""
     if max(pieces.values(), default=1) > 1:
-        table = F.create_map(*[F.lit(x) for pair in sorted(pieces.items()) for x in pair])
-        piece = F.pmod(F.xxhash64("id"), table[F.col("leaf")].cast("long"))
+        # One small row per leaf, at most MAX_LEAVES of them.
+        counts = points.sparkSession.createDataFrame(sorted(pieces.items()), "leaf int, pieces long")
+        points = points.join(F.broadcast(counts), "leaf")
+        piece = F.pmod(F.xxhash64("id"), F.col("pieces"))
     else:
         piece = F.lit(0).cast("long")
     packed = points.groupBy("leaf", piece.alias("piece")).agg(
@@ -158,6 +160,12 @@ def _pair_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _slices(rows: int, boxes: LeafBoxes) -> list[slice]:
+    """Row ranges for which a table of distances to all boxes stays small."""
+    step = max(1, 2_000_000 // max(len(boxes.leaf_ids), 1))
+    return [slice(i, i + step) for i in range(0, rows, step)]
+
+
 def _box_squares(points: np.ndarray, boxes: LeafBoxes) -> np.ndarray:
     """Squared distances of points to leaf boxes, one dimension at a time to keep the arrays small."""
     total = np.zeros((len(points), len(boxes.leaf_ids)))
@@ -203,16 +211,20 @@ def _matcher(k: int, ward: bool, boxes: LeafBoxes | None, same: bool):
 
     def visits(leaf, block, ids, q, weight, scores):
         bound = scores[:, -1] if scores.shape[1] == k else np.full(len(ids), np.inf)
+        parts = [near_leaves(leaf, q[s], weight[s], bound[s]) for s in _slices(len(ids), boxes)]
+        near = np.concatenate(parts)
+        for column in np.flatnonzero(near.any(axis=0)):
+            rows = near[:, column]
+            yield int(boxes.leaf_ids[column]), block, ids[rows], q[rows].ravel(), weight[rows], None, None
+
+    def near_leaves(leaf, q, weight, bound):
         lower = _box_squares(q, boxes)
         if ward:
             lower *= weight[:, None] * boxes.weights[None] / (weight[:, None] + boxes.weights[None])
         else:
             lower = np.sqrt(lower)
         # A hair of slack keeps rounding from excluding a leaf that holds a tie.
-        near = (lower <= bound[:, None] * (1 + 1e-9) + 10.0**-TIE_DIGITS) & (boxes.leaf_ids[None] != leaf)
-        for column in np.flatnonzero(near.any(axis=0)):
-            rows = near[:, column]
-            yield int(boxes.leaf_ids[column]), block, ids[rows], q[rows].ravel(), weight[rows], None, None
+        return (lower <= bound[:, None] * (1 + 1e-9) + 10.0**-TIE_DIGITS) & (boxes.leaf_ids[None] != leaf)
 
     def flush(state):
         (leaf, block), ids, q, weight, scores, partners = state
@@ -229,10 +241,11 @@ def _matcher(k: int, ward: bool, boxes: LeafBoxes | None, same: bool):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 key = (row.leaf, row.q_block)
-                if state is None or state[0] != key:
+                ids = np.asarray(row.q_ids, dtype=np.int64)
+                # A split join may hand out a block twice with different rows; those are kept apart.
+                if state is None or state[0] != key or not np.array_equal(state[1], ids):
                     if state is not None:
                         yield flush(state)
-                    ids = np.asarray(row.q_ids, dtype=np.int64)
                     q = np.asarray(row.q_vecs, dtype=float).reshape(len(ids), -1)
                     none = np.zeros((len(ids), 0))
                     state = (key, ids, q, np.asarray(row.q_weights, dtype=float), none, none.astype(np.int64))
@@ -253,10 +266,14 @@ def _matcher(k: int, ward: bool, boxes: LeafBoxes | None, same: bool):
 
 
 def _join_blocks(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Pairs of blocks of one leaf; a query block meets the blocks of its leaf one after the other."""
+    """Pairs of blocks of one leaf. A merge join runs through the left rows, so a query block meets the
+    blocks of its leaf one after the other and its bound is tight before leaves are asked for."""
     left = queries.select("leaf", *[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vecs", "weights")])
     right = blocks.select("leaf", *[F.col(c).alias(f"d_{c}") for c in ("ids", "vecs", "weights")])
-    return left.join(right, "leaf")
+    # Few bytes but much work per row: a fixed partition count keeps small partitions from being merged.
+    spark = queries.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return left.repartition(tasks, "leaf").join(right.repartition(tasks, "leaf").hint("merge"), "leaf")
 
 
 def nearest(
@@ -292,7 +309,7 @@ def nearest_between(
     @F.pandas_udf("int")
     def closest_leaf(vec: pd.Series) -> pd.Series:
         rows = np.stack(vec.to_numpy()).astype(float)
-        parts = [boxes.leaf_ids[_box_squares(rows[i : i + 1024], boxes).argmin(axis=1)] for i in range(0, len(rows), 1024)]
+        parts = [boxes.leaf_ids[_box_squares(rows[s], boxes).argmin(axis=1)] for s in _slices(len(rows), boxes)]
         return pd.Series(np.concatenate(parts).astype("int32"))
 
     placed = area.put(queries.withColumn("leaf", closest_leaf("vec")), "queries")

@@ -47,11 +47,17 @@ class StageArea:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear(self) -> None:
+        """Remove all tables of this area, once every result built on them has been written."""
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(self.root)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
     def drop(self, table: DataFrame) -> None:
         """Remove a table written by this area once nothing reads it any more."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
             target = jvm.org.apache.hadoop.fs.Path(folder)
-            if f"{self.root}/".split(":")[-1].lstrip("/") in folder:
+            if self.root.rsplit("/", 1)[1] in folder.split("/"):
                 target.getFileSystem(conf).delete(target, True)

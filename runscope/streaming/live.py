@@ -53,12 +53,16 @@ class LiveTable:
             raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
         if not self.exists():
             return
-        known = self._all().where(F.col("batch") != F.lit(batch)).select(ID)
+        span = rows.agg(F.min(ID).alias("low"), F.max(ID).alias("high")).first()
+        if span["low"] is None:
+            return
+        # Only known IDs in the range of the batch matter, which prunes the scan to few row groups.
+        known = self._all().where(F.col("batch") != F.lit(batch)).select(ID).where(F.col(ID) >= F.lit(span["low"]))
         if mode == "strict":
             highest = known.agg(F.max(ID)).first()[0]
             fresh = rows if highest is None else newer_than(rows, highest)
         else:
-            fresh = unseen(rows, known)
+            fresh = unseen(rows, known.where(F.col(ID) <= F.lit(span["high"])))
         if not fresh.select(F.lit(1)).limit(1).isEmpty():
             self._write(project(fresh, model), batch)
 
