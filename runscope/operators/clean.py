@@ -14,6 +14,7 @@ from runscope.functions import finite, parse_number
 from runscope.sources.columns import quoted
 
 ID = "shot_id"
+COORDINATES = ("umap_x", "umap_y")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -33,6 +34,11 @@ def feature_columns(
     return [c for c in chosen if c not in set(exclude or ())]
 
 
+def default_features(df: DataFrame) -> list[str]:
+    """Numeric columns by name; coordinates of a projection are features only when asked for."""
+    return [c for c in numeric_columns(df) if c not in COORDINATES]
+
+
 def as_feature(df: DataFrame, name: str) -> Column:
     """A column as a finite double; text is parsed, everything else is cast."""
     value = F.col(quoted(name))
@@ -158,9 +164,7 @@ def feature_space(df: DataFrame, features: Sequence[str] | None = None, limit: i
     Unknown features are skipped and features without any value dropped; those without spread stay
     and become 0. *limit* bounds the default choice only.
     """
-    chosen = feature_columns(df, features)
-    if features is None and limit is not None:
-        chosen = chosen[:limit]
+    chosen = default_features(df)[:limit] if features is None else [f for f in features if f in df.columns]
     if not chosen:
         return FeatureSpace(df.select(ID).limit(0), [], [], list(features or []))
     return space_from_stats(df, column_stats(df, chosen), [f for f in features or [] if f not in chosen])

@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runscope.config import DEFAULT_FEATURE_LIMIT
-from runscope.operators.clean import ID, FeatureSpace, feature_space
+from runscope.operators.clean import COORDINATES, ID, FeatureSpace, feature_space
 from runscope.operators.dbscan import dbscan
 from runscope.operators.labels import representatives
 from runscope.operators.ward import agglomerate
 from runscope.plans.stage import StageArea
 
 ALGORITHMS = ("kmeans", "dbscan", "agglomerative")
-PROJECTION_FEATURES = ["umap_x", "umap_y"]
 # Defaults of the clustering operators.
 N_CLUSTERS = 5
 EPS = 0.5
@@ -49,7 +48,7 @@ def cluster_runs(
     """Cluster the whole table. Unknown algorithm, no valid feature or no rows give empty results."""
     if eps <= 0:
         raise ValueError("eps must be greater than 0")
-    wanted = PROJECTION_FEATURES if on_projection else features
+    wanted = COORDINATES if on_projection else features
     space = feature_space(df, wanted, DEFAULT_FEATURE_LIMIT)
     if algorithm not in ALGORITHMS or not space.features:
         labels = df.select(ID, F.lit(0).cast("long").alias("cluster_id")).limit(0)

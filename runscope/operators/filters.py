@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from runscope.config import MAX_PREDICATES
 from runscope.functions import not_nan
-from runscope.operators.clean import ID
+from runscope.operators.clean import COORDINATES, ID, numeric_columns
 from runscope.sources.columns import quoted
 
 Predicate = tuple[Any, Any, Any]
@@ -59,7 +59,7 @@ def _predicate(df: DataFrame, column: str, operator: str, raw: Any) -> Column:
             re.compile(str(raw))
         except re.error as error:
             raise ValueError(f"invalid pattern: {error}") from error
-        return source.cast("string").rlike("(?i)" + str(raw))
+        return source.cast("string").rlike("(?iu)" + str(raw))
 
     value = _as_value(raw)
     numeric = isinstance(data_type, (T.NumericType, T.BooleanType))
@@ -165,7 +165,7 @@ def search_by_id(df: DataFrame, text: str | None) -> DataFrame:
     return df.where(F.col(ID).cast("string").rlike(query)) if query else df
 
 
-def record(df: DataFrame, shot_id: int, exclude: Sequence[str] = ("umap_x", "umap_y")) -> DataFrame:
+def record(df: DataFrame, shot_id: int, exclude: Sequence[str] = COORDINATES) -> DataFrame:
     """One run as (position, column, value) rows, value in text form, in column order."""
     shown = [c for c in df.columns if c not in exclude]
     fields = F.array(
@@ -192,8 +192,6 @@ def drop_missing_colour(df: DataFrame, colour: str) -> DataFrame:
 
 
 def axis_columns(df: DataFrame) -> list[str]:
-    from runscope.operators.clean import numeric_columns
-
     return [ID, *numeric_columns(df)]
 
 

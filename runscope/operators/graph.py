@@ -102,12 +102,12 @@ def component_of(edges: DataFrame, components: DataFrame, shot_id: int) -> DataF
 def visible_nodes(components: DataFrame, points: DataFrame, shot_id: int) -> DataFrame:
     """Plotted runs of the component of *shot_id*: (shot_id, x, y, shade, selected)."""
     own = components.where(F.col(ID) == F.lit(shot_id)).select("component")
-    members = components.join(F.broadcast(own), "component", "left_semi").select(ID)
-    shown = points.select(ID, "x", "y").join(members, ID, "left_semi")
-    span = shown.agg(F.min(ID).alias("low"), F.max(ID).alias("high"))
+    members = components.join(F.broadcast(own), "component", "left_semi")
+    shown = points.select(ID, "x", "y").join(members, ID)
+    span = shown.groupBy("component").agg(F.min(ID).alias("low"), F.max(ID).alias("high"))
     shade = scale_position(F.col(ID), F.col("low"), F.col("high"))
-    # span is a single aggregate row
-    return shown.join(F.broadcast(span)).select(
+    # The span of the one component is a single row.
+    return shown.join(F.broadcast(span), "component").select(
         ID, "x", "y", shade.alias("shade"), (F.col(ID) == F.lit(shot_id)).alias("selected")
     )
 

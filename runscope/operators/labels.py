@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runscope.functions import cluster_label, distance, outlier_label
-from runscope.operators.clean import ID
+from runscope.operators.clean import COORDINATES, ID
 from runscope.sources.columns import quoted
 
-HIDDEN_COLUMNS = ("umap_x", "umap_y")
-
 
 def names_table(df: DataFrame, names: Mapping[int, str] | DataFrame | None) -> DataFrame | None:
     """Custom cluster names as a (cluster_id, custom_name) table."""
@@ -48,7 +46,7 @@ def export_table(
     df: DataFrame, labels: DataFrame | None = None, names: Mapping[int, str] | DataFrame | None = None
 ) -> DataFrame:
     """The whole table without coordinates, with cluster_id and cluster_name once clustering ran."""
-    shown = df.drop(*HIDDEN_COLUMNS)
+    shown = df.drop(*COORDINATES)
     if labels is None:
         return shown
     joined = shown.join(labels.select(ID, F.col("cluster_id").cast("long").alias("cluster_id")), ID, "left")

@@ -13,7 +13,7 @@ from runscope.operators.clean import (
     ID,
     FeatureSpace,
     as_feature,
-    feature_columns,
+    default_features,
     feature_space,
     space_from_stats,
     stats_columns,
@@ -30,9 +30,10 @@ def find_similar(df: DataFrame, query_id: int, k: int = DEFAULT_K, features: Seq
     """The *k* runs closest to *query_id*, as (shot_id, rank, score).
 
     One pass collects the column statistics and the query's own values; the second computes
-    distances and keeps k rows per task. An unknown ID gives no rows.
+    distances and keeps k rows per task. An unknown ID gives no rows; if none of the wanted features
+    exists, the default ones are used.
     """
-    chosen = feature_columns(df, features)
+    chosen = [f for f in features or () if f in df.columns] or default_features(df)
     empty = df.select(ID, F.lit(0).alias("rank"), F.lit(0.0).alias("score")).limit(0)
     if not chosen:
         return empty

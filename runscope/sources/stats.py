@@ -22,6 +22,7 @@ def read_csv(
 
 
 def read_parquet(spark: SparkSession, path: str, coerce: bool = True, strict: bool = False) -> DataFrame:
+    """Parquet files. ``coerce=False`` trusts the file schema and saves the pass over text columns."""
     return prepare(spark.read.parquet(path), coerce=coerce, strict=strict)
 
 

@@ -44,7 +44,9 @@ def test_search_equals_brute_force(spark):
 
 def test_search_edge_cases(spark, runs):
     assert neighbors.find_similar(runs, 999).count() == 0
-    assert neighbors.find_similar(runs, 1000, features=["nope"]).count() == 0
+    # Unknown features fall back to the default ones.
+    assert neighbors.find_similar(runs, 1000, features=["nope"]).count() == 10
+    assert neighbors.find_similar(runs.select("shot_id", "machine"), 1000).count() == 0
     assert neighbors.find_similar(runs, 1000, k=50).count() == 15
     # The infinite value of run 1000 counts as the mean.
     assert neighbors.find_similar(runs, 1000, 1, ["feature_1"]).count() == 1

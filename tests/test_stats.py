@@ -41,6 +41,9 @@ def test_all_missing_features_are_dropped(spark):
     space = clean.feature_space(df)
     assert space.features == ["b"] and space.dropped == ["a"]
     assert clean.feature_space(df, ["nope"]).features == []
+    wide = df.selectExpr("shot_id", "b as z", "b as umap_x", "b as umap_y", "b as y", "b as x")
+    assert clean.feature_space(wide, limit=2).features == ["x", "y"]
+    assert clean.feature_space(wide, ["umap_x"]).features == ["umap_x"]
 
 
 @pytest.mark.parametrize("limit", [1000, 1])
