@@ -265,7 +265,7 @@ def _matcher(k: int, ward: bool, boxes: LeafBoxes | None, same: bool):
     return run
 
 
-def _join_blocks(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+def _join_blocks(queries: DataFrame, blocks: DataFrame, leaves: int) -> DataFrame:
     """Pairs of blocks of one leaf. A merge join runs through the left rows, so a query block meets the
     blocks of its leaf one after the other and its bound is tight before leaves are asked for."""
     left = queries.select("leaf", *[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vecs", "weights")])
@@ -273,6 +273,7 @@ def _join_blocks(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     # Few bytes but much work per row: a fixed partition count keeps small partitions from being merged.
     spark = queries.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = min(tasks, leaves)
     return left.repartition(tasks, "leaf").join(right.repartition(tasks, "leaf").hint("merge"), "leaf")
 
 
@@ -320,11 +321,12 @@ def nearest_between(
 def _search(
     queries: DataFrame, blocks: DataFrame, boxes: LeafBoxes, k: int, area: StageArea, ward: bool, same: bool
 ) -> DataFrame:
-    if len(boxes.leaf_ids) <= 1:
-        return _top(_join_blocks(queries, blocks).mapInPandas(_matcher(k, ward, None, same), _FOUND), k)
-    first = area.put(_join_blocks(queries, blocks).mapInPandas(_matcher(k, ward, boxes, same), _FOUND), "first")
+    leaves = len(boxes.leaf_ids)
+    if leaves <= 1:
+        return _top(_join_blocks(queries, blocks, 1).mapInPandas(_matcher(k, ward, None, same), _FOUND), k)
+    first = area.put(_join_blocks(queries, blocks, leaves).mapInPandas(_matcher(k, ward, boxes, same), _FOUND), "first")
     visits = first.where(F.col("leaf") != _RESULT)
-    second = _join_blocks(visits, blocks).mapInPandas(_matcher(k, ward, None, same), _FOUND)
+    second = _join_blocks(visits, blocks, leaves).mapInPandas(_matcher(k, ward, None, same), _FOUND)
     return _top(first.where(F.col("leaf") == _RESULT).unionByName(second), k)
 
 
