@@ -6,58 +6,75 @@ copy it survives the loss of executors, and its file sizes give the planner true
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only for an unset local session."""
+    """Folder named by ``spark.checkpoint.dir``, else one below the warehouse, which a cluster shares too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    registered = context.getCheckpointDir()
+    registered = spark.sparkContext.getCheckpointDir()
     if registered:
         return registered.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="runscope-")
-    return _local_dirs[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it, a finished execution removes its shuffle files at once: its result is a table by then."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 class StageArea:
-    """A private subfolder of the shared folder; each ``put`` writes one table."""
+    """A private subfolder of the shared folder; each ``put`` writes one table.
+
+    As a context manager it removes its tables at the end, so results built on them have to be
+    written before.
+    """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._written = 0
 
+    def __enter__(self) -> StageArea:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def path(self, name: str | None = None) -> str:
         self._written += 1
         return f"{self.root}/{name or 'table'}-{self._written:04d}"
 
-    def put(self, df: DataFrame, name: str | None = None) -> DataFrame:
+    def put(self, df: DataFrame, name: str | None = None, **options: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
         """Remove all tables of this area, once every result built on them has been written."""
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.root)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        self._delete(self.root)
 
     def drop(self, table: DataFrame) -> None:
         """Remove a table written by this area once nothing reads it any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-            target = jvm.org.apache.hadoop.fs.Path(folder)
             if self.root.rsplit("/", 1)[1] in folder.split("/"):
-                target.getFileSystem(conf).delete(target, True)
+                self._delete(folder)
+
+    def _delete(self, folder: str) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        target.getFileSystem(conf).delete(target, True)
