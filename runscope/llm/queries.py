@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runscope.llm import toxicity
+from runscope.llm import mixing, quality, toxicity
 from runscope.llm.splits import remainder
+from runscope.plans.stage import StageArea
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +23,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_toxicity": op8_toxicity}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(remainder(4) != 2)
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), labels)
+    return scored.select(
+        "doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), StageArea(spark, "mixing"))
+    taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
+QUERIES = {"op4_mixing": op4_mixing, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}

@@ -134,7 +134,7 @@ def windows(values: np.ndarray, width: int, base: np.uint64 = np.uint64(0xD13425
         if left:
             n = len(single) - size
             single = single[:n] * factor + single[size : size + n]
-            factor = factor * factor
+            factor = np.uint64(int(factor) ** 2 % 2**64)
             size *= 2
     return mix(done)
 
