@@ -5,7 +5,7 @@ fractional part is an inclusion probability, and the cube method draws it: proba
 through the null-space of two constraints (the words and the number of documents taken) until they
 are 0 or 1, so both totals stay what they were. Groups of one source flow apart from each other and
 hand the few undecided documents up to larger groups; what is left of each source, at most two
-documents, is the landing problem, settled by the choice nearest to the totals.
+documents and a dozen of graded sizes, is the landing problem, settled by the choice nearest to the totals.
 
 Defined results: a null or empty text has size 0; null is a source of its own, sorted last; a
 source without words has target 0. Repeated rows are drawn one by one; equal ids are told apart by
@@ -32,6 +32,8 @@ VOLUME = 1.5
 MOST_COPIES = 2.0
 #: Documents that flow together in one task.
 GROUP = 5000
+#: Documents of a source that are settled together with the last undecided ones.
+LANDING = 12
 EPSILON = 1e-9
 UNITS = "source string, unit long, size long, p double"
 
@@ -109,15 +111,25 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settle at most a few undecided units so that the words taken come nearest to the expected ones."""
+    """Settle the undecided units: of all choices the one nearest to the expected words and documents."""
     left = np.flatnonzero((p > 0) & (p < 1))
-    wanted = float((p[left] * size[left]).sum())
-    best = min(
-        range(2 ** len(left)),
-        key=lambda bits: abs(sum(float(size[j]) for k, j in enumerate(left) if bits >> k & 1) - wanted),
-    )
+    choices = np.arange(2 ** len(left))[:, None] >> np.arange(len(left)) & 1
+    words, number = choices @ size[left] - p[left] @ size[left], choices.sum(1) - p[left].sum()
     out = p.copy()
-    out[left] = [best >> k & 1 for k in range(len(left))]
+    out[left] = choices[np.argmin(np.abs(words) + np.abs(number))]
+    return out
+
+
+def landing_units(size: np.ndarray) -> list[int]:
+    """Units of about a half, a quarter, an eighth, ... of the largest size: they make the landing fine-grained."""
+    left = list(np.argsort(size, kind="stable"))
+    out: list[int] = []
+    wanted = float(size.max(initial=0))
+    while left and len(out) < LANDING:
+        wanted /= 2
+        at = int(np.searchsorted(size[left], wanted))
+        nearest = min((i for i in (at - 1, at) if 0 <= i < len(left)), key=lambda i: abs(size[left[i]] - wanted))
+        out.append(left.pop(nearest))
     return out
 
 
@@ -129,6 +141,8 @@ def _flow(last: bool):
         # Large documents first, equal ones in random order: what stays undecided is small.
         size = group["size"].to_numpy()
         order = np.lexsort((rng.random(len(group)), -size))
+        if last:
+            order = order[~np.isin(order, landing_units(size))]
         p = group["p"].to_numpy().copy()
         p[order] = flight(p[order], size[order], rng)
         group["p"] = land(p, size) if last else p
