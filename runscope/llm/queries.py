@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runscope.llm import mixing, quality, toxicity
+from runscope.llm import fingerprints, language, mixing, quality, toxicity
 from runscope.llm.splits import remainder
 from runscope.plans.stage import StageArea
 
@@ -37,5 +37,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs.where(remainder(3) != 1)))
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op4_mixing": op4_mixing,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
+    "op10_quality": op10_quality,
+}
 ORACLES: dict[str, str] = {}
