@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runscope.llm import decontaminate, fingerprints, language, mixing, quality, toxicity
+from runscope.llm import decontaminate, fingerprints, language, mixing, quality, repeats, toxicity
 from runscope.llm.splits import remainder
 from runscope.plans.stage import StageArea
 
@@ -37,6 +37,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only documents that hold an item have rows."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -53,6 +58,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
     "op7_fingerprints": op7_fingerprints,
