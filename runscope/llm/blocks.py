@@ -27,17 +27,21 @@ BLOCK_BYTES = 2 << 20
 #: Text whose values one part of a question holds, and the least number of parts.
 PART_BYTES = 16 << 20
 LEAST_PARTS = 48
-SCHEMA = "block long, bytes long, rest binary, ends binary, body binary"
+SCHEMA = "block long, bytes long, rest binary, ends binary, body binary, nulls binary"
 
 
 @dataclass
 class Block:
-    """Rows of one block: their columns other than the text, and the texts as bytes with offsets."""
+    """Rows of one block: their columns other than the text, and the texts as bytes with offsets.
+
+    Row *i* of the block has the number ``number + i`` in the whole table.
+    """
 
     number: int
     rest: pa.RecordBatch
     offsets: np.ndarray
     data: np.ndarray
+    null: np.ndarray
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -50,12 +54,18 @@ class Block:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
+    def rows(self, names: list[str], texts: list[bytes], text: str = "text") -> pa.RecordBatch:
+        """The packed columns *names* with *texts* as text; null texts stay null."""
+        columns = {name: self.rest.column(i) for i, name in enumerate(self.rest.schema.names)}
+        columns[text] = pa.array([None if n else t for t, n in zip(texts, self.null, strict=True)], pa.binary()).cast(pa.string())
+        return pa.record_batch([columns[name] for name in names], names=names)
+
 
 def pack(docs: DataFrame, area: StageArea, text: str = "text") -> DataFrame:
     """Stage *docs* as blocks; all columns are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 40
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, text, BLOCK_BYTES):
             data, offsets = buffers(batch.column(text))
@@ -65,10 +75,12 @@ def pack(docs: DataFrame, area: StageArea, text: str = "text") -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema) as out:
                 out.write_batch(rest)
-            packed = [squeeze.compress(x) for x in (sink.getvalue(), np.ascontiguousarray(offsets), data.tobytes())]
-            columns = [pa.array([number]), pa.array([len(data)]), *(pa.array([x], pa.binary()) for x in packed)]
-            yield pa.record_batch(columns, names=["block", "bytes", "rest", "ends", "body"])
-            number += 1
+            null = np.packbits(batch.column(at).is_null().to_numpy(zero_copy_only=False))
+            parts = (sink.getvalue(), np.ascontiguousarray(offsets), data.tobytes(), null.tobytes())
+            packed = [pa.array([squeeze.compress(x)], pa.binary()) for x in parts]
+            columns = [pa.array([number]), pa.array([len(data)]), *packed]
+            yield pa.record_batch(columns, names=["block", "bytes", "rest", "ends", "body", "nulls"])
+            number += batch.num_rows
 
     return area.put(docs.mapInArrow(run, SCHEMA), "blocks", compression="uncompressed")
 
@@ -79,11 +91,12 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[list
     for batch in batches:
         more = [name for name in batch.schema.names if name.startswith("answer")]
         for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i].as_py() for name in ("block", "rest", "ends", "body", *more)}
+            row = {name: batch.column(name)[i].as_py() for name in ("block", "rest", "ends", "body", "nulls", *more)}
             with pa.ipc.open_stream(open_(row["rest"])) as stream:
                 rest = stream.read_next_batch()
             offsets, data = np.frombuffer(open_(row["ends"]), np.int64), np.frombuffer(open_(row["body"]), np.uint8)
-            yield Block(row["block"], rest, offsets, data), [row[name] for name in more]
+            null = np.unpackbits(np.frombuffer(open_(row["nulls"]), np.uint8), count=len(offsets) - 1).astype(bool)
+            yield Block(row["block"], rest, offsets, data, null), [row[name] for name in more]
 
 
 def part_count(blocks: DataFrame) -> int:
@@ -102,6 +115,23 @@ class Parts:
         return np.concatenate([[0], np.searchsorted(keys, self.limits), [len(keys)]])
 
 
+def sender(count: int, values: Callable, reader: Callable) -> Callable:
+    """For ``mapInArrow``: the values of each block cut into (part, block, body) rows."""
+    parts = Parts(count)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, answers in reader(batches):
+            found = values(block, answers)
+            cuts = parts.cuts(found["key"])
+            some = np.flatnonzero(np.diff(cuts))
+            if len(some):
+                bodies = [found[cuts[p] : cuts[p + 1]].tobytes() for p in some]
+                columns = [pa.array(some.astype(np.int32)), pa.array([block.number] * len(some)), pa.array(bodies, pa.binary())]
+                yield pa.record_batch(columns, names=["part", "block", "body"])
+
+    return send
+
+
 def ask(
     blocks: DataFrame,
     count: int,
@@ -109,23 +139,14 @@ def ask(
     values: Callable[[Block, list], np.ndarray],
     decide: Callable[[np.ndarray, np.ndarray], np.ndarray],
     area: StageArea,
+    reader: Callable | None = None,
 ) -> DataFrame:
     """(block, answer): for every block one bit for each value it asks about.
 
     *values* gives a structured array of *kind* with a field ``key``, sorted by it; *decide* gets the values
     of all blocks in one part and the block each came from, and returns what is true of each.
+    *reader* turns batches into (block, answers) pairs, :func:`unpack` by default.
     """
-    parts = Parts(count)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, answers in unpack(batches):
-            found = values(block, answers)
-            cuts = parts.cuts(found["key"])
-            some = np.flatnonzero(np.diff(cuts))
-            if len(some):
-                bodies = [found[cuts[p] : cuts[p + 1]].tobytes() for p in some]
-                columns = [pa.array(some.astype(np.int32)), pa.array([block.number] * len(some)), pa.array(bodies, pa.binary())]
-                yield pa.record_batch(columns, names=["part", "block", "body"])
 
     def answer(table: pa.Table) -> pa.Table:
         bodies = [np.frombuffer(b, kind) for b in table.column("body").to_pylist()]
@@ -137,7 +158,7 @@ def ask(
         columns = [table.column("block"), table.column("part"), pa.array(bits, pa.binary())]
         return pa.table(columns, names=["block", "part", "bits"]).filter(pa.array(keep))
 
-    sent = blocks.mapInArrow(send, "part int, block long, body binary")
+    sent = blocks.mapInArrow(sender(count, values, reader or unpack), "part int, block long, body binary")
     found = sent.groupBy("part").applyInArrow(answer, "block long, part int, bits binary")
     answers = found.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("answer"))
     return area.put(answers, "answers")

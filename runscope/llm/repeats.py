@@ -166,9 +166,6 @@ def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
             words, gone = removed_words(block, answers, width, count)
             n = np.bincount(words.document(), gone, len(block))
             texts = [words.select(~gone, i) if n[i] else block.text(i) for i in range(len(block))]
-            columns = {name: block.rest.column(i) for i, name in enumerate(block.rest.schema.names)}
-            columns["text"] = pa.array(texts, pa.binary()).cast(pa.string())
-            batch = pa.record_batch([columns[f.name] for f in schema], names=schema.names)
-            yield batch.filter(pa.array((n == 0) | (n < words.counts)))
+            yield block.rows(schema.names, texts).filter(pa.array((n == 0) | (n < words.counts)))
 
     return blocks.mapInArrow(run, schema)
