@@ -141,34 +141,38 @@ def ask(
     area: StageArea,
     reader: Callable | None = None,
 ) -> DataFrame:
-    """(block, answer): for every block one bit for each value it asks about.
+    """(block, answer): for every block one bit, or one number, for each value it asks about.
 
     *values* gives a structured array of *kind* with a field ``key``, sorted by it; *decide* gets the values
-    of all blocks in one part and the block each came from, and returns what is true of each.
-    *reader* turns batches into (block, answers) pairs, :func:`unpack` by default.
+    of all blocks in one part and the block each came from, and returns what is true of each, or
+    an unsigned number for each. *reader* turns batches into (block, answers) pairs, :func:`unpack`
+    by default.
     """
 
     def answer(table: pa.Table) -> pa.Table:
         bodies = [np.frombuffer(b, kind) for b in table.column("body").to_pylist()]
         lengths = np.array([len(b) for b in bodies])
-        numbers = table.column("block").to_numpy()
-        found = decide(np.concatenate(bodies), np.repeat(numbers, lengths))
-        bits = [np.packbits(x).tobytes() for x in np.split(found, np.cumsum(lengths)[:-1])]
-        keep = np.array([any(b) for b in bits], bool)
-        columns = [table.column("block"), table.column("part"), pa.array(bits, pa.binary())]
-        return pa.table(columns, names=["block", "part", "bits"]).filter(pa.array(keep))
+        found = decide(np.concatenate(bodies), np.repeat(table.column("block").to_numpy(), lengths))
+        each = np.split(found, np.cumsum(lengths)[:-1])
+        keep = np.array([x.any() for x in each], bool)
+        bodies = [(np.packbits(x) if x.dtype == bool else x.astype("<u8")).tobytes() for x in each]
+        columns = [table.column("block"), table.column("part"), pa.array(bodies, pa.binary())]
+        return pa.table(columns, names=["block", "part", "body"]).filter(pa.array(keep))
 
     sent = blocks.mapInArrow(sender(count, values, reader or unpack), "part int, block long, body binary")
-    found = sent.groupBy("part").applyInArrow(answer, "block long, part int, bits binary")
-    answers = found.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("answer"))
+    found = sent.groupBy("part").applyInArrow(answer, "block long, part int, body binary")
+    answers = found.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("answer"))
     return area.put(answers, "answers")
 
 
-def heard(answer: list | None, keys: np.ndarray, count: int) -> np.ndarray:
-    """The answer to a question as one boolean for each of the sorted *keys*."""
-    out = np.zeros(len(keys), bool)
+def heard(answer: list | None, keys: np.ndarray, count: int, numbers: bool = False) -> np.ndarray:
+    """The answer to a question as one boolean, or number, for each of the sorted *keys*."""
+    out = np.zeros(len(keys), np.uint64 if numbers else bool)
     cuts = Parts(count).cuts(keys)
     for item in answer or []:
         low, high = cuts[item["part"]], cuts[item["part"] + 1]
-        out[low:high] = np.unpackbits(np.frombuffer(item["bits"], np.uint8), count=high - low)
+        if numbers:
+            out[low:high] = np.frombuffer(item["body"], "<u8")
+        else:
+            out[low:high] = np.unpackbits(np.frombuffer(item["body"], np.uint8), count=high - low)
     return out

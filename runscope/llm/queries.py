@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runscope.llm import decontaminate, fingerprints, language, mixing, neardup, quality, repeats, toxicity
+from runscope.llm import decontaminate, fingerprints, language, lmscore, mixing, neardup, quality, repeats, toxicity
 from runscope.llm.splits import remainder
 from runscope.plans.stage import StageArea
 
@@ -47,6 +47,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("trains", remainder(5) != 1)
+    found = lmscore.score_documents(docs, "trains")
+    return found.withColumn("held_out", remainder(5) == 1)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, _ = neardup.near_duplicates(docs, StageArea(spark, "neardup"), shingle=4, percent=80)
@@ -68,6 +74,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
+    "op5_lm_score": op5_lm_score,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_fingerprints": op7_fingerprints,
     "op8_toxicity": op8_toxicity,
