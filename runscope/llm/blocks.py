@@ -141,11 +141,11 @@ def ask(
     area: StageArea,
     reader: Callable | None = None,
 ) -> DataFrame:
-    """(block, answer): for every block one bit, or one number, for each value it asks about.
+    """(block, answer): for every block one bit, or one record, for each value it asks about.
 
     *values* gives a structured array of *kind* with a field ``key``, sorted by it; *decide* gets the values
     of all blocks in one part and the block each came from, and returns what is true of each, or
-    an unsigned number for each. *reader* turns batches into (block, answers) pairs, :func:`unpack`
+    an unsigned number or plain record for each. *reader* turns batches into (block, answers) pairs, :func:`unpack`
     by default.
     """
 
@@ -154,8 +154,8 @@ def ask(
         lengths = np.array([len(b) for b in bodies])
         found = decide(np.concatenate(bodies), np.repeat(table.column("block").to_numpy(), lengths))
         each = np.split(found, np.cumsum(lengths)[:-1])
-        keep = np.array([x.any() for x in each], bool)
-        bodies = [(np.packbits(x) if x.dtype == bool else x.astype("<u8")).tobytes() for x in each]
+        keep = np.array([x.dtype.kind == "V" or x.any() for x in each], bool)
+        bodies = [(np.packbits(x) if x.dtype == bool else x).tobytes() for x in each]
         columns = [table.column("block"), table.column("part"), pa.array(bodies, pa.binary())]
         return pa.table(columns, names=["block", "part", "body"]).filter(pa.array(keep))
 
@@ -165,14 +165,14 @@ def ask(
     return area.put(answers, "answers")
 
 
-def heard(answer: list | None, keys: np.ndarray, count: int, numbers: bool = False) -> np.ndarray:
-    """The answer to a question as one boolean, or number, for each of the sorted *keys*."""
-    out = np.zeros(len(keys), np.uint64 if numbers else bool)
+def heard(answer: list | None, keys: np.ndarray, count: int, kind: str | None = None) -> np.ndarray:
+    """The answer to a question as one boolean, or record of *kind*, for each of the sorted *keys*."""
+    out = np.zeros(len(keys), kind or bool)
     cuts = Parts(count).cuts(keys)
     for item in answer or []:
         low, high = cuts[item["part"]], cuts[item["part"] + 1]
-        if numbers:
-            out[low:high] = np.frombuffer(item["body"], "<u8")
+        if kind:
+            out[low:high] = np.frombuffer(item["body"], kind)
         else:
             out[low:high] = np.unpackbits(np.frombuffer(item["body"], np.uint8), count=high - low)
     return out
