@@ -15,6 +15,7 @@ from checks.tables import (
     embedding_features,
     shots,
     shots_long,
+    table,
     z_sql,
 )
 from runscope.operators import clean, graph, labels, neighbors, outliers, project, stats
@@ -112,6 +113,38 @@ def g5(spark, sf):
     return rounded(stats.correlate(shots(spark, sf).where("acctbal >= 0"), CORR), "r")
 
 
+# Columns of one expression each, the same in both dialects; some are constant, or never present together.
+WIDE = {
+    "quantity": "CAST(l_quantity AS DOUBLE)",
+    "price": "CAST(l_extendedprice AS DOUBLE)",
+    "discount": "CAST(l_discount AS DOUBLE)",
+    "tax": "CAST(l_tax AS DOUBLE)",
+    "line": "CAST(l_linenumber AS DOUBLE)",
+    "order_key": "CAST(l_orderkey AS DOUBLE)",
+    "part_key": "CAST(l_partkey AS DOUBLE)",
+    "supplier_key": "CAST(l_suppkey AS DOUBLE)",
+    "net": "CAST(l_extendedprice * (1 - l_discount) AS DOUBLE)",
+    "charged": "CAST(l_extendedprice * (1 + l_tax) AS DOUBLE)",
+    "square": "CAST(l_quantity * l_quantity AS DOUBLE)",
+    "returned": "CASE WHEN l_returnflag = 'R' THEN 1.0E0 ELSE 0.0E0 END",
+    "first_quantity": "CASE WHEN l_linenumber = 1 THEN CAST(l_quantity AS DOUBLE) END",
+    "second_price": "CASE WHEN l_linenumber = 2 THEN CAST(l_extendedprice AS DOUBLE) END",
+    "first_level": "CASE WHEN l_linenumber = 1 THEN 0.1E0 WHEN l_linenumber = 3 THEN 0.7E0 END",
+    "constant": "CAST(0.1 AS DOUBLE)",
+    "even_discount": "CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_discount AS DOUBLE) END",
+}
+
+
+@check(
+    "g5_correlation_wide",
+    f"WITH kept AS (SELECT {', '.join(f'{sql} AS {name}' for name, sql in WIDE.items())} FROM lineitem) "
+    + " UNION ALL ".join(_corr_sql(a, b) for a in WIDE for b in WIDE),
+)
+def g5_wide(spark, sf):
+    rows = table(spark, sf, "lineitem").selectExpr(*[f"{sql} AS {name}" for name, sql in WIDE.items()])
+    return rounded(stats.correlate(rows, list(WIDE)), "r")
+
+
 @check("g6_counts", f"WITH {SHOTS} SELECT count(*) FILTER (acctbal > 1000) AS shown, count(*) AS total FROM shots")
 def g6(spark, sf):
     return stats.filtered_count(shots(spark, sf), F.col("acctbal") > 1000)
@@ -233,6 +266,21 @@ def a12(spark, sf):
     return graph.reference_components(graph.reference_edges(shots(spark, sf), "reference_number"))
 
 
+@check(
+    "a12_components_repeated_ids",
+    f"""WITH RECURSIVE {SHOTS}, refs AS (SELECT shot_id, reference_number AS ref_id FROM shots
+    UNION SELECT shot_id, shot_id - 1 FROM shots WHERE shot_id % 3 <> 0),
+    both_ways AS (SELECT shot_id AS a, ref_id AS b FROM refs WHERE ref_id <> shot_id AND ref_id IN (SELECT shot_id FROM shots)
+    UNION SELECT ref_id, shot_id FROM refs WHERE ref_id <> shot_id AND ref_id IN (SELECT shot_id FROM shots)),
+    {COMPONENTS} SELECT shot_id, component FROM comp""",
+)
+def a12_repeated(spark, sf):
+    """IDs in two rows, each with a reference of its own: all references link."""
+    runs = shots(spark, sf).select("shot_id", "reference_number")
+    more = runs.where("shot_id % 3 <> 0").select("shot_id", (F.col("shot_id") - 1).alias("reference_number"))
+    return graph.reference_components(graph.reference_edges(runs.unionByName(more), "reference_number"))
+
+
 @check(
     "a12_component_of_run",
     f"""WITH RECURSIVE {SHOTS}, {EDGES}, one(b) AS (SELECT CAST({GRAPH_ID} AS BIGINT)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 import pyarrow as pa
+import pyarrow.csv as pacsv
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -150,17 +150,17 @@ def s10(spark, sf):
     f"WITH {TRACES} SELECT shot_id, signal, round(time, 9) AS time, value FROM traces WHERE time BETWEEN 0.25 AND 0.75",
 )
 def s11(spark, sf):
-    folder = StageArea(spark, "s11").path().removeprefix("file:")
+    folder = StageArea(spark, "s11").path()
     wide = series.to_wide(traces(spark, sf), SIGNALS)
 
     def write(pdf):
         shot = int(pdf["shot_id"].iloc[0])
-        sub = f"{folder}/part{shot % 3}"
-        os.makedirs(sub, exist_ok=True)
-        if shot % 2:
-            pq.write_table(pa.Table.from_pandas(pdf.drop(columns="shot_id"), preserve_index=False), f"{sub}/{shot}.parquet")
-        else:
-            pdf.drop(columns="shot_id").to_csv(f"{sub}/{shot}.csv", index=False)
+        store, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        store.create_dir(f"{base}/part{shot % 3}")
+        samples = pa.Table.from_pandas(pdf.drop(columns="shot_id"), preserve_index=False)
+        write_as, kind = (pq.write_table, "parquet") if shot % 2 else (pacsv.write_csv, "csv")
+        with store.open_output_stream(f"{base}/part{shot % 3}/{shot}.{kind}") as out:
+            write_as(samples, out)
         return pdf[["shot_id"]].head(1)
 
     # The format is one file per run; here it is made up from the event table.
@@ -288,6 +288,27 @@ def f2(spark, sf):
     return filters.filter_runs(shots(spark, sf), rules, unique_ids=True).select("shot_id", "segment")
 
 
+@check(
+    "f3_many_predicates",
+    f"""WITH {SHOTS} SELECT shot_id FROM shots WHERE acctbal >= 0 AND acctbal <= 9000 AND n_orders > 1 AND price_avg > 1000
+    AND price_sum < 1e9 AND shot_id > 3 AND shot_id <> 10 AND regexp_matches(segment, 'B', 'i')""",
+)
+def f3_many(spark, sf):
+    """Eight predicates in force; a pattern that only another engine accepts is set aside."""
+    rules = [
+        ("acctbal", ">=", 0),
+        ("acctbal", "<=", 9000),
+        ("n_orders", ">", 1),
+        ("price_avg", ">", 1000),
+        ("price_sum", "<", 1e9),
+        ("shot_id", ">", 3),
+        ("shot_id", "!=", 10),
+        ("segment", "contains", "B"),
+        ("segment", "contains", "(?P<x>B)"),
+    ]
+    return filters.filter_runs(shots(spark, sf), rules, unique_ids=True).select("shot_id")
+
+
 @check(
     "f3_combine_or",
     f"WITH {SHOTS} SELECT shot_id, acctbal, segment FROM shots WHERE acctbal > 9000 OR segment = 'BUILDING' OR n_orders <= 3",

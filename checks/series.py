@@ -163,7 +163,7 @@ def g12(spark, sf):
     row_number() OVER (PARTITION BY shot_id ORDER BY abs(value) DESC, feature) AS importance,
     sum(value) OVER (PARTITION BY shot_id ORDER BY abs(value), feature DESC ROWS UNBOUNDED PRECEDING) AS cumulative
     FROM attribution WHERE class)
-    SELECT shot_id, feature, round(value, 6) AS value, importance, round(cumulative, 6) AS cumulative FROM p WHERE importance <= 20""",
+    SELECT shot_id, feature, round(value, 6) AS value, importance, round(cumulative, 6) AS cumulative FROM p""",
 )
 def w7(spark, sf):
     return rounded(decision_path(attribution(spark, sf).where("class")), "value", "cumulative")

@@ -8,14 +8,12 @@ from pyspark.sql.window import Window
 
 from runscope.operators.clean import ID
 
-SHOWN_FEATURES = 20
 
-
-def decision_path(values: DataFrame, base: float = 0.0, top: int | None = SHOWN_FEATURES) -> DataFrame:
+def decision_path(values: DataFrame, base: float = 0.0, top: int | None = None) -> DataFrame:
     """(shot_id, feature, value, importance, cumulative) for every run.
 
-    Features add up from the least to the most important (absolute value, then name). Only the
-    *top* most important steps are listed, but the sum contains all of them. A window holds the
+    Features add up from the least to the most important (absolute value, then name). With
+    *top* only the most important steps are listed, but the sum contains all of them. A window holds the
     features of one run.
     """
     rising = Window.partitionBy(ID).orderBy(F.abs("value"), F.desc("feature"))

@@ -158,13 +158,13 @@ class FeatureSpace:
         return self.frame.select(ID, F.array(*[F.col(quoted(f)) + F.lit(0.0) for f in self.features]).alias("vec"))
 
 
-def feature_space(df: DataFrame, features: Sequence[str] | None = None, limit: int | None = None) -> FeatureSpace:
+def feature_space(df: DataFrame, features: Sequence[str] | None = None) -> FeatureSpace:
     """Standardised feature space for clustering, outliers and search.
 
     Unknown features are skipped and features without any value dropped; those without spread stay
-    and become 0. *limit* bounds the default choice only.
+    and become 0. By default all numeric features take part.
     """
-    chosen = default_features(df)[:limit] if features is None else [f for f in features if f in df.columns]
+    chosen = default_features(df) if features is None else [f for f in features if f in df.columns]
     if not chosen:
         return FeatureSpace(df.select(ID).limit(0), [], [], list(features or []))
     return space_from_stats(df, column_stats(df, chosen), [f for f in features or [] if f not in chosen])

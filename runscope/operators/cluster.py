@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runscope.config import DEFAULT_FEATURE_LIMIT
 from runscope.operators.clean import COORDINATES, ID, FeatureSpace, feature_space
 from runscope.operators.dbscan import dbscan
 from runscope.operators.labels import representatives
@@ -49,7 +48,7 @@ def cluster_runs(
     if eps <= 0:
         raise ValueError("eps must be greater than 0")
     wanted = COORDINATES if on_projection else features
-    space = feature_space(df, wanted, DEFAULT_FEATURE_LIMIT)
+    space = feature_space(df, wanted)
     if algorithm not in ALGORITHMS or not space.features:
         labels = df.select(ID, F.lit(0).cast("long").alias("cluster_id")).limit(0)
         return Clustering(labels, labels.select("cluster_id", ID), space)

@@ -9,11 +9,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runscope.config import MAX_PREDICATES
 from runscope.functions import not_nan
 from runscope.operators.clean import COORDINATES, ID, numeric_columns
 from runscope.sources.columns import quoted
@@ -38,15 +38,19 @@ class FilterPlan:
 
 
 def _is_active(predicate: Predicate) -> bool:
-    column, operator, value = predicate
-    return bool(column) and bool(operator) and value is not None and str(value).strip() != ""
+    """A predicate counts once all three of its fields are filled in."""
+    return all(part is not None and str(part).strip() for part in predicate)
+
+
+_NUMBER = re.compile(r"\s*[+-]?((\d[\d_]*\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*", re.IGNORECASE)
 
 
 def _as_value(value: Any) -> float | str:
-    try:
+    """The number a value stands for, if it does."""
+    if isinstance(value, (int, float)):
         return float(value)
-    except (TypeError, ValueError):
-        return str(value)
+    text = str(value)
+    return float(text) if _NUMBER.fullmatch(text) else text
 
 
 def _predicate(df: DataFrame, column: str, operator: str, raw: Any) -> Column:
@@ -55,11 +59,13 @@ def _predicate(df: DataFrame, column: str, operator: str, raw: Any) -> Column:
     data_type = df.schema[column].dataType
     source = F.col(quoted(column))
     if operator == "contains":
+        pattern = "(?iu)" + str(raw)
         try:
-            re.compile(str(raw))
-        except re.error as error:
+            # The engine that will run it decides what is a pattern.
+            df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException as error:
             raise ValueError(f"invalid pattern: {error}") from error
-        return source.cast("string").rlike("(?iu)" + str(raw))
+        return source.cast("string").rlike(pattern)
 
     value = _as_value(raw)
     numeric = isinstance(data_type, (T.NumericType, T.BooleanType))
@@ -118,8 +124,6 @@ def plan_filter(df: DataFrame, predicates: Sequence[Predicate], logic: str = "AN
     leaves the others in force. A missing value fails every test but ``!=``.
     """
     active = [p for p in predicates if _is_active(p)]
-    if len(active) > MAX_PREDICATES:
-        raise ValueError(f"at most {MAX_PREDICATES} predicates, got {len(active)}")
     conditions: list[Column] = []
     ignored: list[tuple[Predicate, str]] = []
     for predicate in active:

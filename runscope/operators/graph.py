@@ -11,14 +11,12 @@ from runscope.operators.clean import ID
 from runscope.plans.stage import StageArea
 from runscope.sources.columns import quoted
 
-MAX_ROUNDS = 200
-
 
 def reference_edges(df: DataFrame, column: str) -> DataFrame:
-    """(shot_id, ref_id): one edge per run whose reference is another run of the table.
+    """(shot_id, ref_id): the distinct edges from runs to other runs of the table.
 
-    Non-numeric references are ignored and fractions cut off. Of several references of one ID the
-    smallest valid one counts.
+    Non-numeric references are ignored and fractions cut off. An ID in several rows keeps all its
+    references.
     """
     value = F.col(quoted(column))
     if isinstance(df.schema[column].dataType, T.StringType):
@@ -28,7 +26,12 @@ def reference_edges(df: DataFrame, column: str) -> DataFrame:
     pairs = df.select(F.col(ID).cast("long").alias(ID), value.cast("long").alias("ref_id"))
     wanted = pairs.where(F.col("ref_id").isNotNull() & (F.col("ref_id") != F.col(ID)))
     known = df.select(F.col(ID).cast("long").alias("ref_id"))
-    return wanted.join(known, "ref_id", "left_semi").groupBy(ID).agg(F.min("ref_id").alias("ref_id"))
+    return wanted.join(known, "ref_id", "left_semi").distinct()
+
+
+def reference_parents(edges: DataFrame) -> DataFrame:
+    """(shot_id, ref_id): the one reference of each run that stands for its parent, the smallest."""
+    return edges.groupBy(ID).agg(F.min("ref_id").alias("ref_id"))
 
 
 def connected_components(edges: DataFrame, area: StageArea) -> DataFrame:
@@ -47,7 +50,7 @@ def connected_components(edges: DataFrame, area: StageArea) -> DataFrame:
         "edges",
     )
     signature = _signature(current)
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
         large = (
@@ -67,8 +70,6 @@ def connected_components(edges: DataFrame, area: StageArea) -> DataFrame:
         if found == signature:
             break
         signature = found
-    else:
-        raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionByName(roots)

@@ -57,7 +57,7 @@ def find_similar(df: DataFrame, query_id: int, k: int = DEFAULT_K, features: Seq
 def highlight(hits: DataFrame, points: DataFrame, total: int) -> DataFrame:
     """Search hits with their coordinates and a weight that fades with the rank."""
     faded = hits.select(ID, "rank", rank_opacity(F.col("rank") - 1, F.lit(total)).alias("opacity"))
-    return points.join(F.broadcast(faded), ID)
+    return points.join(faded, ID)
 
 
 def knn_join(

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runscope.config import DEFAULT_FEATURE_LIMIT
 from runscope.operators.clean import COORDINATES, ID, FeatureSpace, feature_space
 from runscope.operators.neighbors import distinct_neighbors, member_pool
 from runscope.plans.blocks import BLOCK_ROWS, LEAF_ROWS
@@ -40,7 +39,7 @@ def detect_outliers(
 
     Unknown algorithm, no valid feature or no rows give an empty result.
     """
-    space = feature_space(df, COORDINATES if on_projection else features, DEFAULT_FEATURE_LIMIT)
+    space = feature_space(df, COORDINATES if on_projection else features)
     if algorithm not in ALGORITHMS or not space.features:
         return df.select(ID, F.lit(0).alias("is_outlier"), F.lit(0.0).alias("score")).limit(0)
     area = area or StageArea(df.sparkSession, "outliers")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -15,10 +14,6 @@ from runscope.functions import finite
 from runscope.operators.clean import ID, column_stats
 from runscope.sources.columns import quoted
 
-# Above this many pairs the moments are summed as matrices instead of one expression per pair.
-MAX_PAIR_EXPRESSIONS = 120
-
-
 def run_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
@@ -43,8 +38,7 @@ def correlate(df: DataFrame, features: Sequence[str]) -> DataFrame:
     chosen = correlation_features(df, features)
     if len(chosen) < 2:
         raise ValueError("at least 2 numeric features are needed")
-    pairs = len(chosen) * (len(chosen) + 1) // 2
-    upper = _pair_expressions(df, chosen) if pairs <= MAX_PAIR_EXPRESSIONS else _pair_matrices(df, chosen)
+    upper = _upper_triangle(df, chosen)
     both = F.array(F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r"))
     return upper.select(F.inline(F.slice(both, 1, F.when(F.col("x") == F.col("y"), 1).otherwise(2))))
 
@@ -55,49 +49,86 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return correlate(df, features).groupBy("x").pivot("y", chosen).agg(F.first("r"))
 
 
-def _pair_expressions(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    clean = df.select(*[finite(F.col(quoted(f))).alias(f) for f in features])
-    structs = []
-    for a, b in combinations_with_replacement(features, 2):
-        x, y = F.col(quoted(a)), F.col(quoted(b))
-        both = x.isNotNull() & y.isNotNull()
-        spread = F.sqrt(F.var_pop(F.when(both, x))) * F.sqrt(F.var_pop(F.when(both, y)))
-        r = F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
-        structs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")))
-    return clean.agg(F.array(*structs).alias("pairs")).select(F.inline("pairs"))
-
-
-def _pair_matrices(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Each partition adds up its moment matrices; d*d rows per partition are then summed.
+def _pair_moments(raw: np.ndarray) -> np.ndarray:
+    """(8, d, d) for a block of rows: n, both means, both squared spreads, the cross spread, and whether each side varies.
 
-    Values are centred on the column means first, so the sums do not cancel.
+    Everything is over the rows where both features of a pair are present, centred on the means of
+    just these rows; a feature that is constant over them has a spread of exactly 0.
     """
+    size = raw.shape[1]
+    present = ~np.isnan(raw)
+    out = np.zeros((8, size, size))
+    out[6], out[7] = np.inf, -np.inf
+    for i in range(size):
+        rows, mask = raw[present[:, i]], present[present[:, i]]
+        n = mask.sum(0)
+        value = np.where(mask, rows, 0.0)
+        mine = np.where(mask, rows[:, i : i + 1], 0.0)
+        means = mine.sum(0) / np.maximum(n, 1), value.sum(0) / np.maximum(n, 1)
+        x = np.where(mask, rows[:, i : i + 1] - means[0], 0.0)
+        y = np.where(mask, rows - means[1], 0.0)
+        out[:6, i] = n, *means, (x * x).sum(0), (y * y).sum(0), (x * y).sum(0)
+        if len(rows):
+            out[6, i] = np.where(mask, rows[:, i : i + 1], np.inf).min(0)
+            out[7, i] = np.where(mask, rows[:, i : i + 1], -np.inf).max(0)
+    return out
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together (the pairwise update of Chan, Golub and LeVeque)."""
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    both = a[0] * share
+    return np.stack(
+        [
+            n,
+            a[1] + dx * share,
+            a[2] + dy * share,
+            a[3] + b[3] + dx * dx * both,
+            a[4] + b[4] + dy * dy * both,
+            a[5] + b[5] + dx * dy * both,
+            np.minimum(a[6], b[6]),
+            np.maximum(a[7], b[7]),
+        ]
+    )
+
+
+def _upper_triangle(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(x, y, r) with x not after y. Each task merges its rows' moments; one row per task and pair is left to sum."""
     names = list(features)
-    means = np.array([s.mean if s.mean is not None else 0.0 for s in column_stats(df, names)])
-    clean = df.select(*[finite(F.col(quoted(f))).alias(f"f{i}") for i, f in enumerate(names)])
+    centre = [s.mean if s.mean is not None else 0.0 for s in column_stats(df, names)]
+    # Values near their overall mean keep the sums over tasks from cancelling; a constant stays one.
+    clean = df.select(*[(finite(F.col(quoted(f))) - F.lit(c)).alias(f"f{i}") for i, (f, c) in enumerate(zip(names, centre))])
     size = len(names)
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((6, size, size))
+        total = _pair_moments(np.zeros((0, size)))
         for batch in batches:
-            raw = batch.to_numpy(dtype=float) - means
-            present = ~np.isnan(raw)
-            value = np.where(present, raw, 0.0)
-            mask = present.astype(float)
-            total[0] += mask.T @ mask
-            total[1] += value.T @ mask
-            total[2] += mask.T @ value
-            total[3] += (value * value).T @ mask
-            total[4] += mask.T @ (value * value)
-            total[5] += value.T @ value
+            total = _merged(total, _pair_moments(batch.to_numpy(dtype=float)))
         rows, cols = np.triu_indices(size)
-        yield pd.DataFrame({"i": rows, "j": cols, **{f"m{k}": total[k][rows, cols] for k in range(6)}})
-
-    parts = clean.mapInPandas(moments, "i int, j int, " + ", ".join(f"m{k} double" for k in range(6)))
-    sums = parts.groupBy("i", "j").agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(6)])
-    m = [F.col(f"m{k}") for k in range(6)]
-    cross = m[5] - F.try_divide(m[1] * m[2], m[0])
-    spread = F.sqrt(m[3] - F.try_divide(m[1] * m[1], m[0])) * F.sqrt(m[4] - F.try_divide(m[2] * m[2], m[0]))
-    label = F.array(*[F.lit(n) for n in names])
-    r = F.coalesce(F.when(spread > 0, F.try_divide(cross, spread)), F.lit(0.0))
-    return sums.select(label[F.col("i")].alias("x"), label[F.col("j")].alias("y"), r.alias("r"))
+        found = {f"m{k}": total[k][rows, cols] for k in range(6)}
+        # The range of the second feature of a pair is that of the first one of the mirrored pair.
+        ranges = {"x0": total[6][rows, cols], "x1": total[7][rows, cols], "y0": total[6][cols, rows], "y1": total[7][cols, rows]}
+        yield pd.DataFrame({"i": rows, "j": cols, **found, **ranges})
+
+    columns = [*(f"m{k}" for k in range(6)), "x0", "x1", "y0", "y1"]
+    parts = clean.mapInPandas(moments, "i int, j int, " + ", ".join(f"{c} double" for c in columns))
+    n, mx, my = F.col("m0"), F.col("m1"), F.col("m2")
+    sums = parts.where("m0 > 0").groupBy("i", "j").agg(
+        F.sum(n).alias("n"),
+        F.sum(n * mx).alias("sx"),
+        F.sum(n * my).alias("sy"),
+        F.sum(F.col("m3") + n * mx * mx).alias("xx"),
+        F.sum(F.col("m4") + n * my * my).alias("yy"),
+        F.sum(F.col("m5") + n * mx * my).alias("xy"),
+        ((F.min("x0") < F.max("x1")) & (F.min("y0") < F.max("y1"))).alias("varies"),
+    )
+    spread = lambda square, a, b: F.greatest(F.col(square) - F.col(a) * F.col(b) / F.col("n"), F.lit(0.0))
+    norm = F.sqrt(spread("xx", "sx", "sx")) * F.sqrt(spread("yy", "sy", "sy"))
+    cross = F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")
+    r = F.when(F.col("varies") & (norm > 0), cross / norm)
+    pairs = df.sparkSession.createDataFrame(
+        [(i, j, names[i], names[j]) for i in range(size) for j in range(i, size)], "i int, j int, x string, y string"
+    )
+    return pairs.join(sums.select("i", "j", r.alias("r")), ["i", "j"], "left").select("x", "y", F.coalesce("r", F.lit(0.0)).alias("r"))

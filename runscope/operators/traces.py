@@ -149,8 +149,8 @@ def align_to_first(traces: DataFrame, signals: Sequence[str], hot_floor: int | N
 
 
 def to_wide(traces: DataFrame, signals: Sequence[str]) -> DataFrame:
-    """One row per run and time with a column per signal."""
-    return traces.groupBy(ID, "time").pivot("signal", list(signals)).agg(F.first("value"))
+    """One row per run and time with a column per signal; of several samples at one time the largest counts."""
+    return traces.groupBy(ID, "time").pivot("signal", list(signals)).agg(F.max("value"))
 
 
 def traces_of(traces: DataFrame, ids: DataFrame) -> DataFrame:

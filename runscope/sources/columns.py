@@ -21,10 +21,11 @@ MISSING_TEXT = [
 
 
 def find_id_column(columns: Sequence[str]) -> str:
-    for name in ID_CANDIDATES:
-        if name in columns:
-            return name
-    raise ValueError(f"no ID column: expected one of {ID_CANDIDATES}, found {list(columns)}")
+    """The accepted name that comes first in the list of candidates."""
+    present = set(columns) & set(ID_CANDIDATES)
+    if not present:
+        raise ValueError(f"none of the columns {sorted(columns)} can be the ID column")
+    return min(present, key=ID_CANDIDATES.index)
 
 
 def with_shot_id(df: DataFrame) -> DataFrame:

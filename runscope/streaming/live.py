@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from runscope.operators.clean import ID
 from runscope.operators.project import ProjectionModel, project, unseen
 from runscope.sources.columns import with_shot_id
+from runscope.sources.columns import quoted
 from runscope.sources.paths import is_available
 from runscope.sources.stats import newer_than
 
@@ -53,6 +54,7 @@ class LiveTable:
             raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
         if not self.exists():
             return
+        rows = one_per_id(rows)
         span = rows.agg(F.min(ID).alias("low"), F.max(ID).alias("high")).first()
         if span["low"] is None:
             return
@@ -67,6 +69,15 @@ class LiveTable:
             self._write(project(fresh, model), batch)
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """Of several rows of one ID in a batch the one counts whose other columns, in order, are smallest."""
+    others = [c for c in rows.columns if c != ID]
+    if not others:
+        return rows.distinct()
+    least = F.min(F.struct(*[F.col(quoted(c)) for c in others])).alias("_least")
+    return rows.groupBy(ID).agg(least).select(*[ID if c == ID else F.col("_least").getField(c).alias(c) for c in rows.columns])
+
+
 def poll(df: DataFrame, table: DataFrame) -> DataFrame:
     """Rows newer than everything in *table* (one batch step without a stream)."""
     highest = table.agg(F.max(ID)).first()[0]

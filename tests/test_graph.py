@@ -25,7 +25,7 @@ def test_edges(spark):
     assert edges_of(runs_with(spark, [(1, 1), (2, 999), (3, 1)])) == [(3, 1)]
     assert edges_of(runs_with(spark, [(1, None), (2, 1.9), (3, float("inf"))], "double")) == [(2, 1)]
     assert edges_of(runs_with(spark, [(1, "x"), (2, "1"), (3, "2.0")], "string")) == [(2, 1), (3, 2)]
-    assert edges_of(runs_with(spark, [(1, None), (2, None), (3, 2), (3, 1)])) == [(3, 1)]
+    assert edges_of(runs_with(spark, [(1, None), (2, None), (3, 2), (3, 1), (3, 1)])) == [(3, 1), (3, 2)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -56,6 +56,15 @@ def test_a_repeated_batch_changes_nothing(spark, setup):
     assert table.read().count() == 15
 
 
+@pytest.mark.parametrize("mode", live.MODES)
+def test_one_id_twice_in_a_batch_is_stored_once(spark, setup, mode):
+    _, model, table, _ = setup
+    rows = spark.createDataFrame([(2000, 5.0, 1.0), (2000, 3.0, 9.0), (2000, 3.0, 2.0), (2001, 1.0, 1.0)], SCHEMA)
+    table.add(rows, model, 7, mode)
+    stored = {r["shot_id"]: (r["feature_1"], r["feature_2"]) for r in table.read().where("shot_id >= 2000").collect()}
+    assert table.read().where("shot_id >= 2000").count() == 2 and stored[2000] == (3.0, 2.0)
+
+
 def test_nothing_to_refresh(spark, setup, tmp_path):
     base, model, table, _ = setup
     missing = live.LiveTable(spark, str(tmp_path / "none"))

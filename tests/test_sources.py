@@ -19,7 +19,7 @@ def test_id_candidates_are_tried_in_order():
 
 
 def test_missing_id_column_lists_what_was_found():
-    with pytest.raises(ValueError, match=r"found \['a', 'b'\]"):
+    with pytest.raises(ValueError, match=r"\['a', 'b'\]"):
         columns.find_id_column(["a", "b"])
 
 

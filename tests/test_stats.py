@@ -42,29 +42,41 @@ def test_all_missing_features_are_dropped(spark):
     assert space.features == ["b"] and space.dropped == ["a"]
     assert clean.feature_space(df, ["nope"]).features == []
     wide = df.selectExpr("shot_id", "b as z", "b as umap_x", "b as umap_y", "b as y", "b as x")
-    assert clean.feature_space(wide, limit=2).features == ["x", "y"]
+    assert clean.feature_space(wide).features == ["x", "y", "z"]
     assert clean.feature_space(wide, ["umap_x"]).features == ["umap_x"]
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_correlation_matches_pandas(spark, monkeypatch, limit):
-    monkeypatch.setattr(stats, "MAX_PAIR_EXPRESSIONS", limit)
+@pytest.mark.parametrize("width", [5, 15, 16, 40])
+def test_correlation_matches_pandas(spark, width):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame(rng.normal(size=(200, 3)) + 1000, columns=["a", "b", "c"])
     pdf.loc[::7, "a"] = np.nan
     pdf.loc[::5, "b"] = np.nan
     pdf["constant"] = 0.1
     pdf["flag"] = rng.random(200) > 0.5
+    for i in range(width - 5):
+        pdf[f"more{i}"] = rng.normal(size=200) * 10.0**i
+    names = list(pdf.columns)
     pdf.insert(0, "shot_id", range(200))
-    names = ["a", "b", "c", "constant", "flag"]
     expected = pdf[names].astype(float).corr().fillna(0)
     expected.loc["constant", "constant"] = 0.0
-    found = {(r["x"], r["y"]): r["r"] for r in stats.correlate(spark.createDataFrame(pdf), [*names, "nope"]).collect()}
-    assert len(found) == 25
+    df = spark.createDataFrame(pdf).repartition(3)
+    found = {(r["x"], r["y"]): r["r"] for r in stats.correlate(df, [*names, "nope"]).collect()}
+    assert len(found) == width**2
     for (x, y), r in found.items():
         assert r == pytest.approx(expected.loc[x, y], abs=1e-9), (x, y)
 
 
+@pytest.mark.parametrize("width", [2, 20])
+def test_columns_constant_over_their_common_rows_have_no_correlation(spark, width):
+    rows = [(i, 0.1 if i % 2 else float(i), 0.7 if i % 2 else None, *map(float, range(width - 2))) for i in range(40)]
+    names = [f"f{i}" for i in range(width)]
+    df = spark.createDataFrame(rows, "shot_id int, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    found = {(r["x"], r["y"]): r["r"] for r in stats.correlate(df, names).collect()}
+    assert found["f0", "f1"] == found["f1", "f0"] == found["f1", "f1"] == 0.0 and found["f0", "f0"] == pytest.approx(1.0)
+
+
+
 def test_correlation_needs_two_numeric_features(runs):
     with pytest.raises(ValueError):
         stats.correlate(runs, ["feature_1", "machine"])
