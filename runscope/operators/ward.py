@@ -9,6 +9,7 @@ the rest. The tree is cut by leaving out its highest merges.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,7 @@ from runscope.plans.blocks import BLOCK_ROWS, LEAF_ROWS, nearest
 from runscope.plans.ordering import number_rows
 from runscope.plans.stage import StageArea
 
-FINISH_ROWS = 4096  # clusters that a single task merges to the end
-MAX_ROUNDS = 500
+FINISH_ROWS = 128  # clusters that a single task merges to the end
 _MERGE = "a long, b long, height double, step long"
 
 
@@ -43,7 +43,7 @@ def agglomerate(
     # A cluster is named by its smallest run; its vector is the centre of all its members.
     state = points.select("id", "vec", F.col("weight").cast("double").alias("weight"))
     merges: list[DataFrame] = []
-    for step in range(MAX_ROUNDS):
+    for step in count():
         rows = state.count()
         if rows <= finish_rows:
             break
@@ -61,8 +61,6 @@ def agglomerate(
         )
         merges.append(pairs)
         state = area.put(_merged(state, pairs), "state")
-    else:
-        raise RuntimeError(f"more than {MAX_ROUNDS} rounds of merging")
     rest = state.coalesce(1).groupBy(F.lit(0).alias("all")).applyInPandas(_finish, _MERGE)
     merges.append(area.put(rest, "merges"))
 
