@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runscope.llm import decontaminate, fingerprints, language, lmscore, mixing, neardup, quality, repeats, suffixes, toxicity
+from runscope.llm.oracles import ORACLES
 from runscope.llm.splits import remainder
 from runscope.plans.stage import StageArea
 
@@ -87,4 +88,5 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
