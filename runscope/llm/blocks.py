@@ -61,13 +61,13 @@ class Block:
         return pa.record_batch([columns[name] for name in names], names=names)
 
 
-def pack(docs: DataFrame, area: StageArea, text: str = "text") -> DataFrame:
-    """Stage *docs* as blocks; all columns are kept."""
+def pack(docs: DataFrame, area: StageArea, text: str = "text", target: int = BLOCK_BYTES) -> DataFrame:
+    """Stage *docs* as blocks of about *target* bytes of text; all columns are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, text, BLOCK_BYTES):
+        for batch in slices(batches, text, target):
             data, offsets = buffers(batch.column(text))
             at = batch.schema.get_field_index(text)
             others = [i for i in range(batch.num_columns) if i != at]

@@ -1,9 +1,9 @@
 """Suffix dedup: every byte inside a string of 200 bytes that starts anywhere else is removed.
 
 The collection is cut by content so that no repeat crosses a cut: each 200-byte window belongs to
-the place of its smallest 16-byte hash (the leftmost of equal ones), and the windows of one place
-form a piece of at most 384 bytes. Equal windows have equal places, so only pieces of the same
-16 bytes, the same anchor, can share a window, and they do so at the same distance from it. Pieces
+the place of its smallest 64-byte hash (the leftmost of equal ones), and the windows of one place
+form a piece of at most 336 bytes. Equal windows have equal places, so only pieces of the same
+64 bytes, the same anchor, can share a window, and they do so at the same distance from it. Pieces
 that are equal as a whole are repeats of each other and travel once.
 
 Where an anchor has several different pieces, their transform is built column by column from the
@@ -29,9 +29,12 @@ from runscope.llm.blocks import Block, ask, heard, pack, part_count, unpack
 from runscope.llm.text import STEP, mix, windows
 from runscope.plans.stage import StageArea
 
-GRAM = 16
 #: Different pieces of one anchor that may meet in a task.
 MOST_PIECES = 20_000
+#: A block's arrays take about a hundred times its bytes.
+BLOCK_BYTES = 1 << 19
+#: Parts of the question that carries bytes, for each part of the others.
+SHIPPED = 4
 REPEATED, SEVERAL, CROWDED = np.uint64(1), np.uint64(2), np.uint64(4)
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 ASKED = np.dtype([("key", "<u8"), ("content", "<u8"), ("n", "<u4")])
@@ -39,12 +42,17 @@ WINDOW = np.dtype([("key", "<u8"), ("check", "<u8"), ("n", "<u4")])
 BASES = (STEP, np.uint64(0xD1B54A32D192ED03))
 
 
+def gram(width: int) -> int:
+    """Bytes of an anchor: long enough that different texts rarely share one by chance."""
+    return max(8, width * 8 // 25)
+
+
 def inverse(odd: np.uint64) -> np.uint64:
     return np.uint64(pow(int(odd), -1, 2**64))
 
 
 def piece_kind(width: int) -> np.dtype:
-    return np.dtype([("key", "<u8"), ("content", "<u8"), ("left", "<u2"), ("size", "<u2"), ("bytes", "u1", 2 * width - GRAM)])
+    return np.dtype([("key", "<u8"), ("content", "<u8"), ("left", "<u2"), ("size", "<u2"), ("bytes", "u1", 2 * width - gram(width))])
 
 
 class Ranges:
@@ -81,10 +89,10 @@ class Pieces:
 
     def __init__(self, block: Block, width: int) -> None:
         self.block, self.width, data = block, width, block.data
-        grams = windows(BYTE_VALUES[data], GRAM)
+        grams = windows(BYTE_VALUES[data], gram(width))
         # 40 bits of hash, then the place: the leftmost of equal hashes is the smallest.
         place = np.arange(len(grams), dtype=np.uint64)
-        least = smallest_in_windows(grams >> np.uint64(24) << np.uint64(24) | place & np.uint64(2**24 - 1), width - GRAM + 1)
+        least = smallest_in_windows(grams >> np.uint64(24) << np.uint64(24) | place & np.uint64(2**24 - 1), width - gram(width) + 1)
         sizes = np.maximum(np.diff(block.offsets) - width + 1, 0)
         ends = np.cumsum(sizes)
         starts = np.repeat(block.offsets[:-1] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
@@ -119,7 +127,7 @@ class Pieces:
         out["left"], out["size"] = left, size
         row = np.repeat(np.arange(len(at)), size)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        out["bytes"][row, (self.width - GRAM - left)[row] + inside] = self.block.data[low[row] + inside]
+        out["bytes"][row, (self.width - gram(self.width) - left)[row] + inside] = self.block.data[low[row] + inside]
         return out, numbers
 
     def crowded(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,19 +165,30 @@ def window_repeats(values: np.ndarray, block: np.ndarray) -> np.ndarray:
     return np.bincount(which, values["n"])[which] > 1
 
 
+def anchor_runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole anchors, of about MOST_PIECES pieces each."""
+    edges = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    low = 0
+    while low < len(keys):
+        at = int(np.searchsorted(edges, low + MOST_PIECES, "right")) - 1
+        high = int(edges[at]) if edges[at] > low else int(edges[np.searchsorted(edges, low, "right")])
+        yield low, high
+        low = high
+
+
 def column_marks(pieces: np.ndarray, width: int) -> np.ndarray:
     """(pieces, window columns): which windows of different pieces of one anchor are shared.
 
     *pieces* are distinct and in order of their keys. Columns run from the right; the order holds
     the suffixes of all pieces that begin in the column, within each anchor.
     """
-    n, columns = len(pieces), 2 * width - GRAM
-    starts = width - GRAM - pieces["left"].astype(np.int64)
+    n, columns, room = len(pieces), 2 * width - gram(width), width - gram(width)
+    starts = room - pieces["left"].astype(np.int64)
     ends = starts + pieces["size"]
     group = np.cumsum(np.append(True, pieces["key"][1:] != pieces["key"][:-1])).astype(np.int64)
     text = np.ascontiguousarray(pieces["bytes"].T)
     order, common = np.arange(n), np.zeros(n, np.int64)
-    marks = np.zeros((n, width - GRAM + 1), bool)
+    marks = np.zeros((n, room + 1), bool)
     outside = 256
     for column in range(columns - 1, -1, -1):
         inside = (column >= starts) & (column < ends)
@@ -187,7 +206,7 @@ def column_marks(pieces: np.ndarray, width: int) -> np.ndarray:
             spans[::2], spans[1::2] = moved[at - 1] + 1, moved[at] + 1
             found[at] = 1 + np.minimum.reduceat(np.append(common, 0), spans)[::2]
         order, common = order[moved], found
-        if column <= width - GRAM:
+        if column <= room:
             shared = common >= width
             shared[:-1] |= common[1:] >= width
             marks[order, column] = shared
@@ -207,13 +226,13 @@ def repeated_bytes(block: Block, answers: list, width: int, count: int) -> np.nd
     sent, numbers = pieces.shipped(told)
     if answers[1] is not None and len(sent):
         kind = f"V{mark_bytes(width)}"
-        marks = heard(answers[1], sent["key"], count, kind).view(np.uint8).reshape(len(sent), -1)
-        marks = np.unpackbits(marks, axis=1, count=width - GRAM + 1)
+        marks = heard(answers[1], sent["key"], SHIPPED * count, kind).view(np.uint8).reshape(len(sent), -1)
+        marks = np.unpackbits(marks, axis=1, count=width - gram(width) + 1)
         row = np.full(len(pieces.chosen), -1)
         row[numbers] = np.arange(len(numbers))
         mine = np.flatnonzero(row[pieces.which] >= 0)
         i, column = np.nonzero(marks[row[pieces.which[mine]]])
-        starts = pieces.anchor[mine[i]] - (width - GRAM) + column
+        starts = pieces.anchor[mine[i]] - (width - gram(width)) + column
         np.add.at(gone, starts, 1)
         np.add.at(gone, starts + width, -1)
     if answers[2] is not None:
@@ -225,7 +244,7 @@ def repeated_bytes(block: Block, answers: list, width: int, count: int) -> np.nd
 
 
 def mark_bytes(width: int) -> int:
-    return -(-(width - GRAM + 1) // 8)
+    return -(-(width - gram(width) + 1) // 8)
 
 
 def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
@@ -234,7 +253,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
     ``spans`` are (start, end) pairs of byte offsets.
     """
     area = StageArea(docs.sparkSession, "suffixes")
-    blocks = pack(docs.select("doc_id", "text"), area)
+    blocks = pack(docs.select("doc_id", "text"), area, target=BLOCK_BYTES)
     count = part_count(blocks)
     codes = ask(blocks, count, ASKED, lambda b, _: Pieces(b, width).asked, content_codes, area)
     codes = codes.withColumnRenamed("answer", "answer_1")
@@ -249,15 +268,20 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
         return pieces.shipped(codes)[0]
 
     def marks(values: np.ndarray, block: np.ndarray) -> np.ndarray:
-        _, first, which = np.unique(values[["key", "content"]], return_index=True, return_inverse=True)
-        found = np.packbits(column_marks(values[first], width), axis=1)
+        order = np.lexsort((values["content"], values["key"]))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(values["key"][order]) != 0) | (np.diff(values["content"][order]) != 0)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        distinct = values[order[new]]
+        found = np.concatenate([np.packbits(column_marks(distinct[a:b], width), axis=1) for a, b in anchor_runs(distinct["key"])])
         return np.ascontiguousarray(found).view(f"V{mark_bytes(width)}").ravel()[which]
 
     def crowd(block: Block, answers: list) -> np.ndarray:
         pieces, codes = told(block, answers)
         return pieces.crowded(codes)[0]
 
-    columns = ask(asked, count, piece_kind(width), ship, marks, area).withColumnRenamed("answer", "answer_2")
+    columns = ask(asked, SHIPPED * count, piece_kind(width), ship, marks, area).withColumnRenamed("answer", "answer_2")
     crowds = ask(asked, count, WINDOW, crowd, window_repeats, area).withColumnRenamed("answer", "answer_3")
     answers = codes.join(columns, "block", "left").join(crowds, "block", "left")
 
