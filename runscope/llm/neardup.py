@@ -8,9 +8,9 @@ which keeps common passages out of the lists.
 
 Equal sets are one class. In a first round each class is compared with one leader, the smallest
 member of a list, which joins large groups in few comparisons. The second round takes up only
-lists in which several components still meet, and only pairs across components. Before a pair's
-full sets are fetched for the exact comparison, the union of their bottom sketches has to make the
-threshold possible (it holds back a pair that reaches 0.8 less than once in ten million).
+lists in which several components still meet, and only pairs across components, each in one of its
+lists. Before full sets are fetched for the exact comparison, the union of two bottom sketches has
+to make the threshold possible (it holds back a pair that reaches 0.8 less than once in ten million).
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; a text with fewer words than a shingle is one shingle. Rows are told apart by their place,
@@ -39,10 +39,17 @@ SKETCH = 24
 LEAST_COMMON = 8
 VALUE_BYTES = 6
 PAIRS_AT_ONCE = 200_000
-COUNT = np.dtype([("key", "<u8"), ("n", "<u4")])
+COUNT = np.dtype([("key", "<u8")])
+#: Values leave the low bits of a hash free; a question carries the number of holders there.
+LOW_BITS = np.uint64(64 - 8 * VALUE_BYTES)
+MOST_COUNTED = 2 ** int(LOW_BITS) - 1
 POSTING = np.dtype([("key", "<u8"), ("at", "<u4"), ("n", "<u4")])
 MEMBER = np.dtype([("key", "<u8"), ("component", "<i8")])
 HELD = np.dtype([("key", "<u8"), ("row", "<i8"), ("n", "<u4"), ("component", "<i8"), ("sketch", "<u4", SKETCH)])
+#: Lists up to this size are thinned by sketches; the members of longer ones all stay in question.
+SHORT_LIST = 256
+#: Sets of one family that are compared in one task.
+CHUNK = 4000
 
 
 def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +77,22 @@ def retained(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
 
 
+@dataclass
+class Lists:
+    """Retained values of one block in order, and the set (of ``at``, ``n``, ``sketch``) each belongs to."""
+
+    number: int
+    at: np.ndarray
+    n: np.ndarray
+    sketch: np.ndarray
+    keys: np.ndarray
+    owner: np.ndarray
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.at + self.number
+
+
 @dataclass
 class Sets:
     """Sets of some rows of one block: ``at`` is the row in the block, ``first`` where its values begin."""
@@ -90,24 +113,26 @@ class Sets:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.at)), self.n)
 
-    def counted(self) -> np.ndarray:
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct lower values, and the same with the number of holders in the low bits."""
         keys, n = np.unique(self.values[self.values < COUNTED], return_counts=True)
         out = np.zeros(len(keys), COUNT)
-        out["key"], out["n"] = keys, n
-        return out
+        out["key"] = keys | np.minimum(n, MOST_COUNTED).astype(np.uint64)
+        return keys, out
 
-    def postings(self, answer: list | None, count: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Retained values and the set of each, common values ordered last."""
+    def retain(self, answer: list | None, count: int, percent: int) -> Lists:
+        """Values that go into inverted lists, common ones ordered last."""
         owner = self.owner()
-        asked = self.counted()["key"]
+        keys, asked = self.counted()
         common = np.zeros(len(self.values), bool)
         low = self.values < COUNTED
-        if len(asked):
-            common[low] = heard(answer, asked, count)[np.searchsorted(asked, self.values[low])]
+        if len(keys):
+            common[low] = heard(answer, asked["key"], count)[np.searchsorted(keys, self.values[low])]
         order = np.lexsort((self.values, common, owner))
         rank = np.arange(len(order)) - np.repeat(self.first[:-1], self.n)
         keep = order[rank < np.repeat(retained(self.n, percent), self.n)]
-        return self.values[keep], owner[keep]
+        sorted_ = np.argsort(self.values[keep], kind="stable")
+        return Lists(self.number, self.at, self.n, self.sketches(), self.values[keep][sorted_], owner[keep][sorted_])
 
     def sketches(self) -> np.ndarray:
         """(sets, SKETCH): high bits of the smallest values; short sets are filled with the largest number."""
@@ -129,6 +154,18 @@ def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Sets, list]]:
             yield Sets(row["block"], np.frombuffer(row["at"], np.int64), first, cells.view("<u8").ravel()), [row[m] for m in more]
 
 
+LISTS = {"at": "<i8", "n": "<i8", "sketch": "<u4", "keys": "<u8", "owner": "<i8"}
+
+
+def read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lists, list]]:
+    for batch in batches:
+        more = [name for name in batch.schema.names if name.startswith("answer")]
+        for i in range(batch.num_rows):
+            parts = {name: np.frombuffer(batch.column(name)[i].as_py(), kind) for name, kind in LISTS.items()}
+            parts["sketch"] = parts["sketch"].reshape(-1, SKETCH)
+            yield Lists(batch.column("block")[i].as_py(), **parts), [batch.column(m)[i].as_py() for m in more]
+
+
 def packed_values(values: np.ndarray) -> bytes:
     return values.view(np.uint8).reshape(-1, 8)[:, 8 - VALUE_BYTES :].tobytes()
 
@@ -153,7 +190,7 @@ def sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 class NearDuplicates:
     """The stages of one run; tables are small except ``sets``."""
 
-    def __init__(self, docs: DataFrame, area: StageArea, shingle: int, percent: int) -> None:
+    def __init__(self, docs: DataFrame, area: StageArea, shingle: int, percent: int, again: bool) -> None:
         self.area, self.percent = area, percent
         self.blocks = pack(docs, area)
         self.count = part_count(self.blocks)
@@ -168,6 +205,8 @@ class NearDuplicates:
             self._sets(shingle), "block long, at binary, first binary, body binary"
         )
         self.sets = area.put(sets, "sets", compression="uncompressed")
+        if not again:
+            area.drop(self.blocks)
 
     @staticmethod
     def _rows(shingle: int):
@@ -203,16 +242,23 @@ class NearDuplicates:
         count, percent = self.count, self.percent
 
         def common(values: np.ndarray, block: np.ndarray) -> np.ndarray:
-            _, which = np.unique(values["key"], return_inverse=True)
-            return (np.bincount(which, values["n"]) > COMMON)[which]
-
-        answer = ask(self.sets, count, COUNT, lambda s, _: s.counted(), common, self.area, read_sets)
-        asked = self.area.put(self.sets.join(answer.withColumnRenamed("answer", "answer_1"), "block", "left"), "asked", compression="uncompressed")
-        self.area.drop(self.sets)
-        self.sets = asked
+            _, which = np.unique(values["key"] >> LOW_BITS, return_inverse=True)
+            holders = np.bincount(which, values["key"] & np.uint64(MOST_COUNTED))
+            return (holders > COMMON)[which]
+
+        def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for sets, (answer,) in read_sets(batches):
+                lists = sets.retain(answer, count, percent)
+                parts = [getattr(lists, name).astype(kind).tobytes() for name, kind in LISTS.items()]
+                columns = [pa.array([sets.number]), *(pa.array([x], pa.binary()) for x in parts)]
+                yield pa.record_batch(columns, names=["block", *LISTS])
+
+        answer = ask(self.sets, count, COUNT, lambda s, _: s.counted()[1], common, self.area, read_sets)
+        schema = "block long, " + ", ".join(f"{name} binary" for name in LISTS)
+        self.lists = self.area.put(self.sets.join(answer, "block", "left").mapInArrow(retain, schema), "lists")
         links = self.verified(self._leaders())
-        found = connected_components(links, self.area)
-        more = self.verified(self._across(found))
+        more = self._across(connected_components(links, self.area))
+        self.area.drop(self.sets)
         return self.area.put(
             connected_components(links.unionByName(more), self.area).select(F.col("node").alias("class"), "component"), "components"
         )
@@ -221,11 +267,9 @@ class NearDuplicates:
         """(a, b): for every class the leader it shares most lists with, if their sketches allow a link."""
         count, percent = self.count, self.percent
 
-        def values(sets: Sets, answers: list) -> np.ndarray:
-            keys, owner = sets.postings(answers[0], count, percent)
-            order = np.argsort(keys, kind="stable")
-            out = np.zeros(len(keys), POSTING)
-            out["key"], out["at"], out["n"] = keys[order], sets.at[owner[order]], sets.n[owner[order]]
+        def values(lists: Lists, _: list) -> np.ndarray:
+            out = np.zeros(len(lists.keys), POSTING)
+            out["key"], out["at"], out["n"] = lists.keys, lists.at[lists.owner], lists.n[lists.owner]
             return out
 
         def lead(table: pa.Table) -> pa.Table:
@@ -257,35 +301,37 @@ class NearDuplicates:
             pairs, shared = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
             return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(shared)], names=["a", "b", "shared"])
 
-        sent = self.sets.mapInArrow(sender(count, values, read_sets), "part int, block long, body binary")
+        sent = self.lists.mapInArrow(sender(count, values, read_lists), "part int, block long, body binary")
         pairs = sent.groupBy("part").applyInArrow(lead, "a long, b long, shared long")
         pairs = self.area.put(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")), "leaders")
-        self.sketches = self.area.put(self.sets.mapInArrow(_sketches, "row long, sketch binary"), "sketches")
-        named = [self.sketches.select(F.col("row").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+        sketches = self.lists.mapInArrow(_sketches, "row long, sketch binary")
+        named = [sketches.select(F.col("row").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
         near = pairs.join(named[0], "a").join(named[1], "b").mapInArrow(_possible, "a long, b long, shared long")
         best = near.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("best"))
         return self.area.put(best.select("a", (-F.col("best.b")).alias("b")), "pairs")
 
     def _across(self, components: DataFrame) -> DataFrame:
-        """(a, b): pairs of different components that share a list and may reach the threshold."""
+        """(a, b): links between different components, found in the lists where they meet.
+
+        Classes whose sketches allow a link in such a list form families, as do the members of long
+        lists; full sets travel once to their family (to each pair of chunks of a large one), where
+        pairs of different components are compared unless links found before have joined them.
+        Pairs are never written out, only links.
+        """
         count, percent = self.count, self.percent
         known = self.rows.where("row = class").select("block", F.col("row").alias("node")).join(components, "node")
-        known = known.groupBy("block").agg(F.collect_list(F.struct("node", "component")).alias("answer_2"))
-        sets = self.area.put(self.sets.join(known, "block", "left"), "components", compression="uncompressed")
-        self.area.drop(self.sets)
-        self.sets = sets
-
-        def held(sets: Sets, answers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            keys, owner = sets.postings(answers[0], count, percent)
-            component = sets.rows.copy()
-            for item in answers[1] or []:
-                component[np.searchsorted(sets.rows, item["node"])] = item["component"]
-            return keys, owner, component
-
-        def members(sets: Sets, answers: list) -> np.ndarray:
-            keys, owner, component = held(sets, answers)
-            out = np.zeros(len(keys), MEMBER)
-            out["key"], out["component"] = keys, component[owner]
+        known = known.groupBy("block").agg(F.collect_list(F.struct("node", "component")).alias("answer_1"))
+        lists = self.lists.join(known, "block", "left")
+
+        def component_of(lists: Lists, answer: list | None) -> np.ndarray:
+            out = lists.rows.copy()
+            for item in answer or []:
+                out[np.searchsorted(lists.rows, item["node"])] = item["component"]
+            return out
+
+        def members(lists: Lists, answers: list) -> np.ndarray:
+            out = np.zeros(len(lists.keys), MEMBER)
+            out["key"], out["component"] = lists.keys, component_of(lists, answers[0])[lists.owner]
             return np.unique(out)
 
         def several(values: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -293,40 +339,70 @@ class NearDuplicates:
             keys, n = np.unique(distinct["key"], return_counts=True)
             return (n > 1)[np.searchsorted(keys, values["key"])]
 
-        answer = ask(self.sets, count, MEMBER, members, several, self.area, read_sets)
-
-        def values(sets: Sets, answers: list) -> np.ndarray:
-            keys, owner, component = held(sets, answers)
-            asked = members(sets, answers)
-            told = heard(answers[2], asked["key"], count)
-            keep = np.isin(keys, asked["key"][told])
-            keys, owner = keys[keep], owner[keep]
-            order = np.argsort(keys, kind="stable")
-            out = np.zeros(len(keys), HELD)
-            owner = owner[order]
-            out["key"], out["row"], out["n"], out["component"] = keys[order], sets.rows[owner], sets.n[owner], component[owner]
-            out["sketch"] = sets.sketches()[owner]
+        answer = ask(lists, count, MEMBER, members, several, self.area, read_lists)
+
+        def meeting(lists: Lists, answers: list) -> np.ndarray:
+            asked = members(lists, answers)["key"]
+            return np.isin(lists.keys, asked[heard(answers[1], asked, count)])
+
+        def held(lists: Lists, answers: list) -> np.ndarray:
+            keep = meeting(lists, answers)
+            owner = lists.owner[keep]
+            out = np.zeros(len(owner), HELD)
+            out["key"], out["row"], out["n"] = lists.keys[keep], lists.rows[owner], lists.n[owner]
+            out["component"], out["sketch"] = component_of(lists, answers[0])[owner], lists.sketch[owner]
             return out
 
-        def pair(table: pa.Table) -> pa.Table:
+        def relate(table: pa.Table) -> pa.Table:
             found = np.concatenate([np.frombuffer(b, HELD) for b in table.column("body").to_pylist()])
             found = found[np.argsort(found["key"], kind="stable")]
-            out = [np.zeros((0, 2), np.int64)]
-            for i, j in list_pairs(found["key"]):
+            rows, which = np.unique(found["row"], return_inverse=True)
+            family = np.arange(len(rows))
+            start, member, size = np.unique(found["key"], return_index=True, return_inverse=True, return_counts=True)[1:]
+            long = size[member] > SHORT_LIST
+            pairs = [np.stack([which[long], which[start[member[long]]]], 1)]
+            short = np.flatnonzero(~long)
+            for i, j in list_pairs(found["key"][short]):
+                i, j = short[i], short[j]
                 fit = (found["component"][i] != found["component"][j]) & sizes_fit(found["n"][i], found["n"][j], percent)
                 i, j = i[fit], j[fit]
-                for low in range(0, len(i), PAIRS_AT_ONCE):
-                    x, y = i[low : low + PAIRS_AT_ONCE], j[low : low + PAIRS_AT_ONCE]
-                    near = possible(found["sketch"][x], found["sketch"][y])
-                    ends = np.stack([found["row"][x[near]], found["row"][y[near]]], 1)
-                    out.append(np.unique(np.sort(ends, axis=1), axis=0))
-            pairs = np.unique(np.concatenate(out), axis=0)
-            return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        sent = self.sets.join(answer.withColumnRenamed("answer", "answer_3"), "block")
-        sent = sent.mapInArrow(sender(count, values, read_sets), "part int, block long, body binary")
-        pairs = sent.groupBy("part").applyInArrow(pair, "a long, b long")
-        return self.area.put(pairs.distinct(), "pairs")
+                fit = family[which[i]] != family[which[j]]
+                i, j = i[fit], j[fit]
+                near = possible(found["sketch"][i], found["sketch"][j])
+                pairs.append(np.unique(np.stack([which[i[near]], which[j[near]]], 1), axis=0))
+                family = merged_labels(family, pairs[-1])
+            family = merged_labels(family, pairs[0])
+            seen = np.flatnonzero(family != np.arange(len(rows)))
+            return pa.table([pa.array(rows[seen]), pa.array(rows[family[seen]])], names=["a", "b"])
+
+        sent = lists.join(answer.withColumnRenamed("answer", "answer_2"), "block")
+        sent = sent.mapInArrow(sender(count, held, read_lists), "part int, block long, body binary")
+        families = connected_components(sent.groupBy("part").applyInArrow(relate, "a long, b long"), self.area)
+        sizes = families.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+        chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
+        families = families.join(sizes, "component").withColumn("chunk", chunk).withColumnRenamed("component", "family")
+        families = families.join(components.withColumnRenamed("component", "linked"), "node", "left")
+        families = families.withColumn("linked", F.coalesce("linked", "node"))
+        place = self.rows.where("row = class").select("block", F.col("row").alias("node"))
+        wanted = self.area.put(families.join(place, "node"), "families")
+        asked = wanted.groupBy("block").agg(F.collect_list("node").alias("answer"))
+        bodies = self.sets.join(asked, "block").mapInArrow(_bodies, "row long, body binary")
+        members = bodies.join(wanted.drop("block").withColumnRenamed("node", "row"), "row")
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+        members = members.select("*", other).withColumns(
+            {"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}
+        )
+
+        def link(table: pa.Table) -> pa.Table:
+            first, last = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+            bodies = [_wide(np.frombuffer(b.as_py(), f"V{VALUE_BYTES}")) for b in table.column("body")]
+            columns = [table.column(c).to_numpy() for c in ("row", "linked", "chunk")]
+            pairs = links_in_family(bodies, columns[1], columns[2] == first, columns[2] == last, percent)
+            return pa.table([pa.array(columns[0][pairs[:, 0]]), pa.array(columns[0][pairs[:, 1]])], names=["a", "b"])
+
+        columns = ["family", "low", "high", "row", "linked", "chunk", "body"]
+        found = members.select(*columns).groupBy("family", "low", "high").applyInArrow(link, "a long, b long")
+        return self.area.put(found, "links")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b): the pairs whose full sets reach the threshold."""
@@ -369,9 +445,9 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for sets, _ in read_sets(batches):
-        rows = [x.tobytes() for x in sets.sketches()]
-        yield pa.record_batch([pa.array(sets.rows), pa.array(rows, pa.binary())], names=["row", "sketch"])
+    for lists, _ in read_lists(batches):
+        rows = [x.tobytes() for x in lists.sketch]
+        yield pa.record_batch([pa.array(lists.rows), pa.array(rows, pa.binary())], names=["row", "sketch"])
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,6 +457,52 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b", "shared"]).filter(pa.array(possible(a, b)))
 
 
+def merged_labels(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Labels of the smallest index each one is joined with, after joining *pairs* too."""
+    while len(pairs):
+        a, b = label[pairs[:, 0]], label[pairs[:, 1]]
+        apart = a != b
+        pairs, low, high = pairs[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def links_in_family(
+    sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int
+) -> np.ndarray:
+    """Linked pairs (left, right) of different components, enough to join all that are linked."""
+    n = np.array([len(x) for x in sets], np.int64)
+    _, values = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(n)])
+    _, joined = np.unique(component, return_inverse=True)
+    marked = np.zeros(len(values) + 1, bool)
+    both, found = left & right, []
+    # Members of small components first: each is compared with all others, those of large ones with few.
+    order = np.argsort(np.bincount(joined)[joined], kind="stable")
+    done = np.zeros(len(sets), bool)
+    candidates = np.flatnonzero(right)
+    for a in order[left[order]].tolist():
+        done[a] = True
+        others = candidates[(joined[candidates] != joined[a]) & sizes_fit(n[candidates], n[a], percent)]
+        others = others[~(both[others] & done[others])]
+        if not len(others):
+            continue
+        edge = np.cumsum(n[others])
+        at = np.repeat(first[others] - (edge - n[others]), n[others]) + np.arange(edge[-1])
+        mine = values[first[a] : first[a + 1]]
+        marked[mine] = True
+        total = np.concatenate([[0], np.cumsum(marked[values[at]])])
+        marked[mine] = False
+        common = total[edge] - total[edge - n[others]]
+        for b in others[100 * common >= percent * (n[a] + n[others] - common)].tolist():
+            if joined[a] != joined[b]:
+                found.append((a, b))
+                joined[joined == joined[b]] = joined[a]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
 def list_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within runs of equal keys, a bounded number at once."""
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -402,13 +524,17 @@ def list_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield base + i[i < j], base + j[i < j]
 
 
-def near_duplicates(docs: DataFrame, area: StageArea, shingle: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(
+    docs: DataFrame, area: StageArea, shingle: int = 5, percent: int = 80, again: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n_shingles, component_id, first) of every row, and the packed blocks the rows are in.
 
+    The blocks are only kept if they are to be read *again*.
+
     ``component_id`` is the smallest doc_id reachable over links of at least *percent* similarity,
     ``first`` the row that stands for the group: the one with the smallest (doc_id, place).
     """
-    found = NearDuplicates(docs, area, shingle, percent)
+    found = NearDuplicates(docs, area, shingle, percent, again)
     components = found.components()
     of_class = found.rows.join(components, "class", "left").withColumn("component", F.coalesce("component", "class"))
     of_class = area.put(of_class, "members")
@@ -427,7 +553,7 @@ def near_duplicates(docs: DataFrame, area: StageArea, shingle: int = 5, percent:
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows of *docs*, all columns unchanged, that stand for their group of near duplicates."""
-    found, blocks = near_duplicates(docs, StageArea(docs.sparkSession, "neardup"), shingle, percent)
+    found, blocks = near_duplicates(docs, StageArea(docs.sparkSession, "neardup"), shingle, percent, again=True)
     kept = found.where("row = first").groupBy("block").agg(F.collect_list("row").alias("answer"))
     schema = docs.schema
 
