@@ -2,13 +2,14 @@
 
 An item may occur in a document with up to k character edits. Cut into k + 1 pieces, it leaves at
 least one piece untouched by any k edits, so exact hits of the pieces (one pass of an Aho-Corasick
-automaton over the document) name every place worth a look. Each is verified by Myers' bit-parallel
-edit distance, in which an item of any length is one integer. Documents and items are compared in
+automaton over the document) name every place worth a look. Cut into grams of five characters, an
+item loses at most k of them to k edits, so a place that lacks more is passed over; each other one is
+verified by Myers' bit-parallel edit distance, in which an item of any length is one integer. Documents and items are compared in
 lower case with runs of white space as one space.
 
-The budget is a tenth of the item's characters, but pieces have at least sixteen; an item too short
-for two pieces has to occur exactly. Items reach the tasks in slices of a bounded size, so a
-benchmark of any size takes more passes, not more memory.
+The budget is a tenth of the item's characters, so pieces have about nine characters (fewer in items
+under ninety); an item of fewer than ten characters has to occur exactly. Items reach the tasks in
+slices of a bounded size, so a benchmark of any size takes more passes, not more memory.
 
 Defined results: a null or empty document holds nothing, a null or blank item is nowhere; items that
 share an id are searched apart and reported once, with the fewest edits. Repeated rows of documents
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from runscope.llm.text import slices
 
 ERROR_SHARE = 0.1
-LEAST_PIECE = 16
+GRAM = 5
 #: Characters of items that one pass holds.
 SLICE_CHARS = 8_000_000
 SLICE = 4 << 20
@@ -41,7 +42,7 @@ def normalised(text: str | None) -> str:
 
 def cut(item: str) -> list[tuple[int, str]]:
     """(offset, piece) of an item: as many pieces as its budget of edits and one."""
-    budget = max(0, min(int(len(item) * ERROR_SHARE), len(item) // LEAST_PIECE - 1))
+    budget = int(len(item) * ERROR_SHARE)
     edges = [len(item) * i // (budget + 1) for i in range(budget + 2)]
     return [(a, item[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -76,10 +77,11 @@ class Matcher:
     def open(self) -> Matcher:
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
-        self.budgets, self.masks = [], [None] * len(self.items)
+        self.budgets, self.grams, self.masks = [], [], [None] * len(self.items)
         for number, (_, item) in enumerate(self.items):
             pieces = cut(item)
             self.budgets.append(len(pieces) - 1)
+            self.grams.append([item[i : i + GRAM] for i in range(0, len(item) - GRAM + 1, GRAM)])
             for offset, piece in pieces:
                 places.setdefault(piece, []).append((number, offset))
         for piece, found in places.items():
@@ -96,6 +98,16 @@ class Matcher:
             self.masks[number] = masks
         return self.masks[number]
 
+    def _may_hold(self, number: int, part: str) -> bool:
+        """Whether *part* lacks no more of the item's grams than its budget of edits can change."""
+        left = self.budgets[number]
+        for gram in self.grams[number]:
+            if gram not in part:
+                left -= 1
+                if left < 0:
+                    return False
+        return True
+
     def matches(self, text: str | None) -> dict[int, int]:
         """Number of each item found in the text, with the edits it takes."""
         text = normalised(text)
@@ -114,9 +126,10 @@ class Matcher:
                     out[number] = 0
                     continue
                 part = text[max(0, start - budget) : start + len(item) + budget]
-                edits = distance(self._masks(number), len(item), part) if budget else budget + 1
-                if edits <= budget:
-                    out[number] = min(edits, out.get(number, edits))
+                if budget and self._may_hold(number, part):
+                    edits = distance(self._masks(number), len(item), part)
+                    if edits <= budget:
+                        out[number] = min(edits, out.get(number, edits))
         return out
 
 

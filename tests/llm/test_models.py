@@ -214,6 +214,32 @@ def test_leaks(spark, docs):
     assert decontaminate.find_leaks(table, benchmark.where("item_id < 0")).count() == 0
 
 
+def test_leaks_within_a_tenth_of_the_characters(spark, docs):
+    rng = random.Random(8)
+    item = lambda n: "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n - 2)).join("xy")
+    items = [(n, item(n)) for n in (9, 10, 19, 20, 31, 47, 95, 233, 394)]
+    rows = []
+    for n, text in items:
+        for more in (0, 1):
+            # One edit in the middle of each of so many equal stretches.
+            edits = n // 10 + more
+            at = {n * (2 * k + 1) // (2 * edits) for k in range(edits)}
+            rows.append((2 * n + more, "# " * 30 + "".join("%" if i in at else c for i, c in enumerate(text)) + " #" * 30))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    wanted = {}
+    for doc, text in rows:
+        for number, words in items:
+            words = decontaminate.normalised(words)
+            edits = brute.edit_distance_in(words, decontaminate.normalised(text))
+            if edits <= len(words) // 10:
+                wanted[doc, number] = edits
+    assert {(2 * n, n) for n, _ in items if n != 9} <= set(wanted) and (18, 9) in wanted
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.find_leaks(docs(rows), benchmark).collect()}
+    assert found == wanted
+    clean = decontaminate.keep_clean(docs(rows), benchmark)
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in wanted}
+
+
 def test_leaks_in_several_passes(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_CHARS", 60)
     items = [(i, f"a passage of the benchmark with the number {i * 37} in it") for i in range(9)]
