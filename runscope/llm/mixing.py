@@ -4,8 +4,10 @@ Every document is wanted target / source size times. The whole part is taken for
 fractional part is an inclusion probability, and the cube method draws it: probabilities move
 through the null-space of two constraints (the words and the number of documents taken) until they
 are 0 or 1, so both totals stay what they were. Groups of one source flow apart from each other and
-hand the few undecided documents up to larger groups; what is left of each source, at most two
-documents and a dozen of graded sizes, is the landing problem, settled by the choice nearest to the totals.
+hand the few undecided documents up to larger groups, each source for as many rounds as its own size
+takes. A dozen documents of graded sizes of each source are kept aside before its first flight; they
+and what is left of it, at most two documents, are the landing problem, settled by the choice nearest
+to the totals.
 
 Defined results: a null or empty text has size 0; null is a source of its own, sorted last; a
 source without words has target 0. Repeated rows are drawn one by one; equal ids are told apart by
@@ -34,8 +36,10 @@ MOST_COPIES = 2.0
 GROUP = 5000
 #: Documents of a source that are settled together with the last undecided ones.
 LANDING = 12
+#: Documents of which one task chooses those for the landing.
+GRADED = 64 * LANDING
 EPSILON = 1e-9
-UNITS = "source string, unit long, size long, p double"
+UNITS = "source string, unit long, size long, p double, n long, kept boolean"
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -53,11 +57,13 @@ def document_sizes(docs: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, area: StageArea) -> DataFrame:
-    """(source, source_size, n, target): weights by rank, stopped at twice the source's size.
+    """(source, source_size, n, largest, target): weights by rank, stopped at twice the source's size.
 
     Each round shares what is left among the sources below their stop; it ends when none passes it.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sources = sizes.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.count("*").alias("n"), F.max("size").alias("largest")
+    )
     # Null last: it gets no rank from the order of the texts but the number after the last.
     named = number_rows(area.put(sources.where("source IS NOT NULL"), "named"), ["source"], "rank", area)
     last = sources.where("source IS NULL").withColumn("rank", F.lit(named.count()).cast("long"))
@@ -78,7 +84,7 @@ def source_targets(sizes: DataFrame, area: StageArea) -> DataFrame:
             break
         stopped = row["stopped"]
         level = max(0.0, volume - (row["given"] or 0.0)) / row["open"]
-    return ranked.select("source", "source_size", "n", F.least(F.col("weight") * level, stop).alias("target"))
+    return ranked.select("source", "source_size", "n", "largest", F.least(F.col("weight") * level, stop).alias("target"))
 
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -120,11 +126,11 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def landing_units(size: np.ndarray) -> list[int]:
+def landing_units(size: np.ndarray, largest: float) -> list[int]:
     """Units of about a half, a quarter, an eighth, ... of the largest size: they make the landing fine-grained."""
     left = list(np.argsort(size, kind="stable"))
     out: list[int] = []
-    wanted = float(size.max(initial=0))
+    wanted = float(largest)
     while left and len(out) < LANDING:
         wanted /= 2
         at = int(np.searchsorted(size[left], wanted))
@@ -133,22 +139,38 @@ def landing_units(size: np.ndarray) -> list[int]:
     return out
 
 
-def _flow(last: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("unit", ignore_index=True)
-        seed = [abs(int(group["unit"].sum())), len(group)]
-        rng = np.random.default_rng(seed)
-        # Large documents first, equal ones in random order: what stays undecided is small.
-        size = group["size"].to_numpy()
-        order = np.lexsort((rng.random(len(group)), -size))
-        if last:
-            order = order[~np.isin(order, landing_units(size))]
-        p = group["p"].to_numpy().copy()
-        p[order] = flight(p[order], size[order], rng)
-        group["p"] = land(p, size) if last else p
-        return group[["source", "unit", "size", "p"]]
-
-    return run
+def _graded(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("unit", ignore_index=True)
+    chosen = landing_units(group["size"].to_numpy(), group["largest"].iloc[0])
+    return group.loc[chosen, ["source", "unit", "size", "n", "largest"]]
+
+
+def keep_aside(open_: DataFrame, area: StageArea) -> DataFrame:
+    """*open_* with the column kept: true for the landing units of each source."""
+    parts = F.ceil(F.col("n") / GRADED)
+    chosen, most = open_.select("source", "unit", "size", "n", "largest"), None
+    while most is None or most > LANDING:
+        # The best of each part first, then the best of those.
+        dealt = chosen.withColumn("_part", F.pmod(F.col("unit"), parts))
+        found = dealt.groupBy("source", "_part").applyInPandas(_graded, "source string, unit long, size long, n long, largest long")
+        chosen = area.put(found.withColumn("n", parts * LANDING), "graded")
+        most = chosen.agg(F.max("n")).first()[0] or 0
+    marks = chosen.select("unit", F.lit(True).alias("kept"))
+    return open_.join(marks, "unit", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+def _flow(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("unit", ignore_index=True)
+    seed = [abs(int(group["unit"].sum())), len(group)]
+    rng = np.random.default_rng(seed)
+    # Large documents first, equal ones in random order: what stays undecided is small.
+    size = group["size"].to_numpy()
+    order = np.lexsort((rng.random(len(group)), -size))
+    order = order[~group["kept"].to_numpy()[order]]
+    p = group["p"].to_numpy().copy()
+    p[order] = flight(p[order], size[order], rng)
+    group["p"] = land(p, size) if group["last"].iloc[0] else p
+    return group[["source", "unit", "size", "p", "n", "kept"]]
 
 
 def mix_sources(docs: DataFrame, area: StageArea) -> DataFrame:
@@ -163,29 +185,27 @@ def mix_sources(docs: DataFrame, area: StageArea) -> DataFrame:
     targets = area.put(source_targets(sizes, area), "targets")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     wanted = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", "size", sizes["source"], "source_size", "n", "target", "unit", copies.alias("copies")
+        "doc_id", "size", sizes["source"], "source_size", "n", "largest", "target", "unit", copies.alias("copies")
     )
     whole = F.floor(F.col("copies") + EPSILON)
     rows = wanted.withColumn("whole", whole).withColumn("p", F.greatest(F.col("copies") - whole, F.lit(0.0)))
     rows = area.put(rows, "wanted")
-    open_ = rows.where(F.col("p") > EPSILON).select("source", "unit", "size", "p", "n")
+    open_ = rows.where(F.col("p") > EPSILON).select("source", "unit", "size", "p", "n", "largest")
+    open_ = area.put(keep_aside(open_, area).drop("largest"), "open")
     drawn: list[DataFrame] = []
-    groups = F.ceil(F.col("n") / GROUP)
+    groups, last = F.ceil(F.col("n") / GROUP), F.col("n") <= GROUP
     most = open_.agg(F.max("n")).first()[0]
     while most is not None:
-        last = most <= GROUP
-        dealt = open_.withColumn("_group", F.pmod(F.col("unit"), groups))
-        found = dealt.groupBy("source", "_group").applyInPandas(_flow(last), UNITS)
-        found = area.put(found, "flight")
+        # What a source keeps aside meets the rest of it in the source's own last round.
+        dealt = open_.where(last | ~F.col("kept")).withColumn("_group", F.pmod(F.col("unit"), groups)).withColumn("last", last)
+        found = area.put(dealt.groupBy("source", "_group").applyInPandas(_flow, UNITS), "flight")
         drawn.append(found.where(F.col("p") >= 1 - EPSILON).select("unit"))
-        if last:
+        if most <= GROUP:
             break
+        left = found.where((F.col("p") > EPSILON) & (F.col("p") < 1 - EPSILON))
+        waiting = open_.where(~last & F.col("kept")).select(*left.columns)
         # A group leaves two units at most.
-        left = F.ceil(F.col("n") / GROUP) * 2
-        counts = open_.select("source", "n").distinct().withColumn("n", left)
-        open_ = found.where((F.col("p") > EPSILON) & (F.col("p") < 1 - EPSILON))
-        open_ = open_.join(counts.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-        open_ = area.put(open_.select("source", "unit", "size", "p", "n"), "open")
+        open_ = area.put(left.unionByName(waiting).withColumn("n", groups * 2), "open")
         most = open_.agg(F.max("n")).first()[0]
     if not drawn:
         taken = rows.withColumn("taken", F.lit(0))

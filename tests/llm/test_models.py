@@ -171,6 +171,20 @@ def test_mixing_in_several_groups(spark, docs, own_area, monkeypatch):
     assert mixing.mix_sources(table.where("doc_id < 0"), own_area).count() == 0
 
 
+def test_mixing_of_long_documents_beside_and_in_larger_sources(spark, docs, own_area, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 40)
+    sizes = [6000, 5900, 5800, *(2**k for k in range(13)), *range(3, 60, 3)]
+    rows = [("small", n) for n in sizes] + [("tall", n) for n in sizes * 3] + [("hot", 1 + i % 50) for i in range(600)]
+    table = docs([(i, "w " * n) for i, (_, n) in enumerate(rows)])
+    names = splits.F.array(*(splits.F.lit(name) for name, _ in rows))
+    table = table.withColumn("source", splits.F.element_at(names, (splits.F.col("doc_id") + 1).cast("int")))
+    found = mixing.mix_sources(table, own_area).collect()
+    assert len(found) == len(rows)
+    for name in ("small", "tall", "hot"):
+        mine = [r for r in found if r["source"] == name]
+        assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 5
+
+
 def test_edit_distance_and_pieces():
     rng = random.Random(6)
     for _ in range(150):
