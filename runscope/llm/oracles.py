@@ -51,4 +51,50 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT comp.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, comp.doc_id = component_id AS kept
 FROM comp LEFT JOIN n ON n.doc_id = comp.doc_id"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_dedup": OP2, "op6_near_duplicates": OP6}
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS one, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS two,
+             ('0x' || substr(h, 25, 8))::BIGINT % 100 AS draw FROM d),
+c AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                             WHEN draw < 50 THEN 'spm' ELSE 'psm' END AS form,
+             array_to_string(u[1:least(one, two)], '') AS a, array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS b,
+             array_to_string(u[greatest(one, two) + 1:n], '') AS c FROM e)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+                        ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c"""
+
+LOWER_TERMS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWER_TERMS} AS ws FROM documents),
+w AS (SELECT i, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT i) >= 3),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+             1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(n.n, 0) + v.v)::HUGEINT AS p
+      FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(c.c) + 1)) // (any_value(m.n) + any_value(v.v))::HUGEINT AS q
+      FROM c JOIN v ON v.lang = c.lang JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY 1) m ON m.lang = c.lang GROUP BY 1, 2),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p.p - l.q) * (p.p - l.q) // l.q AS value
+          FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE p.c > 0 AND p.p > l.q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pairs
+           UNION ALL
+           SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+                                 row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM terms) WHERE rank <= 200)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_dedup": OP2, "op6_near_duplicates": OP6, "op12_fill_in_middle": OP12, "op13_source_audit": OP13}
