@@ -46,7 +46,7 @@ def _send(groups: dict) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, names=["lang", "source", "term", "count", "docs"])
 
 
-def count_terms(docs: DataFrame) -> DataFrame:
+def count_terms(docs: DataFrame, held_terms: int = HELD_TERMS) -> DataFrame:
     """(lang, source, term, count, docs) of a table with text, lang and source that are not null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +62,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
                 counts.update(found)
                 seen.update(found.keys())
                 held += len(counts)
-                if held > HELD_TERMS:
+                if held > held_terms:
                     yield from _send(groups)
                     groups.clear()
                     held = 0

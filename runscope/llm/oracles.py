@@ -51,6 +51,13 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT comp.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, comp.doc_id = component_id AS kept
 FROM comp LEFT JOIN n ON n.doc_id = comp.doc_id"""
 
+#: Text of the article element, for pages whose references are those decoded here.
+OP11 = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS t FROM a),
+b AS (SELECT page_id, url, trim(regexp_replace(t, '[\s\xa0]+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM b"""
+
 OP12 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
                   sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -97,4 +104,4 @@ ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (
                                  row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM terms) WHERE rank <= 200)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_dedup": OP2, "op6_near_duplicates": OP6, "op12_fill_in_middle": OP12, "op13_source_audit": OP13}
+ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_dedup": OP2, "op6_near_duplicates": OP6, "op11_html_extraction": OP11, "op12_fill_in_middle": OP12, "op13_source_audit": OP13}

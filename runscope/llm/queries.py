@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runscope.llm import audit, decontaminate, fingerprints, infill, language, lmscore, mixing, neardup, quality, repeats, suffixes, toxicity
+from runscope.llm import audit, decontaminate, extract, fingerprints, infill, language, lmscore, mixing, neardup, quality, repeats, suffixes, toxicity
 from runscope.llm.oracles import ORACLES
 from runscope.llm.splits import remainder
 from runscope.plans.stage import StageArea
@@ -76,6 +76,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.extract_text(table(spark, sf_dir, "pages"), StageArea(spark, "extract"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents")))
     digests = [F.sha2(name, 256).alias(f"{name}_sha256") for name in ("output", "restored")]
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op11_html_extraction": op11_html_extraction,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_source_audit": op13_source_audit,
 }
