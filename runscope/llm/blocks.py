@@ -150,9 +150,10 @@ def ask(
     """
 
     def answer(table: pa.Table) -> pa.Table:
-        bodies = [np.frombuffer(b, kind) for b in table.column("body").to_pylist()]
-        lengths = np.array([len(b) for b in bodies])
-        found = decide(np.concatenate(bodies), np.repeat(table.column("block").to_numpy(), lengths))
+        parts = [buffers(chunk) for chunk in table.column("body").chunks]
+        lengths = np.concatenate([np.diff(ends) for _, ends in parts]) // kind.itemsize
+        bodies = [data.view(kind) for data, _ in parts]
+        found = decide(bodies[0] if len(bodies) == 1 else np.concatenate(bodies), np.repeat(table.column("block").to_numpy(), lengths))
         each = np.split(found, np.cumsum(lengths)[:-1])
         keep = np.array([x.dtype.kind == "V" or x.any() for x in each], bool)
         bodies = [(np.packbits(x) if x.dtype == bool else x).tobytes() for x in each]

@@ -6,7 +6,10 @@ time on stretches spread evenly over whole texts of a bounded sample of document
 depend on the data, so every task holds it, and each document is labelled where it is read.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text if
-no language can be learned. Ties go to the language that sorts first.
+no language can be learned, and an empty table gives no rows. Ties go to the language that sorts first. Very long
+texts are labelled whole, stretch by stretch; repeated rows are labelled alike, and each takes part in the sample.
+Training has a least number of steps, so small tables are learned too. Only doc_id, text and lang are read,
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ STRETCH = 64
 STRETCHES = 2048
 PAD = 0x20
 SLICE = 4 << 20
+#: Steps of training at least, and the loss at which it may end before.
+LEAST_STEPS = 240
+LOSS_REACHED = 0.01
 UNKNOWN = "und"
 ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 
@@ -124,21 +130,28 @@ class LanguageModel:
         return out
 
 
-def train(codes: np.ndarray, labels: np.ndarray, languages: list[str], units: int, epochs: int, batch: int = 256) -> LanguageModel:
-    """Fit by Adam on stretches *codes* (n, time) with one language number each."""
+def train(
+    codes: np.ndarray, labels: np.ndarray, languages: list[str], units: int, epochs: int, batch: int = 256, least: int = LEAST_STEPS
+) -> LanguageModel:
+    """Fit by Adam on stretches *codes* (n, time) with one language number each.
+
+    Small samples are gone through more often, for *least* steps; a mean loss below ``LOSS_REACHED`` over the last 20 steps ends it.
+    """
     rng = np.random.default_rng(3)
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     layers = [Direction(draw(256, 3 * units, scale=0.3), draw(units, 3 * units, scale=units**-0.5)) for _ in range(2)]
     model = LanguageModel(languages, *layers, draw(2 * units, len(languages), scale=0.3), np.zeros(len(languages), np.float32))
     weights = [model.forward.inputs, model.forward.hidden, model.backward.inputs, model.backward.hidden, model.readout, model.bias]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    rounds = epochs * max(1, len(codes) // batch)
+    rounds = max(least, epochs * (len(codes) // batch))
     for step in range(1, rounds + 1):
         chosen = rng.integers(0, len(codes), min(batch, len(codes)))
         x, y = codes[chosen].T.copy(), labels[chosen]
         kept: tuple[list, list] = ([], [])
         found, states = model.labels(x, kept)
         model.losses.append(float(-np.log(found[:, np.arange(len(y)), y] + 1e-9).mean()))
+        if step > 20 and np.mean(model.losses[-20:]) < LOSS_REACHED:
+            break
         error = found.copy()
         error[:, np.arange(len(y)), y] -= 1
         error /= x.size

@@ -14,12 +14,14 @@ sequential files: pieces are short, and a part holds a bounded number of them. A
 many different pieces is not brought together at all: its windows are compared by their hashes.
 
 Defined results: a null text is empty; bytes are those of UTF-8, and matches never cross documents.
-Repeats are judged on the input, so all copies of a repeated string go. Ids play no part.
+Repeats are judged on the input, so all copies of a repeated string go, those in repeated rows too. Ids play no part. Very long texts are
+worked through in overlapping stretches. Other columns are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,11 @@ from runscope.plans.stage import StageArea
 
 #: Different pieces of one anchor that may meet in a task.
 MOST_PIECES = 20_000
-#: A block's arrays take about a hundred times its bytes.
 BLOCK_BYTES = 1 << 19
+#: Bytes worked on at once: their arrays take about a hundred times as much.
+STRETCH = 1 << 17
+#: Room for a place in a stretch below 40 bits of hash.
+PLACE_BITS, PLACE_MASK = np.uint64(24), np.uint64(2**24 - 1)
 #: Parts of the question that carries bytes, for each part of the others.
 SHIPPED = 4
 REPEATED, SEVERAL, CROWDED = np.uint64(1), np.uint64(2), np.uint64(4)
@@ -85,27 +90,28 @@ def smallest_in_windows(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Pieces:
-    """Pieces of one block: windows ``low`` to ``high`` around the byte ``anchor``; equal ones have one number."""
+    """Pieces of one block: windows ``low`` to ``high`` around the byte ``anchor``; equal ones have one number.
 
-    def __init__(self, block: Block, width: int) -> None:
-        self.block, self.width, data = block, width, block.data
-        grams = windows(BYTE_VALUES[data], gram(width))
-        # 40 bits of hash, then the place: the leftmost of equal hashes is the smallest.
-        place = np.arange(len(grams), dtype=np.uint64)
-        least = smallest_in_windows(grams >> np.uint64(24) << np.uint64(24) | place & np.uint64(2**24 - 1), width - gram(width) + 1)
-        sizes = np.maximum(np.diff(block.offsets) - width + 1, 0)
-        ends = np.cumsum(sizes)
-        starts = np.repeat(block.offsets[:-1] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        anchor = starts + (((least[starts] & np.uint64(2**24 - 1)).astype(np.int64) - starts) & (2**24 - 1))
-        new = np.ones(len(starts), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
-        first = np.flatnonzero(new)
-        self.low, self.anchor = starts[first], anchor[first]
-        self.high = starts[np.append(first[1:], len(starts)) - 1] if len(first) else first
-        self.key = grams[self.anchor]
-        content = Ranges(data, BASES[0])(self.low, self.high + width) + (self.anchor - self.low).astype(np.uint64)
-        order = np.lexsort((content, self.key))
-        key, content = self.key[order], content[order]
+    Bytes are worked through in overlapping stretches, so the arrays of a very long text stay small. A piece that
+    a stretch may have cut is taken up again, whole, by the next one.
+    """
+
+    def __init__(self, block: Block, width: int, stretch: int = STRETCH) -> None:
+        self.block, self.width, self.stretch = block, width, max(stretch, 4 * width)
+        found, first = [], 0
+        while first + width <= len(block.data):
+            last = min(first + self.stretch, len(block.data))
+            pieces = self._pieces(first, last)
+            after = last - width + 1
+            if last < len(block.data) and len(pieces[0]) and pieces[1][-1] == last - width:
+                after = int(pieces[0][-1])
+                pieces = [values[:-1] for values in pieces]
+            found.append(pieces)
+            first = after
+        empty = [np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]
+        self.low, self.high, self.anchor, key, content = map(np.concatenate, zip(empty, *found, strict=True))
+        order = np.lexsort((content, key))
+        key, content = key[order], content[order]
         start = np.ones(len(order), bool)
         start[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
         self.which = np.empty(len(order), np.int64)
@@ -116,6 +122,28 @@ class Pieces:
         self.asked["key"], self.asked["content"] = key[start], content[start]
         self.asked["n"] = np.minimum(np.bincount(self.which, minlength=len(self.chosen)), 2**20)
 
+    def _pieces(self, first: int, last: int) -> list[np.ndarray]:
+        """Low, high, anchor, key and content of the pieces of windows inside the bytes from *first* to *last*."""
+        width, data = self.width, self.block.data[first:last]
+        grams = windows(BYTE_VALUES[data], gram(width))
+        # 40 bits of hash, then the place in the stretch: the leftmost of equal hashes is the smallest.
+        place = np.arange(len(grams), dtype=np.uint64)
+        least = smallest_in_windows(grams >> PLACE_BITS << PLACE_BITS | place, width - gram(width) + 1)
+        offsets = self.block.offsets
+        some = slice(max(int(np.searchsorted(offsets, first, "right")) - 1, 0), int(np.searchsorted(offsets, last)))
+        begin, end = np.maximum(offsets[:-1][some], first) - first, np.minimum(offsets[1:][some], last) - first
+        sizes = np.maximum(end - begin - width + 1, 0)
+        ends = np.cumsum(sizes)
+        starts = np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        anchor = (least[starts] & PLACE_MASK).astype(np.int64)
+        new = np.ones(len(starts), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+        head = np.flatnonzero(new)
+        low, anchor = starts[head], anchor[head]
+        high = starts[np.append(head[1:], len(starts)) - 1] if len(head) else head
+        content = Ranges(data, BASES[0])(low, high + width) + (anchor - low).astype(np.uint64)
+        return [low + first, high + first, anchor + first, grams[anchor], content]
+
     def shipped(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pieces whose anchors have several, with their bytes in line with the anchor; and their numbers."""
         numbers = np.flatnonzero((told & (SEVERAL | CROWDED)) == SEVERAL)
@@ -136,15 +164,18 @@ class Pieces:
         counts = self.high[some] - self.low[some] + 1
         starts = np.repeat(self.low[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         found = np.zeros(len(starts), WINDOW)
-        if len(starts):
+        cuts = np.flatnonzero(np.diff(starts // self.stretch, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts, len(starts))[1:], strict=True):
+            here = starts[a:b] - starts[a]
+            data = self.block.data[starts[a] : starts[b - 1] + self.width]
             for name, base in zip(("key", "check"), BASES, strict=True):
-                found[name] = Ranges(self.block.data, base)(starts, starts + self.width)
+                found[name][a:b] = Ranges(data, base)(here, here + self.width)
         found, which, n = np.unique(found, return_inverse=True, return_counts=True)
         found["n"] = n
         return found, starts, which
 
 
-def content_codes(values: np.ndarray, block: np.ndarray) -> np.ndarray:
+def content_codes(values: np.ndarray, block: np.ndarray, most: int = MOST_PIECES) -> np.ndarray:
     """Whether a piece occurs again, and whether its anchor has other pieces, or too many."""
     order = np.lexsort((values["content"], values["key"]))
     key, content = values["key"][order], values["content"][order]
@@ -156,7 +187,7 @@ def content_codes(values: np.ndarray, block: np.ndarray) -> np.ndarray:
     often = np.bincount(piece, values["n"][order])[piece] > 1
     different = np.bincount(anchor, new)[anchor]
     out = np.empty(len(order), np.uint64)
-    out[order] = often * REPEATED + (different > 1) * SEVERAL + (different > MOST_PIECES) * CROWDED
+    out[order] = often * REPEATED + (different > 1) * SEVERAL + (different > most) * CROWDED
     return out
 
 
@@ -213,12 +244,12 @@ def column_marks(pieces: np.ndarray, width: int) -> np.ndarray:
     return marks
 
 
-def repeated_bytes(block: Block, answers: list, width: int, count: int) -> np.ndarray:
+def repeated_bytes(block: Block, answers: list, width: int, count: int, stretch: int = STRETCH) -> np.ndarray:
     """Which bytes of a block go."""
-    gone = np.zeros(len(block.data) + 1, np.int64)
+    gone = np.zeros(len(block.data) + 1, np.int32)
     if answers[0] is None:
         return gone[:-1] > 0
-    pieces = Pieces(block, width)
+    pieces = Pieces(block, width, stretch)
     told = heard(answers[0], pieces.asked["key"], count, "<u8")
     whole = (told & REPEATED)[pieces.which] > 0
     np.add.at(gone, pieces.low[whole], 1)
@@ -240,27 +271,30 @@ def repeated_bytes(block: Block, answers: list, width: int, count: int) -> np.nd
         starts = starts[heard(answers[2], found["key"], count)[which]]
         np.add.at(gone, starts, 1)
         np.add.at(gone, starts + width, -1)
-    return np.cumsum(gone)[:-1] > 0
+    return np.cumsum(gone, out=gone)[:-1] > 0
 
 
 def mark_bytes(width: int) -> int:
     return -(-(width - gram(width) + 1) // 8)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 200, stretch: int = STRETCH, most_pieces: int = MOST_PIECES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, spans): every row with its kept bytes and the removed runs.
 
-    ``spans`` are (start, end) pairs of byte offsets.
+    ``spans`` are (start, end) pairs of byte offsets. *stretch*, below 2^24, bounds the bytes worked on at once,
+    *most_pieces* the different pieces of one anchor that meet in a task.
     """
+    if not 0 < stretch < 2 ** int(PLACE_BITS) or 4 * width >= 2 ** int(PLACE_BITS):
+        raise ValueError("a place in a stretch has 24 bits")
     area = StageArea(docs.sparkSession, "suffixes")
     blocks = pack(docs.select("doc_id", "text"), area, target=BLOCK_BYTES)
     count = part_count(blocks)
-    codes = ask(blocks, count, ASKED, lambda b, _: Pieces(b, width).asked, content_codes, area)
+    codes = ask(blocks, count, ASKED, lambda b, _: Pieces(b, width, stretch).asked, partial(content_codes, most=most_pieces), area)
     codes = codes.withColumnRenamed("answer", "answer_1")
     asked = blocks.join(codes, "block")
 
     def told(block: Block, answers: list) -> tuple[Pieces, np.ndarray]:
-        pieces = Pieces(block, width)
+        pieces = Pieces(block, width, stretch)
         return pieces, heard(answers[0], pieces.asked["key"], count, "<u8")
 
     def ship(block: Block, answers: list) -> np.ndarray:
@@ -287,7 +321,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, answers in unpack(batches):
-            gone = repeated_bytes(block, answers, width, count)
+            gone = repeated_bytes(block, answers, width, count, stretch)
             removed, spans, kept = [], [], []
             for i in range(len(block)):
                 here = gone[block.offsets[i] : block.offsets[i + 1]]

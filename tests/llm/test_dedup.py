@@ -65,13 +65,36 @@ def test_a_cover_meets_every_offset():
 
 
 @pytest.mark.parametrize("crowd", [20_000, 2])
-def test_suffix_dedup(spark, docs, crowd, monkeypatch):
-    monkeypatch.setattr(suffixes, "MOST_PIECES", crowd)
+@pytest.mark.parametrize("stretch", [1, 1 << 17])
+def test_suffix_dedup(spark, docs, crowd, stretch):
     rows = corpus(1)
-    found = suffixes.suffix_dedup(docs(rows), 60).withColumn("kept", F.sha2("kept", 256)).drop("spans")
+    found = suffixes.suffix_dedup(docs(rows), 60, stretch, crowd).withColumn("kept", F.sha2("kept", 256)).drop("spans")
     assert sorted(map(tuple, found.collect())) == sorted(brute.repeated_strings(rows, 60))
 
 
+@pytest.mark.parametrize("width", [20, 60])
+def test_pieces_do_not_depend_on_stretches(width):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.choice([0, 10, 300, 5000]))) + "ab" * 90 for _ in range(30)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    block = blocks.Block(0, None, np.cumsum([0, *map(len, texts)]), data, np.zeros(len(texts), bool))
+    whole = suffixes.Pieces(block, width, 2**20)
+    for stretch in (1, 777, 4096):
+        cut = suffixes.Pieces(block, width, stretch)
+        for name in ("low", "high", "anchor", "which", "asked"):
+            assert (getattr(whole, name) == getattr(cut, name)).all()
+
+
+def test_suffix_dedup_of_a_text_beyond_the_bits_of_a_place(spark, docs):
+    rng = np.random.default_rng(4)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    shared = "AB" * 100
+    long = letters(2**24 - 100) + shared + letters(3_000_000)
+    found = {r["doc_id"]: r for r in suffixes.suffix_dedup(docs([(1, long), (2, letters(500) + shared + letters(300))])).collect()}
+    assert found[1]["n_removed"] == found[2]["n_removed"] == 200
+    assert found[1]["spans"] == [2**24 - 100, 2**24 + 100] and found[2]["spans"] == [500, 700]
+
+
 def test_suffix_spans(spark, docs):
     text = "x" * 10 + "".join(map(chr, range(0x4E00, 0x4E00 + 80)))
     found = {r["doc_id"]: r for r in suffixes.suffix_dedup(docs([(1, text), (2, "y" * 7 + text[5:])])).collect()}

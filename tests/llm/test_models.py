@@ -1,6 +1,7 @@
 """Learned scores, fingerprints, mixing and decontamination: held-out accuracy, invariants and brute force."""
 
 import math
+import os
 import random
 import zlib
 
@@ -83,6 +84,16 @@ def test_language(spark, docs, spoken):
     assert {r["lang_pred"] for r in language.identify(odd, None).collect()} == {"und"}
 
 
+def test_language_of_a_small_table(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are not there")
+    docs = spark.read.parquet(path)
+    found = language.identify(docs, language.fit(docs.where(splits.remainder(3) != 1)))
+    pairs = docs.where(splits.remainder(3) == 1).select("doc_id", "lang").join(found, "doc_id").where("lang_pred <> 'und' and lang is not null").collect()
+    assert len(pairs) > 40 and np.mean([r["lang"] == r["lang_pred"] for r in pairs]) > 0.9
+
+
 def test_recurrent_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     layer = language.Direction(rng.normal(0, 0.5, (256, 9)), rng.normal(0, 0.5, (3, 9)))
