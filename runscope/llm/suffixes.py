@@ -142,7 +142,8 @@ class Pieces:
         low, anchor = starts[head], anchor[head]
         high = starts[np.append(head[1:], len(starts)) - 1] if len(head) else head
         content = Ranges(data, BASES[0])(low, high + width) + (anchor - low).astype(np.uint64)
-        return [low + first, high + first, anchor + first, grams[anchor], content]
+        # The least hashes crowd at the low end; mixed again they fall into the parts evenly.
+        return [low + first, high + first, anchor + first, mix(grams[anchor] ^ STEP), content]
 
     def shipped(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pieces whose anchors have several, with their bytes in line with the anchor; and their numbers."""
