@@ -72,6 +72,11 @@ def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.searchsorted(owner[new], np.arange(len(block) + 1))
 
 
+def spread(values: np.ndarray) -> np.ndarray:
+    """One-to-one on values with free low bits: the least ones, which are asked about, fall into all parts alike."""
+    return values * STEP
+
+
 def retained(n: np.ndarray, percent: int) -> np.ndarray:
     """Values of a set of size n that every set at the threshold shares at least one of."""
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
@@ -114,8 +119,8 @@ class Sets:
         return np.repeat(np.arange(len(self.at)), self.n)
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct lower values, and the same with the number of holders in the low bits."""
-        keys, n = np.unique(self.values[self.values < COUNTED], return_counts=True)
+        """Distinct lower values, spread over all parts, and the same with the number of holders in the low bits."""
+        keys, n = np.unique(spread(self.values[self.values < COUNTED]), return_counts=True)
         out = np.zeros(len(keys), COUNT)
         out["key"] = keys | np.minimum(n, MOST_COUNTED).astype(np.uint64)
         return keys, out
@@ -127,12 +132,13 @@ class Sets:
         common = np.zeros(len(self.values), bool)
         low = self.values < COUNTED
         if len(keys):
-            common[low] = heard(answer, asked["key"], count)[np.searchsorted(keys, self.values[low])]
+            common[low] = heard(answer, asked["key"], count)[np.searchsorted(keys, spread(self.values[low]))]
         order = np.lexsort((self.values, common, owner))
         rank = np.arange(len(order)) - np.repeat(self.first[:-1], self.n)
         keep = order[rank < np.repeat(retained(self.n, percent), self.n)]
-        sorted_ = np.argsort(self.values[keep], kind="stable")
-        return Lists(self.number, self.at, self.n, self.sketches(), self.values[keep][sorted_], owner[keep][sorted_])
+        keys = spread(self.values[keep])
+        sorted_ = np.argsort(keys, kind="stable")
+        return Lists(self.number, self.at, self.n, self.sketches(), keys[sorted_], owner[keep][sorted_])
 
     def sketches(self) -> np.ndarray:
         """(sets, SKETCH): high bits of the smallest values; short sets are filled with the largest number."""
@@ -256,9 +262,11 @@ class NearDuplicates:
         answer = ask(self.sets, count, COUNT, lambda s, _: s.counted()[1], common, self.area, read_sets)
         schema = "block long, " + ", ".join(f"{name} binary" for name in LISTS)
         self.lists = self.area.put(self.sets.join(answer, "block", "left").mapInArrow(retain, schema), "lists")
+        self.area.drop(answer)
         links = self.verified(self._leaders())
         more = self._across(connected_components(links, self.area))
-        self.area.drop(self.sets)
+        for table in (self.sets, self.lists):
+            self.area.drop(table)
         return self.area.put(
             connected_components(links.unionByName(more), self.area).select(F.col("node").alias("class"), "component"), "components"
         )
@@ -308,7 +316,9 @@ class NearDuplicates:
         named = [sketches.select(F.col("row").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
         near = pairs.join(named[0], "a").join(named[1], "b").mapInArrow(_possible, "a long, b long, shared long")
         best = near.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("best"))
-        return self.area.put(best.select("a", (-F.col("best.b")).alias("b")), "pairs")
+        found = self.area.put(best.select("a", (-F.col("best.b")).alias("b")), "pairs")
+        self.area.drop(pairs)
+        return found
 
     def _across(self, components: DataFrame) -> DataFrame:
         """(a, b): links between different components, found in the lists where they meet.
@@ -385,6 +395,7 @@ class NearDuplicates:
         families = families.withColumn("linked", F.coalesce("linked", "node"))
         place = self.rows.where("row = class").select("block", F.col("row").alias("node"))
         wanted = self.area.put(families.join(place, "node"), "families")
+        self.area.drop(answer)
         asked = wanted.groupBy("block").agg(F.collect_list("node").alias("answer"))
         bodies = self.sets.join(asked, "block").mapInArrow(_bodies, "row long, body binary")
         members = bodies.join(wanted.drop("block").withColumnRenamed("node", "row"), "row")
@@ -423,7 +434,9 @@ class NearDuplicates:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         joined = pairs.join(named[0], "a").join(named[1], "b").select("a", "b", "body_a", "body_b")
-        return self.area.put(joined.mapInArrow(run, "a long, b long"), "links")
+        found = self.area.put(joined.mapInArrow(run, "a long, b long"), "links")
+        self.area.drop(sets)
+        return found
 
 
 def _wide(packed: np.ndarray) -> np.ndarray:
