@@ -1,13 +1,14 @@
-"""Exact nearest-partner joins over blocks of bounded size.
+"""Exact nearest-partner joins over a two-level tree of blocks.
 
-A small sample picks the split planes of a k-d tree; every row is assigned to a leaf and the true
-bounding box of each leaf is computed from all rows. A row is first compared with its own leaf,
-which bounds the distance of its partners, and then only with the leaves whose box comes closer
-than that bound. The sample decides how much is pruned, never what is found.
+A sample picks the split planes of a coarse k-d tree. Each coarse leaf is cut further where its rows are, by
+rank, into blocks of at most ``BLOCK_ROWS`` rows, however many rows crowd in one place; true
+bounding boxes come from all rows. A row first meets its own block, which bounds the distance of its partners. The
+boxes of coarse leaves, a fixed number, tell which leaves may hold closer ones, the boxes of their blocks, found by a
+join, tell which blocks. So the work of a row depends on its neighbourhood, not on the size of the
+table. Sample and planes decide how much is pruned, never what is found.
 
-Rows of a leaf are packed into blocks, and a task compares two blocks at a time; only the best
-partners of each row leave the task. Equal vectors are one row here (see ``distinct_points``), so
-piles of copies cannot fill a leaf.
+Blocks that very many rows ask for are dealt to several tasks. Equal vectors are one row here (see
+``distinct_points``), so piles of copies cannot fill a block.
 """
 
 from __future__ import annotations
@@ -23,11 +24,16 @@ from pyspark.sql.window import Window
 
 from runscope.plans.stage import StageArea
 
-BLOCK_ROWS = 1024
-LEAF_ROWS = 1024
-MAX_LEAVES = 16_384
+BLOCK_ROWS = 512
+#: Rows of a coarse leaf, as long as there are fewer than MOST_LEAVES; beyond, leaves get more blocks.
+LEAF_ROWS = 8192
+#: Coarse leaves, whose boxes every task holds.
+MOST_LEAVES = 16_384
 SAMPLE_ROWS = 100_000
 TIE_DIGITS = 9  # distances that agree to this many decimals are ties, broken by the smaller ID
+#: Groups of rows that ask for one block in one task; a block asked for more often, and by more than this share of all, is dealt out.
+GROUPS_AT_ONCE = 256
+HOT_SHARES = 4096
 
 
 @dataclass(frozen=True)
@@ -66,6 +72,21 @@ def fit_tree(sample: np.ndarray, depth: int) -> SplitTree:
     return SplitTree(dims, values, depth)
 
 
+def rank_split(points: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers in groups of at most *most*, halved by rank along the widest axis."""
+    waiting, done = [np.arange(len(points))], []
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) <= most:
+            done.append(rows)
+            continue
+        part = points[rows]
+        axis = int((part.max(axis=0) - part.min(axis=0)).argmax())
+        order = np.argpartition(part[:, axis], len(rows) // 2)
+        waiting += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+    return done
+
+
 def distinct_points(points: DataFrame, copies: int) -> DataFrame:
     """(id, vec, members): one row per distinct vector, led by its smallest ID.
 
@@ -79,76 +100,120 @@ def distinct_points(points: DataFrame, copies: int) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class LeafBoxes:
-    """Bounding box and smallest weight of each leaf; at most MAX_LEAVES of them."""
+class Boxes:
+    """Bounding box and smallest weight of each member of a list of leaves or blocks."""
 
-    leaf_ids: np.ndarray
+    names: np.ndarray
     lows: np.ndarray
     highs: np.ndarray
     weights: np.ndarray
 
+    def squares(self, points: np.ndarray) -> np.ndarray:
+        """Squared distances of points to the boxes, one dimension at a time to keep the arrays small."""
+        total = np.zeros((len(points), len(self.names)))
+        for i in range(points.shape[1]):
+            x = points[:, i, None]
+            gap = np.maximum(np.maximum(self.lows[None, :, i] - x, x - self.highs[None, :, i]), 0.0)
+            total += gap * gap
+        return total
+
+    def least_scores(self, points: np.ndarray, weights: np.ndarray, ward: bool) -> np.ndarray:
+        """What the score of a point with any row of each box is at least."""
+        lower = self.squares(points)
+        if ward:
+            return lower * (weights[:, None] * self.weights[None] / (weights[:, None] + self.weights[None]))
+        return np.sqrt(lower)
+
+    def within(self, points: np.ndarray, weights: np.ndarray, bounds: np.ndarray, ward: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """(box, rows): for every box the points that may find a score within their bound in it."""
+        step = max(1, 2_000_000 // max(len(self.names), 1))
+        found = []
+        for low in range(0, len(points), step):
+            part = slice(low, low + step)
+            # A hair of slack keeps rounding from excluding a box that holds a tie.
+            limit = bounds[part, None] * (1 + 1e-9) + 10.0**-TIE_DIGITS
+            found.append(self.least_scores(points[part], weights[part], ward) <= limit)
+        near = np.concatenate(found)
+        for box in np.flatnonzero(near.any(axis=0)):
+            yield int(box), np.flatnonzero(near[:, box])
 
-def build_index(
-    points: DataFrame,
-    area: StageArea,
-    leaf_rows: int = LEAF_ROWS,
-    block_rows: int = BLOCK_ROWS,
-    rows: int | None = None,
-) -> tuple[DataFrame, LeafBoxes]:
-    """Packed blocks and leaf boxes. *points* has (id, vec, weight); it should be a staged table
-    because it is read three times."""
-    first = points.select(F.size("vec").alias("d")).first()
-    dims = first["d"] if first else 0
-    rows = points.count() if rows is None else rows
+
+@dataclass(frozen=True)
+class Index:
+    """Blocks (leaf, block, ids, vecs, weights, asks, low, high, least), the boxes of coarse leaves, and the number of tasks."""
+
+    blocks: DataFrame
+    coarse: Boxes
+    dims: int
+    tasks: int
+
+    def fine(self) -> DataFrame:
+        """(leaf, boxes): the boxes of the blocks of each coarse leaf."""
+        box = F.struct("block", "low", "high", "least")
+        return self.blocks.groupBy("leaf").agg(F.collect_list(box).alias("boxes"))
+
+
+_BLOCK = (
+    "leaf int, block string, ids array<long>, vecs array<double>, weights array<double>, asks array<boolean>, "
+    "low array<double>, high array<double>, least double"
+)
+
+
+def sample_tree(points: DataFrame, rows: int, leaf_rows: int, turn: np.ndarray | None = None) -> SplitTree | None:
+    """Coarse tree of a table with ``vec``, fitted in the coordinates *turn* rotates it to; None for one leaf."""
     depth = 0
-    while (rows >> depth) > leaf_rows and (1 << depth) < MAX_LEAVES:
+    while (rows >> depth) > leaf_rows and (1 << depth) < MOST_LEAVES:
         depth += 1
-    if depth:
-        fraction = min(1.0, SAMPLE_ROWS / rows)
-        picked = points.select("vec") if fraction == 1.0 else points.select("vec").sample(fraction, seed=42)
-        sample = np.array([row["vec"] for row in picked.limit(2 * SAMPLE_ROWS).collect()], dtype=float)
-        tree = fit_tree(sample, depth)
-
-        @F.pandas_udf("int")
-        def leaf_of(vec: pd.Series) -> pd.Series:
-            return pd.Series(tree.assign(np.stack(vec.to_numpy())).astype("int32"))
-
-        points = area.put(points.withColumn("leaf", leaf_of("vec")), "leaf")
-    else:
-        points = points.withColumn("leaf", F.lit(0))
-
-    box = [F.min(F.col("vec")[i]).alias(f"lo{i}") for i in range(dims)]
-    box += [F.max(F.col("vec")[i]).alias(f"hi{i}") for i in range(dims)]
-    stats = points.groupBy("leaf").agg(F.count("*").alias("n"), F.min("weight").alias("w"), *box).collect()
-    stats.sort(key=lambda r: r["leaf"])
-    boxes = LeafBoxes(
-        np.array([r["leaf"] for r in stats], dtype=np.int64),
-        np.array([[r[f"lo{i}"] for i in range(dims)] for r in stats], dtype=float),
-        np.array([[r[f"hi{i}"] for i in range(dims)] for r in stats], dtype=float),
-        np.array([r["w"] for r in stats], dtype=float),
-    )
-    return _pack(points, {r["leaf"]: -(-r["n"] // block_rows) for r in stats}), boxes
-
-
-def _pack(points: DataFrame, pieces: dict[int, int]) -> DataFrame:
-    """Blocks of a bounded number of rows as parallel arrays; a hash spreads a leaf over its pieces."""
-    if max(pieces.values(), default=1) > 1:
-        # One small row per leaf, at most MAX_LEAVES of them.
-        counts = points.sparkSession.createDataFrame(sorted(pieces.items()), "leaf int, pieces long")
-        points = points.join(F.broadcast(counts), "leaf")
-        piece = F.pmod(F.xxhash64("id"), F.col("pieces"))
-    else:
-        piece = F.lit(0).cast("long")
-    packed = points.groupBy("leaf", piece.alias("piece")).agg(
-        F.collect_list(F.struct("id", "vec", "weight")).alias("rows")
-    )
-    return packed.select(
-        "leaf",
-        F.concat_ws("/", "leaf", "piece").alias("block"),
-        F.col("rows.id").alias("ids"),
-        F.flatten(F.col("rows.vec")).alias("vecs"),
-        F.col("rows.weight").alias("weights"),
-    )
+    if not depth:
+        return None
+    fraction = min(1.0, SAMPLE_ROWS / rows)
+    picked = points.select("vec") if fraction == 1.0 else points.select("vec").sample(fraction, seed=42)
+    sample = np.array([row["vec"] for row in picked.limit(2 * SAMPLE_ROWS).collect()], dtype=float)
+    return fit_tree(sample if turn is None else sample @ turn, depth)
+
+
+def build_index(
+    points: DataFrame, area: StageArea, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS, rows: int | None = None
+) -> Index:
+    """*points* has (id, vec, weight) and, if only some rows ask for partners, ``asks``; it should be a staged table."""
+    rows = points.count() if rows is None else rows
+    if "asks" not in points.columns:
+        points = points.withColumn("asks", F.lit(True))
+    tree = sample_tree(points, rows, leaf_rows)
+
+    @F.pandas_udf("int")
+    def leaf_of(vec: pd.Series) -> pd.Series:
+        return pd.Series(tree.assign(np.stack(vec.to_numpy())).astype("int32"))
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf, points = int(pdf["leaf"].iloc[0]), np.stack(pdf["vec"].to_numpy()).astype(float)
+        columns = {name: pdf[name].to_numpy() for name in ("id", "weight", "asks")}
+        out = []
+        for number, part in enumerate(rank_split(points, block_rows)):
+            part = part[np.argsort(columns["id"][part])]
+            inside = points[part]
+            values = [columns[name][part] for name in ("id", "weight", "asks")]
+            box = (inside.min(axis=0), inside.max(axis=0), float(values[1].min()))
+            out.append((leaf, f"{leaf}/{number}", values[0], inside.ravel(), values[1], values[2], *box))
+        return pd.DataFrame(out, columns=["leaf", "block", "ids", "vecs", "weights", "asks", "low", "high", "least"])
+
+    spark = points.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = points.withColumn("leaf", leaf_of("vec") if tree else F.lit(0))
+    blocks = placed.select("leaf", "id", "vec", "weight", "asks").groupBy("leaf").applyInPandas(cut, _BLOCK)
+    # Few bytes but much work per row: a given partition count keeps small partitions from being merged.
+    blocks = area.put(blocks.repartition(tasks, "block"), "blocks")
+    return Index(blocks, *leaf_boxes(blocks), tasks)
+
+
+def leaf_boxes(blocks: DataFrame) -> tuple[Boxes, int]:
+    """The boxes of coarse leaves, at most MOST_LEAVES of them, and the number of dimensions."""
+    first = blocks.select(F.size("low").alias("d")).first()
+    dims = first["d"] if first else 0
+    box = [F.min(F.col("low")[i]).alias(f"lo{i}") for i in range(dims)] + [F.max(F.col("high")[i]).alias(f"hi{i}") for i in range(dims)]
+    stats = sorted(blocks.groupBy("leaf").agg(F.min("least").alias("w"), *box).collect(), key=lambda r: r["leaf"])
+    bounds = (np.array([[r[f"{end}{i}"] for i in range(dims)] for r in stats], dtype=float) for end in ("lo", "hi"))
+    return Boxes(np.array([r["leaf"] for r in stats], dtype=np.int64), *bounds, np.array([r["w"] for r in stats], dtype=float)), dims
 
 
 def _pair_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,22 +225,6 @@ def _pair_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _slices(rows: int, boxes: LeafBoxes) -> list[slice]:
-    """Row ranges for which a table of distances to all boxes stays small."""
-    step = max(1, 2_000_000 // max(len(boxes.leaf_ids), 1))
-    return [slice(i, i + step) for i in range(0, rows, step)]
-
-
-def _box_squares(points: np.ndarray, boxes: LeafBoxes) -> np.ndarray:
-    """Squared distances of points to leaf boxes, one dimension at a time to keep the arrays small."""
-    total = np.zeros((len(points), len(boxes.leaf_ids)))
-    for i in range(points.shape[1]):
-        x = points[:, i, None]
-        gap = np.maximum(np.maximum(boxes.lows[None, :, i] - x, x - boxes.highs[None, :, i]), 0.0)
-        total += gap * gap
-    return total
-
-
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k smallest scores of every row, ties by ID."""
     if scores.shape[1] > 4 * k:
@@ -188,93 +237,146 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
-# A result row has leaf -1 and the partners found; any other row asks for a visit of its leaf.
+@dataclass(frozen=True)
+class Matcher:
+    """Scores between rows and blocks. With *same* both sides are one table and a row is no partner of itself."""
+
+    k: int
+    ward: bool
+    same: bool
+
+    def match(self, ids, points, weights, bounds, block_ids, block_points, block_weights) -> tuple[list, list, np.ndarray]:
+        """Partners and scores of each row within its bound, and the bound that results from this block."""
+        squares = _pair_squares(points, block_points)
+        if self.ward:
+            scores = squares * (weights[:, None] * block_weights[None, :] / (weights[:, None] + block_weights[None, :]))
+        else:
+            scores = np.round(np.sqrt(squares), TIE_DIGITS)
+        if self.same:
+            scores[ids[:, None] == block_ids[None, :]] = np.inf
+        scores, partners = _best(scores, np.broadcast_to(block_ids, scores.shape), self.k)
+        known = np.isfinite(scores) & (scores <= bounds[:, None])
+        new = scores[:, -1] if scores.shape[1] == self.k else np.full(len(ids), np.inf)
+        return [p[f] for p, f in zip(partners, known, strict=True)], [s[f] for s, f in zip(scores, known, strict=True)], new
+
+
+# A row with partners is a result; any other asks for a visit to its coarse leaf.
 _FOUND = (
-    "leaf int, block string, ids array<long>, vecs array<double>, weights array<double>, "
+    "leaf int, seen string, ids array<long>, vecs array<double>, weights array<double>, bounds array<double>, "
     "partners array<array<long>>, scores array<array<double>>"
 )
+_FOUND_NAMES = ["leaf", "seen", "ids", "vecs", "weights", "bounds", "partners", "scores"]
+_VISIT = "block string, ids array<long>, vecs array<double>, weights array<double>, bounds array<double>"
 _RESULT = -1
 
 
-def _matcher(k: int, ward: bool, boxes: LeafBoxes | None, same: bool):
-    """Task body: joined block pairs in, the best partners of each query row out.
+def _grid(values, rows: int) -> np.ndarray:
+    return np.asarray(values, dtype=float).reshape(rows, -1)
+
 
-    Given the leaf boxes, it also asks for visits of the other leaves that the bounds cannot
-    exclude, packed per leaf. With *same* both sides are one table and a row is no partner of itself.
+def _first_match(matcher: Matcher, coarse: Boxes, alone: bool):
+    """Task body: rows next to a first block in, partners and visits to coarse leaves out.
+
+    *alone*: that block holds all there is, so no visits are needed.
     """
 
-    def scores_of(q, q_weight, d, d_weight):
-        squares = _pair_squares(q, d)
-        if ward:
-            return squares * (q_weight[:, None] * d_weight[None, :] / (q_weight[:, None] + d_weight[None, :]))
-        return np.round(np.sqrt(squares), TIE_DIGITS)
-
-    def visits(leaf, block, ids, q, weight, scores):
-        bound = scores[:, -1] if scores.shape[1] == k else np.full(len(ids), np.inf)
-        parts = [near_leaves(leaf, q[s], weight[s], bound[s]) for s in _slices(len(ids), boxes)]
-        near = np.concatenate(parts)
-        for column in np.flatnonzero(near.any(axis=0)):
-            rows = near[:, column]
-            yield int(boxes.leaf_ids[column]), block, ids[rows], q[rows].ravel(), weight[rows], None, None
-
-    def near_leaves(leaf, q, weight, bound):
-        lower = _box_squares(q, boxes)
-        if ward:
-            lower *= weight[:, None] * boxes.weights[None] / (weight[:, None] + boxes.weights[None])
-        else:
-            lower = np.sqrt(lower)
-        # A hair of slack keeps rounding from excluding a leaf that holds a tie.
-        return (lower <= bound[:, None] * (1 + 1e-9) + 10.0**-TIE_DIGITS) & (boxes.leaf_ids[None] != leaf)
-
-    def flush(state):
-        (leaf, block), ids, q, weight, scores, partners = state
-        known = np.isfinite(scores)
-        found = [p[f] for p, f in zip(partners, known)], [s[f] for s, f in zip(scores, known)]
-        rows = [(_RESULT, block, ids, None, None, *found)]
-        if boxes is not None:
-            rows.extend(visits(leaf, block, ids, q, weight, scores))
-        names = ["leaf", "block", "ids", "vecs", "weights", "partners", "scores"]
-        return pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                block_ids = np.asarray(row.ids, dtype=np.int64)
+                block_points, block_weights = _grid(row.vecs, len(block_ids)), np.asarray(row.weights, dtype=float)
+                if matcher.same:
+                    asks = np.asarray(row.asks, dtype=bool)
+                    ids, points, weights = block_ids[asks], block_points[asks], block_weights[asks]
+                else:
+                    ids = np.asarray(row.q_ids, dtype=np.int64)
+                    points, weights = _grid(row.q_vecs, len(ids)), np.asarray(row.q_weights, dtype=float)
+                if not len(ids):
+                    continue
+                open_ = np.full(len(ids), np.inf)
+                partners, scores, bounds = matcher.match(ids, points, weights, open_, block_ids, block_points, block_weights)
+                out = [(_RESULT, None, ids, None, None, None, partners, scores)]
+                if not alone:
+                    for leaf, near in coarse.within(points, weights, bounds, matcher.ward):
+                        name = int(coarse.names[leaf])
+                        out.append((name, row.block, ids[near], points[near].ravel(), weights[near], bounds[near], None, None))
+                yield pd.DataFrame(out, columns=_FOUND_NAMES)
+
+    return run
+
+
+def _block_visits(matcher: Matcher):
+    """Task body: visits to a coarse leaf, joined with the boxes of its blocks, in; visits to blocks out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
         for batch in batches:
+            out = []
             for row in batch.itertuples(index=False):
-                key = (row.leaf, row.q_block)
-                ids = np.asarray(row.q_ids, dtype=np.int64)
-                # A split join may hand out a block twice with different rows; those are kept apart.
-                if state is None or state[0] != key or not np.array_equal(state[1], ids):
-                    if state is not None:
-                        yield flush(state)
-                    q = np.asarray(row.q_vecs, dtype=float).reshape(len(ids), -1)
-                    none = np.zeros((len(ids), 0))
-                    state = (key, ids, q, np.asarray(row.q_weights, dtype=float), none, none.astype(np.int64))
-                _, ids, q, weight, scores, partners = state
-                d_ids = np.asarray(row.d_ids, dtype=np.int64)
-                d = np.asarray(row.d_vecs, dtype=float).reshape(len(d_ids), -1)
-                new = scores_of(q, weight, d, np.asarray(row.d_weights, dtype=float))
-                if same:
-                    new[ids[:, None] == d_ids[None, :]] = np.inf
-                new, new_ids = _best(new, np.broadcast_to(d_ids, new.shape), k)
-                if scores.shape[1]:
-                    new, new_ids = _best(np.hstack([scores, new]), np.hstack([partners, new_ids]), k)
-                state = (key, ids, q, weight, new, new_ids)
-        if state is not None:
-            yield flush(state)
+                ids, boxes = np.asarray(row.ids, dtype=np.int64), block_boxes(row.boxes)
+                points = _grid(row.vecs, len(ids))
+                weights, bounds = np.asarray(row.weights, dtype=float), np.asarray(row.bounds, dtype=float)
+                for box, near in boxes.within(points, weights, bounds, matcher.ward):
+                    if boxes.names[box] != row.seen:
+                        out.append((boxes.names[box], ids[near], points[near].ravel(), weights[near], bounds[near]))
+            yield pd.DataFrame(out, columns=["block", "ids", "vecs", "weights", "bounds"])
 
     return run
 
 
-def _join_blocks(queries: DataFrame, blocks: DataFrame, leaves: int) -> DataFrame:
-    """Pairs of blocks of one leaf. A merge join runs through the left rows, so a query block meets the
-    blocks of its leaf one after the other and its bound is tight before leaves are asked for."""
-    left = queries.select("leaf", *[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vecs", "weights")])
-    right = blocks.select("leaf", *[F.col(c).alias(f"d_{c}") for c in ("ids", "vecs", "weights")])
-    # Few bytes but much work per row: a fixed partition count keeps small partitions from being merged.
-    spark = queries.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    tasks = min(tasks, leaves)
-    return left.repartition(tasks, "leaf").join(right.repartition(tasks, "leaf").hint("merge"), "leaf")
+def block_boxes(rows) -> Boxes:
+    names = np.array([r["block"] for r in rows], dtype=object)
+    lows, highs = (np.array([list(r[end]) for r in rows], dtype=float) for end in ("low", "high"))
+    return Boxes(names, lows, highs, np.array([r["least"] for r in rows], dtype=float))
+
+
+def _later_match(matcher: Matcher):
+    """Task body: visits joined with their block in, partners out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                ids, block_ids = np.asarray(row.q_ids, dtype=np.int64), np.asarray(row.ids, dtype=np.int64)
+                rows = (ids, _grid(row.q_vecs, len(ids)), np.asarray(row.q_weights, dtype=float), np.asarray(row.q_bounds, dtype=float))
+                partners, scores, _ = matcher.match(*rows, block_ids, _grid(row.vecs, len(block_ids)), np.asarray(row.weights, dtype=float))
+                out.append((_RESULT, None, ids, None, None, None, partners, scores))
+            yield pd.DataFrame(out, columns=_FOUND_NAMES)
+
+    return run
+
+
+def _meet(visits: DataFrame, index: Index) -> DataFrame:
+    """Visits next to the block they ask for. *visits* is a staged table.
+
+    Blocks with more visits than others are copied to several tasks, among which their visits are
+    dealt out; there are at most HOT_SHARES of them.
+    """
+    asked = visits.groupBy("block").count()
+    total = asked.agg(F.sum("count")).first()[0] or 0
+    limit = max(GROUPS_AT_ONCE, total // HOT_SHARES)
+    hot = {row["block"]: -(-row["count"] // limit) for row in asked.where(F.col("count") > limit).collect()}
+    salt, salts = F.lit(0), F.lit(1)
+    if hot:
+        table = visits.sparkSession.createDataFrame(sorted(hot.items()), "block string, salts long")
+        visits = visits.join(F.broadcast(table), "block", "left")
+        salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1))).cast("int")
+    queries = visits.withColumn("salt", salt).select("block", "salt", *[F.col(c).alias(f"q_{c}") for c in ("ids", "vecs", "weights", "bounds")])
+    blocks = index.blocks.select("block", "ids", "vecs", "weights")
+    if hot:
+        blocks = blocks.join(F.broadcast(table), "block", "left")
+        salts = F.coalesce("salts", F.lit(1))
+    blocks = blocks.select("block", "ids", "vecs", "weights", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))).alias("salt"))
+    left, right = (side.repartition(index.tasks, "block", "salt") for side in (queries, blocks))
+    return left.join(right.hint("merge"), ["block", "salt"])
+
+
+def _search(first: DataFrame, index: Index, matcher: Matcher, area: StageArea) -> DataFrame:
+    """Partners from the first match and from the visits it asked for. *first* is a staged table."""
+    visits = first.where(F.col("leaf") != _RESULT).select("leaf", "seen", "ids", "vecs", "weights", "bounds")
+    asked = visits.repartition(index.tasks).join(index.fine(), "leaf").mapInPandas(_block_visits(matcher), _VISIT)
+    asked = area.put(asked, "visits")
+    second = _meet(asked, index).mapInPandas(_later_match(matcher), _FOUND)
+    return _top(first.where(F.col("leaf") == _RESULT).unionByName(second), matcher.k)
 
 
 def nearest(
@@ -286,14 +388,18 @@ def nearest(
     block_rows: int = BLOCK_ROWS,
     rows: int | None = None,
 ) -> DataFrame:
-    """The *k* nearest other rows of each row of (id, vec, weight), as (id, partner, score).
+    """The *k* nearest other rows of each row of (id, vec, weight[, asks]) that asks, as (id, partner, score).
 
     The score is the Euclidean distance or, with *ward*, the rise in within-cluster squares (times
     two) when two clusters of the given weights merge. Exact; ties, to TIE_DIGITS decimals of a
     distance, go to the smaller ID.
     """
-    blocks, boxes = build_index(points, area, leaf_rows, block_rows, rows)
-    return _search(blocks, blocks, boxes, k, area, ward, True)
+    index, matcher = build_index(points, area, leaf_rows, block_rows, rows), Matcher(k, ward, True)
+    alone = index.blocks.limit(2).count() < 2
+    first = index.blocks.mapInPandas(_first_match(matcher, index.coarse, alone), _FOUND)
+    if alone:
+        return _top(first, k)
+    return _search(area.put(first, "first"), index, matcher, area)
 
 
 def nearest_between(
@@ -305,36 +411,55 @@ def nearest_between(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The *k* nearest rows of *points* for each row of *queries*, both (id, vec, weight)."""
-    blocks, boxes = build_index(points, area, leaf_rows, block_rows)
-
-    @F.pandas_udf("int")
-    def closest_leaf(vec: pd.Series) -> pd.Series:
-        rows = np.stack(vec.to_numpy()).astype(float)
-        parts = [boxes.leaf_ids[_box_squares(rows[s], boxes).argmin(axis=1)] for s in _slices(len(rows), boxes)]
-        return pd.Series(np.concatenate(parts).astype("int32"))
+    index, matcher = build_index(points, area, leaf_rows, block_rows), Matcher(k, False, False)
+    if not len(index.coarse.names):
+        return queries.select("id", F.col("id").alias("partner"), F.lit(0.0).alias("score")).limit(0)
+    coarse = index.coarse
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows in groups of one closest coarse leaf."""
+        step = max(1, 2_000_000 // len(coarse.names))
+        for batch in batches:
+            for low in range(0, len(batch), step):
+                part = batch.iloc[low : low + step]
+                points = np.stack(part["vec"].to_numpy()).astype(float)
+                closest = coarse.squares(points).argmin(axis=1)
+                ids, weights = part["id"].to_numpy(), part["weight"].to_numpy(float)
+                out = [(int(coarse.names[c]), ids[r], points[r].ravel(), weights[r]) for c, r in _groups(closest, block_rows)]
+                yield pd.DataFrame(out, columns=["leaf", "ids", "vecs", "weights"])
+
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The same by closest block, next to the boxes of their coarse leaf."""
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                boxes, ids = block_boxes(row.boxes), np.asarray(row.ids, dtype=np.int64)
+                points, weights = _grid(row.vecs, len(ids)), np.asarray(row.weights, dtype=float)
+                for box, r in _groups(boxes.squares(points).argmin(axis=1), block_rows):
+                    out.append((boxes.names[box], ids[r], points[r].ravel(), weights[r], np.full(len(r), np.inf)))
+            yield pd.DataFrame(out, columns=["block", "ids", "vecs", "weights", "bounds"])
 
-    placed = area.put(queries.withColumn("leaf", closest_leaf("vec")), "queries")
-    pieces = {r["leaf"]: -(-r["count"] // block_rows) for r in placed.groupBy("leaf").count().collect()}
-    return _search(_pack(placed, pieces), blocks, boxes, k, area, False, False)
+    schema = "leaf int, ids array<long>, vecs array<double>, weights array<double>"
+    placed = queries.select("id", "vec", "weight").mapInPandas(packed, schema)
+    grouped = area.put(placed.join(index.fine(), "leaf").mapInPandas(seeds, _VISIT), "queries")
+    first = _meet(grouped, index).mapInPandas(_first_match(matcher, coarse, False), _FOUND)
+    return _search(area.put(first, "first"), index, matcher, area)
 
 
-def _search(
-    queries: DataFrame, blocks: DataFrame, boxes: LeafBoxes, k: int, area: StageArea, ward: bool, same: bool
-) -> DataFrame:
-    leaves = len(boxes.leaf_ids)
-    if leaves <= 1:
-        return _top(_join_blocks(queries, blocks, 1).mapInPandas(_matcher(k, ward, None, same), _FOUND), k)
-    first = area.put(_join_blocks(queries, blocks, leaves).mapInPandas(_matcher(k, ward, boxes, same), _FOUND), "first")
-    visits = first.where(F.col("leaf") != _RESULT)
-    second = _join_blocks(visits, blocks, leaves).mapInPandas(_matcher(k, ward, None, same), _FOUND)
-    return _top(first.where(F.col("leaf") == _RESULT).unionByName(second), k)
+def _groups(keys: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, rows) with at most *most* rows at once."""
+    for key in np.unique(keys):
+        rows = np.flatnonzero(keys == key)
+        for low in range(0, len(rows), most):
+            yield int(key), rows[low : low + most]
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """Merge the partial results of a row, at most k per visited leaf; a partner seen twice counts once."""
+    """The best k partners of each row; every block gave at most k, and each task keeps at most k before the exchange."""
     pairs = F.zip_with("scores", "partners", lambda s, p: F.arrays_zip(s.alias("score"), p.alias("partner")))
     rows = found.select("ids", pairs.alias("pairs"))
     lists = rows.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("pairs").alias("pairs"))))
-    merged = lists.groupBy("id").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
-    best = F.slice(F.array_sort(F.array_distinct("pairs")), 1, k)
-    return merged.select("id", F.inline(best)).select("id", "partner", "score")
+    each = lists.select("id", F.inline("pairs"))
+    order = Window.partitionBy("id").orderBy("score", "partner")
+    ranked = each.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    return ranked.select("id", "partner", "score")

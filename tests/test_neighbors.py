@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from runscope.operators import neighbors
-from runscope.plans.blocks import nearest_between
+from runscope.plans import blocks
+from runscope.plans.blocks import nearest, nearest_between
 
 
 def points(spark, x):
@@ -75,3 +76,43 @@ def test_fewer_rows_than_neighbours(spark, area):
     found = neighbors.knn_join(df, 10, area=area)
     assert found.count() == 6
     assert found.where(F.col("shot_id") == 1).orderBy("rank").first()["neighbor_id"] == 2
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in row], 1.0) for i, row in enumerate(x)], "id long, vec array<double>, weight double")
+
+
+def test_tiny_leaves_a_crowded_spot_and_rows_that_do_not_ask(spark, area, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(200, 3)), rng.normal(size=(150, 3)) * 1e-4, [[50.0, 50.0, 50.0]]])
+    monkeypatch.setattr(blocks, "GROUPS_AT_ONCE", 2)
+    monkeypatch.setattr(blocks, "MOST_LEAVES", 4)
+    table = area.put(vectors(spark, x).withColumn("asks", F.col("id") % 3 != 1))
+    found = nearest(table, 3, area, leaf_rows=10, block_rows=8).toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)).round(9)
+    np.fill_diagonal(d, np.inf)
+    assert set(found["id"]) == {i for i in range(len(x)) if i % 3 != 1}
+    for i, part in found.groupby("id"):
+        assert list(part.sort_values(["score", "partner"])["partner"]) == list(np.lexsort((np.arange(len(x)), d[i]))[:3])
+
+
+def test_blocks_are_bounded_however_rows_crowd():
+    x = np.zeros((1000, 2))
+    x[:, 1] = np.arange(1000) // 990
+    groups = blocks.rank_split(x, 64)
+    assert sorted(np.concatenate(groups)) == list(range(1000)) and max(map(len, groups)) <= 64
+
+
+def test_visits_of_a_row_do_not_grow_with_the_table(spark, area, monkeypatch):
+    asked, inner = [], blocks._meet
+
+    def counted(visits, index):
+        asked.append(visits.selectExpr("sum(size(ids))").first()[0])
+        return inner(visits, index)
+
+    monkeypatch.setattr(blocks, "_meet", counted)
+    for n in (2000, 16_000):
+        table = area.put(vectors(spark, np.random.default_rng(n).random((n, 3))))
+        nearest(table, 4, area, leaf_rows=500, block_rows=32).count()
+        asked[-1] /= n
+    assert asked[1] < 1.5 * asked[0]
