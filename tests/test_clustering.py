@@ -92,12 +92,40 @@ def test_dbscan_equals_brute_force(spark, area, monkeypatch, dims, eps, direct):
     np.testing.assert_array_equal(labels_of(found), expected)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"finish_rows": 25, "leaf_rows": 40, "block_rows": 16}])
-def test_ward_equals_greedy_merging(spark, area, sizes):
+LEAVES = {"leaf_rows": 16, "block_rows": 16}
+CASES = [("graded", {}), ("copies", {}), ("uniform", LEAVES), ("many axes", LEAVES), ("few", LEAVES | {"worthwhile": 2.0})]
+
+
+@pytest.mark.parametrize(("kind", "sizes"), CASES)
+def test_ward_equals_greedy_merging(spark, area, kind, sizes):
     rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal(size=(60, 2)), np.ones((20, 2)), rng.normal(size=(20, 2)) + 6])
-    found = ward.agglomerate(feature_space(points(spark, x)), 4, area, **sizes)
-    np.testing.assert_array_equal(labels_of(found), brute_ward(standard(x), 4))
+    x = {
+        "uniform": lambda: rng.random((90, 2)),
+        "few": lambda: rng.random((24, 2)),
+        "graded": lambda: (1.07 ** np.arange(60))[:, None] * (1 + 0.001 * rng.random((60, 2))),
+        "copies": lambda: np.vstack([rng.normal(size=(60, 2)), np.ones((20, 2)), rng.normal(size=(20, 2)) + 6]),
+        "many axes": lambda: rng.normal(size=(40, 5)),
+    }[kind]()
+    found = ward.agglomerate(feature_space(points(spark, x)), 5, area, **sizes)
+    np.testing.assert_array_equal(labels_of(found), brute_ward(standard(x), 5))
+
+
+def test_ward_searches_only_what_a_merge_touched(spark, area, monkeypatch):
+    asked, inner = [], ward.nearest
+
+    def counted(state, *args, **kwargs):
+        asked.append((kwargs["rows"], state.where("asks").count() if "asks" in state.columns else state.count()))
+        return inner(state, *args, **kwargs)
+
+    monkeypatch.setattr(ward, "nearest", counted)
+    x = np.random.default_rng(2).normal(size=(36, 3))
+    ward.agglomerate(feature_space(points(spark, x)), 3, area, leaf_rows=16, block_rows=32, worthwhile=2.0).count()
+    assert asked[0][0] == asked[0][1] and all(n < 0.9 * rows for rows, n in asked[1:]) and len(asked) > 1
+
+
+def test_ward_of_one_run(spark, area):
+    found = ward.agglomerate(feature_space(points(spark, np.array([[1.0], [1.0], [2.0]]))), 1, area)
+    assert list(labels_of(found)) == [0, 0, 0]
 
 
 def test_representatives_skip_noise_and_follow_given_centres(spark):
