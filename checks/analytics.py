@@ -10,6 +10,7 @@ from checks.tables import (
     FEATURES,
     LONG,
     SHOTS,
+    WIDTH,
     distance_sql,
     embedding2d,
     embedding_features,
@@ -187,18 +188,18 @@ def g10(spark, sf):
     return list_variables(shots_long(spark, sf), "variable_name")
 
 
-E4 = ["e0", "e1", "e2", "e3"]
+ELEMENTS = [f"e{i}" for i in range(WIDTH)]
 
 
 @check(
     "g11_barycentres",
     f"WITH {EMBEDDING_FEATURES} SELECT cluster_id, "
-    + ", ".join(f"round(avg({e}), 6) AS {e}" for e in E4)
+    + ", ".join(f"round(avg({e}), 6) AS {e}" for e in ELEMENTS)
     + " FROM ef GROUP BY cluster_id",
 )
 def g11(spark, sf):
     df = embedding_features(spark, sf)
-    return rounded(labels.barycentres(df.drop("cluster_id"), df.select("shot_id", "cluster_id"), E4), *E4)
+    return rounded(labels.barycentres(df.drop("cluster_id"), df.select("shot_id", "cluster_id"), ELEMENTS), *ELEMENTS)
 
 
 # --- search ------------------------------------------------------------------------------------
@@ -287,8 +288,7 @@ def a12_repeated(spark, sf):
     UNION SELECT e.b FROM one JOIN both_ways e ON e.a = one.b) SELECT b AS shot_id FROM one""",
 )
 def a12_of(spark, sf):
-    edges = graph.reference_edges(shots(spark, sf), "reference_number")
-    return graph.component_of(edges, graph.reference_components(edges), GRAPH_ID)
+    return graph.search_component(graph.reference_edges(shots(spark, sf), "reference_number"), GRAPH_ID)
 
 
 @check(
@@ -435,14 +435,14 @@ def a8(spark, sf):
 
 @check(
     "a9_w2_representatives",
-    f"""WITH {EMBEDDING_FEATURES}, c AS (SELECT cluster_id, {', '.join(f'avg({e}) AS {e}' for e in E4)} FROM ef GROUP BY cluster_id),
-    d AS (SELECT ef.cluster_id, ef.shot_id, round({distance_sql(E4, 'ef', 'c')}, 9) AS dist FROM ef JOIN c USING (cluster_id)),
+    f"""WITH {EMBEDDING_FEATURES}, c AS (SELECT cluster_id, {', '.join(f'avg({e}) AS {e}' for e in ELEMENTS)} FROM ef GROUP BY cluster_id),
+    d AS (SELECT ef.cluster_id, ef.shot_id, round({distance_sql(ELEMENTS, 'ef', 'c')}, 9) AS dist FROM ef JOIN c USING (cluster_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dist, shot_id) AS n FROM d)
     SELECT cluster_id, shot_id FROM r WHERE n = 1""",
 )
 def a9(spark, sf):
     df = embedding_features(spark, sf)
-    return labels.representatives(df.drop("cluster_id"), df.select("shot_id", "cluster_id"), E4)
+    return labels.representatives(df.drop("cluster_id"), df.select("shot_id", "cluster_id"), ELEMENTS)
 
 
 # --- outliers ----------------------------------------------------------------------------------

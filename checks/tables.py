@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 SIGNALS = ["view", "click", "signup", "purchase", "error"]
 FEATURES = ["acctbal", "price_avg", "n_orders"]
+#: Elements of the given vectors.
+WIDTH = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,19 +74,21 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _half(start: int, shift: int) -> str:
+    """Sum of every other element, in one order for both engines; *shift* is the place of the first element."""
+    return " + ".join(f"CAST(embedding[{i + shift}] AS DOUBLE)" for i in range(start, WIDTH, 2))
+
+
 def embedding2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("shot_id"),
-        F.col("embedding")[0].cast("double").alias("x"),
-        F.col("embedding")[1].cast("double").alias("y"),
-    )
+    """Two coordinates from all elements: the sums of those at even and at odd places."""
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS shot_id", f"{_half(0, 0)} AS x", f"{_half(1, 0)} AS y")
 
 
 def embedding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First four elements as features, with the given label as cluster."""
+    """All elements as features, with the given label as cluster."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("shot_id"),
-        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)],
+        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(WIDTH)],
         F.col("label").cast("long").alias("cluster_id"),
     )
 
@@ -129,13 +133,13 @@ SELECT user_id AS shot_id, event_type AS signal,
        (CAST(epoch_us(ts) AS DOUBLE) - 1704067200000000.0) / 2592000000000.0 AS time, value
 FROM events)"""
 
-EMBEDDING = """embedding2d AS (
-SELECT vec_id AS shot_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"""
+EMBEDDING = f"embedding2d AS (SELECT vec_id AS shot_id, {_half(0, 1)} AS x, {_half(1, 1)} AS y FROM embeddings)"
 
-EMBEDDING_FEATURES = """ef AS (
-SELECT vec_id AS shot_id, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1,
-       CAST(embedding[3] AS DOUBLE) AS e2, CAST(embedding[4] AS DOUBLE) AS e3, CAST(label AS BIGINT) AS cluster_id
-FROM embeddings)"""
+EMBEDDING_FEATURES = (
+    "ef AS (SELECT vec_id AS shot_id, "
+    + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(WIDTH))
+    + ", CAST(label AS BIGINT) AS cluster_id FROM embeddings)"
+)
 
 ATTRIBUTION = """attribution AS (
 SELECT vec_id AS shot_id, 'e' || (i - 1) AS feature, true AS class, CAST(embedding[i] AS DOUBLE) AS value

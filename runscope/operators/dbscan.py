@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 from runscope.functions import array_distance
 from runscope.operators.clean import ID, FeatureSpace
 from runscope.operators.graph import connected_components
+from runscope.plans.blocks import within
 from runscope.plans.ordering import number_rows
 from runscope.plans.stage import StageArea
 
-BIN_DIMS = 3  # grid axes used to find nearby cells; the others are checked afterwards
 SALT_ROWS = 200_000  # rows of one cell that a task compares at a time
 DIRECT_PAIRS = 1024  # box pairs with at most this many point pairs are compared point by point
-MAX_LEVELS = 60
+LAST_LEVEL = 60  # halvings after which boxes are as small as numbers can tell; what is open then is compared point by point
 
 
 def dbscan(space: FeatureSpace, eps: float, min_samples: int, area: StageArea) -> DataFrame:
@@ -51,7 +52,7 @@ def dbscan(space: FeatureSpace, eps: float, min_samples: int, area: StageArea) -
         points.join(cells, "cell").select("id", "vec", "n", "cid", "cell_n", "cell_rows"),
         "located",
     )
-    near = area.put(_near_cells(cells, dims), "near")
+    near = area.put(_near_cells(cells, dims, area), "near")
     hits = area.put(_thin_neighbours(located, near, eps, min_samples), "hits")
 
     thin_core = hits.groupBy("id").agg(F.sum("n").alias("reach")).where(F.col("reach") >= min_samples).select("id")
@@ -88,29 +89,27 @@ def dbscan(space: FeatureSpace, eps: float, min_samples: int, area: StageArea) -
     )
 
 
-def _near_cells(cells: DataFrame, dims: int) -> DataFrame:
+def _near_cells(cells: DataFrame, dims: int, area: StageArea) -> DataFrame:
     """(a, b, rows_b): ordered pairs of filled cells that may hold points within eps, own cell included.
 
-    Cells are joined on coarse bins of the axes with the most distinct positions; one side is
-    copied to the neighbouring bins.
+    Two such cells have their corners less than twice the diagonal apart, so a search within that
+    distance, over all axes, finds them; the gap between the cells decides.
     """
-    reach = 1 + math.isqrt(dims)
-    spread = cells.agg(
-        *[F.approx_count_distinct(F.floor(F.col("cell")[i] / reach)).alias(f"d{i}") for i in range(dims)]
-    ).first()
-    axes = sorted(range(dims), key=lambda i: (-spread[f"d{i}"], i))[:BIN_DIMS]
-    bins = [F.floor(F.col("cell")[i] / reach).alias(f"bin{i}") for i in axes]
-    left = cells.select(F.col("cid").alias("a"), F.col("cell").alias("cell_a"), *bins)
-    right = cells.select(F.col("cid").alias("b"), F.col("cell").alias("cell_b"), F.col("cell_rows").alias("rows_b"), *bins)
-    for i in axes:
-        left = left.withColumn(f"bin{i}", F.explode(F.array(*[F.col(f"bin{i}") + step for step in (-1, 0, 1)])))
+    corners = area.put(
+        cells.select(F.col("cid").alias("id"), F.transform("cell", lambda x: x.cast("double")).alias("vec"), F.lit(1.0).alias("weight")),
+        "corners",
+    )
+    pairs = within(corners, 2 * math.sqrt(dims) + 1e-6, area).select(F.col("id").alias("a"), F.col("partner").alias("b"))
+    left = cells.select(F.col("cid").alias("a"), F.col("cell").alias("cell_a"))
+    right = cells.select(F.col("cid").alias("b"), F.col("cell").alias("cell_b"), F.col("cell_rows").alias("rows_b"))
 
     def gap(x: Column, y: Column) -> Column:
         apart = F.greatest(F.abs(x - y) - 1, F.lit(0))
         return apart * apart
 
     distance = F.aggregate(F.zip_with("cell_a", "cell_b", gap), F.lit(0).cast("long"), lambda s, x: s + x)
-    return left.join(right, [f"bin{i}" for i in axes]).where(distance <= dims).select("a", "b", "rows_b")
+    own = cells.select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("cell_rows").alias("rows_b"))
+    return pairs.join(left, "a").join(right, "b").where(distance <= dims).select("a", "b", "rows_b").unionByName(own)
 
 
 def _thin_neighbours(located: DataFrame, near: DataFrame, eps: float, min_samples: int) -> DataFrame:
@@ -147,9 +146,10 @@ def _linked_cells(
     """(a, b) for cells with core points at most eps apart."""
     pairs = near.where(F.col("a") < F.col("b")).select("a", "b")
     queue, links = None, []
-    for level in range(MAX_LEVELS):
+    for level in count():
         width = side / (1 << level)
-        boxes = core.withColumn("box", F.transform("vec", lambda x: F.floor(x / F.lit(width))))
+        inside = core if queue is None else core.join(_open_cells(queue), "cid", "left_semi")
+        boxes = inside.withColumn("box", F.transform("vec", lambda x: F.floor(x / F.lit(width))))
         summary = area.put(_box_summary(boxes, dims), "boxes")
         if queue is None:
             queue = pairs.join(summary.select(F.col("cid").alias("a"), F.col("box").alias("box_a")), "a").join(
@@ -172,7 +172,8 @@ def _linked_cells(
         state = area.put(possible.select("a", "b", "box_a", "box_b", "rows_a", "rows_b", "linked"), "queue")
         sure = state.where("linked").select("a", "b").distinct()
         open_pairs = state.where("not linked and rows_a * rows_b > 1").join(sure, ["a", "b"], "left_anti")
-        few = open_pairs.where(F.col("rows_a") * F.col("rows_b") <= DIRECT_PAIRS)
+        small = (F.col("rows_a") * F.col("rows_b") <= DIRECT_PAIRS) | F.lit(level >= LAST_LEVEL)
+        few = open_pairs.where(small)
         points = boxes.select("cid", "box", "vec")
         for end in "ab":
             side_points = points.select(F.col("cid").alias(end), F.col("box").alias(f"box_{end}"), F.col("vec").alias(f"vec_{end}"))
@@ -180,16 +181,18 @@ def _linked_cells(
         direct = few.where(array_distance(F.col("vec_a"), F.col("vec_b")) <= F.lit(eps)).select("a", "b").distinct()
         links.append(area.put(sure.unionByName(direct).distinct(), "links"))
         queue = area.put(
-            open_pairs.where(F.col("rows_a") * F.col("rows_b") > DIRECT_PAIRS)
+            open_pairs.where(~small)
             .join(links[-1], ["a", "b"], "left_anti")
             .select("a", "b", "box_a", "box_b"),
             "open",
         )
         if queue.isEmpty():
-            break
-    else:
-        raise RuntimeError("cells could not be told apart; eps is too small for the precision of the data")
-    return reduce(DataFrame.unionByName, links)
+            return reduce(DataFrame.unionByName, links)
+
+
+def _open_cells(queue: DataFrame) -> DataFrame:
+    """Cells of which a pair is still open; the points of others are not looked at again."""
+    return queue.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
 
 
 def _box_summary(boxes: DataFrame, size: int) -> DataFrame:

@@ -84,6 +84,10 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+#: Runs of one search round that are named in a predicate; more are joined.
+FEW_RUNS = 1000
+
+
 def reference_components(edges: DataFrame, area: StageArea | None = None) -> DataFrame:
     """(shot_id, component) for every run with at least one reference edge."""
     area = area or StageArea(edges.sparkSession, "graph")
@@ -100,6 +104,34 @@ def component_of(edges: DataFrame, components: DataFrame, shot_id: int) -> DataF
     return members.unionByName(itself).distinct()
 
 
+def search_component(edges: DataFrame, shot_id: int, area: StageArea | None = None) -> DataFrame:
+    """Like :func:`component_of`, by a search from the run: components of other runs are never built.
+
+    Neighbours are laid out by range of run once; a round reads those of the runs that the round before reached, and the
+    search ends with a round that reaches none. Rounds follow the distance from the run, so for very long
+    chains :func:`component_of` is the better choice.
+    """
+    area = area or StageArea(edges.sparkSession, "search")
+    both = edges.select(F.col(ID).alias("a"), F.col("ref_id").alias("b"))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links = area.put(both.repartitionByRange("a").sortWithinPartitions("a"), "links")
+    reached = area.put(edges.limit(1).select(F.lit(shot_id).cast("long").alias(ID)), "reached")
+    fresh = reached
+    while True:
+        span = fresh.agg(F.min(ID), F.max(ID), F.count("*")).first()
+        if not span[2]:
+            return reached
+        # The range reaches the scan, so files of runs outside of it are not read.
+        near = links.where(F.col("a").between(F.lit(span[0]), F.lit(span[1])))
+        if span[2] <= FEW_RUNS:
+            near = near.where(F.col("a").isin([row[ID] for row in fresh.collect()]))
+        else:
+            near = near.join(fresh.withColumnRenamed(ID, "a"), "a", "left_semi")
+        found = near.select(F.col("b").alias(ID)).distinct().join(reached, ID, "left_anti")
+        fresh = area.put(found, "fresh")
+        reached = reached.unionByName(fresh)
+
+
 def visible_nodes(components: DataFrame, points: DataFrame, shot_id: int) -> DataFrame:
     """Plotted runs of the component of *shot_id*: (shot_id, x, y, shade, selected)."""
     own = components.where(F.col(ID) == F.lit(shot_id)).select("component")

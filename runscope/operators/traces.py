@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from runscope.functions import not_nan
 from runscope.operators.clean import ID
-from runscope.plans.ordering import hot_cuts, with_chunk
+from runscope.plans.ordering import HOT_ROWS, hot_cuts, with_chunk
+from runscope.plans.stage import StageArea
 
 KEYS = [ID, "signal"]
 
@@ -108,10 +109,12 @@ def resample(traces: DataFrame, rate_hz: float, min_time: float = 0.0, max_time:
     return grid.select(*KEYS, "step", "time", _between(F.col("left"), F.col("right"), F.col("time")).alias("value"))
 
 
-def align_to_first(traces: DataFrame, signals: Sequence[str], hot_floor: int | None = None) -> DataFrame:
+def align_to_first(
+    traces: DataFrame, signals: Sequence[str], hot_rows: int = HOT_ROWS, area: StageArea | None = None
+) -> DataFrame:
     """(shot_id, signal, time, value) of all signals at the sample times of a run's first available one.
 
-    "First" is the order of *signals*. Runs with very many samples are cut into pieces of time; the
+    "First" is the order of *signals*. Runs with more than *hot_rows* samples are cut into pieces of time with fewer; the
     samples next to a piece are handed over from a small table of piece ends.
     """
     ranked = F.create_map(*[F.lit(x) for i, s in enumerate(dict.fromkeys(signals)) for x in (s, i)])
@@ -127,8 +130,7 @@ def align_to_first(traces: DataFrame, signals: Sequence[str], hot_floor: int | N
     # One row per time: the sample, the request, or both.
     rows = measured.join(wanted, [*KEYS, "time"], "full_outer")
 
-    options = {} if hot_floor is None else {"floor": hot_floor}
-    cuts = hot_cuts(samples, ID, "time", **options)
+    cuts = hot_cuts(samples, ID, "time", area or StageArea(traces.sparkSession, "align"), hot_rows)
     rows = with_chunk(rows, ID, "time", cuts)
     inside = Window.partitionBy(*KEYS, "_chunk").orderBy("time")
     left = F.last("sample", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))

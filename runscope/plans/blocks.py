@@ -402,6 +402,34 @@ def nearest(
     return _search(area.put(first, "first"), index, matcher, area)
 
 
+def within(points: DataFrame, radius: float, area: StageArea, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, partner): ordered pairs of different rows of (id, vec, weight) at most *radius* apart."""
+    index = build_index(points, area, leaf_rows, block_rows)
+    matcher, coarse = Matcher(1, False, True), index.coarse
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                ids = np.asarray(row.ids, dtype=np.int64)
+                rows, weights, bounds = _grid(row.vecs, len(ids)), np.asarray(row.weights, dtype=float), np.full(len(ids), radius)
+                for leaf, near in coarse.within(rows, weights, bounds, False):
+                    out.append((int(coarse.names[leaf]), None, ids[near], rows[near].ravel(), weights[near], bounds[near], None, None))
+            yield pd.DataFrame(out, columns=_FOUND_NAMES)
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                ids, block_ids = np.asarray(row.q_ids, dtype=np.int64), np.asarray(row.ids, dtype=np.int64)
+                squares = _pair_squares(_grid(row.q_vecs, len(ids)), _grid(row.vecs, len(block_ids)))
+                a, b = np.nonzero((np.sqrt(squares) <= radius) & (ids[:, None] != block_ids[None, :]))
+                yield pd.DataFrame({"id": ids[a], "partner": block_ids[b]})
+
+    visits = index.blocks.mapInPandas(ask, _FOUND).select("leaf", "seen", "ids", "vecs", "weights", "bounds")
+    asked = area.put(visits.join(index.fine(), "leaf").mapInPandas(_block_visits(matcher), _VISIT), "visits")
+    return _meet(asked, index).mapInPandas(pairs, "id long, partner long")
+
+
 def nearest_between(
     queries: DataFrame,
     points: DataFrame,

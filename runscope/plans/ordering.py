@@ -12,9 +12,8 @@ from runscope.plans.stage import StageArea
 
 # Rows that one task may comfortably sort or aggregate exactly.
 EXACT_ROWS = 1_000_000
-# A key with more than this share of all rows is split; at most 1/share keys can qualify.
-HOT_SHARE = 1 / 200
-HOT_FLOOR = 1_000_000
+# A key with more rows than this is cut, each time into this many pieces, until its pieces have fewer.
+HOT_ROWS = 1_000_000
 HOT_PIECES = 128
 
 
@@ -102,33 +101,38 @@ def _value_at(counts: DataFrame, rank: int) -> float:
 
 
 def hot_cuts(
-    df: DataFrame, key: str, order: str, share: float = HOT_SHARE, floor: int = HOT_FLOOR, pieces: int = HOT_PIECES
+    df: DataFrame, key: str, order: str, area: StageArea, limit: int = HOT_ROWS, pieces: int = HOT_PIECES
 ) -> DataFrame | None:
-    """Cut points of *order* for every key that holds too many rows, as (key, cuts); None if none do.
+    """Cut points of *order* for every key with more than *limit* rows, as a staged (key, cuts); None if there are none.
 
-    At most ``1/share`` keys can pass the test and each has fewer than *pieces* cuts, so the result
-    has a fixed size. It is fetched once: later stages see the same constants whatever is recomputed.
+    Pieces that are still too large are cut again, unless all their rows have one place in the order. Every round is
+    an aggregate, so the size of a key or of the table does not matter, and later stages see the same
+    cuts whatever is recomputed.
     """
-    counts = df.groupBy(key).count()
-    total = counts.agg(F.sum("count").alias("n")).first()["n"] or 0
-    limit = max(floor, total * share)
-    hot = [row[key] for row in counts.where(F.col("count") > limit).select(key).collect()]
-    if not hot:
-        return None
     steps = F.array(*[F.lit((i + 1) / pieces) for i in range(pieces - 1)])
-    cuts = (
-        df.where(F.col(key).isin(hot))
-        .groupBy(key)
-        .agg(F.array_distinct(F.percentile_approx(order, steps, F.lit(10_000))).alias("cuts"))
-    )
-    schema = cuts.schema
-    return df.sparkSession.createDataFrame([tuple(row) for row in cuts.collect()], schema)
+    cuts = None
+    while True:
+        placed = with_chunk(df, key, order, cuts)
+        sizes = placed.groupBy(key, "_chunk").agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high"))
+        large = area.put(sizes.where((F.col("n") > limit) & (F.col("low") < F.col("high"))).select(key, "_chunk"), "large")
+        if large.isEmpty():
+            return cuts
+        inside = placed.join(large, [key, "_chunk"], "left_semi").groupBy(key, "_chunk")
+        # The largest value cuts nothing off; leaving it out keeps every round a true division.
+        found = inside.agg(F.percentile_approx(order, steps, F.lit(10_000)).alias("cuts"), F.min(order).alias("low"), F.max(order).alias("high"))
+        low, high = F.col("low"), F.col("high")
+        within = F.filter("cuts", lambda c: c < high)
+        found = found.select(key, F.when(F.size(within) > 0, within).otherwise(F.array(low)).alias("cuts"))
+        if cuts is not None:
+            found = found.unionByName(cuts)
+        merged = found.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("cuts"))
+        cuts = area.put(merged, "cuts")
 
 
 def with_chunk(df: DataFrame, key: str, order: str, cuts: DataFrame | None) -> DataFrame:
     """Add ``_chunk``: the piece of its key a row belongs to (always 0 for keys that are not hot)."""
     if cuts is None:
         return df.withColumn("_chunk", F.lit(0))
-    joined = df.join(F.broadcast(cuts), key, "left")
+    joined = df.join(cuts, key, "left")
     passed = F.size(F.filter("cuts", lambda c: c < F.col(order)))
     return joined.withColumn("_chunk", F.when(F.col("cuts").isNull(), 0).otherwise(passed)).drop("cuts")

@@ -80,7 +80,7 @@ def test_clustering_on_coordinates(blobs, area):
     assert found.space.features == ["umap_x", "umap_y"] and list(labels_of(found.labels)) == [0] * 4 + [1] * 4
 
 
-@pytest.mark.parametrize(("dims", "eps", "direct"), [(2, 0.25, 1024), (2, 0.25, 0), (3, 0.4, 1024)])
+@pytest.mark.parametrize(("dims", "eps", "direct"), [(2, 0.25, 0), (3, 0.4, 1024), (5, 1.0, 1024), (8, 1.8, 1024)])
 def test_dbscan_equals_brute_force(spark, area, monkeypatch, dims, eps, direct):
     monkeypatch.setattr(dbscan, "DIRECT_PAIRS", direct)
     monkeypatch.setattr(dbscan, "SALT_ROWS", 16)

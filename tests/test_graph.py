@@ -73,3 +73,15 @@ def test_visible_part(spark, area):
     assert drawn == {(1, 2): 0.0, (2, 3): 0.5}
     lone = graph.component_shade(components.where("shot_id = 1")).first()
     assert lone["shade"] == 0.5
+
+
+def test_search_from_one_run_reads_only_what_it_reaches(spark, area, monkeypatch):
+    rows = [(i, i // 2) for i in range(2, 40)] + [(i, i - 1) for i in range(101, 130)] + [(200, 201), (201, 200)]
+    edges = spark.createDataFrame(rows, "shot_id long, ref_id long")
+    whole = graph.reference_components(edges, area)
+    for few in (1000, 2):
+        monkeypatch.setattr(graph, "FEW_RUNS", few)
+        for run in (7, 115, 200, 999):
+            expected = sorted(r["shot_id"] for r in graph.component_of(edges, whole, run).collect())
+            assert sorted(r["shot_id"] for r in graph.search_component(edges, run, area).collect()) == expected
+    assert graph.search_component(edges.limit(0), 1, area).count() == 0
