@@ -445,6 +445,68 @@ def a9(spark, sf):
     return labels.representatives(df.drop("cluster_id"), df.select("shot_id", "cluster_id"), ELEMENTS)
 
 
+# --- answers beyond doubt ------------------------------------------------------------------------
+# Customers of one region lie close together, regions far apart, every fiftieth customer in a far place of its own.
+
+SPOTS = """spots AS (SELECT c_custkey AS shot_id, n_regionkey AS region,
+n_regionkey * 100.0 + c_acctbal / 10000 AS u, (n_regionkey * 37 % 5) * 90.0 + CAST(c_custkey * 7919 % 1000 AS DOUBLE) / 1000 AS v,
+(n_regionkey * 3 % 5) * 80.0 + CAST(c_custkey * 104729 % 997 AS DOUBLE) / 997 AS w FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+BY_REGION = """first AS (SELECT region, min(shot_id) AS low FROM spots GROUP BY region),
+numbered AS (SELECT region, CAST(row_number() OVER (ORDER BY low) - 1 AS BIGINT) AS cluster_id FROM first)
+SELECT shot_id, cluster_id FROM spots JOIN numbered USING (region)"""
+SCATTERED = """scattered AS (SELECT shot_id, CAST(shot_id % 50 = 0 AS INTEGER) AS far,
+CASE WHEN shot_id % 50 = 0 THEN (CASE WHEN shot_id % 100 = 0 THEN -1 ELSE 1 END) * (200 + shot_id % 1009) ELSE u - region * 100.0 END AS u,
+CASE WHEN shot_id % 50 = 0 THEN (CASE WHEN shot_id % 150 = 0 THEN -1 ELSE 1 END) * (200 + shot_id * 31 % 1013) ELSE v - (region * 37 % 5) * 90.0 END AS v,
+CASE WHEN shot_id % 50 = 0 THEN (CASE WHEN shot_id % 250 = 0 THEN -1 ELSE 1 END) * (200 + shot_id * 17 % 1019) ELSE w - (region * 3 % 5) * 80.0 END AS w
+FROM spots)"""
+AXES = ["u", "v", "w"]
+
+
+def spots(spark, sf, query):
+    for name in ("customer", "nation"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    return spark.sql(query)
+
+
+@check("a5_kmeans_of_regions", f"WITH {SPOTS}, {BY_REGION}")
+def a5_regions(spark, sf):
+    return cluster_runs(spots(spark, sf, f"WITH {SPOTS} SELECT shot_id, u, v, w FROM spots"), "kmeans", AXES, n_clusters=5).labels
+
+
+@check("a7_agglomerative_regions", f"WITH {SPOTS}, {BY_REGION}")
+def a7_regions(spark, sf):
+    return cluster_runs(spots(spark, sf, f"WITH {SPOTS} SELECT shot_id, u, v, w FROM spots"), "agglomerative", AXES, n_clusters=5).labels
+
+
+@check("a10_isolation_forest_of_scattered", f"WITH {SPOTS}, {SCATTERED} SELECT shot_id, far AS is_outlier FROM scattered")
+def a10_scattered(spark, sf):
+    runs = spots(spark, sf, f"WITH {SPOTS}, {SCATTERED} SELECT shot_id, u, v, w FROM scattered")
+    return outliers.detect_outliers(runs, "isoforest", AXES, 0.02).select("shot_id", "is_outlier")
+
+
+@check("a2_regions_stay_together", f"WITH {SPOTS} SELECT shot_id, region AS nearest_region FROM spots")
+def a2_regions(spark, sf):
+    """The region of the run plotted closest to each run."""
+    runs = spots(spark, sf, f"WITH {SPOTS} SELECT shot_id, region, u, v, w FROM spots")
+    placed = project.project(runs, project.fit_projection(runs, "umap", AXES))
+    near = neighbors.knn_join(placed, 1, ["umap_x", "umap_y"])
+    return near.join(runs.select(F.col("shot_id").alias("neighbor_id"), F.col("region").alias("nearest_region")), "neighbor_id").select(
+        "shot_id", "nearest_region"
+    )
+
+
+def _pca3_sql():
+    """Three equally correlated axes have the diagonal as first axis: distances along it need no solver."""
+    return f"""WITH {SHOTS}, three AS (SELECT shot_id, acctbal AS p, acctbal AS q, acctbal AS r FROM shots), {z_sql(["p"], "three")}
+    SELECT shot_id, round(sqrt(3) * p, 6) + 0.0 AS umap_x FROM z"""
+
+
+@check("a1_pca_of_three_features", _pca3_sql())
+def a1_three(spark, sf):
+    runs = shots(spark, sf).selectExpr("shot_id", "acctbal AS p", "acctbal AS q", "acctbal AS r")
+    return _coordinates(project.fit_projection(runs, "pca", ["p", "q", "r"]).transform(runs)).drop("umap_y")
+
+
 # --- outliers ----------------------------------------------------------------------------------
 
 

@@ -22,6 +22,7 @@ from runscope.plans.blocks import within
 from runscope.plans.ordering import number_rows
 from runscope.plans.stage import StageArea
 
+BINNED_AXES = 3  # with more, nearby cells are searched in a tree instead of in neighbouring bins
 SALT_ROWS = 200_000  # rows of one cell that a task compares at a time
 DIRECT_PAIRS = 1024  # box pairs with at most this many point pairs are compared point by point
 LAST_LEVEL = 60  # halvings after which boxes are as small as numbers can tell; what is open then is compared point by point
@@ -92,14 +93,10 @@ def dbscan(space: FeatureSpace, eps: float, min_samples: int, area: StageArea) -
 def _near_cells(cells: DataFrame, dims: int, area: StageArea) -> DataFrame:
     """(a, b, rows_b): ordered pairs of filled cells that may hold points within eps, own cell included.
 
-    Two such cells have their corners less than twice the diagonal apart, so a search within that
-    distance, over all axes, finds them; the gap between the cells decides.
+    With few axes cells are joined on coarse bins of all of them, one side copied to the neighbouring bins. With more,
+    copies would be too many: as two such cells have their corners less than twice the diagonal apart, a
+    search within that distance finds them. The gap between the cells decides in both cases.
     """
-    corners = area.put(
-        cells.select(F.col("cid").alias("id"), F.transform("cell", lambda x: x.cast("double")).alias("vec"), F.lit(1.0).alias("weight")),
-        "corners",
-    )
-    pairs = within(corners, 2 * math.sqrt(dims) + 1e-6, area).select(F.col("id").alias("a"), F.col("partner").alias("b"))
     left = cells.select(F.col("cid").alias("a"), F.col("cell").alias("cell_a"))
     right = cells.select(F.col("cid").alias("b"), F.col("cell").alias("cell_b"), F.col("cell_rows").alias("rows_b"))
 
@@ -108,6 +105,17 @@ def _near_cells(cells: DataFrame, dims: int, area: StageArea) -> DataFrame:
         return apart * apart
 
     distance = F.aggregate(F.zip_with("cell_a", "cell_b", gap), F.lit(0).cast("long"), lambda s, x: s + x)
+    if dims <= BINNED_AXES:
+        reach = 1 + math.isqrt(dims)
+        bins = [f"bin{i}" for i in range(dims)]
+        for i, name in enumerate(bins):
+            own = F.floor(F.col("cell_a")[i] / reach)
+            left = left.withColumn(name, F.explode(F.array(*[own + step for step in (-1, 0, 1)])))
+            right = right.withColumn(name, F.floor(F.col("cell_b")[i] / reach))
+        return left.join(right, bins).where(distance <= dims).select("a", "b", "rows_b")
+    corner = F.transform("cell", lambda x: x.cast("double")).alias("vec")
+    corners = area.put(cells.select(F.col("cid").alias("id"), corner, F.lit(1.0).alias("weight")), "corners")
+    pairs = within(corners, 2 * math.sqrt(dims) + 1e-6, area).select(F.col("id").alias("a"), F.col("partner").alias("b"))
     own = cells.select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("cell_rows").alias("rows_b"))
     return pairs.join(left, "a").join(right, "b").where(distance <= dims).select("a", "b", "rows_b").unionByName(own)
 

@@ -118,14 +118,15 @@ def search_component(edges: DataFrame, shot_id: int, area: StageArea | None = No
     reached = area.put(edges.limit(1).select(F.lit(shot_id).cast("long").alias(ID)), "reached")
     fresh = reached
     while True:
-        span = fresh.agg(F.min(ID), F.max(ID), F.count("*")).first()
-        if not span[2]:
+        named = [row[ID] for row in fresh.limit(FEW_RUNS + 1).collect()]
+        if not named:
             return reached
-        # The range reaches the scan, so files of runs outside of it are not read.
-        near = links.where(F.col("a").between(F.lit(span[0]), F.lit(span[1])))
-        if span[2] <= FEW_RUNS:
-            near = near.where(F.col("a").isin([row[ID] for row in fresh.collect()]))
+        # Predicates reach the scan, so files of runs outside of their range are not read.
+        if len(named) <= FEW_RUNS:
+            near = links.where(F.col("a").isin(named))
         else:
+            low, high = fresh.agg(F.min(ID), F.max(ID)).first()
+            near = links.where(F.col("a").between(F.lit(low), F.lit(high)))
             near = near.join(fresh.withColumnRenamed(ID, "a"), "a", "left_semi")
         found = near.select(F.col("b").alias(ID)).distinct().join(reached, ID, "left_anti")
         fresh = area.put(found, "fresh")
