@@ -1,17 +1,20 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-One word model per class is estimated from a bounded sample of labelled documents, with absolute
-discounting. Both fall back on one shared distribution whose counts are, as in Kneser-Ney smoothing,
-the numbers of different contexts a word was seen in; the context here is the class, so a word
-typical of one class is as unlikely in the other as any rare expression. (Word bigrams within the
-class were tried and added more noise than evidence.) A document's evidence is the log-likelihood
-ratio per word: over the whole text, over its most toxic stretch of eight words and over its most
-toxic word. A logistic calibration on sampled documents that were kept out of the counts turns it
-into a probability. Words are lower-case runs of letters and digits.
+One interpolated word bigram model per class is estimated from a bounded sample of labelled documents.
+An expression (a word after its predecessor) keeps its count less an absolute discount; what the
+discounts free goes to the lower order of the class, whose counts are, as in Kneser-Ney smoothing, the
+numbers of different predecessors a word has in the class. That order is discounted likewise and falls
+back on one distribution which both classes share, over the predecessors in either class; so a word
+unseen in a class is as unlikely there as any rare one. A document's evidence is the log-likelihood
+ratio per word of both orders: over the whole text, over its most toxic stretch of eight words and over
+its most toxic word. A logistic calibration on sampled documents that were kept out of the counts turns
+it into a probability. Words are lower-case runs of letters and digits; the first word of a text follows
+a mark of its own.
 
 Defined results: a null or empty text has no evidence and gets the calibrated score of none;
 without labels of both classes every score is the share of toxic labels (0 without any). Rows are
-scored one by one, so repeated rows and ties need no rule.
+scored one by one and whole, whatever their length, so repeated rows and ties need no rule there; a
+labelled document that has several rows counts once for each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,43 +27,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.lookup import Lookup, values_at
+from runscope.llm.lookup import Lookup
 from runscope.llm.splits import labelled, sample
-from runscope.llm.text import IS_MARK, Words, buffers, slices
+from runscope.llm.text import IS_MARK, STEP, Words, buffers, mix, slices
 
 SLICE = 2 << 20
 STRETCHES = (1, 8)
-EVIDENCE = ["mean", *(f"most_{n}" for n in STRETCHES)]
+ORDERS = ("word", "pair")
+EVIDENCE = [f"{order}_{part}" for order in ORDERS for part in ("mean", *(f"most_{n}" for n in STRETCHES))]
+#: Stands before the first word of a text.
+START = np.uint64(1)
+
+
+def word_pairs(text: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of all texts, their hashes and those of their predecessors."""
+    words = Words(*buffers(text), IS_MARK)
+    hashes = words.hashes(lower=True)
+    before = np.concatenate([[START], hashes[:-1]])[: len(hashes)]
+    before[words.first[:-1][words.counts > 0]] = START
+    return words, before, hashes
+
+
+def joint(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return mix((before * STEP) ^ hashes)
 
 
 @dataclass
 class ToxicityModel:
-    """Log-likelihood ratios by word hash, that of unknown words, and the calibration."""
+    """Two rows each, toxic and ordinary; the last column stands for what the sample does not hold.
+
+    ``lower`` is the chance of a word in the lower order, ``rest`` what the discounts after a word free
+    for it, ``kept`` the discounted share of a pair among all pairs with its predecessor.
+    """
 
     words: np.ndarray
-    ratios: np.ndarray
-    unknown: float
+    lower: np.ndarray
+    rest: np.ndarray
+    pairs: np.ndarray
+    kept: np.ndarray
     weights: np.ndarray
 
     def open(self) -> ToxicityModel:
-        self.table = Lookup(self.words)
+        self.word_table, self.pair_table = Lookup(self.words), Lookup(self.pairs)
         return self
 
     def evidence(self, text: pa.Array) -> np.ndarray:
-        """One row per text: ratio per word of the text and of its highest stretches."""
-        words = Words(*buffers(text), IS_MARK)
-        ratio = values_at(self.table, self.ratios, words.hashes(lower=True), self.unknown)
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
-        first, counts = words.first, words.counts
+        """One row per text: for both orders the ratio per word of the text and of its highest stretches."""
+        words, before, hashes = word_pairs(text)
         out = np.zeros((len(text), len(EVIDENCE)))
-        some = counts > 0
+        some = words.counts > 0
         if not some.any():
             return out
-        out[some, 0] = (total[first[1:]] - total[first[:-1]])[some] / counts[some]
+        lower = self.lower[:, self.word_table.find(hashes)]
+        both = self.kept[:, self.pair_table.find(joint(before, hashes))] + self.rest[:, self.word_table.find(before)] * lower
+        first, counts = words.first, words.counts
         ends = np.repeat(first[1:], counts)
-        for i, n in enumerate(STRETCHES):
-            stretch = (total[np.minimum(np.arange(len(words)) + n, ends)] - total[:-1]) / n
-            out[some, i + 1] = np.maximum.reduceat(stretch, first[:-1][some])
+        columns = iter(range(len(EVIDENCE)))
+        for chance in (lower, both):
+            total = np.concatenate([[0.0], np.cumsum(np.log(chance[0] / chance[1]))])
+            out[some, next(columns)] = (total[first[1:]] - total[first[:-1]])[some] / counts[some]
+            for n in STRETCHES:
+                stretch = (total[np.minimum(np.arange(len(words)) + n, ends)] - total[:-1]) / n
+                out[some, next(columns)] = np.maximum.reduceat(stretch, first[:-1][some])
         return out
 
     def scores(self, text: pa.Array) -> np.ndarray:
@@ -75,16 +103,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> ToxicityMo
     """Estimate from at most *per_class* documents of each class, a fifth of them for calibration only."""
     rows = labelled(docs, labels, "toxic").withColumn("label", (F.col("label") > 0).cast("int"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    nothing = np.zeros(0, np.uint64)
     if len(sizes) < 2:
+        nothing, alike = np.zeros(0, np.uint64), np.ones((2, 1))
         share = 1.0 if 1 in sizes else 0.0
-        return ToxicityModel(nothing, np.zeros(0), 0.0, np.array([*[0.0] * len(EVIDENCE), 700 * (2 * share - 1)]))
+        weights = np.array([*[0.0] * len(EVIDENCE), 700 * (2 * share - 1)])
+        return ToxicityModel(nothing, alike, alike, nothing, 0 * alike, weights)
     chosen = sample(rows.where("label = 1"), per_class).unionByName(sample(rows.where("label = 0"), per_class))
     # The sample has a fixed size, so its ids can go to every task.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     calibrating = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
-    counts = texts.where(~calibrating).select("label", "text").mapInArrow(_count, "label int, word long, n long")
-    model = _estimate(counts.groupBy("label", "word").agg(F.sum("n").alias("n")).toPandas())
+    counts = texts.where(~calibrating).select("label", "text").mapInArrow(
+        _count, "label int, before long, word long, n long"
+    )
+    model = _estimate(counts.groupBy("label", "before", "word").agg(F.sum("n").alias("n")).toPandas())
     schema = "label int, " + ", ".join(f"{name} double" for name in EVIDENCE)
     cases = texts.where(calibrating).select("label", "text").mapInArrow(_evidence(model), schema)
     model.weights = _calibrate(cases.toPandas(), sizes)
@@ -93,33 +124,46 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> ToxicityMo
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", SLICE):
-        words = Words(*buffers(batch.column("text")), IS_MARK)
+        words, before, hashes = word_pairs(batch.column("text"))
         label = np.repeat(batch.column("label").to_numpy(zero_copy_only=False), words.counts)
-        hashes = words.hashes(lower=True)
+        keys = joint(before, hashes)
         for one in np.unique(label):
-            found, n = np.unique(hashes[label == one], return_counts=True)
-            columns = [pa.array(np.full(len(n), one, np.int32)), pa.array(found.view(np.int64)), pa.array(n)]
-            yield pa.record_batch(columns, names=["label", "word", "n"])
+            mine = np.flatnonzero(label == one)
+            _, first, n = np.unique(keys[mine], return_index=True, return_counts=True)
+            first = mine[first]
+            columns = [pa.array(np.full(len(n), one, np.int32)), pa.array(before[first].view(np.int64))]
+            columns += [pa.array(hashes[first].view(np.int64)), pa.array(n)]
+            yield pa.record_batch(columns, names=["label", "before", "word", "n"])
+
+
+def discount(counts: np.ndarray) -> float:
+    """The absolute discount of a table of counts, from how many are one and two."""
+    once, twice = (counts == 1).sum(), (counts == 2).sum()
+    return (once + 0.5) / (once + 2 * twice + 1)
 
 
 def _estimate(counts) -> ToxicityModel:
-    """Interpolated Kneser-Ney, class to word, with one absolute discount per class."""
-    words, at = np.unique(counts["word"].to_numpy(np.int64), return_inverse=True)
+    """Interpolated Kneser-Ney models of both classes from the counts of (label, before, word)."""
+    before, word = (counts[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word"))
     n, label = counts["n"].to_numpy(float), counts["label"].to_numpy()
-    contexts = len(counts) + 0.5 * (len(words) + 1)
-    shared = (np.bincount(at, minlength=len(words)) + 0.5) / contexts
-    logs = []
-    for one in (1, 0):
+    words, at = np.unique(np.concatenate([before, word]), return_inverse=True)
+    before_at, word_at = at[: len(before)], at[len(before) :]
+    pairs, first, pair_at = np.unique(joint(before, word), return_index=True, return_inverse=True)
+    predecessors = np.bincount(word_at[first], minlength=len(words) + 1)
+    shared = (predecessors + 0.5) / (predecessors + 0.5).sum()
+    lower, rest = np.ones((2, len(words) + 1)), np.ones((2, len(words) + 1))
+    kept = np.zeros((2, len(pairs) + 1))
+    for row, one in enumerate((1, 0)):
         mine = label == one
-        once, twice = (n[mine] == 1).sum(), (n[mine] == 2).sum()
-        discount = (once + 0.5) / (once + 2 * twice + 1)
-        own, total = np.bincount(at[mine], n[mine], len(words)), max(1.0, n[mine].sum())
-        rest = max(discount * mine.sum() / total, 1e-6)
-        logs.append((np.log(np.maximum(own - discount, 0) / total + rest * shared), np.log(rest * 0.5 / contexts)))
-    (high, unknown_high), (low, unknown_low) = logs
-    return ToxicityModel(
-        words.view(np.uint64), (high - low).astype(np.float32), float(unknown_high - unknown_low), np.zeros(len(EVIDENCE) + 1)
-    )
+        own = np.bincount(word_at[mine], minlength=len(words) + 1)
+        cut, total = discount(own), max(1, mine.sum())
+        freed = max(cut * (own > 0).sum() / total, 1e-6)
+        lower[row] = np.maximum(own - cut, 0) / total + freed * shared
+        cut, after = discount(n[mine]), np.bincount(before_at[mine], n[mine], len(words) + 1)
+        seen = after > 0
+        rest[row, seen] = cut * np.bincount(before_at[mine], minlength=len(words) + 1)[seen] / after[seen]
+        kept[row, pair_at[mine]] = np.maximum(n[mine] - cut, 0) / after[before_at[mine]]
+    return ToxicityModel(words, lower, rest, pairs, kept, np.zeros(len(EVIDENCE) + 1))
 
 
 def _evidence(model: ToxicityModel):

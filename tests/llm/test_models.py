@@ -57,6 +57,50 @@ def test_toxicity_of_one_class(spark, docs, known, score):
     assert [round(r["score"], 9) for r in found] == [score, score]
 
 
+def test_discounted_chances_equal_brute_force(spark, docs):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, [f"w{k}" for k in range(12 + i % 2 * 6)], rng.randint(0, 25))) for i in range(30)]
+    pairs = [(i % 2, a, b) for i, t in rows for a, b in zip(["<s>", *t.split()], t.split())]
+    cut = lambda counts: (sum(c == 1 for c in counts) + 0.5) / (sum(c == 1 for c in counts) + 2 * sum(c == 2 for c in counts) + 1)
+    known = {w for _, a, b in pairs for w in (a, b)}
+    follows = {(a, b) for _, a, b in pairs}
+
+    def chances(label, before, word):
+        own = {}
+        for one, a, b in pairs:
+            if one == label:
+                own[a, b] = own.get((a, b), 0) + 1
+        kinds = {w: sum(b == w for _, b in own) for w in known}
+        # Every known word, the start among them, and one place for all unknown ones.
+        shared = (sum(b == word for _, b in follows) + 0.5) / (len(follows) + 0.5 * (len(known) + 1))
+        d, total = cut(list(kinds.values())), sum(kinds.values())
+        lower = max(kinds.get(word, 0) - d, 0) / total + d * sum(k > 0 for k in kinds.values()) / total * shared
+        after = {b: n for (a, b), n in own.items() if a == before}
+        d, total = cut(list(own.values())), sum(after.values())
+        return lower, (max(after.get(word, 0) - d, 0) + d * len(after) * lower) / total if total else lower
+
+    table = docs(rows).withColumn("label", splits.F.expr("cast(doc_id % 2 as int)")).select("label", "text")
+    counts = table.mapInArrow(toxicity._count, "label int, before long, word long, n long")
+    model = toxicity._estimate(counts.groupBy("label", "before", "word").agg(splits.F.sum("n").alias("n")).toPandas()).open()
+    texts = ["w1 w2 w17 w17", "W3", "new w1 new", "w13 w2", "w16 w15", "", None]
+    found = model.evidence(pa.array(texts, pa.string()))
+    for text, row in zip(texts, found):
+        words = (text or "").lower().split()
+        for order in range(2):
+            ratios = [math.log(chances(1, a, b)[order] / chances(0, a, b)[order]) for a, b in zip(["<s>", *words], words)]
+            expected = [sum(ratios) / len(ratios), max(ratios), max(sum(ratios[i : i + 8]) / 8 for i in range(len(ratios)))] if ratios else [0, 0, 0]
+            assert np.allclose(row[3 * order : 3 * order + 3], expected)
+
+
+def test_toxicity_of_repeated_rows_and_no_rows(spark, docs):
+    table = docs([(1, "you scum"), (1, "you scum"), (2, "good day"), (None, "scum")])
+    model = toxicity.fit(table, labels_of(spark, [(1, 0, 1), (2, 0, 0)]))
+    found = sorted((r["doc_id"] or 0, r["score"]) for r in toxicity.score(table, model).collect())
+    assert len(found) == 4 and found[1] == found[2]
+    nothing = table.limit(0)
+    assert toxicity.score(nothing, toxicity.fit(nothing, labels_of(spark, [(1, 0, 1)]))).count() == 0
+
+
 def test_quality(spark, docs):
     rng, words = random.Random(2), "some plain words that make a fair sentence".split()
     rows = [(i, prose(rng, words, 50) if i % 3 else prose(rng, words, 50).upper() + "!!") for i in range(150)]
