@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runscope.operators.clean import COORDINATES, ID, FeatureSpace, feature_space
@@ -96,8 +96,8 @@ def isolation_forest(
 ) -> DataFrame:
     """(shot_id, score) with score = -2^(-mean path / expected path).
 
-    Every tree grows from its own random draw of at most *tree_rows* rows, as the method defines;
-    all rows are scored. The forest has at most trees * (2 * tree_rows - 1) nodes.
+    Every tree grows from its own random draw of at most *tree_rows* rows, as the method defines, out of
+    one pool drawn by a hash per row; all rows are scored. The forest has at most trees * (2 * tree_rows - 1) nodes.
     """
     vectors = area.put(space.vectors(), "vectors")
     total = vectors.count()
@@ -133,16 +133,27 @@ def isolation_forest(
 
 
 def _draws(vectors: DataFrame, total: int, trees: int, per_tree: int, seed: int) -> DataFrame:
-    """(tree, draw, vec): *per_tree* random rows for every tree, from a hash of ID and tree.
+    """(tree, draw, vec): a few more than *per_tree* random rows for every tree.
 
-    A first cut keeps a few more rows than needed per tree, so only those are ranked.
+    One hash per row draws the pool, about as many rows as all trees need; only rows of the pool are
+    dealt, and a row is copied only to the trees that take it.
     """
-    chance = min(1.0, (per_tree + 8 * per_tree**0.5 + 32) / total)
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    # One hash decides which trees may use a row; a row is copied only where it passes.
-    spread = vectors.select(ID, "vec", tree.alias("tree")).withColumn("draw", F.xxhash64(ID, "tree", F.lit(seed)))
-    passed = F.shiftright(F.col("draw"), 1).cast("double") + F.lit(2.0**62)
-    return spread.where(passed <= F.lit(chance * 2.0**63)).select("tree", "draw", "vec")
+    wanted = per_tree + 8 * per_tree**0.5 + 32
+    pool = min(1.0, trees * wanted / total)
+    # Of the rows of the pool each tree takes this share.
+    share = min(1.0, wanted / (pool * total))
+    drawn = vectors.select(ID, "vec", F.xxhash64(ID, F.lit(seed)).alias("ticket")).where(_below("ticket", pool))
+    takers = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: _below(F.xxhash64("ticket", tree, F.lit(seed)), share)
+    )
+    dealt = drawn.select(ID, "vec", "ticket", F.explode(takers).alias("tree"))
+    return dealt.select("tree", F.xxhash64("ticket", "tree", F.lit(seed)).alias("draw"), "vec")
+
+
+def _below(number: Column | str, share: float) -> Column:
+    """True for this share of all 64-bit numbers."""
+    number = F.col(number) if isinstance(number, str) else number
+    return F.shiftright(number, 1).cast("double") + F.lit(2.0**62) <= F.lit(share * 2.0**63)
 
 
 def _average_path(rows: float) -> float:

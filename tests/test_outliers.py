@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runscope.operators import outliers
 from runscope.operators.clean import feature_space
@@ -40,6 +41,19 @@ def test_forest_marks_the_wanted_share_and_repeats_itself(spark, area):
     np.testing.assert_allclose(first["score"], second.sort_values("shot_id")["score"])
 
 
+def test_every_tree_gets_its_rows_from_one_pool(spark):
+    vectors = spark.range(40_000).select(F.col("id").alias("shot_id"), F.array(F.col("id").cast("double")).alias("vec"))
+    for total, trees, per_tree in ((40_000, 20, 64), (40_000, 100, 256), (300, 100, 256), (200, 10, 200)):
+        drawn = outliers._draws(vectors.where(F.col("shot_id") < total), total, trees, per_tree, 7).toPandas()
+        rows = drawn["vec"].map(lambda v: v[0])
+        sizes = drawn.groupby("tree").size()
+        assert len(sizes) == trees and sizes.min() >= per_tree and sizes.max() <= per_tree + 16 * per_tree**0.5 + 64
+        assert not drawn.assign(vec=rows).duplicated(["tree", "vec"]).any()
+        assert rows.nunique() <= 1.2 * trees * sizes.mean()
+        # Low and high rows are drawn alike.
+        assert abs(rows.mean() / total - 0.5) < 0.05
+
+
 def test_empty_results(blobs):
     assert outliers.detect_outliers(blobs, "unknown").count() == 0
     assert outliers.detect_outliers(blobs, "lof", ["nope"]).count() == 0
