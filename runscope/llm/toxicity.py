@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> ToxicityMo
     counts = texts.where(~calibrating).select("label", "text").mapInArrow(
         _count, "label int, before long, word long, n long"
     )
-    model = _estimate(counts.groupBy("label", "before", "word").agg(F.sum("n").alias("n")).toPandas())
+    model = _estimate(counts.groupBy("label", "before", "word").agg(F.sum("n").alias("n")).toArrow())
     schema = "label int, " + ", ".join(f"{name} double" for name in EVIDENCE)
     cases = texts.where(calibrating).select("label", "text").mapInArrow(_evidence(model), schema)
     model.weights = _calibrate(cases.toPandas(), sizes)
@@ -142,10 +142,10 @@ def discount(counts: np.ndarray) -> float:
     return (once + 0.5) / (once + 2 * twice + 1)
 
 
-def _estimate(counts) -> ToxicityModel:
+def _estimate(counts: pa.Table) -> ToxicityModel:
     """Interpolated Kneser-Ney models of both classes from the counts of (label, before, word)."""
-    before, word = (counts[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word"))
-    n, label = counts["n"].to_numpy(float), counts["label"].to_numpy()
+    before, word = (counts[c].to_numpy().view(np.uint64) for c in ("before", "word"))
+    n, label = counts["n"].to_numpy(), counts["label"].to_numpy()
     words, at = np.unique(np.concatenate([before, word]), return_inverse=True)
     before_at, word_at = at[: len(before)], at[len(before) :]
     pairs, first, pair_at = np.unique(joint(before, word), return_index=True, return_inverse=True)

@@ -81,7 +81,7 @@ def test_discounted_chances_equal_brute_force(spark, docs):
 
     table = docs(rows).withColumn("label", splits.F.expr("cast(doc_id % 2 as int)")).select("label", "text")
     counts = table.mapInArrow(toxicity._count, "label int, before long, word long, n long")
-    model = toxicity._estimate(counts.groupBy("label", "before", "word").agg(splits.F.sum("n").alias("n")).toPandas()).open()
+    model = toxicity._estimate(counts.groupBy("label", "before", "word").agg(splits.F.sum("n").alias("n")).toArrow()).open()
     texts = ["w1 w2 w17 w17", "W3", "new w1 new", "w13 w2", "w16 w15", "", None]
     found = model.evidence(pa.array(texts, pa.string()))
     for text, row in zip(texts, found):
