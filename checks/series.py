@@ -8,21 +8,26 @@ from checks.analytics import _coordinates, _pca_sql
 from checks.tables import (
     ATTRIBUTION,
     FEATURES,
+    LONG,
     SHOTS,
     SIGNALS,
     TRACES,
     attribution,
     distance_sql,
     shots,
+    shots_long,
     table,
     traces,
     z_sql,
 )
+from runscope.config import ScopeConfig
+from runscope.dataset import open_dataset
 from runscope.operators import neighbors, project
 from runscope.operators import traces as series
 from runscope.operators.attribution import decision_path
 from runscope.operators.filters import time_window
 from runscope.plans.stage import StageArea
+from runscope.sources import registry
 from runscope.sources.stats import newer_than
 from runscope.streaming.live import LiveTable, poll, refresh_stream
 
@@ -89,6 +94,41 @@ def t2(spark, sf):
     return rounded(aligned.withColumn("time", F.round("time", 9)), "value")
 
 
+STORED = {"web/main/click": "click", "signup": "signup"}
+PICKED = "signal IN ('click', 'signup')"
+COLUMNS = ", ".join(f"round(max(value) FILTER (signal = '{s}'), 6) AS {s}" for s in STORED.values())
+
+
+def _open_store(spark, sf, hz=None):
+    """The events as a store of grouped signals, opened by its name alone."""
+
+    def reader(spark, path, config):
+        group = F.when(F.col("signal").isin("click", "view"), "web/main").alias("grp")
+        return traces(spark, path).select("shot_id", group, F.col("signal").alias("variable"), "time", "value")
+
+    registry.register_store("events", reader)
+    config = ScopeConfig(signals=[*STORED, "web/main/absent"], min_time=LO, max_time=HI, timebase_hz=hz)
+    opened = registry.open_signals(spark, "events", sf, config).withColumnsRenamed(STORED)
+    return rounded(opened.drop("web/main/absent").withColumn("time", F.round("time", 9)), *STORED.values())
+
+
+@check(
+    "s13_store_on_time_grid",
+    f"WITH {GRID} SELECT shot_id, round(time, 9) AS time, {COLUMNS} FROM filled WHERE {PICKED} GROUP BY shot_id, step, filled.time",
+)
+def s13_grid(spark, sf):
+    return _open_store(spark, sf, HZ)
+
+
+@check(
+    "s13_store_on_first_signal",
+    f"""WITH {ALIGN.replace('FROM traces GROUP', f'FROM traces WHERE {PICKED} GROUP')} SELECT shot_id, round(time, 9) AS time, {COLUMNS}
+    FROM filled WHERE time BETWEEN {LO} AND {HI} GROUP BY shot_id, filled.time""",
+)
+def s13_first(spark, sf):
+    return _open_store(spark, sf)
+
+
 @check(
     "t4_long_to_wide",
     f"WITH {TRACES} SELECT shot_id, round(time, 9) AS time, "
@@ -233,6 +273,34 @@ def r5(spark, sf):
     return rounded(neighbors.find_similar(live.read(), 42, 10, P2), "score")
 
 
+def _grown(df, path, mark, config, variable=None):
+    """A data set opened on the runs up to *mark*, refreshed once the others are there."""
+    spark = df.sparkSession
+    df.where(F.col("shot_id") <= mark).write.parquet(path)
+    opened = open_dataset(spark, path, config, variable)
+    df.where(F.col("shot_id") > mark).write.mode("append").parquet(path)
+    return opened.refresh()
+
+
+@check("r2_dataset_refresh", "WITH " + _pca_sql(f"{SHOTS}, {KNOWN}", "shots", "known"))
+def r2_dataset(spark, sf):
+    df, mark = _split(spark, sf)
+    path = f"{StageArea(spark, 'grown').path('runs')}.parquet"
+    return _coordinates(_grown(df, path, mark, ScopeConfig(projection_method="pca", features=P2)).runs)
+
+
+VARIABLE = f"""{LONG}, flagged AS (SELECT shot_id, min AS {P2[0]}, n AS {P2[1]} FROM shots_long WHERE variable_name = 'A'),
+first AS (SELECT * FROM flagged WHERE shot_id <= (SELECT max(l_partkey) * 2 // 3 FROM lineitem))"""
+
+
+@check("r2_variable_refresh", "WITH " + _pca_sql(VARIABLE, "flagged", "first"))
+def r2_variable(spark, sf):
+    mark = table(spark, sf, "lineitem").agg((F.max("l_partkey") * 2 / 3).cast("long")).first()[0]
+    path = f"{StageArea(spark, 'grown').path('long')}.parquet"
+    config = ScopeConfig(projection_method="pca", features=["min", "n"], variable_column="variable_name")
+    return _coordinates(_grown(shots_long(spark, sf), path, mark, config, "A").runs)
+
+
 @check("r1_poll_batch", "SELECT o_orderkey AS shot_id, o_totalprice FROM orders WHERE o_orderkey > (SELECT avg(o_orderkey) FROM orders)")
 def r1_batch(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("shot_id"), "o_totalprice")

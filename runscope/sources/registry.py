@@ -12,6 +12,9 @@ from pathlib import PurePath
 from pyspark.sql import DataFrame, SparkSession
 
 from runscope.config import ScopeConfig
+from runscope.operators.filters import time_window
+from runscope.operators.traces import align_to_first, resample, to_wide
+from runscope.plans.stage import StageArea
 from runscope.sources import sql, stats, traces
 from runscope.sources.columns import prepare
 
@@ -20,6 +23,7 @@ Reader = Callable[[SparkSession, str, ScopeConfig], DataFrame]
 _stats: dict[str, Reader] = {}
 _long: dict[str, Callable[[SparkSession, str, ScopeConfig, str], DataFrame]] = {}
 _traces: dict[str, Reader] = {}
+_stores: dict[str, Reader] = {}
 
 
 def register_stats(extension: str, reader: Reader | str) -> None:
@@ -41,6 +45,15 @@ def register_traces(name: str, reader: Reader | str) -> None:
         _traces[name] = reader
 
 
+def register_store(name: str, reader: Reader | str) -> None:
+    """Reader of stored signals in groups: rows (shot_id, grp, variable, time, value)."""
+    if isinstance(reader, str):
+        name_of_format = reader
+        _stores[name] = lambda spark, path, config: _load(spark, name_of_format, path, config)
+    else:
+        _stores[name] = reader
+
+
 def _load(spark: SparkSession, name: str, path: str, config: ScopeConfig) -> DataFrame:
     options = {k: str(v) for k, v in config.options.items()}
     return spark.read.format(name).options(**options).load(path)
@@ -70,6 +83,28 @@ def open_traces(spark: SparkSession, name: str, path: str, config: ScopeConfig |
     return _find(_traces, name, "trace")(spark, path, config or ScopeConfig())
 
 
+def open_signals(
+    spark: SparkSession, name: str, path: str, config: ScopeConfig | None = None, area: StageArea | None = None
+) -> DataFrame:
+    """(shot_id, time, one column per signal of the settings) inside the time window.
+
+    Signals of a store have time axes of their own: they are brought to ``timebase_hz``, or without
+    one to the times of a run's first available signal, before the window is cut out, so values at
+    its ends know the samples beyond. Files with one axis for all signals are read as they are. A
+    signal that is nowhere stored is a column of nulls; a run without any of them has no rows.
+    """
+    config = config or ScopeConfig()
+    signals = list(dict.fromkeys(config.signals))
+    if name not in _stores:
+        return to_wide(traces.to_long(open_traces(spark, name, path, config), signals), signals)
+    found = traces.select_signals(_stores[name](spark, path, config), signals)
+    if config.timebase_hz is not None:
+        placed = resample(found, config.timebase_hz, config.min_time, config.max_time)
+    else:
+        placed = time_window(align_to_first(found, signals, area=area), config.min_time, config.max_time)
+    return to_wide(placed, signals)
+
+
 register_stats(".csv", lambda spark, path, config: stats.read_csv(spark, path))
 register_stats(".parquet", lambda spark, path, config: stats.read_parquet(spark, path))
 register_stats(".pq", lambda spark, path, config: stats.read_parquet(spark, path))
