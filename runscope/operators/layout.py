@@ -1,7 +1,7 @@
 """Neighbour-graph embedding: points that are close in feature space end up close in the plane.
 
 Same purpose as a UMAP projection, built from joins: the exact neighbour table gives fuzzy edge
-weights, principal components the first layout, and a fixed number of rounds then pulls neighbours
+weights, principal components the first layout, and a given number of rounds then pulls neighbours
 together and pushes random pairs apart. Not bit-equal to any single-machine implementation.
 """
 
@@ -20,7 +20,7 @@ from runscope.plans.ordering import number_rows
 from runscope.plans.stage import StageArea
 
 N_NEIGHBORS = 15  # the point itself included
-EPOCHS = 15
+ROUNDS = 15
 NEGATIVES = 15  # random partners per point and round; fewer make the rounds noisy
 SEED = 42
 # Curve of the low-dimensional similarity for min_dist 0.1 and spread 1.
@@ -87,9 +87,10 @@ def fuzzy_edges(pairs: DataFrame) -> DataFrame:
 
 
 def neighbour_layout(
-    space: FeatureSpace, area: StageArea, n_neighbors: int = N_NEIGHBORS, epochs: int = EPOCHS
+    space: FeatureSpace, area: StageArea, n_neighbors: int = N_NEIGHBORS, rounds: int = ROUNDS
 ) -> DataFrame:
-    """(id, vec, umap_x, umap_y), one row per distinct vector."""
+    """(id, vec, umap_x, umap_y), one row per distinct vector. All edges pull in all *rounds*; with no round
+    the first layout is returned."""
     points, pairs = distinct_neighbors(space, n_neighbors - 1, area)
     nodes = area.put(number_rows(points.select("id", "vec"), ["id"], "node", area), "nodes")
     total = nodes.count()
@@ -98,17 +99,15 @@ def neighbour_layout(
     edges = edges.join(keys.select(F.col("id").alias("low"), F.col("node").alias("i")), "low")
     edges = edges.join(keys.select(F.col("id").alias("high"), F.col("node").alias("j")), "high").select("i", "j", "w")
     directed = area.put(edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")), "edges")
-    strength = directed.agg(F.max("w")).first()[0] or 1.0
-    # Edges too weak to matter in any round are left aside, as the method does.
-    edges = directed.where(F.col("w") > F.lit(strength / 500)).withColumn("pull", F.lit(True))
+    edges = directed.withColumn("pull", F.lit(True))
 
     axes = principal_axes(nodes, 2)
     start = nodes.select("node", dot(F.col("vec"), axes[0]).alias("x"), dot(F.col("vec"), axes[1]).alias("y"))
     spread = start.agg(F.stddev_pop("x").alias("x"), F.stddev_pop("y").alias("y")).first()
     placed = [_start_position(c, spread[c]).alias(c) for c in ("x", "y")]
     layout = area.put(start.select("node", *placed), "layout")
-    for epoch in range(epochs):
-        following = area.put(_epoch(layout, edges, total, epoch, epochs), "layout")
+    for done in range(rounds):
+        following = area.put(_round(layout, edges, total, done, rounds), "layout")
         area.drop(layout)
         layout = following
     placed = layout.select("node", F.col("x").alias("umap_x"), F.col("y").alias("umap_y"))
@@ -121,9 +120,9 @@ def _start_position(axis: str, deviation: float | None) -> Column:
     return F.least(F.greatest(scaled, F.lit(-START_SPAN)), F.lit(START_SPAN))
 
 
-def _epoch(layout: DataFrame, edges: DataFrame, total: int, epoch: int, epochs: int) -> DataFrame:
+def _round(layout: DataFrame, edges: DataFrame, total: int, done: int, rounds: int) -> DataFrame:
     """One round. Random partners are computed from the node number, so they join by key as edges do."""
-    random_node = F.pmod(F.xxhash64("i", F.lit(epoch + SEED), "draw"), F.lit(total))
+    random_node = F.pmod(F.xxhash64("i", F.lit(done + SEED), "draw"), F.lit(total))
     own = layout.select(F.col("node").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
     other = layout.select(F.col("node").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
     pushes = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(NEGATIVES)))).select(
@@ -144,7 +143,7 @@ def _epoch(layout: DataFrame, edges: DataFrame, total: int, epoch: int, epochs:
         driven = F.sum(F.when(~F.col("pull"), step)) / F.lit(NEGATIVES)
         return F.coalesce(drawn, F.lit(0.0)) + F.coalesce(driven, F.lit(0.0))
 
-    rate = F.lit(1.0 - epoch / epochs)
+    rate = F.lit(1.0 - done / rounds)
     # Every point has push rows, so none is lost, and its own position comes with each row.
     return moved.groupBy(F.col("i").alias("node")).agg(
         (F.min("xi") + rate * force(dx)).alias("x"), (F.min("yi") + rate * force(dy)).alias("y")

@@ -13,7 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from runscope.config import PROJECTION_METHODS
 from runscope.operators.clean import ID, ColumnStats, FeatureSpace, as_feature, column_stats, feature_columns
-from runscope.operators.layout import N_NEIGHBORS, neighbour_layout, principal_axes
+from runscope.operators.layout import N_NEIGHBORS, ROUNDS, neighbour_layout, principal_axes
 from runscope.plans.blocks import nearest_between
 from runscope.plans.stage import StageArea
 from runscope.sources.columns import quoted
@@ -101,9 +101,10 @@ def fit_projection(
     features: Sequence[str] | None = None,
     exclude: Sequence[str] | None = None,
     area: StageArea | None = None,
+    rounds: int = ROUNDS,
 ) -> ProjectionModel:
     """Fit on the chosen numeric columns: drop empty ones, impute means, drop those without spread,
-    standardise, project to two dimensions."""
+    standardise, project to two dimensions. *rounds* belongs to the neighbour graph alone."""
     if method not in PROJECTION_METHODS:
         raise ValueError(f"method must be one of {PROJECTION_METHODS}, got {method!r}")
     chosen = feature_columns(df, features, exclude)
@@ -126,7 +127,7 @@ def fit_projection(
         model.scaled,
         [],
     )
-    return ProjectionModel(method, stats, placed=area.put(neighbour_layout(space, area), "placed"))
+    return ProjectionModel(method, stats, placed=area.put(neighbour_layout(space, area, rounds=rounds), "placed"))
 
 
 def project(df: DataFrame, model: ProjectionModel, area: StageArea | None = None) -> DataFrame:
