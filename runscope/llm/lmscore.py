@@ -2,19 +2,24 @@
 
 A text is its lower-case words, each closed by a space, and a space alone at the end. Bytes are
 spelled in bits along a Huffman tree of the training bytes. Each bit is predicted from counts under
-four hashed contexts (three bytes with the end of the word before, four bytes, the word so far, the
-word so far with that end); a gate, the confidence of the three longest contexts, chooses the weights that mix the
-four in the logistic domain, and an adaptive map refines the mixed probability. The counts come from
-all training documents: tasks fill tables of a fixed size, which are summed in rounds of bounded
-groups. Weights and map are learned online from a bounded sample of training documents that is left
-out of those counts, so confidence is judged on unseen text.
+four hashed contexts (two, three and four bytes of the word, the word so far); a gate, the
+confidence of the three longest contexts, chooses the weights that mix the four in the logistic
+domain, and an adaptive map refines the mixed probability. At last the word's probability is mixed
+with how often it followed the whole word before; that weight is gated by how often the word before was seen.
 
-As contexts end at the word before, equal (ending, word) pairs of a block are spelled once. Beside
-the model stands a smoothed unigram base, whose counts over all training tokens each block asks for.
+All counts come from all training documents and grow with them: every (context, byte) and every
+pair of words is a key of 64 bits in the questions that blocks ask, and the answer to a context and
+byte is how many training bytes reached each node of the tree on the way to it. Weights and map are
+learned online, by every task over the training documents of its blocks, and averaged by the bits
+seen; there a word is predicted without what its own document counts (its mean number per document
+of the block that holds it; once for a pair). Equal words of a block are spelled once.
+
+Beside the model stands a smoothed unigram base over the same questions.
 
 Defined results: a null or empty text is the end token alone. Without training documents the base
-is a uniform one over nothing (0) and every bit has probability one half. Words are told apart by a
-64-bit hash.
+is a uniform one over nothing (0) and every bit has probability one half. Repeated rows are further
+documents, each counted. A text of any length is one block or a part of one. Words are told apart by a
+64-bit hash. Columns other than doc_id, text and the named one are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,369 +31,418 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.blocks import Block, ask, heard, pack, part_count, unpack
-from runscope.llm.text import IS_SPACE, LOWER, STEP, Words, mix
+from runscope.llm.blocks import Block, Parts, pack, part_count, unpack
+from runscope.llm.text import IS_SPACE, LOWER, STEP, Words, buffers, mix
 from runscope.plans.stage import StageArea
 
-SLOT_BITS = 22
-SLOTS = 2**SLOT_BITS
 CONTEXTS = 4
 CLOSE = 0x20
 END = np.uint64(0xE4D)
-PIECES = 64
-MERGED = 32
-BYTES_AT_ONCE = 1 << 15
+BLOCK_BYTES = 8 << 20
+BYTES_AT_ONCE = 1 << 16
+BATCH = 1 << 13
 STEEPEST = 12.0
-FINE = 256
 CONFIDENCE = np.array([1, 4, 32])
 MAP_CELLS = 49
 GATES = 64
-TOKEN = np.dtype([("key", "<u8"), ("n", "<u8")])
-SPREAD = np.uint64(0xA24BAED4963EE407)
+#: Gates of the word before: powers of two of how often it was seen.
+SEEN = 24
+RECORD = np.dtype([("key", "<u8"), ("n", "<u4")])
 SALTS = mix(np.arange(1, CONTEXTS + 1, dtype=np.uint64))
+BYTE = np.uint64(0xFF)
+ONE = np.uint64(1)
 
 
 class Code:
-    """Huffman code of bytes: the bits of each and the (spread) tree node before each bit."""
+    """Huffman code of bytes; bytes are ranked by the order of their leaves, so that a node is a range of ranks.
+
+    ``low[r, j]`` and ``high[r, j]`` bound the node that the byte of rank r has reached after j bits.
+    """
 
     def __init__(self, histogram: np.ndarray) -> None:
-        heap = [(int(n) + 1, i, i) for i, n in enumerate(histogram)]
+        # No byte is rarer than one in some thousands, which bounds the depth.
+        least = int(histogram.sum()) // 4096 + 1
+        heap = [(int(n) + least, i, (i,)) for i, n in enumerate(histogram)]
         heapq.heapify(heap)
-        parent: dict[int, tuple[int, int]] = {}
+        paths: list[list[int]] = [[] for _ in range(256)]
         node = 256
         while len(heap) > 1:
             (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x], parent[y] = (node, 0), (node, 1)
-            heapq.heappush(heap, (a + b, node, node))
+            for bit, side in enumerate((x, y)):
+                for byte in side:
+                    paths[byte].append(bit)
+            heapq.heappush(heap, (a + b, node, x + y))
             node += 1
-        paths = []
-        for byte in range(256):
-            path, at = [], byte
-            while at in parent:
-                at, bit = parent[at]
-                path.append((at - 256, bit))
-            paths.append(path[::-1])
-        self.length = np.array([len(p) for p in paths])
-        shape = (256, self.length.max())
-        self.nodes, self.bits = np.zeros(shape, np.uint64), np.zeros(shape, np.int8)
-        for byte, path in enumerate(paths):
-            for j, (at, bit) in enumerate(path):
-                self.nodes[byte, j], self.bits[byte, j] = at * int(SPREAD) % 2**64, bit
-
-    def spell(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(byte position, node, bit) of every bit."""
-        length = self.length[data]
-        at = np.repeat(np.arange(len(data)), length)
-        width = self.nodes.shape[1]
-        cell = np.arange(len(at)) + np.repeat(data.astype(np.int64) * width - (np.cumsum(length) - length), length)
-        return at, self.nodes.ravel()[cell], self.bits.ravel()[cell]
+        order = heap[0][2]
+        self.rank = np.zeros(256, np.uint64)
+        self.rank[list(order)] = np.arange(256)
+        self.length = np.array([len(paths[byte]) for byte in order])
+        depth = int(self.length.max())
+        self.bits = np.zeros((256, depth), bool)
+        self.low, self.high = np.zeros((256, depth + 1), np.uint64), np.zeros((256, depth + 1), np.uint64)
+        for r, byte in enumerate(order):
+            self.bits[r, : self.length[r]] = paths[byte][::-1]
+        for j in range(depth + 1):
+            prefixes: dict[tuple, list[int]] = {}
+            for r in range(256):
+                prefixes.setdefault(tuple(self.bits[r, : min(j, self.length[r])]) + (self.length[r] < j,), []).append(r)
+            for ranks in prefixes.values():
+                self.low[ranks, j], self.high[ranks, j] = ranks[0], ranks[-1]
+
+    def levels(self, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """For sorted distinct keys (a context, its last byte the rank) the counts of each node on the way."""
+        rank = (keys & BYTE).astype(np.int64)
+        context = keys & ~BYTE
+        sums = np.concatenate([np.zeros(1), np.cumsum(totals, dtype=float)])
+        out = np.zeros((len(keys), self.low.shape[1]), np.float32)
+        for j in range(out.shape[1]):
+            some = np.flatnonzero(self.length[rank] >= j)
+            first = np.searchsorted(keys, context[some] | self.low[rank[some], j])
+            last = np.searchsorted(keys, context[some] | self.high[rank[some], j], "right")
+            out[some, j] = sums[last] - sums[first]
+        return out
+
+    def on_path(self, rank: np.ndarray) -> np.ndarray:
+        """Which cells of :meth:`levels` belong to the way."""
+        return np.arange(self.low.shape[1]) <= self.length[rank][:, None]
 
 
 class Tokens:
-    """Tokens of a block's documents (their words and an end each) and the distinct (ending, word) pairs."""
+    """Tokens of a block's documents (their words and an end each), the distinct words, pairs and contexts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        words = Words(LOWER[data], offsets)
-        self.words = words
-        docs, counts = len(offsets) - 1, words.counts
+    def __init__(self, block: Block, code: Code, train: np.ndarray) -> None:
+        words = Words(LOWER[block.data], block.offsets)
+        docs, counts = len(block), words.counts
         self.first = words.first + np.arange(docs + 1)
         self.document = np.repeat(np.arange(docs), counts + 1)
-        ends = self.first[1:] - 1
-        is_word = np.ones(self.first[-1], bool)
-        is_word[ends] = False
-        self.hash = np.full(self.first[-1], END)
-        self.hash[is_word] = words.hashes()
-        self.start, self.length = np.zeros(len(self.hash), np.int64), np.zeros(len(self.hash), np.int64)
-        self.start[is_word], self.length[is_word] = words.start, words.length
-        # Last two bytes of the word before; 0 at the start of a document.
-        last = np.zeros(len(self.hash), np.uint64)
-        stop = self.start + self.length
-        padded = np.concatenate([words.data, np.zeros(1, np.uint8)])
-        tail = padded[np.maximum(stop - 1, 0)].astype(np.uint64) | (
-            np.where(self.length > 1, padded[np.maximum(stop - 2, 0)], 0).astype(np.uint64) << np.uint64(8)
-        )
-        last[1:] = tail[:-1]
-        last[self.first[:-1]] = 0
-        self.ending = last
-        _, self.chosen, self.which = np.unique(
-            mix(self.hash + (last + np.uint64(1)) * STEP), return_index=True, return_inverse=True
+        size = int(self.first[-1])
+        is_word = np.ones(size, bool)
+        is_word[self.first[1:] - 1] = False
+        hashes = np.full(size, END)
+        hashes[is_word] = words.hashes()
+        hashes &= ~ONE
+        self.length = np.zeros(size, np.int64)
+        self.length[is_word] = words.length
+        start = np.zeros(size, np.int64)
+        start[is_word] = words.start
+        self.types, chosen, self.which = np.unique(hashes, return_index=True, return_inverse=True)
+        # The word before; the end token stands before the first word.
+        self.before = np.full(size, np.searchsorted(self.types, END & ~ONE))
+        self.before[1:] = np.where(is_word[:-1], self.which[:-1], self.before[1:])
+        self.pairs, self.pair = np.unique(
+            mix(hashes + mix(self.types[self.before] + STEP)) | ONE, return_inverse=True
         )
-
-    def streams(self, some: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Distinct pairs, all or *some*, in bounded pieces: (their numbers, bytes, pair of each byte, place in the word)."""
-        length = self.length[self.chosen] + 1
-        numbers = np.arange(len(length)) if some is None else np.flatnonzero(some)
-        ends = np.cumsum(length[numbers])
-        low = 0
-        while low < len(numbers):
-            base = ends[low - 1] if low else 0
-            high = max(low + 1, int(np.searchsorted(ends, base + BYTES_AT_ONCE, "right")))
-            part = numbers[low:high]
-            pair = np.repeat(part, length[part])
-            place = np.arange(len(pair)) - np.repeat(np.cumsum(length[part]) - length[part], length[part])
-            word = place < length[pair] - 1
-            data = np.full(len(pair), CLOSE, np.uint8)
-            data[word] = self.words.data[self.start[self.chosen[pair[word]]] + place[word]]
-            yield part, data, pair, place
-            low = high
-
-    def contexts(self, data: np.ndarray, pair: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-        """One mixed 64-bit key per context and byte."""
-        before = np.zeros((4, len(data)), np.uint64)
+        self.trains = train[self.document]
+        self.often = np.bincount(self.which, self.trains, len(self.types))
+        # In how many training documents of the block each word is.
+        inside = np.unique(self.document[self.trains].astype(np.int64) * len(self.types) + self.which[self.trains])
+        self.holders = np.bincount(inside % max(1, len(self.types)), minlength=len(self.types))
+        self.code = code
+        self._spell(words.data, start[chosen], self.length[chosen])
+
+    def _spell(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Bytes of the distinct words, each closed, and the distinct (context, byte) keys."""
+        self.ends = np.cumsum(length + 1)
+        self.type = np.repeat(np.arange(len(length)), length + 1)
+        place = np.arange(len(self.type)) - np.repeat(self.ends - length - 1, length + 1)
+        word = place < length[self.type]
+        spelled = np.full(len(place), CLOSE, np.uint8)
+        spelled[word] = data[start[self.type[word]] + place[word]]
+        before = np.zeros((4, len(place)), np.uint64)
         for k in range(1, 5):
-            if len(data) > k:
-                before[k - 1, k:] = np.where(place[k:] >= k, data[:-k].astype(np.uint64) + np.uint64(1), 0)
-        three = before[0] | before[1] << np.uint64(9) | before[2] << np.uint64(18)
+            before[k - 1, k:] = np.where(place[k:] >= k, spelled[:-k].astype(np.uint64) + ONE, 0)
+        two = before[0] | before[1] << np.uint64(9)
+        three = two | before[2] << np.uint64(18)
         four = three | before[3] << np.uint64(27)
-        power = np.full(int(place.max()) + 1, STEP)
+        power = np.full(int(place.max(initial=0)) + 1, STEP)
         power[0] = 1
-        value = mix(data.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[place]
+        value = mix(spelled.astype(np.uint64) + ONE) * np.multiply.accumulate(power)[place]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])[:-1]
-        start = np.arange(len(data)) - place
-        word = total - total[start]
-        ending = mix(self.ending[self.chosen[pair]] + np.uint64(1))
-        kinds = (three + ending, four, word, word + ending)
-        return [mix(x + salt) for x, salt in zip(kinds, SALTS, strict=True)]
-
-
-def slots(key: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slot of a context at a tree node (given as its product with SPREAD)."""
-    found = key + node
-    found *= STEP
-    found >>= np.uint64(64 - SLOT_BITS)
-    return found.view(np.int64)
+        so_far = total - total[np.arange(len(place)) - place]
+        rank = self.code.rank[spelled]
+        kinds = [(mix(x + salt) & ~BYTE) | rank for x, salt in zip((two, three, four, so_far), SALTS, strict=True)]
+        found = [np.unique(kind, return_inverse=True) for kind in kinds]
+        # Contexts of different kinds differ by their salts.
+        everything = np.concatenate([keys for keys, _ in found])
+        order = np.argsort(everything, kind="stable")
+        place_of = np.empty(len(order), np.int64)
+        place_of[order] = np.arange(len(order))
+        limits = np.cumsum([0] + [len(keys) for keys, _ in found])
+        self.keys = everything[order]
+        self.entry = [place_of[limits[i] :][inverse] for i, (_, inverse) in enumerate(found)]
+        self.rank = rank.astype(np.int64)
+
+    def questions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted records of (words and pairs) and of contexts, with the training counts of this block."""
+        counts = np.concatenate([self.often, np.bincount(self.pair, self.trains, len(self.pairs))])
+        names = np.zeros(len(counts), RECORD)
+        names["key"], names["n"] = np.concatenate([self.types, self.pairs]), counts
+        contexts = np.zeros(len(self.keys), RECORD)
+        contexts["key"] = self.keys
+        weight = self.often[self.type]
+        contexts["n"] = sum(np.bincount(entry, weight, len(self.keys)) for entry in self.entry)
+        return names[np.argsort(names["key"], kind="stable")], contexts
+
+    def told(self, answer: list, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of all training documents: of the words, of the pairs, of the ways of all contexts and where each way begins."""
+        asked = np.concatenate([self.types, self.pairs])
+        order = np.argsort(asked, kind="stable")
+        widths = self.code.length[(self.keys & BYTE).astype(np.int64)] + 1
+        begins = np.concatenate([[0], np.cumsum(widths)])
+        parts = Parts(count)
+        name_cuts, context_cuts = parts.cuts(asked[order]), begins[parts.cuts(self.keys)]
+        names, ways = np.zeros(len(asked), np.uint64), np.zeros(begins[-1], np.float32)
+        open_ = zstandard.ZstdDecompressor().decompress
+        for item in answer:
+            part, body = item["part"], np.frombuffer(open_(item["body"]), np.uint8)
+            if part < count:
+                names[name_cuts[part] : name_cuts[part + 1]] = joined(body, "<u8")
+            else:
+                ways[context_cuts[part - count] : context_cuts[part - count + 1]] = joined(body, "<f4")
+        counts = np.empty(len(asked))
+        counts[order] = names >> ONE
+        return counts[: len(self.types)], counts[len(self.types) :], ways, begins[:-1]
+
+    def bits(self, some: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Bits of the distinct words, in bounded pieces: (byte, number in its code, bit)."""
+        wanted = np.arange(len(self.type)) if some is None else np.flatnonzero(some[self.type])
+        for low in range(0, len(wanted), BYTES_AT_ONCE):
+            at = wanted[low : low + BYTES_AT_ONCE]
+            length = self.code.length[self.rank[at]]
+            j = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            at = np.repeat(at, length)
+            yield at, j, self.code.bits[self.rank[at], j]
+
+
+def spread(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, compressed."""
+    flat = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize)
+    return zstandard.compress(np.ascontiguousarray(flat.T).tobytes(), 1)
+
+
+def joined(body: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(body.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 @dataclass
-class BitModel:
-    """Tables of predictions (a quantised logit and the confidence of its counts), mixer and map."""
+class Mixer:
+    """Weights of the contexts, refined map, and weights of the pairs."""
 
-    code: Code
-    tables: np.ndarray
     weights: np.ndarray
-    refined: np.ndarray
-    left_out: float
-
-    def inputs(self, keys: list[np.ndarray], at: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bits, contexts) logits and the gate of every bit."""
-        logits, sure = np.empty((CONTEXTS, len(at)), np.float32), []
-        for i, key in enumerate(keys):
-            found = self.tables[i][slots(key[at], node)]
-            logits[i] = found >> 2
-            sure.append(found & 3)
-        logits /= FINE
-        return logits, sure[3].astype(np.int64) * 16 + sure[2] * 4 + sure[1]
+    ones: np.ndarray
+    seen: np.ndarray
+    pairs: np.ndarray
+
+    @classmethod
+    def new(cls) -> Mixer:
+        steps = np.linspace(-STEEPEST, STEEPEST, MAP_CELLS)
+        prior = np.full(GATES * MAP_CELLS, 4.0)
+        return cls(np.full((CONTEXTS, GATES), 0.35), prior * np.tile(1 / (1 + np.exp(-steps)), GATES), prior, np.zeros(SEEN))
+
+    @staticmethod
+    def inputs(tokens: Tokens, ways: np.ndarray, begins: np.ndarray, at, j, own) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the bit that comes under each context, without *own* of its counts, and the gate of every bit."""
+        logits, gate = np.empty((CONTEXTS, len(at)), np.float32), 0
+        for i, entry in enumerate(tokens.entry):
+            cell = begins[entry[at]] + j
+            all_, taken = np.maximum(ways[cell] - own, 0), np.maximum(ways[cell + 1] - own, 0)
+            logits[i] = np.log((taken + np.float32(0.4)) / (all_ - taken + np.float32(0.4)))
+            if i:
+                gate = gate * 4 + np.searchsorted(CONFIDENCE, all_, "right")
+        return logits, gate
 
     def mixed(self, logits: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        out = self.weights[CONTEXTS][gate]
-        for i in range(CONTEXTS):
-            out += self.weights[i][gate] * logits[i]
-        return np.clip(out, -STEEPEST, STEEPEST, out=out)
-
-    def cells(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return gate * MAP_CELLS + np.rint((mixed + STEEPEST) * ((MAP_CELLS - 1) / (2 * STEEPEST))).astype(np.int64)
-
-    def probability(self, logits: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Of a one: the mixture and its refined value, half each."""
-        mixed = self.mixed(logits, gate)
-        return 0.5 / (1 + np.exp(-mixed)) + 0.5 * self.refined[self.cells(mixed, gate)]
-
-    def pair_scores(self, tokens: Tokens) -> np.ndarray:
-        """log10 probability of every distinct (ending, word) pair."""
-        out = np.zeros(len(tokens.chosen))
-        for part, data, pair, place in tokens.streams():
-            keys = tokens.contexts(data, pair, place)
-            at, node, bit = self.code.spell(data)
-            p = self.probability(*self.inputs(keys, at, node))
-            cost = np.log10(np.where(bit == 1, p, 1 - p).astype(np.float32))
-            out[part] = np.bincount(pair[at] - part[0], cost, len(part))
+        out = sum(self.weights[i][gate] * logits[i] for i in range(CONTEXTS))
+        return np.clip(out, -STEEPEST, STEEPEST)
+
+    def probability(self, mixed: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the bit that comes: the mixture and its refined value, half each; and the cell of the map."""
+        one = np.where(bit, mixed, -mixed)
+        cell = gate * MAP_CELLS + np.rint((one + STEEPEST) * ((MAP_CELLS - 1) / (2 * STEEPEST))).astype(np.int64)
+        refined = self.ones[cell] / self.seen[cell]
+        return 0.5 / (1 + np.exp(-mixed)) + 0.5 * np.where(bit, refined, 1 - refined), cell
+
+    def spelled(self, tokens: Tokens, ways: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Probability of every distinct word, as its logarithm."""
+        out = np.zeros(len(tokens.types))
+        for at, j, bit in tokens.bits():
+            logits, gate = self.inputs(tokens, ways, begins, at, j, np.float32(0))
+            p, _ = self.probability(self.mixed(logits, gate), gate, bit)
+            kind = tokens.type[at]
+            out[kind[0] : kind[-1] + 1] += np.bincount(kind - kind[0], np.log(p))
         return out
 
-    def learn(self, texts: pa.Array, rate: float = 0.003, batch: int = 1024) -> None:
-        """Online gradient steps over the texts, bit by bit in small batches."""
-        from runscope.llm.text import buffers
-
-        for i in range(len(texts)):
-            tokens = Tokens(*buffers(texts.slice(i, 1)))
-            for _, data, pair, place in tokens.streams():
-                at, node, bit = self.code.spell(data)
-                logits, gate = self.inputs(tokens.contexts(data, pair, place), at, node)
-                for low in range(0, len(at), batch):
-                    x, g, y = logits[:, low : low + batch], gate[low : low + batch], bit[low : low + batch]
-                    mixed = self.mixed(x, g)
-                    cells = self.cells(mixed, g)
-                    np.add.at(self.refined, cells, 0.02 * (y - self.refined[cells]))
-                    error = y - 1 / (1 + np.exp(-mixed))
-                    for k in range(CONTEXTS):
-                        self.weights[k] += rate * np.bincount(g, error * x[k], GATES)
-                    self.weights[CONTEXTS] += rate * np.bincount(g, error, GATES)
-                    np.clip(self.weights, -1, 3, out=self.weights)
-        self.refined = np.clip(self.refined, 1e-5, 1 - 1e-5)
-
-
-def _in_sample(ids: np.ndarray, share: float) -> np.ndarray:
-    return mix(ids.view(np.uint64) + STEP) < np.uint64(min(2**64 - 1, int(share * 2**64)))
-
-
-def fit_bits(blocks: DataFrame, trains: str, area: StageArea, sample: int) -> BitModel:
-    """Counts of all training documents, weights from about *sample* of them (a tenth at most)."""
-    code, documents = _code(blocks, trains)
-    share = min(0.1, sample / max(1, documents))
-    tables = _tables(blocks, trains, code, share, area)
-    weights = np.full((CONTEXTS + 1, GATES), 0.35, np.float32)
-    weights[CONTEXTS] = 0
-    steps = np.linspace(-STEEPEST, STEEPEST, MAP_CELLS)
-    model = BitModel(code, tables, weights, np.tile(1 / (1 + np.exp(-steps)), GATES), share)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _ in unpack(batches):
-            keep = np.flatnonzero(block.rest.column(trains).to_numpy(zero_copy_only=False) & _in_sample(block.ids, share))
-            texts = pa.array([block.text(i) for i in keep], pa.binary())
-            yield pa.record_batch([pa.array(block.ids[keep]), texts], names=["doc_id", "text"])
-
-    chosen = blocks.mapInArrow(pick, "doc_id long, text binary").orderBy("doc_id", "text")
-    model.learn(pa.array([bytes(r["text"]) for r in chosen.collect()], pa.binary()))
-    return model
-
-
-def _code(blocks: DataFrame, trains: str) -> tuple[Code, int]:
+    def with_pairs(self, spelled: np.ndarray, followed: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of tokens: as spelled, and as followers of the word before."""
+        gate = seen_gate(before)
+        share = np.where(before > 0, self.pairs[gate], 0)
+        return np.logaddexp(np.log1p(-share) + spelled, np.log(np.maximum(share * followed / np.maximum(before, 1), 1e-300)))
+
+
+def seen_gate(before: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(before, 1)).astype(np.int64), SEEN - 1)
+
+
+class Learner:
+    """Online steps of one task, from the weights all tasks begin with."""
+
+    def __init__(self) -> None:
+        self.mixer = Mixer.new()
+        self.squares = np.full((CONTEXTS, GATES), 1e-6)
+        self.bits, self.taken, self.tokens = np.zeros(GATES), np.zeros(SEEN), np.zeros(SEEN)
+        self.start = self.mixer.ones.copy(), self.mixer.seen.copy()
+
+    def learn(self, tokens: Tokens, answer: list, count: int, rate: float = 0.1) -> None:
+        words, pairs, ways, begins = tokens.told(answer, count)
+        own = np.rint(tokens.often / np.maximum(tokens.holders, 1)).astype(np.float32)
+        spelled = np.zeros(len(tokens.types))
+        mixer = self.mixer
+        for at, j, bit in tokens.bits(tokens.often > 0):
+            kind = tokens.type[at]
+            logits, gate = mixer.inputs(tokens, ways, begins, at, j, own[kind])
+            for low in range(0, len(at), BATCH):
+                cut = slice(low, low + BATCH)
+                x, g, y, often = logits[:, cut], gate[cut], bit[cut], tokens.often[kind[cut]]
+                mixed = mixer.mixed(x, g)
+                p, cell = mixer.probability(mixed, g, y)
+                base = kind[low]
+                found = np.bincount(kind[cut] - base, np.log(p))
+                spelled[base : base + len(found)] += found
+                mixer.seen = mixer.seen + np.bincount(cell, often, len(mixer.seen))
+                mixer.ones = mixer.ones + np.bincount(cell, often * y, len(mixer.ones))
+                error = often / (1 + np.exp(mixed))
+                for i in range(CONTEXTS):
+                    step = np.bincount(g, error * x[i], GATES)
+                    self.squares[i] += step**2
+                    mixer.weights[i] += rate * step / np.sqrt(self.squares[i])
+                np.clip(mixer.weights, -1, 3, out=mixer.weights)
+                self.bits += np.bincount(g, often, GATES)
+        some = np.flatnonzero(tokens.trains)
+        before = words[tokens.before[some]] - 1
+        some, before = some[before > 0], before[before > 0]
+        gate, followed = seen_gate(before), np.maximum(pairs[tokens.pair[some]] - 1, 0) / before
+        plain, share, size = np.exp(spelled[tokens.which[some]]), np.full(SEEN, 0.2), np.bincount(gate, minlength=SEEN)
+        for _ in range(8):
+            mine = share[gate] * followed
+            taken = np.bincount(gate, mine / np.maximum(mine + (1 - share[gate]) * plain, 1e-300), SEEN)
+            share = taken / np.maximum(size, 1)
+        self.taken += taken
+        self.tokens += size
+
+    def sums(self) -> np.ndarray:
+        parts = [self.mixer.weights * self.bits, self.bits, self.mixer.ones - self.start[0], self.mixer.seen - self.start[1], self.taken, self.tokens]
+        return np.concatenate([x.ravel() for x in parts])
+
+
+def _code(blocks: DataFrame, trains: str) -> Code:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(257, np.int64)
+        total = np.zeros(256, np.int64)
         for block, _ in unpack(batches):
-            train = block.rest.column(trains).to_numpy(zero_copy_only=False)
-            seen = block.data[np.repeat(train, np.diff(block.offsets))]
-            total[:256] += np.bincount(LOWER[seen], minlength=256)
-            total[256] += train.sum()
-        yield pa.record_batch([pa.array(np.arange(257)), pa.array(total)], names=["byte", "n"])
-
-    rows = blocks.mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    histogram = np.zeros(257, np.int64)
-    for r in rows:
+            seen = block.data[np.repeat(training(block, trains), np.diff(block.offsets))]
+            total += np.bincount(LOWER[seen], minlength=256)
+        yield pa.record_batch([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
+
+    histogram = np.zeros(256, np.int64)
+    for r in blocks.mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         histogram[r["byte"]] = r["n"]
-    spaces = histogram[:256][IS_SPACE].sum()
-    histogram[:256][IS_SPACE] = 0
+    spaces = histogram[IS_SPACE].sum()
+    histogram[IS_SPACE] = 0
     histogram[CLOSE] = spaces
-    return Code(histogram[:256]), int(histogram[256])
+    return Code(histogram)
 
 
-def _tables(blocks: DataFrame, trains: str, code: Code, share: float, area: StageArea) -> np.ndarray:
-    """(contexts, slots): predictions from how often a zero and a one followed each context."""
-    size = CONTEXTS * SLOTS * 2 // PIECES
+def training(block: Block, trains: str) -> np.ndarray:
+    return pa.compute.fill_null(block.rest.column(trains), False).to_numpy(zero_copy_only=False)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CONTEXTS, SLOTS * 2), np.float32)
-        seen = False
-        for block, _ in unpack(batches):
-            train = block.rest.column(trains).to_numpy(zero_copy_only=False) & ~_in_sample(block.ids, share)
-            tokens = Tokens(block.data, block.offsets)
-            often = np.bincount(tokens.which, train[tokens.document], len(tokens.chosen))
-            for _, data, pair, place in tokens.streams(often > 0):
-                keys = tokens.contexts(data, pair, place)
-                at, node, bit = code.spell(data)
-                weight = often[pair[at]].astype(np.float32)
-                for i, key in enumerate(keys):
-                    np.add.at(total[i], slots(key[at], node) * 2 + bit, weight)
-            seen = True
-        if seen:
-            task = TaskContext.get().partitionId()
-            for piece, values in enumerate(total.reshape(PIECES, size)):
-                body = zstandard.compress(values.astype("<i4").tobytes(), 1)
-                columns = [pa.array([piece], pa.int32()), pa.array([task]), pa.array([body], pa.binary())]
-                yield pa.record_batch(columns, names=["piece", "task", "body"])
-
-    def merge(kind: str):
-        def run(table: pa.Table) -> pa.Table:
-            total = np.zeros(size, np.int64)
-            for body in table.column("body"):
-                total += np.frombuffer(zstandard.decompress(body.as_py()), kind)
-            body = zstandard.compress(total.astype("<i8").tobytes(), 1)
-            return pa.table([table.column("piece")[:1], table.column("task")[:1], pa.array([body], pa.binary())], names=["piece", "task", "body"])
-
-        return run
-
-    def predictions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece, body in zip(batch.column("piece"), batch.column("body"), strict=True):
-                counts = np.frombuffer(zstandard.decompress(body.as_py()), "<i8").reshape(-1, 2)
-                logit = np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4))
-                sure = np.searchsorted(CONFIDENCE, counts.sum(1), "right")
-                found = np.rint(np.clip(logit, -STEEPEST, STEEPEST) * FINE).astype(np.int16) << 2 | sure
-                yield pa.record_batch([pa.array([piece.as_py()], pa.int32()), pa.array([found.astype("<i2").tobytes()], pa.binary())], names=["piece", "body"])
-
-    schema = "piece int, task long, body binary"
-    sums = area.put(blocks.mapInArrow(count, schema), "counts", compression="uncompressed")
-    tasks, kind = blocks.rdd.getNumPartitions(), "<i4"
-    while tasks > 1 or kind == "<i4":
-        # At most MERGED tables meet in one task.
-        grouped = sums.withColumn("task", F.floor(F.col("task") / MERGED)).groupBy("piece", "task")
-        sums, old = area.put(grouped.applyInArrow(merge(kind), schema), "counts", compression="uncompressed"), sums
-        area.drop(old)
-        tasks, kind = -(-tasks // MERGED), "<i8"
-    # The tables have a fixed size, however large the corpus is.
-    out = np.zeros((PIECES, size // 2), np.int16)
-    for r in sums.mapInArrow(predictions, "piece int, body binary").toLocalIterator():
-        out[r["piece"]] = np.frombuffer(bytes(r["body"]), "<i2")
-    return out.reshape(CONTEXTS, SLOTS)
-
-
-def base_counts(blocks: DataFrame, trains: str, count: int, area: StageArea) -> tuple[DataFrame, int, int]:
-    """The training counts each block asks for, with N and V of all training tokens."""
-
-    def values(block: Block, _: list) -> np.ndarray:
-        tokens = Tokens(block.data, block.offsets)
-        train = block.rest.column(trains).to_numpy(zero_copy_only=False)
-        keys, which = np.unique(tokens.hash, return_inverse=True)
-        out = np.zeros(len(keys), TOKEN)
-        out["key"], out["n"] = keys, np.bincount(which, train[tokens.document], len(keys)).astype(np.uint64)
-        return out
 
-    def total(values: np.ndarray, block: np.ndarray) -> np.ndarray:
-        _, first, which = np.unique(values["key"], return_index=True, return_inverse=True)
-        counts = np.zeros(len(first), np.uint64)
-        np.add.at(counts, which, values["n"])
-        out = counts[which] << np.uint64(1)
-        # One block is told that the word is its to count.
-        out[first[counts > 0]] |= np.uint64(1)
-        return out
+def _answers(blocks: DataFrame, trains: str, code: Code, count: int, area: StageArea) -> tuple[DataFrame, int, int]:
+    """(block, answer) with the training counts each block asks for, and N and V of all training tokens."""
+    parts = Parts(count)
 
-    answers = ask(blocks, count, TOKEN, values, total, area)
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _ in unpack(batches):
+            for first, found in zip((0, count), Tokens(block, code, training(block, trains)).questions(), strict=True):
+                cuts = parts.cuts(found["key"])
+                some = np.flatnonzero(np.diff(cuts))
+                bodies = [found[cuts[p] : cuts[p + 1]].tobytes() for p in some]
+                columns = [pa.array((some + first).astype(np.int32)), pa.array([block.number] * len(some)), pa.array(bodies, pa.binary())]
+                yield pa.record_batch(columns, names=["part", "block", "body"])
+
+    def decide(table: pa.Table) -> pa.Table:
+        chunks = [buffers(chunk) for chunk in table.column("body").chunks]
+        lengths = np.concatenate([np.diff(ends) for _, ends in chunks]) // RECORD.itemsize
+        found = np.concatenate([data.view(RECORD) for data, _ in chunks])
+        keys, which = np.unique(found["key"], return_inverse=True)
+        totals = np.bincount(which, found["n"], len(keys))
+        ends = np.cumsum(lengths)
         n = v = 0
-        for batch in batches:
-            for parts in batch.column("answer").to_pylist():
-                for item in parts:
-                    told = np.frombuffer(item["body"], "<u8")
-                    mine = told[told & np.uint64(1) == 1]
-                    v, n = v + len(mine), n + int((mine >> np.uint64(1)).sum())
-        yield pa.record_batch([pa.array([n]), pa.array([v])], names=["n", "v"])
+        if table.column("part")[0].as_py() < count:
+            # Counts, and whether the key is a pair.
+            told = totals.astype(np.uint64) << ONE | keys & ONE
+            words = totals[(keys & ONE) == 0]
+            n, v = int(words.sum()), int((words > 0).sum())
+            bodies = [spread(told[which[e - k : e]]) for e, k in zip(ends, lengths, strict=True)]
+        else:
+            ways, on_path = code.levels(keys, totals), code.on_path((keys & BYTE).astype(np.int64))
+            some = (which[e - k : e] for e, k in zip(ends, lengths, strict=True))
+            bodies = [spread(ways[w][on_path[w]]) for w in some]
+        sums = [pa.array([x] + [0] * (len(bodies) - 1), pa.int64()) for x in (n, v)]
+        return pa.table([table.column("block"), table.column("part"), pa.array(bodies, pa.binary()), *sums], names=["block", "part", "body", "n", "v"])
+
+    sent = blocks.mapInArrow(send, "part int, block long, body binary").repartition(2 * count, "part")
+    found = sent.groupBy("part").applyInArrow(decide, "block long, part int, body binary, n long, v long")
+    each = found.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("answer"), F.sum("n").alias("n"), F.sum("v").alias("v"))
+    answers = area.put(each, "answers", compression="uncompressed")
+    row = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    return answers.select("block", "answer"), row["n"] or 0, row["v"] or 0
+
+
+def _mixer(asked: DataFrame, trains: str, code: Code, count: int) -> Mixer:
+    """Weights, map and pair weights that the tasks learned, averaged by the bits or tokens seen."""
 
-    row = answers.mapInArrow(summed, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    return answers, row["n"] or 0, row["v"] or 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner()
+        for block, (answer,) in unpack(batches):
+            learner.learn(Tokens(block, code, training(block, trains)), answer or [], count)
+        sums = learner.sums()
+        yield pa.record_batch([pa.array(np.arange(len(sums))), pa.array(sums)], names=["cell", "value"])
+
+    rows = asked.mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    mixer = Mixer.new()
+    limits = np.cumsum([CONTEXTS * GATES, GATES, GATES * MAP_CELLS, GATES * MAP_CELLS, SEEN, SEEN])
+    sums = np.zeros(limits[-1])
+    for r in rows:
+        sums[r["cell"]] = r["value"]
+    weights, bits, ones, seen, taken, tokens = np.split(sums, limits[:-1])
+    mixer.weights = np.where(bits > 0, weights.reshape(CONTEXTS, GATES) / np.maximum(bits, 1), mixer.weights)
+    mixer.ones, mixer.seen = mixer.ones + ones, mixer.seen + seen
+    mixer.pairs = np.minimum(taken / np.maximum(tokens, 1), 0.999)
+    return mixer
 
 
-def score_documents(docs: DataFrame, trains: str, sample: int = 500) -> DataFrame:
+def score_documents(docs: DataFrame, trains: str) -> DataFrame:
     """Scores of every row of *docs* (doc_id, text and the boolean column *trains*).
 
     (doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)
     """
     area = StageArea(docs.sparkSession, "lmscore")
-    blocks = pack(docs.select("doc_id", "text", trains), area)
-    count = part_count(blocks)
-    answers, n, v = base_counts(blocks, trains, count, area)
-    held = docs.sparkSession.sparkContext.broadcast(fit_bits(blocks, trains, area, sample))
+    blocks = pack(docs.select("doc_id", "text", trains), area, target=BLOCK_BYTES)
+    count, code = part_count(blocks), _code(blocks, trains)
+    answers, n, v = _answers(blocks, trains, code, count, area)
+    asked = blocks.join(answers, "block", "left")
+    mixer = _mixer(asked, trains, code, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, (answer,) in unpack(batches):
-            tokens, size = Tokens(block.data, block.offsets), len(block)
-            keys, which = np.unique(tokens.hash, return_inverse=True)
-            c = (heard(answer, keys, count, "<u8") >> np.uint64(1))[which].astype(float)
+            tokens, size = Tokens(block, code, training(block, trains)), len(block)
+            words, pairs, ways, begins = tokens.told(answer or [], count)
+            c = words[tokens.which]
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-            score = held.value.pair_scores(tokens)[tokens.which]
+            spelled = mixer.spelled(tokens, ways, begins)[tokens.which]
+            score = mixer.with_pairs(spelled, pairs[tokens.pair], words[tokens.before]) / np.log(10)
             per = lambda x: np.bincount(tokens.document, x, size)
             length, total = per(tokens.length + 1.0), per(score)
             found = {
@@ -403,4 +457,4 @@ def score_documents(docs: DataFrame, trains: str, sample: int = 500) -> DataFram
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return blocks.join(answers, "block", "left").mapInArrow(run, schema)
+    return asked.mapInArrow(run, schema)

@@ -320,7 +320,7 @@ def test_leaks_in_several_passes(spark, docs, monkeypatch):
 def test_language_model_scores(spark, docs, spoken):
     rows = spoken + [(900 + i, t) for i, t in enumerate(ODD)]
     table = docs(rows).withColumn("trains", splits.F.col("doc_id") % 5 != 1)
-    found = {r["doc_id"]: r for r in lmscore.score_documents(table, "trains", sample=20).collect()}
+    found = {r["doc_id"]: r for r in lmscore.score_documents(table, "trains").collect()}
     counts, total = {}, 0
     tokens = {i: [*brute.words(brute.lower(t)), None] for i, t in rows}
     for i, found_tokens in tokens.items():
@@ -336,12 +336,90 @@ def test_language_model_scores(spark, docs, spoken):
     assert known < 3 < found[905]["bits_per_byte"] or known < 2
 
 
-def test_codes_are_prefix_free_and_bits_add_up():
+def test_codes_are_prefix_free_and_ways_hold_all_counts():
     code = lmscore.Code(np.arange(256) ** 2)
     assert math.isclose(sum(2.0 ** -code.length), 1.0)
-    at, node, bit = code.spell(np.arange(256, dtype=np.uint8))
-    assert len(at) == code.length.sum() and set(bit.tolist()) == {0, 1}
-    assert len({tuple(bit[at == b].tolist()) for b in range(256)}) == 256
+    assert len({tuple(code.bits[r, : code.length[r]].tolist()) for r in range(256)}) == 256
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 6, 300, np.uint64) << np.uint64(8) | rng.integers(0, 256, 300, np.uint64))
+    totals = rng.integers(0, 9, len(keys))
+    ways = code.levels(keys, totals)
+    for key, way in zip(keys.tolist(), ways):
+        for j in range(code.length[key & 255] + 1):
+            prefix = code.bits[key & 255, :j]
+            same = [k >> 8 == key >> 8 and code.length[k & 255] >= j and (code.bits[k & 255, :j] == prefix).all() for k in keys.tolist()]
+            assert way[j] == totals[same].sum()
+
+
+def test_language_model_equals_brute_force(spark, docs, spoken, monkeypatch):
+    """Counts by dictionaries, bit by bit, under given weights."""
+    rng = np.random.default_rng(5)
+    mixer = lmscore.Mixer.new()
+    mixer.weights = rng.uniform(0, 0.6, mixer.weights.shape)
+    mixer.ones = mixer.seen * rng.uniform(0.1, 0.9, len(mixer.seen))
+    mixer.pairs = rng.uniform(0.1, 0.9, lmscore.SEEN)
+    monkeypatch.setattr(lmscore, "_mixer", lambda *_: mixer)
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 900)
+    rows = spoken + [(900 + i, t) for i, t in enumerate(["ab ab ab", "", None, "Der der \u00fcber", "abab" * 20])]
+    table = docs(rows).withColumn("trains", splits.F.col("doc_id") % 5 != 1)
+    found = {r["doc_id"]: r["score"] for r in lmscore.score_documents(table, "trains").collect()}
+
+    tokens = {i: [*(w.encode() for w in brute.words(brute.lower(t))), b""] for i, t in rows}
+    histogram, contexts, words, pairs = np.zeros(256, np.int64), {}, {}, {}
+    for i, t in rows:
+        if i % 5 != 1:
+            for byte in brute.lower(t or "").encode():
+                histogram[32 if chr(byte).isspace() and byte < 128 else byte] += 1
+    code = lmscore.Code(histogram)
+
+    def ways(word):
+        spelled = word + b" "
+        for k, byte in enumerate(spelled):
+            yield byte, [(kind, spelled[max(0, k - size) : k], k < size) for kind, size in ((0, 2), (1, 3), (2, 4), (3, 10**6))]
+
+    for i, mine in tokens.items():
+        if i % 5 != 1:
+            for before, word in zip([b"", *mine], mine):
+                words[word] = words.get(word, 0) + 1
+                pairs[before, word] = pairs.get((before, word), 0) + 1
+                for byte, seen in ways(word):
+                    for context in seen:
+                        inner = contexts.setdefault(context, {})
+                        rank = int(code.rank[byte])
+                        inner[rank] = inner.get(rank, 0) + 1
+
+    def spelled(word):
+        chance = 1.0
+        for byte, seen in ways(word):
+            rank = int(code.rank[byte])
+            for j in range(code.length[rank]):
+                bit, mixed, counts = code.bits[rank, j], 0.0, []
+                for context in seen:
+                    below = [(r, n) for r, n in contexts.get(context, {}).items() if code.low[rank, j] <= r <= code.high[rank, j]]
+                    ones = sum(n for r, n in below if code.bits[r, j])
+                    counts.append((ones, sum(n for _, n in below)))
+                gate = 0
+                for _, n in counts[1:]:
+                    gate = 4 * gate + (n >= 1) + (n >= 4) + (n >= 32)
+                for k, (ones, n) in enumerate(counts):
+                    mixed += mixer.weights[k][gate] * math.log((ones + 0.4) / (n - ones + 0.4))
+                mixed = min(12.0, max(-12.0, mixed))
+                cell = gate * 49 + round((mixed + 12) * 2)
+                one = 0.5 / (1 + math.exp(-mixed)) + 0.5 * mixer.ones[cell] / mixer.seen[cell]
+                chance *= one if bit else 1 - one
+        return chance
+
+    kept = {}
+    for i, mine in tokens.items():
+        score = 0.0
+        for before, word in zip([b"", *mine], mine):
+            if word not in kept:
+                kept[word] = spelled(word)
+            n = words.get(before, 0)
+            share = mixer.pairs[int(math.log2(n))] if n else 0.0
+            follows = pairs.get((before, word), 0) / n if n else 0.0
+            score += math.log10((1 - share) * kept[word] + share * follows)
+        assert math.isclose(found[i], score, rel_tol=2e-3), i
 
 
 def test_scores_without_training_documents(spark, docs):
