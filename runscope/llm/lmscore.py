@@ -12,7 +12,8 @@ pair of words is a key of 64 bits in the questions that blocks ask, and the answ
 byte is how many training bytes reached each node of the tree on the way to it. Weights and map are
 learned online, by every task over the training documents of its blocks, and averaged by the bits
 seen; there a word is predicted without what its own document counts (its mean number per document
-of the block that holds it; once for a pair). Equal words of a block are spelled once.
+of the block that holds it, averaged where words share a beginning; once for a pair). Equal beginnings of
+words are spelled once per block.
 
 Beside the model stands a smoothed unigram base over the same questions.
 
@@ -35,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runscope.llm.blocks import Block, Parts, pack, part_count, unpack
-from runscope.llm.text import IS_SPACE, LOWER, STEP, Words, buffers, mix
-from runscope.plans.stage import StageArea
+from runscope.llm.text import IS_SPACE, LOWER, STEP, Words, mix
+from runscope.plans.stage import StageArea, shuffles_dropped
 
 CONTEXTS = 4
 CLOSE = 0x20
 END = np.uint64(0xE4D)
-BLOCK_BYTES = 8 << 20
-BYTES_AT_ONCE = 1 << 16
+BLOCK_BYTES = 4 << 20
+NODES_AT_ONCE = 1 << 15
 BATCH = 1 << 13
 STEEPEST = 12.0
 CONFIDENCE = np.array([1, 4, 32])
@@ -50,10 +51,10 @@ MAP_CELLS = 49
 GATES = 64
 #: Gates of the word before: powers of two of how often it was seen.
 SEEN = 24
-RECORD = np.dtype([("key", "<u8"), ("n", "<u4")])
 SALTS = mix(np.arange(1, CONTEXTS + 1, dtype=np.uint64))
 BYTE = np.uint64(0xFF)
 ONE = np.uint64(1)
+BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 class Code:
@@ -97,7 +98,7 @@ class Code:
         rank = (keys & BYTE).astype(np.int64)
         context = keys & ~BYTE
         sums = np.concatenate([np.zeros(1), np.cumsum(totals, dtype=float)])
-        out = np.zeros((len(keys), self.low.shape[1]), np.float32)
+        out = np.zeros((len(keys), self.low.shape[1]))
         for j in range(out.shape[1]):
             some = np.flatnonzero(self.length[rank] >= j)
             first = np.searchsorted(keys, context[some] | self.low[rank[some], j])
@@ -110,6 +111,18 @@ class Code:
         return np.arange(self.low.shape[1]) <= self.length[rank][:, None]
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, which of them every value is)."""
+    found = pa.array(values).dictionary_encode()
+    keys, which = found.dictionary.to_numpy(), found.indices.to_numpy()
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    place = np.empty(len(keys), np.int64)
+    place[which] = np.arange(len(which))
+    return keys[order], place[order], rank[which]
+
+
 class Tokens:
     """Tokens of a block's documents (their words and an end each), the distinct words, pairs and contexts."""
 
@@ -128,44 +141,45 @@ class Tokens:
         self.length[is_word] = words.length
         start = np.zeros(size, np.int64)
         start[is_word] = words.start
-        self.types, chosen, self.which = np.unique(hashes, return_index=True, return_inverse=True)
+        self.types, chosen, self.which = distinct(hashes)
         # The word before; the end token stands before the first word.
         self.before = np.full(size, np.searchsorted(self.types, END & ~ONE))
         self.before[1:] = np.where(is_word[:-1], self.which[:-1], self.before[1:])
-        self.pairs, self.pair = np.unique(
-            mix(hashes + mix(self.types[self.before] + STEP)) | ONE, return_inverse=True
-        )
+        self.pairs, _, self.pair = distinct(mix(hashes + mix(self.types + STEP)[self.before]) | ONE)
         self.trains = train[self.document]
         self.often = np.bincount(self.which, self.trains, len(self.types))
         # In how many training documents of the block each word is.
-        inside = np.unique(self.document[self.trains].astype(np.int64) * len(self.types) + self.which[self.trains])
+        inside = pa.array(self.document[self.trains] * len(self.types) + self.which[self.trains]).unique().to_numpy()
         self.holders = np.bincount(inside % max(1, len(self.types)), minlength=len(self.types))
         self.code = code
         self._spell(words.data, start[chosen], self.length[chosen])
 
     def _spell(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-        """Bytes of the distinct words, each closed, and the distinct (context, byte) keys."""
-        self.ends = np.cumsum(length + 1)
-        self.type = np.repeat(np.arange(len(length)), length + 1)
-        place = np.arange(len(self.type)) - np.repeat(self.ends - length - 1, length + 1)
-        word = place < length[self.type]
-        spelled = np.full(len(place), CLOSE, np.uint8)
-        spelled[word] = data[start[self.type[word]] + place[word]]
-        before = np.zeros((4, len(place)), np.uint64)
+        """Distinct beginnings of the closed words, called nodes, and the distinct (context, byte) keys.
+
+        All contexts of a byte follow from its node.
+        """
+        self.begin = np.cumsum(length + 1) - length - 1
+        place = np.arange(int((length + 1).sum())) - np.repeat(self.begin, length + 1)
+        spelled = data.take(np.repeat(start, length + 1) + place, mode="clip") if len(data) else np.zeros(len(place), np.uint8)
+        spelled[self.begin + length] = CLOSE
+        power = np.full(int(place.max(initial=0)) + 1, STEP)
+        power[0] = 1
+        value = BYTE_HASH[spelled] * np.multiply.accumulate(power)[place]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])[:-1]
+        so_far = total - np.repeat(total[self.begin], length + 1)
+        ranks = self.code.rank[spelled]
+        keys, first, self.node = distinct((mix(so_far + SALTS[3]) & ~BYTE) | ranks)
+        rank, place = ranks[first], place[first]
+        before = np.zeros((4, len(first)), np.uint64)
         for k in range(1, 5):
-            before[k - 1, k:] = np.where(place[k:] >= k, spelled[:-k].astype(np.uint64) + ONE, 0)
+            before[k - 1] = np.where(place >= k, spelled[first - np.minimum(place, k)].astype(np.uint64) + ONE, 0)
         two = before[0] | before[1] << np.uint64(9)
         three = two | before[2] << np.uint64(18)
         four = three | before[3] << np.uint64(27)
-        power = np.full(int(place.max(initial=0)) + 1, STEP)
-        power[0] = 1
-        value = mix(spelled.astype(np.uint64) + ONE) * np.multiply.accumulate(power)[place]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])[:-1]
-        so_far = total - total[np.arange(len(place)) - place]
-        rank = self.code.rank[spelled]
-        kinds = [(mix(x + salt) & ~BYTE) | rank for x, salt in zip((two, three, four, so_far), SALTS, strict=True)]
-        found = [np.unique(kind, return_inverse=True) for kind in kinds]
+        found = [distinct((mix(x + salt) & ~BYTE) | rank)[::2] for x, salt in zip((two, three, four), SALTS, strict=False)]
         # Contexts of different kinds differ by their salts.
+        found.append((keys, np.arange(len(keys))))
         everything = np.concatenate([keys for keys, _ in found])
         order = np.argsort(everything, kind="stable")
         place_of = np.empty(len(order), np.int64)
@@ -174,17 +188,23 @@ class Tokens:
         self.keys = everything[order]
         self.entry = [place_of[limits[i] :][inverse] for i, (_, inverse) in enumerate(found)]
         self.rank = rank.astype(np.int64)
+        self.size = length + 1
+
+    def per_node(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the words that begin with each node."""
+        return np.bincount(self.node, np.repeat(values, self.size), len(self.rank))
 
-    def questions(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted records of (words and pairs) and of contexts, with the training counts of this block."""
-        counts = np.concatenate([self.often, np.bincount(self.pair, self.trains, len(self.pairs))])
-        names = np.zeros(len(counts), RECORD)
-        names["key"], names["n"] = np.concatenate([self.types, self.pairs]), counts
-        contexts = np.zeros(len(self.keys), RECORD)
-        contexts["key"] = self.keys
-        weight = self.often[self.type]
-        contexts["n"] = sum(np.bincount(entry, weight, len(self.keys)) for entry in self.entry)
-        return names[np.argsort(names["key"], kind="stable")], contexts
+    def per_type(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the nodes of each word."""
+        return np.add.reduceat(values[self.node], self.begin) if len(self.begin) else np.zeros(0)
+
+    def questions(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Sorted keys of (words and pairs) and of contexts, with the training counts of this block."""
+        names, counts = np.concatenate([self.types, self.pairs]), np.concatenate([self.often, np.bincount(self.pair, self.trains, len(self.pairs))])
+        order = np.argsort(names, kind="stable")
+        weight = self.per_node(self.often)
+        contexts = sum(np.bincount(entry, weight, len(self.keys)) for entry in self.entry)
+        return (names[order], counts[order].astype(np.uint64)), (self.keys, contexts.astype(np.uint64))
 
     def told(self, answer: list, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Counts of all training documents: of the words, of the pairs, of the ways of all contexts and where each way begins."""
@@ -194,23 +214,27 @@ class Tokens:
         begins = np.concatenate([[0], np.cumsum(widths)])
         parts = Parts(count)
         name_cuts, context_cuts = parts.cuts(asked[order]), begins[parts.cuts(self.keys)]
-        names, ways = np.zeros(len(asked), np.uint64), np.zeros(begins[-1], np.float32)
-        open_ = zstandard.ZstdDecompressor().decompress
+        names, ways = np.zeros(len(asked), np.uint64), np.zeros(begins[-1], np.uint64)
         for item in answer:
-            part, body = item["part"], np.frombuffer(open_(item["body"]), np.uint8)
+            part, found = item["part"], joined(item["body"])
             if part < count:
-                names[name_cuts[part] : name_cuts[part + 1]] = joined(body, "<u8")
+                names[name_cuts[part] : name_cuts[part + 1]] = found
             else:
-                ways[context_cuts[part - count] : context_cuts[part - count + 1]] = joined(body, "<f4")
+                ways[context_cuts[part - count] : context_cuts[part - count + 1]] = found
         counts = np.empty(len(asked))
-        counts[order] = names >> ONE
-        return counts[: len(self.types)], counts[len(self.types) :], ways, begins[:-1]
+        counts[order] = names
+        # A way is told as its first count and what is lost at each step.
+        starts = ways[begins[:-1]]
+        lost = np.cumsum(ways)
+        lost -= np.repeat(lost[begins[:-1]] - starts, widths)
+        ways = np.repeat(2 * starts, widths) - lost
+        return counts[: len(self.types)], counts[len(self.types) :], ways.astype(np.float32), begins[:-1]
 
     def bits(self, some: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Bits of the distinct words, in bounded pieces: (byte, number in its code, bit)."""
-        wanted = np.arange(len(self.type)) if some is None else np.flatnonzero(some[self.type])
-        for low in range(0, len(wanted), BYTES_AT_ONCE):
-            at = wanted[low : low + BYTES_AT_ONCE]
+        """Bits of the nodes, all or *some*, in bounded pieces: (node, number in its code, bit)."""
+        wanted = np.arange(len(self.rank)) if some is None else np.flatnonzero(some)
+        for low in range(0, len(wanted), NODES_AT_ONCE):
+            at = wanted[low : low + NODES_AT_ONCE]
             length = self.code.length[self.rank[at]]
             j = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
             at = np.repeat(at, length)
@@ -218,13 +242,13 @@ class Tokens:
 
 
 def spread(values: np.ndarray) -> bytes:
-    """Numbers byte by byte, compressed."""
-    flat = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize)
-    return zstandard.compress(np.ascontiguousarray(flat.T).tobytes(), 1)
+    """64-bit numbers byte by byte, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def joined(body: np.ndarray, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(body.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+def joined(body: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(body), np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).reshape(-1).view("<u8")
 
 
 @dataclass
@@ -251,11 +275,11 @@ class Mixer:
             all_, taken = np.maximum(ways[cell] - own, 0), np.maximum(ways[cell + 1] - own, 0)
             logits[i] = np.log((taken + np.float32(0.4)) / (all_ - taken + np.float32(0.4)))
             if i:
-                gate = gate * 4 + np.searchsorted(CONFIDENCE, all_, "right")
+                gate = gate * 4 + sum((all_ >= limit).astype(np.int64) for limit in CONFIDENCE)
         return logits, gate
 
     def mixed(self, logits: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        out = sum(self.weights[i][gate] * logits[i] for i in range(CONTEXTS))
+        out = sum(self.weights[i].astype(np.float32)[gate] * logits[i] for i in range(CONTEXTS))
         return np.clip(out, -STEEPEST, STEEPEST)
 
     def probability(self, mixed: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,13 +291,14 @@ class Mixer:
 
     def spelled(self, tokens: Tokens, ways: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Probability of every distinct word, as its logarithm."""
-        out = np.zeros(len(tokens.types))
+        out = np.zeros(len(tokens.rank))
         for at, j, bit in tokens.bits():
             logits, gate = self.inputs(tokens, ways, begins, at, j, np.float32(0))
             p, _ = self.probability(self.mixed(logits, gate), gate, bit)
-            kind = tokens.type[at]
-            out[kind[0] : kind[-1] + 1] += np.bincount(kind - kind[0], np.log(p))
-        return out
+            # Pieces hold whole nodes, in order.
+            first = np.flatnonzero(j == 0)
+            out[at[first]] = np.add.reduceat(np.log(p), first)
+        return tokens.per_type(out)
 
     def with_pairs(self, spelled: np.ndarray, followed: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Logarithm of the probability of tokens: as spelled, and as followers of the word before."""
@@ -297,34 +322,34 @@ class Learner:
 
     def learn(self, tokens: Tokens, answer: list, count: int, rate: float = 0.1) -> None:
         words, pairs, ways, begins = tokens.told(answer, count)
-        own = np.rint(tokens.often / np.maximum(tokens.holders, 1)).astype(np.float32)
-        spelled = np.zeros(len(tokens.types))
+        often = tokens.per_node(tokens.often)
+        own = tokens.per_node(tokens.often * tokens.often / np.maximum(tokens.holders, 1)) / np.maximum(often, 1)
+        own, often = np.rint(own).astype(np.float32), often.astype(np.float32)
+        spelled = np.zeros(len(tokens.rank))
         mixer = self.mixer
-        for at, j, bit in tokens.bits(tokens.often > 0):
-            kind = tokens.type[at]
-            logits, gate = mixer.inputs(tokens, ways, begins, at, j, own[kind])
+        for at, j, bit in tokens.bits(often > 0):
+            logits, gate = mixer.inputs(tokens, ways, begins, at, j, own[at])
             for low in range(0, len(at), BATCH):
                 cut = slice(low, low + BATCH)
-                x, g, y, often = logits[:, cut], gate[cut], bit[cut], tokens.often[kind[cut]]
+                x, g, y, times = logits[:, cut], gate[cut], bit[cut], often[at[cut]]
                 mixed = mixer.mixed(x, g)
                 p, cell = mixer.probability(mixed, g, y)
-                base = kind[low]
-                found = np.bincount(kind[cut] - base, np.log(p))
-                spelled[base : base + len(found)] += found
-                mixer.seen = mixer.seen + np.bincount(cell, often, len(mixer.seen))
-                mixer.ones = mixer.ones + np.bincount(cell, often * y, len(mixer.ones))
-                error = often / (1 + np.exp(mixed))
+                first = np.flatnonzero(np.diff(at[cut], prepend=-1))
+                spelled[at[cut][first]] += np.add.reduceat(np.log(p), first)
+                mixer.seen = mixer.seen + np.bincount(cell, times, len(mixer.seen))
+                mixer.ones = mixer.ones + np.bincount(cell, times * y, len(mixer.ones))
+                error = times / (1 + np.exp(mixed))
                 for i in range(CONTEXTS):
                     step = np.bincount(g, error * x[i], GATES)
                     self.squares[i] += step**2
                     mixer.weights[i] += rate * step / np.sqrt(self.squares[i])
                 np.clip(mixer.weights, -1, 3, out=mixer.weights)
-                self.bits += np.bincount(g, often, GATES)
+                self.bits += np.bincount(g, times, GATES)
         some = np.flatnonzero(tokens.trains)
         before = words[tokens.before[some]] - 1
         some, before = some[before > 0], before[before > 0]
         gate, followed = seen_gate(before), np.maximum(pairs[tokens.pair[some]] - 1, 0) / before
-        plain, share, size = np.exp(spelled[tokens.which[some]]), np.full(SEEN, 0.2), np.bincount(gate, minlength=SEEN)
+        plain, share, size = np.exp(tokens.per_type(spelled)[tokens.which[some]]), np.full(SEEN, 0.2), np.bincount(gate, minlength=SEEN)
         for _ in range(8):
             mine = share[gate] * followed
             taken = np.bincount(gate, mine / np.maximum(mine + (1 - share[gate]) * plain, 1e-300), SEEN)
@@ -364,40 +389,39 @@ def _answers(blocks: DataFrame, trains: str, code: Code, count: int, area: Stage
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _ in unpack(batches):
-            for first, found in zip((0, count), Tokens(block, code, training(block, trains)).questions(), strict=True):
-                cuts = parts.cuts(found["key"])
+            for first, (keys, counts) in zip((0, count), Tokens(block, code, training(block, trains)).questions(), strict=True):
+                cuts = parts.cuts(keys)
                 some = np.flatnonzero(np.diff(cuts))
-                bodies = [found[cuts[p] : cuts[p + 1]].tobytes() for p in some]
-                columns = [pa.array((some + first).astype(np.int32)), pa.array([block.number] * len(some)), pa.array(bodies, pa.binary())]
-                yield pa.record_batch(columns, names=["part", "block", "body"])
+                # Keys are sent as steps from one to the next.
+                bodies = [[spread(np.diff(keys[cuts[p] : cuts[p + 1]], prepend=np.uint64(0))) for p in some], [spread(counts[cuts[p] : cuts[p + 1]]) for p in some]]
+                columns = [pa.array((some + first).astype(np.int32)), pa.array([block.number] * len(some)), *(pa.array(x, pa.binary()) for x in bodies)]
+                yield pa.record_batch(columns, names=["part", "block", "keys", "counts"])
 
     def decide(table: pa.Table) -> pa.Table:
-        chunks = [buffers(chunk) for chunk in table.column("body").chunks]
-        lengths = np.concatenate([np.diff(ends) for _, ends in chunks]) // RECORD.itemsize
-        found = np.concatenate([data.view(RECORD) for data, _ in chunks])
-        keys, which = np.unique(found["key"], return_inverse=True)
-        totals = np.bincount(which, found["n"], len(keys))
+        steps = [joined(x.as_py()) for x in table.column("keys")]
+        lengths = [len(x) for x in steps]
+        keys, _, which = distinct(np.concatenate([np.cumsum(x) for x in steps]))
+        totals = np.bincount(which, np.concatenate([joined(x.as_py()) for x in table.column("counts")]), len(keys))
         ends = np.cumsum(lengths)
         n = v = 0
         if table.column("part")[0].as_py() < count:
-            # Counts, and whether the key is a pair.
-            told = totals.astype(np.uint64) << ONE | keys & ONE
-            words = totals[(keys & ONE) == 0]
+            told, words = totals.astype(np.uint64), totals[(keys & ONE) == 0]
             n, v = int(words.sum()), int((words > 0).sum())
             bodies = [spread(told[which[e - k : e]]) for e, k in zip(ends, lengths, strict=True)]
         else:
             ways, on_path = code.levels(keys, totals), code.on_path((keys & BYTE).astype(np.int64))
+            ways[:, 1:] = np.where(on_path[:, 1:], ways[:, :-1] - ways[:, 1:], 0)
             some = (which[e - k : e] for e, k in zip(ends, lengths, strict=True))
             bodies = [spread(ways[w][on_path[w]]) for w in some]
         sums = [pa.array([x] + [0] * (len(bodies) - 1), pa.int64()) for x in (n, v)]
         return pa.table([table.column("block"), table.column("part"), pa.array(bodies, pa.binary()), *sums], names=["block", "part", "body", "n", "v"])
 
-    sent = blocks.mapInArrow(send, "part int, block long, body binary").repartition(2 * count, "part")
+    sent = blocks.mapInArrow(send, "part int, block long, keys binary, counts binary").repartition(2 * count, "part")
     found = sent.groupBy("part").applyInArrow(decide, "block long, part int, body binary, n long, v long")
-    each = found.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("answer"), F.sum("n").alias("n"), F.sum("v").alias("v"))
-    answers = area.put(each, "answers", compression="uncompressed")
+    answers = area.put(found, "answers", compression="uncompressed")
     row = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    return answers.select("block", "answer"), row["n"] or 0, row["v"] or 0
+    each = answers.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("answer"))
+    return each, row["n"] or 0, row["v"] or 0
 
 
 def _mixer(asked: DataFrame, trains: str, code: Code, count: int) -> Mixer:
@@ -410,7 +434,8 @@ def _mixer(asked: DataFrame, trains: str, code: Code, count: int) -> Mixer:
         sums = learner.sums()
         yield pa.record_batch([pa.array(np.arange(len(sums))), pa.array(sums)], names=["cell", "value"])
 
-    rows = asked.mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    with shuffles_dropped(asked.sparkSession):
+        rows = asked.mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
     mixer = Mixer.new()
     limits = np.cumsum([CONTEXTS * GATES, GATES, GATES * MAP_CELLS, GATES * MAP_CELLS, SEEN, SEEN])
     sums = np.zeros(limits[-1])
