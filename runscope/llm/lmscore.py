@@ -8,7 +8,7 @@ domain, and an adaptive map refines the mixed probability. At last the word's pr
 with how often it followed the whole word before; that weight is gated by how often the word before was seen.
 
 All counts come from all training documents and grow with them: every (context, byte) and every
-pair of words is a key of 64 bits in the questions that blocks ask, and the answer to a context and
+pair of words is a hashed key in the questions that blocks ask, and the answer to a context and
 byte is how many training bytes reached each node of the tree on the way to it. Weights and map are
 learned online, by every task over the training documents of its blocks, and averaged by the bits
 seen; there a word is predicted without what its own document counts (its mean number per document
@@ -48,6 +48,8 @@ BATCH = 1 << 13
 STEEPEST = 12.0
 CONFIDENCE = np.array([1, 4, 32])
 MAP_CELLS = 49
+#: One unseen context or pair in 2 ** SPARE_BITS is taken for a seen one, at every size of the corpus.
+SPARE_BITS = 12
 GATES = 64
 #: Gates of the word before: powers of two of how often it was seen.
 SEEN = 24
@@ -64,6 +66,9 @@ class Code:
     """
 
     def __init__(self, histogram: np.ndarray) -> None:
+        # Hashes of contexts and pairs have some bits more than it takes to count the training bytes.
+        width = min(56, int(histogram.sum()).bit_length() + SPARE_BITS)
+        self.hashed = ~np.uint64((1 << (64 - width)) - 1)
         # No byte is rarer than one in some thousands, which bounds the depth.
         least = int(histogram.sum()) // 4096 + 1
         heap = [(int(n) + least, i, (i,)) for i, n in enumerate(histogram)]
@@ -98,9 +103,14 @@ class Code:
         rank = (keys & BYTE).astype(np.int64)
         context = keys & ~BYTE
         sums = np.concatenate([np.zeros(1), np.cumsum(totals, dtype=float)])
-        out = np.zeros((len(keys), self.low.shape[1]))
+        out = np.where(self.on_path(rank), totals[:, None], 0).astype(float)
+        # All of a context with one byte goes its way; other ways end in their byte.
+        several = np.zeros(len(keys), bool)
+        several[1:] = context[1:] == context[:-1]
+        several[:-1] |= several[1:]
+        several = np.flatnonzero(several)
         for j in range(out.shape[1]):
-            some = np.flatnonzero(self.length[rank] >= j)
+            some = several[self.length[rank[several]] > j]
             first = np.searchsorted(keys, context[some] | self.low[rank[some], j])
             last = np.searchsorted(keys, context[some] | self.high[rank[some], j], "right")
             out[some, j] = sums[last] - sums[first]
@@ -111,16 +121,30 @@ class Code:
         return np.arange(self.low.shape[1]) <= self.length[rank][:, None]
 
 
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_places(values: np.ndarray, low: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(values in order, the place of each): the upper bits, the *low* lowest and the place are sorted as one number."""
+    width = max(1, (len(values) - 1).bit_length())
+    cut = np.uint64((1 << (width + low)) - 1)
+    packed = (values & ~cut) | (values & np.uint64((1 << low) - 1)) << np.uint64(width) | np.arange(len(values), dtype=np.uint64)
+    packed.sort()
+    place = (packed & np.uint64((1 << width) - 1)).view(np.int64)
+    found = values[place]
+    # Values that agree in the upper bits only are put in order by themselves.
+    for group in np.unique(found[1:][found[1:] < found[:-1]] & ~cut):
+        span = slice(np.searchsorted(packed, group), np.searchsorted(packed, group | cut, "right"))
+        order = np.argsort(found[span], kind="stable")
+        place[span], found[span] = place[span][order], found[span][order]
+    return found, place
+
+
+def distinct(values: np.ndarray, low: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct values, a place of each, which of them every value is)."""
-    found = pa.array(values).dictionary_encode()
-    keys, which = found.dictionary.to_numpy(), found.indices.to_numpy()
-    order = np.argsort(keys)
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.arange(len(keys))
-    place = np.empty(len(keys), np.int64)
-    place[which] = np.arange(len(which))
-    return keys[order], place[order], rank[which]
+    found, place = sorted_places(values, low)
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    which = np.empty(len(found), np.int64)
+    which[place] = np.cumsum(new) - 1
+    return found[new], place[new], which
 
 
 class Tokens:
@@ -145,12 +169,9 @@ class Tokens:
         # The word before; the end token stands before the first word.
         self.before = np.full(size, np.searchsorted(self.types, END & ~ONE))
         self.before[1:] = np.where(is_word[:-1], self.which[:-1], self.before[1:])
-        self.pairs, _, self.pair = distinct(mix(hashes + mix(self.types + STEP)[self.before]) | ONE)
+        self.pairs, _, self.pair = distinct(mix(hashes + mix(self.types + STEP)[self.before]) & code.hashed | ONE)
         self.trains = train[self.document]
         self.often = np.bincount(self.which, self.trains, len(self.types))
-        # In how many training documents of the block each word is.
-        inside = pa.array(self.document[self.trains] * len(self.types) + self.which[self.trains]).unique().to_numpy()
-        self.holders = np.bincount(inside % max(1, len(self.types)), minlength=len(self.types))
         self.code = code
         self._spell(words.data, start[chosen], self.length[chosen])
 
@@ -169,7 +190,7 @@ class Tokens:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])[:-1]
         so_far = total - np.repeat(total[self.begin], length + 1)
         ranks = self.code.rank[spelled]
-        keys, first, self.node = distinct((mix(so_far + SALTS[3]) & ~BYTE) | ranks)
+        keys, first, self.node = distinct(mix(so_far + SALTS[3]) & self.code.hashed | ranks, 8)
         rank, place = ranks[first], place[first]
         before = np.zeros((4, len(first)), np.uint64)
         for k in range(1, 5):
@@ -177,19 +198,20 @@ class Tokens:
         two = before[0] | before[1] << np.uint64(9)
         three = two | before[2] << np.uint64(18)
         four = three | before[3] << np.uint64(27)
-        found = [distinct((mix(x + salt) & ~BYTE) | rank)[::2] for x, salt in zip((two, three, four), SALTS, strict=False)]
-        # Contexts of different kinds differ by their salts.
+        found = [distinct(mix(x + salt) & self.code.hashed | rank, 8)[::2] for x, salt in zip((two, three, four), SALTS, strict=False)]
         found.append((keys, np.arange(len(keys))))
-        everything = np.concatenate([keys for keys, _ in found])
-        order = np.argsort(everything, kind="stable")
-        place_of = np.empty(len(order), np.int64)
-        place_of[order] = np.arange(len(order))
+        self.keys, _, which = distinct(np.concatenate([keys for keys, _ in found]), 8)
         limits = np.cumsum([0] + [len(keys) for keys, _ in found])
-        self.keys = everything[order]
-        self.entry = [place_of[limits[i] :][inverse] for i, (_, inverse) in enumerate(found)]
+        self.entry = [which[limits[i] :][inverse] for i, (_, inverse) in enumerate(found)]
         self.rank = rank.astype(np.int64)
         self.size = length + 1
 
+    def holders(self) -> np.ndarray:
+        """In how many training documents of the block each word is."""
+        inside = np.sort(self.document[self.trains] * len(self.types) + self.which[self.trains])
+        new = np.diff(inside, prepend=-1) > 0
+        return np.bincount(inside[new] % max(1, len(self.types)), minlength=len(self.types))
+
     def per_node(self, values: np.ndarray) -> np.ndarray:
         """Sums over the words that begin with each node."""
         return np.bincount(self.node, np.repeat(values, self.size), len(self.rank))
@@ -201,19 +223,18 @@ class Tokens:
     def questions(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """Sorted keys of (words and pairs) and of contexts, with the training counts of this block."""
         names, counts = np.concatenate([self.types, self.pairs]), np.concatenate([self.often, np.bincount(self.pair, self.trains, len(self.pairs))])
-        order = np.argsort(names, kind="stable")
+        names, order = sorted_places(names)
         weight = self.per_node(self.often)
         contexts = sum(np.bincount(entry, weight, len(self.keys)) for entry in self.entry)
-        return (names[order], counts[order].astype(np.uint64)), (self.keys, contexts.astype(np.uint64))
+        return (names, counts[order].astype(np.uint64)), (self.keys, contexts.astype(np.uint64))
 
     def told(self, answer: list, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Counts of all training documents: of the words, of the pairs, of the ways of all contexts and where each way begins."""
-        asked = np.concatenate([self.types, self.pairs])
-        order = np.argsort(asked, kind="stable")
+        asked, order = sorted_places(np.concatenate([self.types, self.pairs]))
         widths = self.code.length[(self.keys & BYTE).astype(np.int64)] + 1
         begins = np.concatenate([[0], np.cumsum(widths)])
         parts = Parts(count)
-        name_cuts, context_cuts = parts.cuts(asked[order]), begins[parts.cuts(self.keys)]
+        name_cuts, context_cuts = parts.cuts(asked), begins[parts.cuts(self.keys)]
         names, ways = np.zeros(len(asked), np.uint64), np.zeros(begins[-1], np.uint64)
         for item in answer:
             part, found = item["part"], joined(item["body"])
@@ -300,10 +321,9 @@ class Mixer:
             out[at[first]] = np.add.reduceat(np.log(p), first)
         return tokens.per_type(out)
 
-    def with_pairs(self, spelled: np.ndarray, followed: np.ndarray, before: np.ndarray) -> np.ndarray:
+    def with_pairs(self, spelled: np.ndarray, before: np.ndarray, followed: np.ndarray) -> np.ndarray:
         """Logarithm of the probability of tokens: as spelled, and as followers of the word before."""
-        gate = seen_gate(before)
-        share = np.where(before > 0, self.pairs[gate], 0)
+        share = np.where(before > 0, self.pairs[seen_gate(before)], 0)
         return np.logaddexp(np.log1p(-share) + spelled, np.log(np.maximum(share * followed / np.maximum(before, 1), 1e-300)))
 
 
@@ -322,8 +342,8 @@ class Learner:
 
     def learn(self, tokens: Tokens, answer: list, count: int, rate: float = 0.1) -> None:
         words, pairs, ways, begins = tokens.told(answer, count)
-        often = tokens.per_node(tokens.often)
-        own = tokens.per_node(tokens.often * tokens.often / np.maximum(tokens.holders, 1)) / np.maximum(often, 1)
+        holders, often = tokens.holders(), tokens.per_node(tokens.often)
+        own = tokens.per_node(tokens.often * tokens.often / np.maximum(holders, 1)) / np.maximum(often, 1)
         own, often = np.rint(own).astype(np.float32), often.astype(np.float32)
         spelled = np.zeros(len(tokens.rank))
         mixer = self.mixer
@@ -346,12 +366,15 @@ class Learner:
                 np.clip(mixer.weights, -1, 3, out=mixer.weights)
                 self.bits += np.bincount(g, times, GATES)
         some = np.flatnonzero(tokens.trains)
+        kind = tokens.which[some]
+        plain = np.exp(tokens.per_type(spelled)[tokens.which[some]])
         before = words[tokens.before[some]] - 1
-        some, before = some[before > 0], before[before > 0]
-        gate, followed = seen_gate(before), np.maximum(pairs[tokens.pair[some]] - 1, 0) / before
-        plain, share, size = np.exp(tokens.per_type(spelled)[tokens.which[some]]), np.full(SEEN, 0.2), np.bincount(gate, minlength=SEEN)
+        follows = np.maximum(pairs[tokens.pair[some]] - 1, 0)[before > 0]
+        plain, before = plain[before > 0], before[before > 0]
+        gate, follows = seen_gate(before), follows / before
+        share, size = np.full(SEEN, 0.2), np.bincount(gate, minlength=SEEN)
         for _ in range(8):
-            mine = share[gate] * followed
+            mine = share[gate] * follows
             taken = np.bincount(gate, mine / np.maximum(mine + (1 - share[gate]) * plain, 1e-300), SEEN)
             share = taken / np.maximum(size, 1)
         self.taken += taken
@@ -400,11 +423,12 @@ def _answers(blocks: DataFrame, trains: str, code: Code, count: int, area: Stage
     def decide(table: pa.Table) -> pa.Table:
         steps = [joined(x.as_py()) for x in table.column("keys")]
         lengths = [len(x) for x in steps]
-        keys, _, which = distinct(np.concatenate([np.cumsum(x) for x in steps]))
+        names = table.column("part")[0].as_py() < count
+        keys, _, which = distinct(np.concatenate([np.cumsum(x) for x in steps]), 0 if names else 8)
         totals = np.bincount(which, np.concatenate([joined(x.as_py()) for x in table.column("counts")]), len(keys))
         ends = np.cumsum(lengths)
         n = v = 0
-        if table.column("part")[0].as_py() < count:
+        if names:
             told, words = totals.astype(np.uint64), totals[(keys & ONE) == 0]
             n, v = int(words.sum()), int((words > 0).sum())
             bodies = [spread(told[which[e - k : e]]) for e, k in zip(ends, lengths, strict=True)]
@@ -467,7 +491,7 @@ def score_documents(docs: DataFrame, trains: str) -> DataFrame:
             c = words[tokens.which]
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
             spelled = mixer.spelled(tokens, ways, begins)[tokens.which]
-            score = mixer.with_pairs(spelled, pairs[tokens.pair], words[tokens.before]) / np.log(10)
+            score = mixer.with_pairs(spelled, words[tokens.before], pairs[tokens.pair]) / np.log(10)
             per = lambda x: np.bincount(tokens.document, x, size)
             length, total = per(tokens.length + 1.0), per(score)
             found = {

@@ -351,6 +351,15 @@ def test_codes_are_prefix_free_and_ways_hold_all_counts():
             assert way[j] == totals[same].sum()
 
 
+@pytest.mark.parametrize("low", [0, 8])
+def test_distinct_values(low):
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 40, 5000, np.uint64) << np.uint64(9) | rng.integers(0, 9, 5000, np.uint64)
+    for some in (values, values << np.uint64(40), values[:1], values[:0]):
+        keys, place, which = lmscore.distinct(some, low)
+        assert np.array_equal(keys, np.unique(some)) and np.array_equal(some[place], keys) and np.array_equal(keys[which], some)
+
+
 def test_language_model_equals_brute_force(spark, docs, spoken, monkeypatch):
     """Counts by dictionaries, bit by bit, under given weights."""
     rng = np.random.default_rng(5)
@@ -358,6 +367,7 @@ def test_language_model_equals_brute_force(spark, docs, spoken, monkeypatch):
     mixer.weights = rng.uniform(0, 0.6, mixer.weights.shape)
     mixer.ones = mixer.seen * rng.uniform(0.1, 0.9, len(mixer.seen))
     mixer.pairs = rng.uniform(0.1, 0.9, lmscore.SEEN)
+    monkeypatch.setattr(lmscore, "SPARE_BITS", 40)
     monkeypatch.setattr(lmscore, "_mixer", lambda *_: mixer)
     monkeypatch.setattr(lmscore, "BLOCK_BYTES", 900)
     rows = spoken + [(900 + i, t) for i, t in enumerate(["ab ab ab", "", None, "Der der \u00fcber", "abab" * 20])]
