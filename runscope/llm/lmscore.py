@@ -150,7 +150,7 @@ def distinct(values: np.ndarray, low: int = 0) -> tuple[np.ndarray, np.ndarray,
 class Tokens:
     """Tokens of a block's documents (their words and an end each), the distinct words, pairs and contexts."""
 
-    def __init__(self, block: Block, code: Code, train: np.ndarray) -> None:
+    def __init__(self, block: Block, code: Code, train: np.ndarray, names: bool = True, contexts: bool = True) -> None:
         words = Words(LOWER[block.data], block.offsets)
         docs, counts = len(block), words.counts
         self.first = words.first + np.arange(docs + 1)
@@ -169,11 +169,13 @@ class Tokens:
         # The word before; the end token stands before the first word.
         self.before = np.full(size, np.searchsorted(self.types, END & ~ONE))
         self.before[1:] = np.where(is_word[:-1], self.which[:-1], self.before[1:])
-        self.pairs, _, self.pair = distinct(mix(hashes + mix(self.types + STEP)[self.before]) & code.hashed | ONE)
+        if names:
+            self.pairs, _, self.pair = distinct(mix(hashes + mix(self.types + STEP)[self.before]) & code.hashed | ONE)
         self.trains = train[self.document]
         self.often = np.bincount(self.which, self.trains, len(self.types))
         self.code = code
-        self._spell(words.data, start[chosen], self.length[chosen])
+        if contexts:
+            self._spell(words.data, start[chosen], self.length[chosen])
 
     def _spell(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
         """Distinct beginnings of the closed words, called nodes, and the distinct (context, byte) keys.
@@ -220,13 +222,16 @@ class Tokens:
         """Sums over the nodes of each word."""
         return np.add.reduceat(values[self.node], self.begin) if len(self.begin) else np.zeros(0)
 
-    def questions(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """Sorted keys of (words and pairs) and of contexts, with the training counts of this block."""
-        names, counts = np.concatenate([self.types, self.pairs]), np.concatenate([self.often, np.bincount(self.pair, self.trains, len(self.pairs))])
-        names, order = sorted_places(names)
+    def asked_names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of words and pairs, with the training counts of this block."""
+        counts = np.concatenate([self.often, np.bincount(self.pair, self.trains, len(self.pairs))])
+        names, order = sorted_places(np.concatenate([self.types, self.pairs]))
+        return names, counts[order].astype(np.uint64)
+
+    def asked_contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of contexts and bytes, with the training counts of this block."""
         weight = self.per_node(self.often)
-        contexts = sum(np.bincount(entry, weight, len(self.keys)) for entry in self.entry)
-        return (names, counts[order].astype(np.uint64)), (self.keys, contexts.astype(np.uint64))
+        return self.keys, sum(np.bincount(entry, weight, len(self.keys)) for entry in self.entry).astype(np.uint64)
 
     def told(self, answer: list, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Counts of all training documents: of the words, of the pairs, of the ways of all contexts and where each way begins."""
@@ -407,45 +412,53 @@ def training(block: Block, trains: str) -> np.ndarray:
 
 
 def _answers(blocks: DataFrame, trains: str, code: Code, count: int, area: StageArea) -> tuple[DataFrame, int, int]:
-    """(block, answer) with the training counts each block asks for, and N and V of all training tokens."""
-    parts = Parts(count)
+    """(block, answer) with the training counts each block asks for, and N and V of all training tokens.
+
+    Contexts are asked once the answers about names are written, so that one question is under way at a time.
+    """
+    named = _ask(blocks, trains, code, count, True, area)
+    row = named.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    both = named.unionByName(_ask(blocks, trains, code, count, False, area))
+    each = both.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("answer"))
+    return each, row["n"] or 0, row["v"] or 0
+
+
+def _ask(blocks: DataFrame, trains: str, code: Code, count: int, names: bool, area: StageArea) -> DataFrame:
+    """(block, part, body, n, v): answers about names, or about contexts; the parts of the latter are numbered from *count*."""
+    parts, offset, low = Parts(count), 0 if names else count, 0 if names else 8
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _ in unpack(batches):
-            for first, (keys, counts) in zip((0, count), Tokens(block, code, training(block, trains)).questions(), strict=True):
-                cuts = parts.cuts(keys)
-                some = np.flatnonzero(np.diff(cuts))
-                # Keys are sent as steps from one to the next.
-                bodies = [[spread(np.diff(keys[cuts[p] : cuts[p + 1]], prepend=np.uint64(0))) for p in some], [spread(counts[cuts[p] : cuts[p + 1]]) for p in some]]
-                columns = [pa.array((some + first).astype(np.int32)), pa.array([block.number] * len(some)), *(pa.array(x, pa.binary()) for x in bodies)]
-                yield pa.record_batch(columns, names=["part", "block", "keys", "counts"])
+            tokens = Tokens(block, code, training(block, trains), names, not names)
+            keys, counts = tokens.asked_names() if names else tokens.asked_contexts()
+            cuts = parts.cuts(keys)
+            some = np.flatnonzero(np.diff(cuts))
+            # Keys are sent as steps from one to the next.
+            bodies = [[spread(np.diff(keys[cuts[p] : cuts[p + 1]], prepend=np.uint64(0))) for p in some], [spread(counts[cuts[p] : cuts[p + 1]]) for p in some]]
+            columns = [pa.array((some + offset).astype(np.int32)), pa.array([block.number] * len(some)), *(pa.array(x, pa.binary()) for x in bodies)]
+            yield pa.record_batch(columns, names=["part", "block", "keys", "counts"])
 
     def decide(table: pa.Table) -> pa.Table:
         steps = [joined(x.as_py()) for x in table.column("keys")]
         lengths = [len(x) for x in steps]
-        names = table.column("part")[0].as_py() < count
-        keys, _, which = distinct(np.concatenate([np.cumsum(x) for x in steps]), 0 if names else 8)
+        keys, _, which = distinct(np.concatenate([np.cumsum(x) for x in steps]), low)
         totals = np.bincount(which, np.concatenate([joined(x.as_py()) for x in table.column("counts")]), len(keys))
-        ends = np.cumsum(lengths)
+        mine = np.split(which, np.cumsum(lengths)[:-1])
         n = v = 0
         if names:
             told, words = totals.astype(np.uint64), totals[(keys & ONE) == 0]
             n, v = int(words.sum()), int((words > 0).sum())
-            bodies = [spread(told[which[e - k : e]]) for e, k in zip(ends, lengths, strict=True)]
+            bodies = [spread(told[w]) for w in mine]
         else:
             ways, on_path = code.levels(keys, totals), code.on_path((keys & BYTE).astype(np.int64))
             ways[:, 1:] = np.where(on_path[:, 1:], ways[:, :-1] - ways[:, 1:], 0)
-            some = (which[e - k : e] for e, k in zip(ends, lengths, strict=True))
-            bodies = [spread(ways[w][on_path[w]]) for w in some]
+            bodies = [spread(ways[w][on_path[w]]) for w in mine]
         sums = [pa.array([x] + [0] * (len(bodies) - 1), pa.int64()) for x in (n, v)]
         return pa.table([table.column("block"), table.column("part"), pa.array(bodies, pa.binary()), *sums], names=["block", "part", "body", "n", "v"])
 
-    sent = blocks.mapInArrow(send, "part int, block long, keys binary, counts binary").repartition(2 * count, "part")
+    sent = blocks.mapInArrow(send, "part int, block long, keys binary, counts binary").repartition(count, "part")
     found = sent.groupBy("part").applyInArrow(decide, "block long, part int, body binary, n long, v long")
-    answers = area.put(found, "answers", compression="uncompressed")
-    row = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    each = answers.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("answer"))
-    return each, row["n"] or 0, row["v"] or 0
+    return area.put(found, "names" if names else "contexts", compression="uncompressed")
 
 
 def _mixer(asked: DataFrame, trains: str, code: Code, count: int) -> Mixer:
