@@ -239,14 +239,18 @@ class Tokens:
         widths = self.code.length[(self.keys & BYTE).astype(np.int64)] + 1
         begins = np.concatenate([[0], np.cumsum(widths)])
         parts = Parts(count)
-        name_cuts, context_cuts = parts.cuts(asked), begins[parts.cuts(self.keys)]
+        name_cuts, key_cuts = parts.cuts(asked), parts.cuts(self.keys)
         names, ways = np.zeros(len(asked), np.uint64), np.zeros(begins[-1], np.uint64)
         for item in answer:
             part, found = item["part"], joined(item["body"])
             if part < count:
                 names[name_cuts[part] : name_cuts[part + 1]] = found
             else:
-                ways[context_cuts[part - count] : context_cuts[part - count + 1]] = found
+                span = slice(*key_cuts[part - count : part - count + 2])
+                on_path = self.code.on_path((self.keys[span] & BYTE).astype(np.int64))
+                levels = np.zeros(on_path.shape, np.uint64)
+                levels.T[on_path.T] = found
+                ways[begins[span.start] : begins[span.stop]] = levels[on_path]
         counts = np.empty(len(asked))
         counts[order] = names
         # A way is told as its first count and what is lost at each step.
@@ -452,7 +456,8 @@ def _ask(blocks: DataFrame, trains: str, code: Code, count: int, names: bool, ar
         else:
             ways, on_path = code.levels(keys, totals), code.on_path((keys & BYTE).astype(np.int64))
             ways[:, 1:] = np.where(on_path[:, 1:], ways[:, :-1] - ways[:, 1:], 0)
-            bodies = [spread(ways[w][on_path[w]]) for w in mine]
+            # Level by level, as neighbours have the same counts near the root.
+            bodies = [spread(ways[w].T[on_path[w].T]) for w in mine]
         sums = [pa.array([x] + [0] * (len(bodies) - 1), pa.int64()) for x in (n, v)]
         return pa.table([table.column("block"), table.column("part"), pa.array(bodies, pa.binary()), *sums], names=["block", "part", "body", "n", "v"])
 
