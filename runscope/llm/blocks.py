@@ -61,8 +61,8 @@ class Block:
         return pa.record_batch([columns[name] for name in names], names=names)
 
 
-def pack(docs: DataFrame, area: StageArea, text: str = "text", target: int = BLOCK_BYTES) -> DataFrame:
-    """Stage *docs* as blocks of about *target* bytes of text; all columns are kept."""
+def pack(docs: DataFrame, area: StageArea, text: str = "text", target: int = BLOCK_BYTES, by: str | None = None) -> DataFrame:
+    """Stage *docs* as blocks of about *target* bytes of text; all columns are kept. Laid out *by* ``block``, they meet answers in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
@@ -82,7 +82,7 @@ def pack(docs: DataFrame, area: StageArea, text: str = "text", target: int = BLO
             yield pa.record_batch(columns, names=["block", "bytes", "rest", "ends", "body", "nulls"])
             number += batch.num_rows
 
-    return area.put(docs.mapInArrow(run, SCHEMA), "blocks", compression="uncompressed")
+    return area.put(docs.mapInArrow(run, SCHEMA), "blocks", by, compression="uncompressed")
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[list | None]]]:

@@ -198,7 +198,8 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, area: StageArea, shingle: int, percent: int, again: bool) -> None:
         self.area, self.percent = area, percent
-        self.blocks = pack(docs, area)
+        # Tables with a row per block meet what was found out about their blocks where they are.
+        self.blocks = pack(docs, area, by="block")
         self.count = part_count(self.blocks)
         rows = area.put(self.blocks.mapInArrow(self._rows(shingle), "block long, row long, doc_id long, n long, a long, b long"), "rows")
         best = rows.where("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("doc_id", "row")).alias("first"))
@@ -210,7 +211,7 @@ class NearDuplicates:
         sets = self.blocks.join(wanted, "block").mapInArrow(
             self._sets(shingle), "block long, at binary, first binary, body binary"
         )
-        self.sets = area.put(sets, "sets", compression="uncompressed")
+        self.sets = area.put(sets, "sets", "block", compression="uncompressed")
         if not again:
             area.drop(self.blocks)
 
@@ -261,7 +262,7 @@ class NearDuplicates:
 
         answer = ask(self.sets, count, COUNT, lambda s, _: s.counted()[1], common, self.area, read_sets)
         schema = "block long, " + ", ".join(f"{name} binary" for name in LISTS)
-        self.lists = self.area.put(self.sets.join(answer, "block", "left").mapInArrow(retain, schema), "lists")
+        self.lists = self.area.put(self.sets.join(answer, "block", "left").mapInArrow(retain, schema), "lists", "block")
         self.area.drop(answer)
         links = self.verified(self._leaders())
         more = self._across(connected_components(links, self.area))

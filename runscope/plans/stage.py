@@ -47,6 +47,7 @@ class StageArea:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._written = 0
+        self._named: dict[str, str] = {}
 
     def __enter__(self) -> StageArea:
         return self
@@ -58,22 +59,45 @@ class StageArea:
         self._written += 1
         return f"{self.root}/{name or 'table'}-{self._written:04d}"
 
-    def put(self, df: DataFrame, name: str | None = None, **options: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str | None = None, by: str | None = None, **options: str) -> DataFrame:
+        """Write *df* and read it back.
+
+        A table laid out *by* a column is joined and grouped on it where it is, without a copy in an
+        exchange. It has as many buckets as a shuffle has partitions, and is named in the catalog.
+        """
         path = self.path(name)
+        if by:
+            return self._put_by(df, path, by, options)
         with shuffles_dropped(self.spark):
             df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _put_by(self, df: DataFrame, path: str, by: str, options: dict[str, str]) -> DataFrame:
+        table = f"stage_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        with shuffles_dropped(self.spark):
+            df.write.format("parquet").options(**options, path=path).bucketBy(buckets, by).saveAsTable(table)
+        self._named[path.rsplit("/", 1)[1]] = table
+        return self.spark.table(table)
+
     def clear(self) -> None:
         """Remove all tables of this area, once every result built on them has been written."""
+        for name in list(self._named):
+            self._forget(name)
         self._delete(self.root)
 
     def drop(self, table: DataFrame) -> None:
         """Remove a table written by this area once nothing reads it any more."""
         for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
             if self.root.rsplit("/", 1)[1] in folder.split("/"):
+                self._forget(folder.rsplit("/", 1)[1])
                 self._delete(folder)
 
+    def _forget(self, name: str) -> None:
+        """Take a table that has a name out of the catalog; its files stay."""
+        if name in self._named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._named.pop(name)}")
+
     def _delete(self, folder: str) -> None:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -111,6 +111,21 @@ def test_near_duplicates(spark, docs, own_area, common, size, monkeypatch):
     assert got == sorted(brute.components(rows, size, 80))
 
 
+def test_sets_and_lists_meet_answers_without_a_copy(spark, docs, own_area, monkeypatch):
+    """Before, every join on ``block`` wrote all sets, lists or blocks once more, as shuffle files."""
+    monkeypatch.setitem(own_area.__dict__, "drop", lambda table: None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = neardup.NearDuplicates(docs(corpus(2, 90)), own_area, 4, 80, again=True)
+        found.components()
+        for table in (found.blocks, found.sets, found.lists):
+            answers = spark.range(9).selectExpr("id % 3 AS block", "id").groupBy("block").agg(F.collect_list("id").alias("answer"))
+            plan = table.join(answers, "block", "left")._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_one_of_each_group(spark, docs):
     text = " ".join(map(str, range(60)))
     table = docs([(4, text), (2, text), (2, text), (None, None), (9, ""), (7, "other"), (8, text.replace("31", "x"))])

@@ -47,3 +47,16 @@ def test_tables_live_in_the_configured_folder(spark, area):
     area.drop(table)
     with pytest.raises(Exception):
         spark.read.parquet(area.root + "/table-0001")
+
+
+def test_tables_laid_out_by_a_column(spark, area):
+    df = spark.range(1000).selectExpr("id % 7 AS k", "id")
+    table = area.put(df, "laid", "k")
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, df.collect()))
+    assert "Exchange" not in table.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    names = {t.name for t in spark.catalog.listTables()}
+    area.drop(table)
+    assert len(names - {t.name for t in spark.catalog.listTables()}) == 1
+    area.put(df, "laid", "k")
+    area.clear()
+    assert not {t.name for t in spark.catalog.listTables()} - names
