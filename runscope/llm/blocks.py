@@ -99,6 +99,11 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[list
             yield Block(row["block"], rest, offsets, data, null), [row[name] for name in more]
 
 
+def beside(blocks: DataFrame, answers: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of a table laid out by ``block`` with the small answers of their blocks; only the answers are moved, and hashed."""
+    return blocks.join(answers.hint("shuffle_hash"), "block", how)
+
+
 def part_count(blocks: DataFrame) -> int:
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     return max(LEAST_PARTS, -(-total // PART_BYTES))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.blocks import Block, ask, heard, pack, part_count, sender, unpack
+from runscope.llm.blocks import Block, ask, beside, heard, pack, part_count, sender, unpack
 from runscope.llm.text import NO_ID, STEP, Words, mix, window_starts, windows
 from runscope.operators.graph import connected_components
 from runscope.plans.stage import StageArea
@@ -208,7 +208,7 @@ class NearDuplicates:
             joined.select("block", "row", "doc_id", "n", F.coalesce("first.row", "row").alias("class")), "classes"
         )
         wanted = self.rows.where("row = class AND n > 0").groupBy("block").agg(F.collect_list("row").alias("answer"))
-        sets = self.blocks.join(wanted, "block").mapInArrow(
+        sets = beside(self.blocks, wanted).mapInArrow(
             self._sets(shingle), "block long, at binary, first binary, body binary"
         )
         self.sets = area.put(sets, "sets", "block", compression="uncompressed")
@@ -262,7 +262,7 @@ class NearDuplicates:
 
         answer = ask(self.sets, count, COUNT, lambda s, _: s.counted()[1], common, self.area, read_sets)
         schema = "block long, " + ", ".join(f"{name} binary" for name in LISTS)
-        self.lists = self.area.put(self.sets.join(answer, "block", "left").mapInArrow(retain, schema), "lists", "block")
+        self.lists = self.area.put(beside(self.sets, answer, "left").mapInArrow(retain, schema), "lists", "block")
         self.area.drop(answer)
         links = self.verified(self._leaders())
         more = self._across(connected_components(links, self.area))
@@ -332,7 +332,7 @@ class NearDuplicates:
         count, percent = self.count, self.percent
         known = self.rows.where("row = class").select("block", F.col("row").alias("node")).join(components, "node")
         known = known.groupBy("block").agg(F.collect_list(F.struct("node", "component")).alias("answer_1"))
-        lists = self.lists.join(known, "block", "left")
+        lists = beside(self.lists, known, "left")
 
         def component_of(lists: Lists, answer: list | None) -> np.ndarray:
             out = lists.rows.copy()
@@ -386,7 +386,7 @@ class NearDuplicates:
             seen = np.flatnonzero(family != np.arange(len(rows)))
             return pa.table([pa.array(rows[seen]), pa.array(rows[family[seen]])], names=["a", "b"])
 
-        sent = lists.join(answer.withColumnRenamed("answer", "answer_2"), "block")
+        sent = beside(lists, answer.withColumnRenamed("answer", "answer_2"))
         sent = sent.mapInArrow(sender(count, held, read_lists), "part int, block long, body binary")
         families = connected_components(sent.groupBy("part").applyInArrow(relate, "a long, b long"), self.area)
         sizes = families.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
@@ -398,7 +398,7 @@ class NearDuplicates:
         wanted = self.area.put(families.join(place, "node"), "families")
         self.area.drop(answer)
         asked = wanted.groupBy("block").agg(F.collect_list("node").alias("answer"))
-        bodies = self.sets.join(asked, "block").mapInArrow(_bodies, "row long, body binary")
+        bodies = beside(self.sets, asked).mapInArrow(_bodies, "row long, body binary")
         members = bodies.join(wanted.drop("block").withColumnRenamed("node", "row"), "row")
         other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
         members = members.select("*", other).withColumns(
@@ -421,7 +421,7 @@ class NearDuplicates:
         percent = self.percent
         ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
         wanted = ends.join(self.rows.select("row", "block"), "row").groupBy("block").agg(F.collect_list("row").alias("wanted"))
-        sets = self.sets.select("block", "at", "first", "body").join(wanted.withColumnRenamed("wanted", "answer"), "block")
+        sets = beside(self.sets.select("block", "at", "first", "body"), wanted.withColumnRenamed("wanted", "answer"))
         sets = self.area.put(sets.mapInArrow(_bodies, "row long, body binary"), "bodies", compression="uncompressed")
         named = [sets.select(F.col("row").alias(x), F.col("body").alias(f"body_{x}")) for x in "ab"]
 
@@ -576,4 +576,4 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
             batch = block.rows(schema.names, [block.text(i) for i in range(len(block))])
             yield batch.filter(pa.array(np.isin(block.number + np.arange(len(block)), rows)))
 
-    return blocks.join(kept, "block").mapInArrow(run, schema)
+    return beside(blocks, kept).mapInArrow(run, schema)

@@ -12,6 +12,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A task that writes to up to this many buckets keeps a file open for each and does not sort its rows first.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+MOST_WRITERS = "32"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,14 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Within it, a finished execution removes its shuffle files at once: its result is a table by then."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str, usual: str):
+    before = spark.conf.get(key, usual)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.set(key, before)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Within it, a finished execution removes its shuffle files at once: its result is a table by then."""
+    return setting(spark, CLEANUP, "true", "false")
 
 
 class StageArea:
@@ -75,7 +82,7 @@ class StageArea:
     def _put_by(self, df: DataFrame, path: str, by: str, options: dict[str, str]) -> DataFrame:
         table = f"stage_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        with shuffles_dropped(self.spark):
+        with shuffles_dropped(self.spark), setting(self.spark, WRITERS, MOST_WRITERS, "0"):
             df.write.format("parquet").options(**options, path=path).bucketBy(buckets, by).saveAsTable(table)
         self._named[path.rsplit("/", 1)[1]] = table
         return self.spark.table(table)

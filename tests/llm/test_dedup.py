@@ -120,8 +120,8 @@ def test_sets_and_lists_meet_answers_without_a_copy(spark, docs, own_area, monke
         found.components()
         for table in (found.blocks, found.sets, found.lists):
             answers = spark.range(9).selectExpr("id % 3 AS block", "id").groupBy("block").agg(F.collect_list("id").alias("answer"))
-            plan = table.join(answers, "block", "left")._jdf.queryExecution().executedPlan().toString()
-            assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1, plan
+            plan = blocks.beside(table, answers, "left")._jdf.queryExecution().executedPlan().toString()
+            assert "ShuffledHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1, plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
