@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.blocks import Block, Parts, pack, part_count, unpack
+from runscope.llm.blocks import Block, Parts, beside, pack, part_count, unpack
 from runscope.llm.text import IS_SPACE, LOWER, STEP, Words, mix
 from runscope.plans.stage import StageArea, shuffles_dropped
 
@@ -496,10 +496,10 @@ def score_documents(docs: DataFrame, trains: str) -> DataFrame:
     (doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)
     """
     area = StageArea(docs.sparkSession, "lmscore")
-    blocks = pack(docs.select("doc_id", "text", trains), area, target=BLOCK_BYTES)
+    blocks = pack(docs.select("doc_id", "text", trains), area, target=BLOCK_BYTES, by="block")
     count, code = part_count(blocks), _code(blocks, trains)
     answers, n, v = _answers(blocks, trains, code, count, area)
-    asked = blocks.join(answers, "block", "left")
+    asked = beside(blocks, answers, "left")
     mixer = _mixer(asked, trains, code, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

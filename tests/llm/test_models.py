@@ -432,6 +432,18 @@ def test_language_model_equals_brute_force(spark, docs, spoken, monkeypatch):
         assert math.isclose(found[i], score, rel_tol=2e-3), i
 
 
+def test_blocks_meet_their_counts_without_a_copy(spark, docs):
+    """Before, learning and scoring each wrote all blocks once more, as shuffle files."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        table = docs([(i, f"a{i} b c") for i in range(9)]).withColumn("trains", splits.F.col("doc_id") % 5 != 1)
+        found = lmscore.score_documents(table, "trains")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and found.count() == 9, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_scores_without_training_documents(spark, docs):
     table = docs([(1, "a b"), (2, None)]).withColumn("trains", splits.F.lit(False))
     found = lmscore.score_documents(table, "trains").collect()
