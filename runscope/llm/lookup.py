@@ -1,4 +1,4 @@
-"""Fixed-size hash table in numpy for models that workers hold whole."""
+"""Table of 64-bit keys in numpy for models that workers hold whole."""
 
 from __future__ import annotations
 
@@ -8,42 +8,34 @@ import numpy as np
 class Lookup:
     """Maps distinct 64-bit keys to their position; ``find`` answers many keys at once, -1 for unknown ones.
 
-    Open addressing with linear steps; keys are expected to be well mixed. Zero marks a free slot,
-    so the key 0 is taken as 1.
+    The keys stay as they are, in order, beside a directory that tells where those with the same upper
+    bits begin; keys are expected to be well mixed, so that these are one or two. Keys that come in
+    order are not copied.
     """
 
     def __init__(self, keys: np.ndarray) -> None:
-        keys = np.maximum(keys.astype(np.uint64), np.uint64(1))
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), 2**bits - 1
-        self.keys = np.zeros(2**bits, np.uint64)
-        self.place = np.full(2**bits, -1, np.int32)
-        waiting, step = np.arange(len(keys)), 0
-        home = (keys >> self.shift).astype(np.int64)
-        while len(waiting):
-            slot = (home[waiting] + step) & self.mask
-            free = np.flatnonzero(self.keys[slot] == 0)
-            _, first = np.unique(slot[free], return_index=True)
-            chosen = free[first]
-            self.keys[slot[chosen]] = keys[waiting[chosen]]
-            self.place[slot[chosen]] = waiting[chosen]
-            waiting = np.delete(waiting, chosen)
-            step += 1
+        keys, self.place = keys.astype(np.uint64, copy=False), None
+        if (keys[1:] < keys[:-1]).any():
+            self.place = np.argsort(keys).astype(np.int32)
+            keys = keys[self.place]
+        bits = max(1, len(keys).bit_length() - 1)
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.begin = np.zeros(2**bits + 1, np.int32)
+        self.begin[1:] = np.searchsorted(keys >> self.shift, np.arange(2**bits, dtype=np.uint64), "right")
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        keys = np.maximum(keys, np.uint64(1))
-        slot = (keys >> self.shift).astype(np.int64)
-        held = self.keys[slot]
-        out = np.where(held == keys, self.place[slot], -1)
-        waiting = np.flatnonzero((held != keys) & (held != 0))
+        home = (keys >> self.shift).astype(np.int64)
+        at, end = self.begin[home], self.begin[home + 1]
+        out = np.full(len(keys), -1, np.int32)
+        waiting = np.flatnonzero(at < end)
         while len(waiting):
-            slot[waiting] = (slot[waiting] + 1) & self.mask
-            at = slot[waiting]
-            held = self.keys[at]
-            same = held == keys[waiting]
-            out[waiting[same]] = self.place[at[same]]
-            waiting = waiting[~same & (held != 0)]
-        return out
+            here, wanted = at[waiting], keys[waiting]
+            held = self.keys[here]
+            same = held == wanted
+            out[waiting[same]] = here[same]
+            at[waiting] = here + 1
+            waiting = waiting[(held < wanted) & (here + 1 < end[waiting])]
+        return out if self.place is None else np.where(out >= 0, np.append(self.place, -1)[out], -1)
 
 
 def values_at(table: Lookup, values: np.ndarray, keys: np.ndarray, missing: float) -> np.ndarray:

@@ -31,7 +31,7 @@ from runscope.llm.lookup import Lookup
 from runscope.llm.splits import labelled, sample
 from runscope.llm.text import IS_MARK, STEP, Words, buffers, mix, slices
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 STRETCHES = (1, 8)
 ORDERS = ("word", "pair")
 EVIDENCE = [f"{order}_{part}" for order in ORDERS for part in ("mean", *(f"most_{n}" for n in STRETCHES))]

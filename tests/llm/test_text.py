@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -66,5 +67,17 @@ def test_lookup():
     assert (Lookup(keys[:0]).find(keys) == -1).all()
 
 
+def test_lookup_of_keys_in_order_holds_little_beside_them():
+    keys = np.unique(np.random.default_rng(1).integers(1, 2**63, 200_000).astype(np.uint64) * np.uint64(2))
+    tracemalloc.start()
+    table = Lookup(keys)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 1.5 * keys.nbytes, held
+    assert (table.find(keys[::-1]) == np.arange(len(keys))[::-1]).all()
+    ends = np.array([0, 2**64 - 1], np.uint64)
+    assert (table.find(ends) == -1).all() and (Lookup(ends).find(ends) == [0, 1]).all()
+
+
 def test_lower_table_only_changes_ascii_capitals():
     assert bytes(LOWER[np.frombuffer("AZaz@[é".encode(), np.uint8)]).decode() == "azaz@[é"
