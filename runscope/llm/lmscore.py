@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from runscope.llm.blocks import Block, Parts, beside, pack, part_count, unpack
 from runscope.llm.text import IS_SPACE, LOWER, STEP, Words, mix
-from runscope.plans.stage import StageArea, shuffles_dropped
+from runscope.plans.stage import StageArea, row_by_row, shuffles_dropped
 
 CONTEXTS = 4
 CLOSE = 0x20
@@ -62,7 +62,8 @@ BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
 class Code:
     """Huffman code of bytes; bytes are ranked by the order of their leaves, so that a node is a range of ranks.
 
-    ``low[r, j]`` and ``high[r, j]`` bound the node that the byte of rank r has reached after j bits.
+    ``low[r, j]`` and ``high[r, j]`` bound the node that the byte of rank r has reached after j bits;
+    ``reach[j, r]`` tells whether its code is that long.
     """
 
     def __init__(self, histogram: np.ndarray) -> None:
@@ -97,35 +98,41 @@ class Code:
                 prefixes.setdefault(tuple(self.bits[r, : min(j, self.length[r])]) + (self.length[r] < j,), []).append(r)
             for ranks in prefixes.values():
                 self.low[ranks, j], self.high[ranks, j] = ranks[0], ranks[-1]
+        self.reach = np.arange(depth + 1)[:, None] <= self.length
 
     def levels(self, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        """For sorted distinct keys (a context, its last byte the rank) the counts of each node on the way."""
-        rank = (keys & BYTE).astype(np.int64)
+        """For sorted distinct keys (a context, its last byte the rank) the counts of each node on the way.
+
+        Laid out level by level, in the narrowest numbers that hold the sum of all.
+        """
+        rank = (keys & BYTE).astype(np.uint8)
         context = keys & ~BYTE
-        sums = np.concatenate([np.zeros(1), np.cumsum(totals, dtype=float)])
-        out = np.where(self.on_path(rank), totals[:, None], 0).astype(float)
+        sums = np.zeros(len(keys) + 1, np.int64)
+        np.cumsum(totals, out=sums[1:])
+        out = np.zeros((len(self.reach), len(keys)), np.uint32 if sums[-1] < 1 << 32 else np.uint64)
+        for level, reach in zip(out, self.reach, strict=True):
+            np.copyto(level, totals, "unsafe", where=reach[rank])
         # All of a context with one byte goes its way; other ways end in their byte.
         several = np.zeros(len(keys), bool)
         several[1:] = context[1:] == context[:-1]
         several[:-1] |= several[1:]
         several = np.flatnonzero(several)
-        for j in range(out.shape[1]):
+        for j, level in enumerate(out):
             some = several[self.length[rank[several]] > j]
             first = np.searchsorted(keys, context[some] | self.low[rank[some], j])
             last = np.searchsorted(keys, context[some] | self.high[rank[some], j], "right")
-            out[some, j] = sums[last] - sums[first]
-        return out
-
-    def on_path(self, rank: np.ndarray) -> np.ndarray:
-        """Which cells of :meth:`levels` belong to the way."""
-        return np.arange(self.low.shape[1]) <= self.length[rank][:, None]
+            level[some] = sums[last] - sums[first]
+        return out.T
 
 
 def sorted_places(values: np.ndarray, low: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(values in order, the place of each): the upper bits, the *low* lowest and the place are sorted as one number."""
     width = max(1, (len(values) - 1).bit_length())
     cut = np.uint64((1 << (width + low)) - 1)
-    packed = (values & ~cut) | (values & np.uint64((1 << low) - 1)) << np.uint64(width) | np.arange(len(values), dtype=np.uint64)
+    packed = values & ~cut
+    if low:
+        packed |= (values & np.uint64((1 << low) - 1)) << np.uint64(width)
+    packed |= np.arange(len(values), dtype=np.uint64)
     packed.sort()
     place = (packed & np.uint64((1 << width) - 1)).view(np.int64)
     found = values[place]
@@ -142,8 +149,8 @@ def distinct(values: np.ndarray, low: int = 0) -> tuple[np.ndarray, np.ndarray,
     found, place = sorted_places(values, low)
     new = np.ones(len(found), bool)
     new[1:] = found[1:] != found[:-1]
-    which = np.empty(len(found), np.int64)
-    which[place] = np.cumsum(new) - 1
+    which = np.empty(len(found), np.int32)
+    which[place] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return found[new], place[new], which
 
 
@@ -154,63 +161,79 @@ class Tokens:
         words = Words(LOWER[block.data], block.offsets)
         docs, counts = len(block), words.counts
         self.first = words.first + np.arange(docs + 1)
-        self.document = np.repeat(np.arange(docs), counts + 1)
+        self.document = np.repeat(np.arange(docs, dtype=np.int32), counts + 1)
         size = int(self.first[-1])
         is_word = np.ones(size, bool)
         is_word[self.first[1:] - 1] = False
         hashes = np.full(size, END)
         hashes[is_word] = words.hashes()
         hashes &= ~ONE
-        self.length = np.zeros(size, np.int64)
+        self.length = np.zeros(size, np.int32)
         self.length[is_word] = words.length
-        start = np.zeros(size, np.int64)
+        start = np.zeros(size, np.int32)
         start[is_word] = words.start
+        data = words.data
+        del words
         self.types, chosen, self.which = distinct(hashes)
+        start = start[chosen]
         # The word before; the end token stands before the first word.
-        self.before = np.full(size, np.searchsorted(self.types, END & ~ONE))
+        self.before = np.full(size, np.searchsorted(self.types, END & ~ONE), np.int32)
         self.before[1:] = np.where(is_word[:-1], self.which[:-1], self.before[1:])
         if names:
-            self.pairs, _, self.pair = distinct(mix(hashes + mix(self.types + STEP)[self.before]) & code.hashed | ONE)
+            hashes += mix(self.types + STEP)[self.before]
+            hashes = mix(hashes)
+            hashes &= code.hashed
+            hashes |= ONE
+            self.pairs, _, self.pair = distinct(hashes)
+        del hashes
         self.trains = train[self.document]
         self.often = np.bincount(self.which, self.trains, len(self.types))
         self.code = code
         if contexts:
-            self._spell(words.data, start[chosen], self.length[chosen])
+            self._spell(data, start, self.length[chosen])
 
     def _spell(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
         """Distinct beginnings of the closed words, called nodes, and the distinct (context, byte) keys.
 
         All contexts of a byte follow from its node.
         """
-        self.begin = np.cumsum(length + 1) - length - 1
-        place = np.arange(int((length + 1).sum())) - np.repeat(self.begin, length + 1)
-        spelled = data.take(np.repeat(start, length + 1) + place, mode="clip") if len(data) else np.zeros(len(place), np.uint8)
+        self.size = length + 1
+        self.begin = np.cumsum(self.size, dtype=np.int64) - self.size
+        place = np.arange(int(self.size.sum()), dtype=np.int32) - np.repeat(self.begin.astype(np.int32), self.size)
+        spelled = data.take(np.repeat(start, self.size) + place, mode="clip") if len(data) else np.zeros(len(place), np.uint8)
         spelled[self.begin + length] = CLOSE
         power = np.full(int(place.max(initial=0)) + 1, STEP)
         power[0] = 1
-        value = BYTE_HASH[spelled] * np.multiply.accumulate(power)[place]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])[:-1]
-        so_far = total - np.repeat(total[self.begin], length + 1)
-        ranks = self.code.rank[spelled]
-        keys, first, self.node = distinct(mix(so_far + SALTS[3]) & self.code.hashed | ranks, 8)
-        rank, place = ranks[first], place[first]
-        before = np.zeros((4, len(first)), np.uint64)
-        for k in range(1, 5):
-            before[k - 1] = np.where(place >= k, spelled[first - np.minimum(place, k)].astype(np.uint64) + ONE, 0)
-        two = before[0] | before[1] << np.uint64(9)
-        three = two | before[2] << np.uint64(18)
-        four = three | before[3] << np.uint64(27)
-        found = [distinct(mix(x + salt) & self.code.hashed | rank, 8)[::2] for x, salt in zip((two, three, four), SALTS, strict=False)]
-        found.append((keys, np.arange(len(keys))))
+        value = BYTE_HASH[spelled]
+        value *= np.multiply.accumulate(power)[place]
+        # Sums before each byte, then those from the beginning of its word.
+        so_far = np.zeros_like(value)
+        np.cumsum(value[:-1], out=so_far[1:])
+        del value
+        so_far -= np.repeat(so_far[self.begin], self.size)
+        so_far += SALTS[3]
+        keys = mix(so_far)
+        del so_far
+        keys &= self.code.hashed
+        keys |= self.code.rank[spelled]
+        keys, first, self.node = distinct(keys, 8)
+        rank, place = self.code.rank[spelled[first]], place[first]
+        context, found = np.zeros(len(first), np.uint64), []
+        for k in range(1, CONTEXTS + 1):
+            byte = np.where(place >= k, spelled[first - np.minimum(place, k)].astype(np.uint64) + ONE, 0)
+            context |= byte << np.uint64(9 * (k - 1))
+            if k > 1:
+                found.append(distinct(mix(context + SALTS[k - 2]) & self.code.hashed | rank, 8)[::2])
+        del context, byte, first, place, spelled
+        found.append((keys, np.arange(len(keys), dtype=np.int32)))
         self.keys, _, which = distinct(np.concatenate([keys for keys, _ in found]), 8)
         limits = np.cumsum([0] + [len(keys) for keys, _ in found])
         self.entry = [which[limits[i] :][inverse] for i, (_, inverse) in enumerate(found)]
-        self.rank = rank.astype(np.int64)
-        self.size = length + 1
+        self.rank = rank.astype(np.uint8)
 
     def holders(self) -> np.ndarray:
         """In how many training documents of the block each word is."""
-        inside = np.sort(self.document[self.trains] * len(self.types) + self.which[self.trains])
+        inside = np.sort(self.document[self.trains] * np.int64(len(self.types)) + self.which[self.trains])
         new = np.diff(inside, prepend=-1) > 0
         return np.bincount(inside[new] % max(1, len(self.types)), minlength=len(self.types))
 
@@ -236,29 +259,25 @@ class Tokens:
     def told(self, answer: list, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Counts of all training documents: of the words, of the pairs, of the ways of all contexts and where each way begins."""
         asked, order = sorted_places(np.concatenate([self.types, self.pairs]))
-        widths = self.code.length[(self.keys & BYTE).astype(np.int64)] + 1
-        begins = np.concatenate([[0], np.cumsum(widths)])
+        begins = np.zeros(len(self.keys) + 1, np.int64)
+        np.cumsum(self.code.length[(self.keys & BYTE).astype(np.uint8)] + 1, out=begins[1:])
         parts = Parts(count)
         name_cuts, key_cuts = parts.cuts(asked), parts.cuts(self.keys)
-        names, ways = np.zeros(len(asked), np.uint64), np.zeros(begins[-1], np.uint64)
+        counts, ways = np.zeros(len(asked)), np.zeros(begins[-1], np.float32)
         for item in answer:
             part, found = item["part"], joined(item["body"])
             if part < count:
-                names[name_cuts[part] : name_cuts[part + 1]] = found
+                counts[order[name_cuts[part] : name_cuts[part + 1]]] = found
             else:
                 span = slice(*key_cuts[part - count : part - count + 2])
-                on_path = self.code.on_path((self.keys[span] & BYTE).astype(np.int64))
+                on_path = self.code.reach[:, (self.keys[span] & BYTE).astype(np.uint8)]
                 levels = np.zeros(on_path.shape, np.uint64)
-                levels.T[on_path.T] = found
-                ways[begins[span.start] : begins[span.stop]] = levels[on_path]
-        counts = np.empty(len(asked))
-        counts[order] = names
-        # A way is told as its first count and what is lost at each step.
-        starts = ways[begins[:-1]]
-        lost = np.cumsum(ways)
-        lost -= np.repeat(lost[begins[:-1]] - starts, widths)
-        ways = np.repeat(2 * starts, widths) - lost
-        return counts[: len(self.types)], counts[len(self.types) :], ways.astype(np.float32), begins[:-1]
+                levels[on_path] = found
+                # A way is told as its first count and what is lost at each step.
+                for above, below in zip(levels, levels[1:]):
+                    np.subtract(above, below, out=below)
+                ways[begins[span.start] : begins[span.stop]] = levels.T[on_path.T]
+        return counts[: len(self.types)], counts[len(self.types) :], ways, begins[:-1]
 
     def bits(self, some: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Bits of the nodes, all or *some*, in bounded pieces: (node, number in its code, bit)."""
@@ -443,21 +462,26 @@ def _ask(blocks: DataFrame, trains: str, code: Code, count: int, names: bool, ar
             yield pa.record_batch(columns, names=["part", "block", "keys", "counts"])
 
     def decide(table: pa.Table) -> pa.Table:
-        steps = [joined(x.as_py()) for x in table.column("keys")]
-        lengths = [len(x) for x in steps]
-        keys, _, which = distinct(np.concatenate([np.cumsum(x) for x in steps]), low)
-        totals = np.bincount(which, np.concatenate([joined(x.as_py()) for x in table.column("counts")]), len(keys))
-        mine = np.split(which, np.cumsum(lengths)[:-1])
+        steps = [np.cumsum(joined(x.as_py())) for x in table.column("keys")]
+        ends = np.cumsum([len(x) for x in steps])[:-1]
+        keys, _, which = distinct(np.concatenate(steps), low)
+        del steps
+        mine = np.split(which, ends)
+        totals = np.zeros(len(keys), np.uint64)
+        # A block asks about a key once.
+        for w, x in zip(mine, table.column("counts"), strict=True):
+            totals[w] += joined(x.as_py())
         n = v = 0
         if names:
-            told, words = totals.astype(np.uint64), totals[(keys & ONE) == 0]
+            words = totals[(keys & ONE) == 0]
             n, v = int(words.sum()), int((words > 0).sum())
-            bodies = [spread(told[w]) for w in mine]
+            bodies = [spread(totals[w]) for w in mine]
         else:
-            ways, on_path = code.levels(keys, totals), code.on_path((keys & BYTE).astype(np.int64))
-            ways[:, 1:] = np.where(on_path[:, 1:], ways[:, :-1] - ways[:, 1:], 0)
+            ways, ranks = code.levels(keys, totals).T, (keys & BYTE).astype(np.uint8)
+            for j in range(len(ways) - 1, 0, -1):
+                np.subtract(ways[j - 1], ways[j], out=ways[j])
             # Level by level, as neighbours have the same counts near the root.
-            bodies = [spread(ways[w].T[on_path[w].T]) for w in mine]
+            bodies = [spread(ways[:, w][code.reach[:, ranks[w]]]) for w in mine]
         sums = [pa.array([x] + [0] * (len(bodies) - 1), pa.int64()) for x in (n, v)]
         return pa.table([table.column("block"), table.column("part"), pa.array(bodies, pa.binary()), *sums], names=["block", "part", "body", "n", "v"])
 
@@ -476,7 +500,7 @@ def _mixer(asked: DataFrame, trains: str, code: Code, count: int) -> Mixer:
         sums = learner.sums()
         yield pa.record_batch([pa.array(np.arange(len(sums))), pa.array(sums)], names=["cell", "value"])
 
-    with shuffles_dropped(asked.sparkSession):
+    with shuffles_dropped(asked.sparkSession), row_by_row(asked.sparkSession):
         rows = asked.mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
     mixer = Mixer.new()
     limits = np.cumsum([CONTEXTS * GATES, GATES, GATES * MAP_CELLS, GATES * MAP_CELLS, SEEN, SEEN])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runscope.llm import audit, decontaminate, extract, fingerprints, infill, language, lmscore, mixing, neardup, quality, repeats, suffixes, toxicity
 from runscope.llm.oracles import ORACLES
 from runscope.llm.splits import remainder
-from runscope.plans.stage import StageArea
+from runscope.plans.stage import StageArea, row_by_row
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("trains", remainder(5) != 1)
-    found = lmscore.score_documents(docs, "trains")
-    return found.withColumn("held_out", remainder(5) == 1)
+    found = lmscore.score_documents(docs, "trains").withColumn("held_out", remainder(5) == 1)
+    with row_by_row(spark):
+        return StageArea(spark, "scores").put(found)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

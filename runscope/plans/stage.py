@@ -15,6 +15,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A task that writes to up to this many buckets keeps a file open for each and does not sort its rows first.
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 MOST_WRITERS = "32"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +44,11 @@ def shuffles_dropped(spark: SparkSession):
     return setting(spark, CLEANUP, "true", "false")
 
 
+def row_by_row(spark: SparkSession):
+    """Within it, executions hand wide rows to Python one at a time, not up to 64 MB of a partition at once."""
+    return setting(spark, ARROW_ROWS, "1", "10000")
+
+
 class StageArea:
     """A private subfolder of the shared folder; each ``put`` writes one table.
 

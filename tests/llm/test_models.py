@@ -3,13 +3,16 @@
 import math
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from runscope.llm import decontaminate, fingerprints, language, lmscore, mixing, quality, splits, toxicity
+from runscope.llm import blocks, decontaminate, fingerprints, language, lmscore, mixing, quality, queries, splits, toxicity
+from runscope.llm.text import buffers
+from runscope.plans.stage import ARROW_ROWS
 from tests.llm import brute
 
 ODD = [None, "", "  ", "!", "漢字", "a" * 30_000]
@@ -360,6 +363,55 @@ def test_distinct_values(low):
         assert np.array_equal(keys, np.unique(some)) and np.array_equal(some[place], keys) and np.array_equal(keys[which], some)
 
 
+def peak_bytes(function):
+    tracemalloc.start()
+    found = function()
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return found, peak
+
+
+def test_memory_of_a_block_and_of_a_part():
+    """A worker holds a bounded number of bytes for each byte of a block's text, and for each count of a part."""
+    rng = random.Random(7)
+    texts = [prose(rng, [f"word{rng.randrange(20_000)}" for _ in range(500)], 200) for _ in range(400)]
+    data, ends = buffers(pa.array(texts))
+    trains = np.ones(len(texts), bool)
+    block = blocks.Block(0, None, ends, data, ~trains)
+    code = lmscore.Code(np.bincount(data, minlength=256))
+    tokens, peak = peak_bytes(lambda: lmscore.Tokens(block, code, trains))
+    assert peak < 40 * len(data), peak / len(data)
+    keys, counts = tokens.asked_contexts()
+    ways, peak = peak_bytes(lambda: code.levels(keys, counts))
+    assert peak < 8 * ways.size, peak / ways.size
+    steps = ways.astype(np.uint64)
+    steps[:, 1:] = ways[:, :-1] - ways[:, 1:]
+    names, often = tokens.asked_names()
+    # One part holds all keys; contexts are numbered after it.
+    answer = [{"part": 0, "body": lmscore.spread(often)}, {"part": 1, "body": lmscore.spread(steps.T[code.reach[:, keys & lmscore.BYTE]])}]
+    (words, pairs, told, begins), peak = peak_bytes(lambda: tokens.told(answer, 1))
+    assert peak < 20 * ways.size, peak / ways.size
+    assert np.array_equal(words, tokens.often) and pairs.sum() == len(tokens.which)
+    length = code.length[(keys & lmscore.BYTE).astype(int)]
+    assert all(np.array_equal(told[b : b + n + 1], way[: n + 1]) for b, n, way in zip(begins, length, ways))
+
+
+def test_rows_are_handed_over_one_at_a_time(spark, docs, monkeypatch):
+    """While weights are learned and while the query scores; the session's own setting comes back."""
+    handed = lmscore.unpack
+
+    def unpack(batches):
+        return handed(batch for batch in batches if not (any(n.startswith("answer") for n in batch.schema.names) and batch.num_rows > 1 and 1 / 0))
+
+    monkeypatch.setattr(lmscore, "unpack", unpack)
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 40)
+    table = docs([(i, f"word{i} " * 9) for i in range(60)])
+    monkeypatch.setattr(queries, "table", lambda *_: table)
+    before = spark.conf.get(ARROW_ROWS)
+    seen = queries.op5_lm_score(spark, "").collect()
+    assert len(seen) == 60 and spark.conf.get(ARROW_ROWS) == before
+
+
 def test_language_model_equals_brute_force(spark, docs, spoken, monkeypatch):
     """Counts by dictionaries, bit by bit, under given weights."""
     rng = np.random.default_rng(5)
