@@ -43,10 +43,11 @@ CONTEXTS = 4
 CLOSE = 0x20
 END = np.uint64(0xE4D)
 BLOCK_BYTES = 4 << 20
-NODES_AT_ONCE = 1 << 15
-BATCH = 1 << 13
+#: Beginnings of words in a piece that is scored, or learned from, at once; such pieces stay in a core's cache.
+NODES_AT_ONCE = 1 << 12
+BATCH = 1 << 11
 STEEPEST = 12.0
-CONFIDENCE = np.array([1, 4, 32])
+CONFIDENCE = np.array([1, 4, 32], np.float32)
 MAP_CELLS = 49
 #: One unseen context or pair in 2 ** SPARE_BITS is taken for a seen one, at every size of the corpus.
 SPARE_BITS = 12
@@ -279,25 +280,30 @@ class Tokens:
                 ways[begins[span.start] : begins[span.stop]] = levels.T[on_path.T]
         return counts[: len(self.types)], counts[len(self.types) :], ways, begins[:-1]
 
-    def bits(self, some: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Bits of the nodes, all or *some*, in bounded pieces: (node, number in its code, bit)."""
+    def bits(self, some: np.ndarray | None = None, at_once: int = NODES_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Bits of the nodes, all or *some*, in bounded pieces of whole nodes: (nodes, bits of each, number in its code, bit)."""
         wanted = np.arange(len(self.rank)) if some is None else np.flatnonzero(some)
-        for low in range(0, len(wanted), NODES_AT_ONCE):
-            at = wanted[low : low + NODES_AT_ONCE]
-            length = self.code.length[self.rank[at]]
+        depth = self.code.bits.shape[1]
+        for low in range(0, len(wanted), at_once):
+            nodes = wanted[low : low + at_once]
+            rank = self.rank[nodes].astype(np.int64)
+            length = self.code.length[rank]
             j = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            at = np.repeat(at, length)
-            yield at, j, self.code.bits[self.rank[at], j]
+            yield nodes, length, j, self.code.bits.ravel()[np.repeat(rank * depth, length) + j]
 
 
 def spread(values: np.ndarray) -> bytes:
-    """64-bit numbers byte by byte, compressed."""
-    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """64-bit numbers byte by byte, compressed; upper bytes that none of them needs are left out."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    cells = np.ascontiguousarray(values.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + zstandard.compress(cells.T.tobytes(), 1)
 
 
 def joined(body: bytes) -> np.ndarray:
-    flat = np.frombuffer(zstandard.decompress(body), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).reshape(-1).view("<u8")
+    width, flat = body[0], np.frombuffer(zstandard.decompress(memoryview(body)[1:]), np.uint8)
+    out = np.zeros((len(flat) // width, 8), np.uint8)
+    out[:, :width] = flat.reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
 
 
 @dataclass
@@ -316,37 +322,53 @@ class Mixer:
         return cls(np.full((CONTEXTS, GATES), 0.35), prior * np.tile(1 / (1 + np.exp(-steps)), GATES), prior, np.zeros(SEEN))
 
     @staticmethod
-    def inputs(tokens: Tokens, ways: np.ndarray, begins: np.ndarray, at, j, own) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(tokens: Tokens, ways: np.ndarray, begins: np.ndarray, nodes, length, j, own=None) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the bit that comes under each context, without *own* of its counts, and the gate of every bit."""
-        logits, gate = np.empty((CONTEXTS, len(at)), np.float32), 0
+        logits, gate = np.empty((CONTEXTS, len(j)), np.float32), np.zeros(len(j), np.uint8)
         for i, entry in enumerate(tokens.entry):
-            cell = begins[entry[at]] + j
-            all_, taken = np.maximum(ways[cell] - own, 0), np.maximum(ways[cell + 1] - own, 0)
-            logits[i] = np.log((taken + np.float32(0.4)) / (all_ - taken + np.float32(0.4)))
+            cell = np.repeat(begins[entry[nodes]], length)
+            cell += j
+            all_ = ways[cell]
+            cell += 1
+            taken = ways[cell]
+            if own is not None:
+                all_ -= own
+                taken -= own
+                np.maximum(all_, 0, out=all_)
+                np.maximum(taken, 0, out=taken)
             if i:
-                gate = gate * 4 + sum((all_ >= limit).astype(np.int64) for limit in CONFIDENCE)
-        return logits, gate
+                gate *= 4
+                for limit in CONFIDENCE:
+                    gate += all_ >= limit
+            all_ -= taken
+            all_ += np.float32(0.4)
+            taken += np.float32(0.4)
+            taken /= all_
+            np.log(taken, out=logits[i])
+        return logits, gate.astype(np.int64)
 
     def mixed(self, logits: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        out = sum(self.weights[i].astype(np.float32)[gate] * logits[i] for i in range(CONTEXTS))
-        return np.clip(out, -STEEPEST, STEEPEST)
+        out = 0
+        for weights, logit in zip(self.weights.astype(np.float32), logits, strict=True):
+            part = weights[gate]
+            part *= logit
+            out += part
+        return np.clip(out, -STEEPEST, STEEPEST, out=out)
 
     def probability(self, mixed: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the bit that comes: the mixture and its refined value, half each; and the cell of the map."""
         one = np.where(bit, mixed, -mixed)
         cell = gate * MAP_CELLS + np.rint((one + STEEPEST) * ((MAP_CELLS - 1) / (2 * STEEPEST))).astype(np.int64)
-        refined = self.ones[cell] / self.seen[cell]
+        refined = (self.ones / self.seen)[cell]
         return 0.5 / (1 + np.exp(-mixed)) + 0.5 * np.where(bit, refined, 1 - refined), cell
 
     def spelled(self, tokens: Tokens, ways: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Probability of every distinct word, as its logarithm."""
         out = np.zeros(len(tokens.rank))
-        for at, j, bit in tokens.bits():
-            logits, gate = self.inputs(tokens, ways, begins, at, j, np.float32(0))
+        for nodes, length, j, bit in tokens.bits():
+            logits, gate = self.inputs(tokens, ways, begins, nodes, length, j)
             p, _ = self.probability(self.mixed(logits, gate), gate, bit)
-            # Pieces hold whole nodes, in order.
-            first = np.flatnonzero(j == 0)
-            out[at[first]] = np.add.reduceat(np.log(p), first)
+            out[nodes] = np.add.reduceat(np.log(p), np.cumsum(length) - length)
         return tokens.per_type(out)
 
     def with_pairs(self, spelled: np.ndarray, before: np.ndarray, followed: np.ndarray) -> np.ndarray:
@@ -375,24 +397,21 @@ class Learner:
         own, often = np.rint(own).astype(np.float32), often.astype(np.float32)
         spelled = np.zeros(len(tokens.rank))
         mixer = self.mixer
-        for at, j, bit in tokens.bits(often > 0):
-            logits, gate = mixer.inputs(tokens, ways, begins, at, j, own[at])
-            for low in range(0, len(at), BATCH):
-                cut = slice(low, low + BATCH)
-                x, g, y, times = logits[:, cut], gate[cut], bit[cut], often[at[cut]]
-                mixed = mixer.mixed(x, g)
-                p, cell = mixer.probability(mixed, g, y)
-                first = np.flatnonzero(np.diff(at[cut], prepend=-1))
-                spelled[at[cut][first]] += np.add.reduceat(np.log(p), first)
-                mixer.seen = mixer.seen + np.bincount(cell, times, len(mixer.seen))
-                mixer.ones = mixer.ones + np.bincount(cell, times * y, len(mixer.ones))
-                error = times / (1 + np.exp(mixed))
-                for i in range(CONTEXTS):
-                    step = np.bincount(g, error * x[i], GATES)
-                    self.squares[i] += step**2
-                    mixer.weights[i] += rate * step / np.sqrt(self.squares[i])
-                np.clip(mixer.weights, -1, 3, out=mixer.weights)
-                self.bits += np.bincount(g, times, GATES)
+        for nodes, length, j, bit in tokens.bits(often > 0, BATCH):
+            x, g = mixer.inputs(tokens, ways, begins, nodes, length, j, np.repeat(own[nodes], length))
+            times = np.repeat(often[nodes], length)
+            mixed = mixer.mixed(x, g)
+            p, cell = mixer.probability(mixed, g, bit)
+            spelled[nodes] = np.add.reduceat(np.log(p), np.cumsum(length) - length)
+            mixer.seen = mixer.seen + np.bincount(cell, times, len(mixer.seen))
+            mixer.ones = mixer.ones + np.bincount(cell, times * bit, len(mixer.ones))
+            error = times / (1 + np.exp(mixed))
+            for i in range(CONTEXTS):
+                step = np.bincount(g, error * x[i], GATES)
+                self.squares[i] += step**2
+                mixer.weights[i] += rate * step / np.sqrt(self.squares[i])
+            np.clip(mixer.weights, -1, 3, out=mixer.weights)
+            self.bits += np.bincount(g, times, GATES)
         some = np.flatnonzero(tokens.trains)
         kind = tokens.which[some]
         plain = np.exp(tokens.per_type(spelled)[tokens.which[some]])

@@ -363,6 +363,16 @@ def test_distinct_values(low):
         assert np.array_equal(keys, np.unique(some)) and np.array_equal(some[place], keys) and np.array_equal(keys[which], some)
 
 
+def test_numbers_are_sent_in_the_bytes_they_need():
+    rng = np.random.default_rng(6)
+    for top in (1, 2**8, 2**16 - 1, 2**33, 2**63):
+        values = rng.integers(0, top, 5000, np.uint64, endpoint=True)
+        values[7] = top
+        body = lmscore.spread(values)
+        assert np.array_equal(lmscore.joined(body), values) and body[0] == (top.bit_length() + 7) // 8
+    assert len(lmscore.joined(lmscore.spread(values[:0]))) == 0
+
+
 def peak_bytes(function):
     tracemalloc.start()
     found = function()
